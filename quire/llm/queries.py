@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import decontaminate, quality_rules, url_filters
 
 QUERIES = {
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLE_SQL = {
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
 }
