@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, url_filters
+from . import bpe, decontaminate, quality_rules, url_filters
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
