@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality_rules, token_files, url_filters
+from . import bpe, decontaminate, quality_rules, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
