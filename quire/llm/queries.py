@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality_rules, suffix_dedup, token_files, url_filters
+from . import bpe, decontaminate, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
