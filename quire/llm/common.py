@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -32,18 +33,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    Cuts lineage: a lost executor costs a re-read, not a recomputation. The
-    JVM is then asked to collect, which lets Spark drop the shuffle files of
-    the plan that is no longer referenced.
+    Cuts lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -28,9 +28,9 @@ from .common import parts_for, stored, text_bytes
 #: Text bytes hashed at once: temporary arrays stay near the processor.
 HASH_BYTES = 1_000_000
 #: Text bytes whose seeds are sent together.
-SEND_BYTES = 16_000_000
+SEND_BYTES = 8_000_000
 #: Text bytes for a bucket.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 12_000_000
 #: A seed hash at more places is heavy: its windows are dealt out one by one.
 HEAVY = 4096
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import NULL_ID, stored
+from .common import NULL_ID, release, stored
 from .seeds import HASH_BYTES, SEND_BYTES, buckets_for, by_bucket, column, gram_hashes, keyed, marked_seeds, merged_spans, mix, raw_texts, repeated_seeds, winnow, word_tokens
 
 LENGTH = 35
@@ -161,6 +161,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> D
     """row, doc_id, spans (start, end in words, packed) of a keyed table (see ``seeds.keyed``)."""
     buckets = buckets_for(docs)
     marks = repeated_seeds(docs, word_tokens, length, k, buckets)
+    release(docs.sparkSession)  # the seeds' shuffle
     seeded = docs.join(marks.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "marks")
     sent = seeded.mapInArrow(send_anchors(length, k, buckets), ANCHOR_ROWS)
     spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(extend_bucket(length), "row long, doc_id long, start long, end long")

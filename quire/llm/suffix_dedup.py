@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import NULL_ID, stored
+from .common import NULL_ID, release, stored
 from .seeds import HASH_BYTES, SEND_BYTES, buckets_for, by_bucket, byte_tokens, column, keyed, marked_seeds, merged_spans, mix, raw_texts, repeated_seeds, winnow
 
 LENGTH = 50
@@ -237,7 +237,7 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataF
     """row, doc_id, spans (start, end in bytes, unmerged) of a keyed table (see ``seeds.keyed``)."""
     buckets = buckets_for(docs)
     marks = repeated_seeds(docs, byte_tokens, length, k, buckets)
-    # equal rows would only repeat each other's work: their id and text are the same
+    release(docs.sparkSession)  # the seeds' shuffle
     seeded = docs.join(marks.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "marks")
     sent = seeded.mapInArrow(send_contexts(length, k, buckets), CONTEXT_ROWS)
     spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(scan_bucket(length, k), "row long, doc_id long, start long, end long")
