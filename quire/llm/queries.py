@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
+from . import bpe, decontaminate, minhash, quality_model, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_files": token_files.op3_token_files,
+    "op4_quality_model": quality_model.op4_quality_model,
     "op6_minhash": minhash.op6_minhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality_rules": quality_rules.op8_quality_rules,
