@@ -98,14 +98,27 @@ def rarest_terms(windows: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """doc_id, h, start, window: every exact occurrence of every window."""
+    """doc_id, h, start, window: every exact occurrence of every window.
+
+    Both lists of a window are shifted to the phrase's start. Before they are
+    dealt out, each is thinned by its stored surroundings: the other term must
+    stand at its offset. Then they are intersected and the words compared.
+    """
     postings = index.select("doc_id", "h", F.explode("postings").alias("p")).select("doc_id", "h", "p.*")
-    first = postings.join(rare, F.col("term") == F.col("term1")).withColumn("start", F.col("pos") - F.col("offset1"))
-    # whole windows only: the surroundings must hold all words before and after
-    first = first.filter((F.col("offset1") <= F.col("before")) & (F.slice("context", F.col("before") - F.col("offset1") + 1, F.size("window")) == F.col("window")))
-    second = postings.select(F.col("doc_id").alias("doc2"), F.col("h").alias("h2"), F.col("term").alias("t2"), F.col("pos").alias("pos2"))
-    both = first.join(second, F.col("doc_id").eqNullSafe(F.col("doc2")) & F.col("h").eqNullSafe(F.col("h2")) & (F.col("t2") == F.col("term2")) & (F.col("pos2") == F.col("start") + F.col("offset2")), "left_semi")
-    return both.select("doc_id", "h", "start", "window").distinct()
+    at = lambda offset: F.get("context", F.col("before") + offset)
+
+    def shifted(own: str, other: str) -> DataFrame:
+        listed = postings.join(rare, F.col("term") == F.col(f"term{own}"))
+        step = F.col(f"offset{other}") - F.col(f"offset{own}")
+        near = (F.col("before") + step >= 0) & (at(F.greatest(step, -F.col("before"))) == F.col(f"term{other}"))
+        return listed.filter(near).withColumn("start", F.col("pos") - F.col(f"offset{own}"))
+
+    # whole windows only: the surroundings hold all words before and after a place
+    whole = (F.col("offset1") <= F.col("before")) & (F.slice("context", F.col("before") - F.col("offset1") + 1, F.size("window")) == F.col("window"))
+    first = shifted("1", "2").select("doc_id", "h", "start", "window", whole.alias("whole"))
+    second = shifted("2", "1").select(F.col("doc_id").alias("doc2"), F.col("h").alias("h2"), F.col("start").alias("start2"), F.col("window").alias("window2"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc2")) & F.col("h").eqNullSafe(F.col("h2")) & (F.col("start") == F.col("start2")) & (F.col("window") == F.col("window2"))
+    return first.join(second, same, "left_semi").filter("whole").select("doc_id", "h", "start", "window").distinct()
 
 
 def proximity_matches(docs: DataFrame, phrase: list[str], slop: int) -> DataFrame:
