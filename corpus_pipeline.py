@@ -1,26 +1,62 @@
-"""Corpus preparation in stages; each takes (spark, docs, sf_dir)."""
+"""Corpus preparation in stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns a table; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import bpe_encode
+from quire.llm.common import NULL_ID, row_hash, stored
+from quire.llm.decontaminate import decontaminate
+from quire.llm.minhash import drop_near_duplicates
 from quire.llm.quality_rules import quality_rules
+from quire.llm.suffix_dedup import cut_texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = quality_rules(docs).select(F.col("doc_id").alias("judged_id"), "kept")
-    kept = verdicts.filter("kept").select("judged_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["judged_id"]), "left_semi")
+    """Documents that the quality rules keep, by id and text."""
+    judged = docs.select("doc_id", "text", "source")
+    verdicts = quality_rules(judged.withColumn("doc_id", F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), row_hash().alias("h"))))
+    rejected = verdicts.filter(~F.col("kept")).select("doc_id.id", "doc_id.h").distinct().withColumnsRenamed({"id": "_id", "h": "_h"})
+    same = (F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_h"))
+    return docs.join(rejected.hint("shuffle_hash"), same, "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that an earlier document holds."""
+    return cut_texts(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate(docs, items).filter("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("h").alias("_h")).distinct()
+    same = (F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_h"))
+    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether decoding gives the text back."""
+    return bpe_encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
-STAGES = [("quality", quality)]
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("suffix-array dedup", repeats), ("decontamination", clean_of_benchmark), ("BPE", tokens)]
 
+#: SQL has no form of the near-duplicate classes and the vocabulary's merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

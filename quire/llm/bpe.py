@@ -229,7 +229,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], n_bytes: int = BATCH_BYTES)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ids (array of int): every whole text."""
+    """doc_id, text, ids (array of int), round_trip (decoding gives the text): every whole text."""
     path = vocabulary or default_vocabulary()
 
     def encode(batches):
@@ -240,9 +240,10 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
             found = encoder.encode(texts)
             flat = np.frombuffer(b"".join(found), "<i4")
             ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))})
+            same = [table.decode(np.frombuffer(x, "<u4").tolist()) == t for x, t in zip(found, texts, strict=True)]
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), "round_trip": pa.array(same, pa.bool_())})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, text string, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, text string, ids array<int>, round_trip boolean")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:

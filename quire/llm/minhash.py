@@ -280,6 +280,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return labelled.join(sizes, "component").select(back("doc_id"), "row", back("class_id"), "class_size")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of one document of each class, the one with the smallest id; all columns stay.
+
+    Of equal rows (same id and text) one stays.
+    """
+    classes = near_duplicates(docs, id_col, text_col, similarity)
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("row").alias("keep_row"))
+    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.withColumn("_keep_row", row)
+    kept = marked.join(first.hint("shuffle_hash"), (marked["_keep_row"] == first["keep_row"]) & marked[id_col].cast("long").eqNullSafe(first["class_id"]), "left_semi")
+    return kept.dropDuplicates(["_keep_row", id_col]).drop("_keep_row")
+
+
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "class_size")

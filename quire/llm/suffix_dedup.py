@@ -273,6 +273,29 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: s
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def cut_texts(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with repeated strings cut from its texts; all columns and rows stay.
+
+    A character of which only some bytes are left goes.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    own = keyed(docs, id_col, text_col)
+    spans = earlier_spans(own, length, k).select(F.col("row").alias("_span_row"), F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.withColumns({"_row": row, "_order": order}).join(spans.hint("shuffle_hash"), (F.col("_row") == F.col("_span_row")) & (F.col("_order") == F.col("_span_id")), "left")
+    schema = docs.schema
+
+    def cut(batches):
+        for b in batches:
+            raw = b.column(text_col).cast(pa.binary()).to_pylist()
+            left = [x if x is None or not s.is_valid else _cut(x, s.values.to_numpy())[0].decode("utf-8", "ignore").encode() for x, s in zip(raw, b.column("_spans"), strict=True)]
+            arrays = {c: b.column(c) for c in others} | {text_col: pa.array(left, pa.binary()).cast(pa.string())}
+            yield pa.record_batch([arrays[c] for c in schema.names], names=schema.names)
+
+    return joined.select(*schema.names, "_spans").mapInArrow(cut, schema)
+
+
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = suffix_dedup(docs)
