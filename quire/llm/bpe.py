@@ -8,7 +8,8 @@ the pattern, and the pieces of a whole batch are merged at once: the symbols of
 all pieces lie in one flat array, the rank of each adjacent pair is found by
 binary search over the sorted pair keys, and each round merges, in every piece,
 all occurrences of the piece's lowest-ranked pair. Results are kept per chunk in
-a table of at most ``CACHE_CHUNKS`` entries, so memory is bounded.
+a table of at most ``CACHE_CHUNKS`` entries, so memory is bounded; a worker
+process keeps it from task to task.
 
 Defined cases: a null text is encoded as an empty one; special tokens that
 occur in a text become their ids, as the tokenizers library does. Rows are
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +217,13 @@ class ChunkEncoder:
         return [b"".join(x for k in range(len(ps)) for x in (next(flat), special[ms[k]] if k < len(ms) else b"")) for ps, ms in split]
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> ChunkEncoder:
+    """The worker process's encoder of a vocabulary; later tasks find its table filled."""
+    table = Vocabulary(path)
+    return ChunkEncoder(table, merge_pieces(table))
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], n_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about so many text bytes (at least a row)."""
     for batch in batches:
@@ -233,8 +242,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     path = vocabulary or default_vocabulary()
 
     def encode(batches):
-        table = Vocabulary(path)
-        encoder = ChunkEncoder(table, merge_pieces(table))
+        encoder = encoder_for(path)
+        table = encoder.vocabulary
         for b in text_batches(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             found = encoder.encode(texts)
@@ -251,7 +260,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def decode(batches):
-        table = Vocabulary(path)
+        table = encoder_for(path).vocabulary
         for b in batches:
             ids = b.column("ids")
             flat, ends = ids.flatten().to_pylist(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
@@ -266,8 +275,8 @@ def bpe_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "d
     path = vocabulary or default_vocabulary()
 
     def digest(batches):
-        table = Vocabulary(path)
-        encoder = ChunkEncoder(table, merge_pieces(table))
+        encoder = encoder_for(path)
+        table = encoder.vocabulary
         decimal = [str(i) for i in range(len(table.token_bytes))]
         for b in text_batches(batches):
             found = encoder.encode([t or "" for t in b.column("text").to_pylist()])

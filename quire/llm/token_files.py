@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,12 @@ def library_pieces(path: str):
     return encode
 
 
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> ChunkEncoder:
+    """The worker process's encoder, by the tokenizers library."""
+    return ChunkEncoder(Vocabulary(path), library_pieces(path))
+
+
 class SequenceWriter:
     """Packs ids into equal sequences and writes full record batches."""
 
@@ -138,9 +145,8 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
     rows = rows.repartitionByRange(parts, "order_id", "text").sortWithinPartitions("order_id", "text")
 
     def write(batches):
-        table = Vocabulary(path)
-        encoder = ChunkEncoder(table, library_pieces(path))
-        dtype = np.uint16 if len(table.token_bytes) <= 1 << 16 else np.uint32
+        encoder = library_encoder(path)
+        dtype = np.uint16 if len(encoder.vocabulary.token_bytes) <= 1 << 16 else np.uint32
         store, folder = fs.FileSystem.from_uri(out_dir)
         part = TaskContext.get().partitionId()
         store.create_dir(folder, recursive=True)
