@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import bpe_encode
-from quire.llm.common import NULL_ID, row_hash, stored
+from quire.llm.common import row_hash, row_id, stored, without_rows
 from quire.llm.decontaminate import decontaminate
 from quire.llm.minhash import drop_near_duplicates
 from quire.llm.quality_rules import quality_rules
@@ -19,11 +19,9 @@ from quire.llm.suffix_dedup import cut_texts
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, by id and text."""
-    judged = docs.select("doc_id", "text", "source")
-    verdicts = quality_rules(judged.withColumn("doc_id", F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), row_hash().alias("h"))))
-    rejected = verdicts.filter(~F.col("kept")).select("doc_id.id", "doc_id.h").distinct().withColumnsRenamed({"id": "_id", "h": "_h"})
-    same = (F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_h"))
-    return docs.join(rejected.hint("shuffle_hash"), same, "left_anti")
+    key = F.struct(row_id().alias("doc_id"), row_hash().alias("h"))
+    verdicts = quality_rules(docs.select(key.alias("doc_id"), "text", "source"))
+    return without_rows(docs, verdicts.filter(~F.col("kept")).select("doc_id.doc_id", "doc_id.h"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +37,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(docs, items).filter("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("h").alias("_h")).distinct()
-    same = (F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_h"))
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+    found = decontaminate(docs, items).filter("contaminated")
+    return without_rows(docs, found.select(row_id().alias("doc_id"), "h"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,19 @@ def row_id(col: str = "doc_id") -> Column:
 def row_hash(col: str = "text") -> Column:
     """Tells rows apart that share an id; rows equal in both get equal results."""
     return F.xxhash64(F.col(col))
+
+
+def unused(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table without the rows that ``rows`` (doc_id, h: ``row_id`` and ``row_hash``) names; all columns stay."""
+    a, b = unused(docs, "_id"), unused(docs, "_h")
+    named = rows.select(F.col("doc_id").alias(a), F.col("h").alias(b)).distinct()
+    same = (row_id(id_col) == F.col(a)) & (row_hash(text_col) == F.col(b))
+    return docs.join(named.hint("shuffle_hash"), same, "left_anti")

@@ -32,6 +32,8 @@ from .common import row_hash, stored
 WINDOW = 13
 #: Above so many test terms the lookup is a join, not a literal set.
 MAX_TERMS = 50_000
+#: Windows are sent to all tasks up to so many bytes (measured first); beyond that, lists and windows are dealt by term.
+MAX_BROADCAST = 32_000_000
 #: Hit words that make a document contaminated: one in so many.
 CONTAMINATED_ONE_IN = 20
 
@@ -74,17 +76,20 @@ def positional_index(worded: DataFrame, terms: DataFrame, n: int = WINDOW) -> Da
     A posting has the term, its position, and the ``n - 1`` words before and
     after it, so that any window through the position can be verified.
     """
-    posting = lambda w, i: F.struct(w.alias("term"), i.alias("pos"), F.least(i, F.lit(n - 1)).alias("before"))
+    n_words = F.size("words").cast("long").alias("n_words")
+
+    def posting(at: Column) -> Column:
+        before = F.least(at, F.lit(n - 1))
+        return F.struct(F.get("words", at).alias("term"), at.alias("pos"), before.alias("before"), F.slice("words", at - before + 1, before + n).alias("context"))
+
     few = _term_set(terms)
-    marked = F.transform("words", posting)
     if few is not None:
-        marked = F.filter(marked, lambda p: p["term"].isin(few))
-        context = lambda p: F.struct(p["term"].alias("term"), p["pos"].alias("pos"), p["before"].alias("before"), F.slice("words", p["pos"] - p["before"] + 1, p["before"] + n).alias("context"))
-        return worded.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.transform(marked, context).alias("postings"))
-    context = lambda p: F.struct(p["term"].alias("term"), p["pos"].alias("pos"), p["before"].alias("before"), F.slice("words", p["pos"] - p["before"] + 1, p["before"] + n).alias("context"))
-    all_rows = worded.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.transform(marked, context)).alias("p"))
-    kept = all_rows.join(terms.withColumnRenamed("term", "known"), F.col("p.term") == F.col("known"), "left")
-    return kept.groupBy("doc_id", "h", "n_words").agg(F.collect_list(F.when(F.col("known").isNotNull(), F.col("p"))).alias("postings"))
+        places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(few), i)), lambda i: i.isNotNull())
+        return worded.select("doc_id", "h", n_words, F.transform(places, posting).alias("postings"))
+    found = worded.select("doc_id", "h", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
+    places = found.groupBy(F.col("doc_id").alias("own_id"), F.col("h").alias("own_h")).agg(F.collect_set("pos").alias("places"))
+    joined = worded.join(places, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")), "left")
+    return joined.select("doc_id", "h", n_words, F.transform(F.coalesce("places", F.array().cast("array<int>")), posting).alias("postings"))
 
 
 def rarest_terms(windows: DataFrame, df: DataFrame) -> DataFrame:
@@ -105,6 +110,8 @@ def phrase_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
     stand at its offset. Then they are intersected and the words compared.
     """
     postings = index.select("doc_id", "h", F.explode("postings").alias("p")).select("doc_id", "h", "p.*")
+    size = rare.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("window", " ")) * 2), F.lit(0)).alias("n")).first()["n"]
+    rare = F.broadcast(rare) if size <= MAX_BROADCAST else rare
     at = lambda offset: F.get("context", F.col("before") + offset)
 
     def shifted(own: str, other: str) -> DataFrame:

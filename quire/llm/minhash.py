@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import NULL_ID, stored
+from .common import NULL_ID, row_id, stored, unused
 from .seeds import HASH_BYTES, gram_hashes, keyed, mix, raw_texts, word_tokens
 
 SHINGLE = 5
@@ -266,7 +266,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, row (hash of id and text), class_id and class_size for every row."""
+    """doc_id, row (hash of id and text), component (the class), class_id and class_size for every row."""
     own = keyed(docs, id_col, text_col)
     idf = word_idf(own)
     signed = signatures(own, idf)
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = stored(labelled.select("doc_id", "row", "component"), "labelled")
     sizes = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return labelled.join(sizes, "component").select(back("doc_id"), "row", back("class_id"), "class_size")
+    return labelled.join(sizes, "component").select(back("doc_id"), "row", "component", back("class_id"), "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -286,11 +286,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of equal rows (same id and text) one stays.
     """
     classes = near_duplicates(docs, id_col, text_col, similarity)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("row").alias("keep_row"))
-    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("_keep_row", row)
-    kept = marked.join(first.hint("shuffle_hash"), (marked["_keep_row"] == first["keep_row"]) & marked[id_col].cast("long").eqNullSafe(first["class_id"]), "left_semi")
-    return kept.dropDuplicates(["_keep_row", id_col]).drop("_keep_row")
+    mark, row, first_id = unused(docs, "_mark"), unused(docs, "_keep_row"), unused(docs, "_first")
+    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("row").alias(row), F.first("class_id").alias("class_id"))
+    firsts = firsts.select(F.coalesce("class_id", F.lit(NULL_ID)).alias(first_id), row)
+    marked = docs.withColumn(mark, F.struct(row_id(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("row")))
+    kept = marked.join(firsts.hint("shuffle_hash"), (F.col(f"{mark}.row") == F.col(row)) & (F.col(f"{mark}.id") == F.col(first_id)), "left_semi")
+    return kept.dropDuplicates([mark]).drop(mark)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

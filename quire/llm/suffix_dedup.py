@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import NULL_ID, release, stored
+from .common import NULL_ID, release, row_id, stored, unused
 from .seeds import HASH_BYTES, SEND_BYTES, buckets_for, by_bucket, byte_tokens, column, keyed, marked_seeds, merged_spans, mix, raw_texts, repeated_seeds, winnow
 
 LENGTH = 50
@@ -279,21 +279,20 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str
     A character of which only some bytes are left goes.
     """
     others = [c for c in docs.columns if c != text_col]
-    own = keyed(docs, id_col, text_col)
-    spans = earlier_spans(own, length, k).select(F.col("row").alias("_span_row"), F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumns({"_row": row, "_order": order}).join(spans.hint("shuffle_hash"), (F.col("_row") == F.col("_span_row")) & (F.col("_order") == F.col("_span_id")), "left")
+    row, order, found = unused(docs, "_row"), unused(docs, "_order"), unused(docs, "_spans")
+    spans = earlier_spans(keyed(docs, id_col, text_col), length, k).select(F.col("row").alias(row), F.col("doc_id").alias(order), F.col("spans").alias(found))
+    own_row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.join(spans.hint("shuffle_hash"), (own_row == F.col(row)) & (row_id(id_col) == F.col(order)), "left")
     schema = docs.schema
 
     def cut(batches):
         for b in batches:
             raw = b.column(text_col).cast(pa.binary()).to_pylist()
-            left = [x if x is None or not s.is_valid else _cut(x, s.values.to_numpy())[0].decode("utf-8", "ignore").encode() for x, s in zip(raw, b.column("_spans"), strict=True)]
+            left = [x if x is None or not s.is_valid else _cut(x, s.values.to_numpy())[0].decode("utf-8", "ignore").encode() for x, s in zip(raw, b.column(found), strict=True)]
             arrays = {c: b.column(c) for c in others} | {text_col: pa.array(left, pa.binary()).cast(pa.string())}
             yield pa.record_batch([arrays[c] for c in schema.names], names=schema.names)
 
-    return joined.select(*schema.names, "_spans").mapInArrow(cut, schema)
+    return joined.select(*schema.names, found).mapInArrow(cut, schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
