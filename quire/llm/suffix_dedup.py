@@ -125,7 +125,7 @@ def send_contexts(length: int, k: int, buckets: int):
             for b, i, j in runs:
                 at = order[i:j]
                 own, index = np.unique(doc[at], return_inverse=True)
-                values = (b, key[at].tobytes(), low[at].tobytes(), n[at].tobytes(), context[at].tobytes(), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), b"")
+                values = (b, key[at].tobytes(), low[at].tobytes(), n[at].tobytes(), pa.compress(context[at].tobytes(), codec="zstd", asbytes=True), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), b"")
                 for name, x in zip(out, values, strict=True):
                     out[name].append(x)
             for part in np.array_split(done, len(runs)) if len(done) else ():
@@ -181,7 +181,8 @@ def scan_bucket(length: int, k: int):
         spans = [column(blobs["done"], SPAN)]
         key, low, n = column(blobs["key"], np.uint64), column(blobs["low"], np.uint8), column(blobs["n"], np.uint8)
         if len(key):
-            context = column(blobs["context"], np.uint8).reshape(-1, width)
+            plain = [pa.decompress(x, len(k) // 8 * width, codec="zstd", asbytes=True) for x, k in zip(blobs["context"], blobs["key"], strict=True) if x]
+            context = column(plain, np.uint8).reshape(-1, width)
             start = column(blobs["start"], np.uint32).astype(np.int64)
             docs = column(blobs["docs"], np.int64).reshape(-1, 2)
             base = np.cumsum([0, *(len(x) // 16 for x in blobs["docs"])])[:-1]
@@ -247,6 +248,7 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataF
 
 def _with_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     spans = earlier_spans(docs, length, k).select(F.col("row").alias("span_row"), F.col("doc_id").alias("span_id"), "spans")
+    release(docs.sparkSession)  # the contexts' shuffle
     return docs.join(spans.hint("shuffle_hash"), (docs["row"] == spans["span_row"]) & (docs["doc_id"] == spans["span_id"]), "left")
 
 
@@ -281,6 +283,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str
     others = [c for c in docs.columns if c != text_col]
     row, order, found = unused(docs, "_row"), unused(docs, "_order"), unused(docs, "_spans")
     spans = earlier_spans(keyed(docs, id_col, text_col), length, k).select(F.col("row").alias(row), F.col("doc_id").alias(order), F.col("spans").alias(found))
+    release(docs.sparkSession)  # the contexts' shuffle
     own_row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.join(spans.hint("shuffle_hash"), (own_row == F.col(row)) & (row_id(id_col) == F.col(order)), "left")
     schema = docs.schema
