@@ -12,7 +12,7 @@ all documents in ``IDF_SLOTS`` hashed slots, a table of fixed size.
    documents agree on a sample with the probability of their weighted Jaccard
    similarity. Bands of ``ROWS`` samples are hashed to buckets.
 2. Equal word sequences are one node. In each bucket every node is paired with
-   one centre; pairs are pruned by total weight (exact) and by 4-bit samples
+   ``CENTERS`` nodes drawn by hash; pairs are pruned by total weight (exact) and by 4-bit samples
    (at most ``MAX_MISMATCH`` of 64 differ; a pair at 0.8 fails that with
    probability under 1e-6), and verified by weighted Jaccard on the shingles.
 3. Components of verified links. Then, in buckets whose nodes are still in
@@ -45,10 +45,11 @@ from .seeds import HASH_BYTES, gram_hashes, keyed, mix, raw_texts, word_tokens
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+CENTERS = 3
 SAMPLES = BANDS * ROWS
 MAX_MISMATCH = 32
-#: Further samples of nodes in open buckets, of which so many may differ: a pair at 0.8 differs in 36 on average, deviation 5.4.
-SKETCH, MAX_SKETCH_MISMATCH = 192, 60
+#: Further samples of nodes in open buckets, of which so many may differ: a pair at 0.8 differs in 84 on average, deviation 8.3.
+SKETCH, MAX_SKETCH_MISMATCH = 448, 121
 IDF_SLOTS = 1 << 16
 #: Rows of the table of random draws.
 DRAWS = 1 << 16
@@ -262,11 +263,14 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between nodes, and the nodes' components."""
     members = nodes.select("node", "weight", "s0", "s1", "s2", "s3", F.posexplode("bands").alias("band", "bucket"))
-    buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center")).filter("size > 1")
+    # the centres of a node's buckets are drawn anew for each band, so that a group of copies hangs together by many of them
+    draw = [F.struct(F.xxhash64("node", "band", F.lit(k)), F.col("node")) for k in range(CENTERS)]
+    buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*[F.min(x)["node"] for x in draw])).alias("centers")).filter("size > 1")
     members = stored(members.join(buckets, ["band", "bucket"]), "members")
     center = nodes.select(F.col("node").alias("center"), "weight", "s0", "s1", "s2", "s3").alias("c")
-    star = members.filter("node != center").dropDuplicates(["node", "center"]).alias("m").join(center, F.col("m.center") == F.col("c.center")).filter(_prune("m", "c"))
-    pairs = stored(star.select(F.col("m.center").alias("a"), F.col("m.node").alias("b")), "pairs")
+    rays = members.withColumn("center", F.explode("centers")).filter("node != center").dropDuplicates(["node", "center"])
+    star = rays.alias("m").join(center, F.col("m.center") == F.col("c.center")).filter(_prune("m", "c"))
+    pairs = stored(star.select(F.least("m.center", "m.node").alias("a"), F.greatest("m.center", "m.node").alias("b")).distinct(), "pairs")
     links = verify(pairs, shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, idf, False), similarity)
     classes = components(links)
 
@@ -280,7 +284,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
     out, rest = sketched.filter("component != top").alias("x"), sketched.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    known = (F.col("x.node") == F.col("x.center")) | (F.col("y.node") == F.col("x.center"))
+    known = F.array_contains(F.col("x.centers"), F.col("x.node")) | F.array_contains(F.col("x.centers"), F.col("y.node"))
     near = _apart([(F.col(f"x.k{k}"), F.col(f"y.k{k}")) for k in range(SKETCH // 16)]) <= MAX_SKETCH_MISMATCH
     first = F.lit(True)  # a pair that shares several buckets counts in the first
     for i in range(BANDS):
