@@ -50,15 +50,27 @@ def merge_documents(manifest: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.select("batch_id", "position", "doc_id", "page_no", "content", _renumber(["batch_id"], ["position", "page_no"]).alias("out_page_no"))
 
 
-def merge_batches(manifest: DataFrame, pages: DataFrame) -> DataFrame:
-    """``merge_documents`` with an ordinal, from 1, over the batches that succeed.
+def dense_ordinals(ids: DataFrame, key: str, runs: int = 64) -> DataFrame:
+    """Distinct keys with their ordinal from 1, without sorting them in one task.
 
-    The ordinal is ranked over the batch ids alone, one row each.
+    Quantiles of the keys cut them into runs; keys are numbered within their run
+    and the runs' counts, one row each, are summed.
     """
+    marks = [i / runs for i in range(1, runs)]
+    cuts = sorted(set(ids.agg(F.percentile_approx(key, marks, 10_000).alias("q")).first()["q"] or []))
+    run = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    dealt = ids.withColumn("_run", run)
+    sizes = dealt.groupBy("_run").count()
+    before = sizes.select("_run", F.coalesce(F.sum("count").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_run").orderBy(key))
+    return dealt.withColumn("_own", within).join(before, "_run").select(key, (F.col("_own") + F.col("_before")).cast("int").alias("ordinal"))
+
+
+def merge_batches(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """``merge_documents`` with an ordinal, from 1, over the batches that succeed."""
     merged = merge_documents(manifest, pages)
     done = mergeable_batches(manifest).join(pages.select("doc_id").distinct(), "doc_id", "left_semi").select("batch_id").distinct()
-    numbered = done.select("batch_id", F.dense_rank().over(W.orderBy("batch_id")).alias("ordinal"))
-    return merged.join(numbered, "batch_id").select("batch_id", "ordinal", "out_page_no", "doc_id", "page_no", "content")
+    return merged.join(dense_ordinals(done, "batch_id"), "batch_id").select("batch_id", "ordinal", "out_page_no", "doc_id", "page_no", "content")
 
 
 def assemble(merged: DataFrame, out_col: str = "batch_id") -> DataFrame:
