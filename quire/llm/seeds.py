@@ -6,15 +6,16 @@ equal windows select the same place in them: documents that share a window
 share the seed. A seed owns the windows that select it, a run of starts.
 
 ``repeated_seeds`` finds the seeds whose hash occurs at two places of the
-corpus. Per batch of documents a task sends, to each hash bucket, one row with
-32-bit hashes, documents and positions, about 12 bytes a seed; buckets grow in
-number with the text. The hash part is a filter: a false meeting costs work
-later but changes no result.
+corpus. Documents are dealt into batches of about ``BATCH_BYTES`` by a hash.
+Each batch sends every hash once, with its count, to the hash's bucket, about 6
+bytes a seed, and gets back those that occur elsewhere too: a passage that a
+third of all documents hold costs one entry a batch. The 32-bit hashes within
+a bucket are a filter: a false meeting costs work later but changes no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +29,9 @@ from .common import parts_for, stored, text_bytes
 #: Text bytes hashed at once: temporary arrays stay near the processor.
 HASH_BYTES = 1_000_000
 #: Text bytes whose seeds are sent together.
-SEND_BYTES = 8_000_000
-#: Text bytes for a bucket.
-BUCKET_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
+#: Text bytes for a bucket of seed hashes, and for a bucket of surroundings.
+HASH_BUCKET_BYTES, BUCKET_BYTES = 64_000_000, 12_000_000
 #: A seed hash at more places is heavy: its windows are dealt out one by one.
 HEAVY = 4096
 
@@ -153,8 +154,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(order.alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    return parts_for(docs.sparkSession, text_bytes(docs), BUCKET_BYTES)
+@dataclass
+class Sizes:
+    """Numbers of batches, of buckets of hashes and of buckets of surroundings, by the size of the text."""
+
+    batches: int
+    hashes: int
+    buckets: int
+
+
+def sizes_for(docs: DataFrame) -> Sizes:
+    n, spark = text_bytes(docs), docs.sparkSession
+    return Sizes(max(1, -(-n // BATCH_BYTES)), parts_for(spark, n, HASH_BUCKET_BYTES), parts_for(spark, n, BUCKET_BYTES))
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -174,77 +185,94 @@ def column(blobs: list[bytes], dtype) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype)
 
 
-SEED_ROWS = "bucket int, key binary, doc binary, place binary, docs binary"
+SEED_ROWS = "bucket int, batch long, key binary, n binary"
+REPEATED_ROWS = "batch long, bucket int, key binary, heavy binary"
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def send_seeds(tokenize: Callable, length: int, k: int, buckets: int):
-    """Task: seeds of its documents, a row for each bucket and run of documents."""
-
-    def send(batches: Iterator[pa.RecordBatch]):
-        held, rows, size = [], [], 0
-
-        def flush():
-            key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, runs = by_bucket(((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), buckets)
-            key, doc, place = key[order].astype(np.uint32), doc[order], place[order].astype(np.uint32)
-            all_rows = np.concatenate(rows)
-            out = {"bucket": [], "key": [], "doc": [], "place": [], "docs": []}
-            for b, i, j in runs:
-                own, index = np.unique(doc[i:j], return_inverse=True)
-                for name, x in (("bucket", b), ("key", key[i:j].tobytes()), ("doc", index.astype(np.uint32).tobytes()), ("place", place[i:j].tobytes()), ("docs", all_rows[own].tobytes())):
-                    out[name].append(x)
-            return pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("key", "doc", "place", "docs"))], names=list(out))
-
-        for b in text_batches(batches, HASH_BYTES):
-            texts = raw_texts(b)
-            tokens, counts = tokenize(texts)
-            s = winnow(tokens, counts, length, k)
-            before = sum(map(len, rows))
-            held.append((s.key, s.doc + before, s.place - np.cumsum(np.r_[0, counts])[s.doc]))
-            rows.append(b.column("row").to_numpy())
-            size += sum(map(len, texts))
-            if size >= SEND_BYTES:
-                yield flush()
-                held, rows, size = [], [], 0
-        if held:
-            yield flush()
+    """Batch: its distinct seed hashes and their counts, a row for each bucket."""
+
+    def send(table: pa.Table) -> pa.Table:
+        keys = []
+        for b in text_batches(table.to_batches(), HASH_BYTES):
+            tokens, counts = tokenize(raw_texts(b))
+            keys.append(winnow(tokens, counts, length, k).key)
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        bucket = bucket_of(key, buckets)
+        order, runs = by_bucket(bucket, buckets)
+        low, n = key[order].astype(np.uint32), np.minimum(n[order], 65535).astype(np.uint16)
+        batch = table.column("batch")[0].as_py()
+        return pa.table({"bucket": pa.array([b for b, _, _ in runs], pa.int32()), "batch": pa.array([batch] * len(runs), pa.int64()), "key": pa.array([low[i:j].tobytes() for _, i, j in runs], pa.binary()), "n": pa.array([n[i:j].tobytes() for _, i, j in runs], pa.binary())})
 
     return send
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """Bucket: the places whose seed hash occurs more than once; odd marks are heavy ones."""
-    blobs = {c: table.column(c).to_pylist() for c in ("key", "doc", "place", "docs")}
-    key, doc, place = (column(blobs[c], np.uint32) for c in ("key", "doc", "place"))
-    rows = column(blobs["docs"], np.int64)
-    base = np.cumsum([0, *(len(x) // 8 for x in blobs["docs"])])[:-1]
-    doc = doc + np.repeat(base, [len(x) // 4 for x in blobs["key"]])
+    """Bucket: for each batch those of its hashes that occur more than once, and whether they are heavy."""
+    keys, counts = table.column("key").to_pylist(), table.column("n").to_pylist()
+    key, n = column(keys, np.uint32), column(counts, np.uint16).astype(np.int64)
     order = np.argsort(key)
-    turn = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[turn, len(key)])
-    times = np.repeat(count, count)
-    hot = times > 1
-    at = order[hot]
-    mark = 2 * place[at].astype(np.int64) + (times[hot] > HEAVY)
-    return pa.table({"row": pa.array(rows[doc[at]], pa.int64()), "mark": pa.array(mark, pa.int64())})
-
-
-def repeated_seeds(docs: DataFrame, tokenize: Callable, length: int, k: int, buckets: int) -> DataFrame:
-    """row, marks: of each document its seeds that occur elsewhere, as 2 * place + heavy."""
-    sent = docs.select("row", "text").mapInArrow(send_seeds(tokenize, length, k, buckets), SEED_ROWS)
-    met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "row long, mark long")
-    return stored(met.groupBy("row").agg(F.collect_list("mark").alias("marks")), "seeds")
-
-
-def marked_seeds(s: Seeds, counts: np.ndarray, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Which seeds of a run of texts are marked, and whether they are heavy."""
-    starts = np.cumsum(np.r_[0, counts])
-    flat = np.concatenate([m + 2 * o for m, o in zip(marks, starts[:-1], strict=True)]) if marks else np.zeros(0, np.int64)
-    hot, heavy = np.zeros(starts[-1] + 1, bool), np.zeros(starts[-1] + 1, bool)
-    flat = flat[flat < 2 * starts[-1]]
-    hot[flat >> 1] = True
-    heavy[(flat >> 1)[(flat & 1) == 1]] = True
-    return hot[s.place], heavy[s.place]
+    turn = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    total = np.empty(len(key), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order], turn), np.diff(np.r_[turn, len(key)]))
+    out, at = {"batch": [], "bucket": [], "key": [], "heavy": []}, 0
+    for raw, batch, bucket in zip(keys, table.column("batch").to_pylist(), table.column("bucket").to_pylist(), strict=True):
+        own = slice(at, at + len(raw) // 4)
+        at = own.stop
+        hot = total[own] > 1
+        if hot.any():
+            for name, x in zip(out, (batch, bucket, key[own][hot].tobytes(), (total[own][hot] > HEAVY).tobytes()), strict=True):
+                out[name].append(x)
+    return pa.table({"batch": pa.array(out["batch"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "key": pa.array(out["key"], pa.binary()), "heavy": pa.array(out["heavy"], pa.binary())})
+
+
+def batched(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    return docs.withColumn("batch", F.pmod(F.col("row"), F.lit(sizes.batches)).cast("long"))
+
+
+def repeated_seeds(docs: DataFrame, tokenize: Callable, length: int, k: int, sizes: Sizes) -> DataFrame:
+    """Stored rows by batch and bucket: seed hashes of the batch that occur elsewhere, too."""
+    sent = batched(docs, sizes).select("batch", "text").groupBy("batch").applyInArrow(send_seeds(tokenize, length, k, sizes.hashes), SEED_ROWS)
+    met = sent.repartition(sizes.hashes, "bucket").groupBy("bucket").applyInArrow(meet, REPEATED_ROWS)
+    return stored(met, "seeds")
+
+
+def deal_repeated(docs: DataFrame, seeds: DataFrame, sizes: Sizes, task: Callable, schema: str) -> DataFrame:
+    """Each batch of documents with its repeated seeds: ``task`` yields record batches of the schema."""
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        if not own.num_rows or not found.num_rows:
+            return empty
+        out = list(task(own.to_batches(), Repeated(found, sizes.hashes)))
+        return pa.Table.from_batches(out) if out else empty
+
+    names = [(c.split()[0], {"int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in schema.split(", ")]
+    empty = pa.table({c: pa.array([], t) for c, t in names})
+    return batched(docs, sizes).groupBy("batch").cogroup(seeds.groupBy("batch")).applyInArrow(run, schema)
+
+
+class Repeated:
+    """A batch's repeated seed hashes."""
+
+    def __init__(self, found: pa.Table, buckets: int):
+        self.buckets = buckets
+        raw = found.column("key").to_pylist()
+        bucket = np.repeat(found.column("bucket").to_numpy().astype(np.uint64), [len(x) // 4 for x in raw])
+        both = (bucket << np.uint64(32)) | column(raw, np.uint32).astype(np.uint64)
+        order = np.argsort(both)
+        self.known, self.heavy = both[order], column(found.column("heavy").to_pylist(), np.bool_)[order]
+
+    def marks(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which seeds occur elsewhere, and which are heavy."""
+        both = (bucket_of(key, self.buckets).astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+        at = np.searchsorted(self.known, both)
+        at[at == len(self.known)] = 0
+        hot = self.known[at] == both
+        return hot, hot & self.heavy[at]
 
 
 def merged_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

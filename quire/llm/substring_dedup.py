@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import text_batches
 from .common import NULL_ID, release, stored
-from .seeds import HASH_BYTES, SEND_BYTES, buckets_for, by_bucket, column, gram_hashes, keyed, marked_seeds, merged_spans, mix, raw_texts, repeated_seeds, winnow, word_tokens
+from .seeds import HASH_BYTES, by_bucket, column, deal_repeated, gram_hashes, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow, word_tokens
 
 LENGTH = 35
 SEED = 8
@@ -46,8 +46,8 @@ def _runs(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def send_anchors(length: int, k: int, buckets: int):
     """Task: repeated anchors with the hashes of the windows they own."""
 
-    def send(batches):
-        held, windows, ids, rows, size = [], [], [], [], 0
+    def send(batches, repeated):
+        held, windows, ids, rows = [], [], [], []
 
         def flush():
             key, n, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -89,9 +89,7 @@ def send_anchors(length: int, k: int, buckets: int):
             texts = raw_texts(b)
             tokens, counts = word_tokens(texts)
             s = winnow(tokens, counts, length, k)
-            marks = b.column("marks")
-            flat, ends = marks.flatten().to_numpy(), np.cumsum([0, *marks.value_lengths().to_pylist()])
-            hot, heavy = marked_seeds(s, counts, [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+            hot, heavy = repeated.marks(s.key)
             low, high, doc, key, heavy = (x[hot] for x in (s.low, s.high, s.doc, s.key, heavy))
             pick, step = _runs(np.where(heavy, high - low + 1, 1))
             doc, key, heavy = doc[pick], key[pick], heavy[pick]
@@ -111,11 +109,6 @@ def send_anchors(length: int, k: int, buckets: int):
                 windows.append(np.zeros(0, np.uint64))
             ids.append(b.column("doc_id").to_numpy())
             rows.append(b.column("row").to_numpy())
-            size += sum(map(len, texts))
-            if size >= SEND_BYTES:
-                if (x := flush()) is not None:
-                    yield x
-                held, windows, ids, rows, size = [], [], [], [], 0
         if held and (x := flush()) is not None:
             yield x
 
@@ -159,12 +152,11 @@ def extend_bucket(length: int):
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
     """row, doc_id, spans (start, end in words, packed) of a keyed table (see ``seeds.keyed``)."""
-    buckets = buckets_for(docs)
-    marks = repeated_seeds(docs, word_tokens, length, k, buckets)
+    sizes = sizes_for(docs)
+    seeds = repeated_seeds(docs, word_tokens, length, k, sizes)
     release(docs.sparkSession)  # the seeds' shuffle
-    seeded = docs.join(marks.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "marks")
-    sent = seeded.mapInArrow(send_anchors(length, k, buckets), ANCHOR_ROWS)
-    spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(extend_bucket(length), "row long, doc_id long, start long, end long")
+    sent = deal_repeated(docs, seeds, sizes, send_anchors(length, k, sizes.buckets), ANCHOR_ROWS)
+    spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(extend_bucket(length), "row long, doc_id long, start long, end long")
     packed = F.shiftleft("start", 32) + F.col("end")
     return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), "passages")
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import text_batches
 from .common import NULL_ID, release, row_id, stored, unused
-from .seeds import HASH_BYTES, SEND_BYTES, buckets_for, by_bucket, byte_tokens, column, keyed, marked_seeds, merged_spans, mix, raw_texts, repeated_seeds, winnow
+from .seeds import HASH_BYTES, by_bucket, byte_tokens, column, deal_repeated, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow
 
 LENGTH = 50
 SEED = 20
@@ -102,8 +102,8 @@ def send_contexts(length: int, k: int, buckets: int):
     """Task: repeated seeds with the bytes of their windows, merged and dealt to buckets."""
     left = length - k
 
-    def send(batches):
-        held, ids, rows, size = [], [], [], 0
+    def send(batches, repeated):
+        held, ids, rows = [], [], []
 
         def flush():
             key, low, n, context, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -137,9 +137,7 @@ def send_contexts(length: int, k: int, buckets: int):
             texts = raw_texts(b)
             tokens, counts = byte_tokens(texts)
             s = winnow(tokens, counts, length, k)
-            marks = b.column("marks")
-            flat, ends = marks.flatten().to_numpy(), np.cumsum([0, *marks.value_lengths().to_pylist()])
-            hot, heavy = marked_seeds(s, counts, [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+            hot, heavy = repeated.marks(s.key)
             place, low, high, doc, key, heavy = (x[hot] for x in (s.place, s.low, s.high, s.doc, s.key, heavy))
             times = np.where(heavy, high - low + 1, 1)  # a heavy seed's windows go one by one
             pick = np.repeat(np.arange(len(place)), times)
@@ -161,11 +159,6 @@ def send_contexts(length: int, k: int, buckets: int):
             held.append((key, (low - place + left).astype(np.uint8), (high - low + 1).astype(np.uint8), context, low - starts[doc], doc + sum(map(len, ids))))
             ids.append(b.column("doc_id").to_numpy())
             rows.append(b.column("row").to_numpy())
-            size += sum(map(len, texts))
-            if size >= SEND_BYTES:
-                if (x := flush()) is not None:
-                    yield x
-                held, ids, rows, size = [], [], [], 0
         if held and (x := flush()) is not None:
             yield x
 
@@ -236,12 +229,11 @@ def _spans(row, doc_id, start, end) -> np.ndarray:
 
 def earlier_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
     """row, doc_id, spans (start, end in bytes, unmerged) of a keyed table (see ``seeds.keyed``)."""
-    buckets = buckets_for(docs)
-    marks = repeated_seeds(docs, byte_tokens, length, k, buckets)
+    sizes = sizes_for(docs)
+    seeds = repeated_seeds(docs, byte_tokens, length, k, sizes)
     release(docs.sparkSession)  # the seeds' shuffle
-    seeded = docs.join(marks.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "marks")
-    sent = seeded.mapInArrow(send_contexts(length, k, buckets), CONTEXT_ROWS)
-    spans = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(scan_bucket(length, k), "row long, doc_id long, start long, end long")
+    sent = deal_repeated(docs, seeds, sizes, send_contexts(length, k, sizes.buckets), CONTEXT_ROWS)
+    spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(scan_bucket(length, k), "row long, doc_id long, start long, end long")
     packed = F.shiftleft("start", 32) + F.col("end")
     return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), "spans")
 
