@@ -49,7 +49,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_chars() -> list[str]:
+def byte_chars() -> list[str]:
     """The printable character that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {b: chr(b) for b in plain}
@@ -65,7 +65,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ids: dict[str, int] = spec["model"]["vocab"]
-        of_char = {c: b for b, c in enumerate(_byte_chars())}
+        of_char = {c: b for b, c in enumerate(byte_chars())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*ids.values(), *self.special.values()]) + 1
         self.token_bytes = [b""] * size
@@ -73,7 +73,7 @@ class Vocabulary:
             self.token_bytes[i] = bytes(of_char[c] for c in token)
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
-        self.of_byte = np.array([ids[c] for c in _byte_chars()], np.int64)
+        self.of_byte = np.array([ids[c] for c in byte_chars()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([(ids[a] << 32) | ids[b] for a, b in pairs], np.int64)
         made = np.array([ids[a + b] for a, b in pairs], np.int64)

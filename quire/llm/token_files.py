@@ -20,9 +20,9 @@ table gives no documents. Columns of the input other than id and text are ignore
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bpe import ChunkEncoder, Vocabulary, default_vocabulary, text_batches
+from .bpe import ChunkEncoder, Vocabulary, byte_chars, default_vocabulary, text_batches
 from .common import new_path, parts_for, row_id, stored, text_bytes
 
 SEQ_LEN = 2048
@@ -45,17 +45,19 @@ FILE_BYTES = 64_000_000
 
 
 def library_pieces(path: str):
-    """Piece encoder by the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """Piece encoder by the tokenizers library: its model on a piece's byte characters.
+
+    The library's pre-tokenizer would cut a piece no further, so its model is
+    called on it directly.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    model = Tokenizer.from_file(path).model
+    chars = dict(enumerate(byte_chars()))
 
     def encode(pieces: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        found = [model.tokenize(p.encode().decode("latin-1").translate(chars)) for p in pieces]
+        return [array("I", [t.id for t in ts]).tobytes() for ts in found]
 
     return encode
 
