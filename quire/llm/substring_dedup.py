@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import text_batches
 from .common import NULL_ID, release, stored
-from .seeds import HASH_BYTES, by_bucket, column, deal_repeated, gram_hashes, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow, word_tokens
+from .seeds import HASH_BYTES, bucket_of, by_bucket, column, deal_repeated, gram_hashes, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow, word_tokens
 
 LENGTH = 35
 SEED = 8
@@ -69,20 +69,15 @@ def send_anchors(length: int, k: int, buckets: int):
             first, twice = order[turn], (times > 1).astype(np.uint8)
             by = np.argsort(first, kind="stable")
             first, twice = first[by], twice[by]
-            order, runs = by_bucket(((key[first] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), buckets)
+            order, runs = by_bucket(bucket_of(key[first], buckets), buckets)
             out = {name: [] for name in ("bucket", "key", "twice", "n", "windows", "start", "doc", "docs", "done")}
-            for b, i, j in runs:
+            for (b, i, j), part in zip(runs, np.array_split(done, len(runs)), strict=True):  # finished spans ride along
                 at = first[order[i:j]]
                 own, index = np.unique(doc[at], return_inverse=True)
                 who, step = _runs(n[at])
-                values = (b, key[at].tobytes(), twice[order[i:j]].tobytes(), n[at].astype(np.uint8).tobytes(), grams[offset[at][who] + step].tobytes(), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), b"")
+                values = (b, key[at].tobytes(), twice[order[i:j]].tobytes(), n[at].astype(np.uint8).tobytes(), grams[offset[at][who] + step].tobytes(), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), part.tobytes())
                 for name, x in zip(out, values, strict=True):
                     out[name].append(x)
-            for part in np.array_split(done, len(runs)):
-                if len(part):
-                    to = int(mix(part["row"][:1].view(np.uint64) + np.uint64(1))[0] % np.uint64(buckets))
-                    for name, x in zip(out, (to, *[b""] * 7, part.tobytes()), strict=True):
-                        out[name].append(x)
             return pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
 
         for b in text_batches(batches, HASH_BYTES):

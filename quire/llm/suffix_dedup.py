@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import text_batches
 from .common import NULL_ID, release, row_id, stored, unused
-from .seeds import HASH_BYTES, by_bucket, byte_tokens, column, deal_repeated, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow
+from .seeds import HASH_BYTES, bucket_of, by_bucket, byte_tokens, column, deal_repeated, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow
 
 LENGTH = 50
 SEED = 20
@@ -120,17 +120,14 @@ def send_contexts(length: int, k: int, buckets: int):
             done["start"], done["end"] = start[gone], start[gone] + n[gone] - 1 + length
             stay = np.sort(order[~late])
             key, low, n, context, start, doc = key[stay], low[stay], n[stay], context[stay], start[stay], doc[stay]
-            order, runs = by_bucket(((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), buckets)
+            order, runs = by_bucket(bucket_of(key, buckets), buckets)
             out = {name: [] for name in ("bucket", "key", "low", "n", "context", "start", "doc", "docs", "done")}
-            for b, i, j in runs:
+            for (b, i, j), part in zip(runs, np.array_split(done, len(runs)), strict=True):  # finished spans ride along
                 at = order[i:j]
                 own, index = np.unique(doc[at], return_inverse=True)
-                values = (b, key[at].tobytes(), low[at].tobytes(), n[at].tobytes(), pa.compress(context[at].tobytes(), codec="zstd", asbytes=True), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), b"")
+                values = (b, key[at].tobytes(), low[at].tobytes(), n[at].tobytes(), pa.compress(context[at].tobytes(), codec="zstd", asbytes=True), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), part.tobytes())
                 for name, x in zip(out, values, strict=True):
                     out[name].append(x)
-            for part in np.array_split(done, len(runs)) if len(done) else ():
-                for name, x in zip(out, (int(mix(np.array([len(out["done"])], np.uint64) + part["row"][:1].view(np.uint64))[0] % np.uint64(buckets)) if len(part) else 0, b"", b"", b"", b"", b"", b"", b"", part.tobytes()), strict=True):
-                    out[name].append(x)
             return pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
 
         for b in text_batches(batches, HASH_BYTES):
