@@ -319,12 +319,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of equal rows (same id and text) one stays.
     """
     classes = near_duplicates(docs, id_col, text_col, similarity)
-    mark, row, first_id = unused(docs, "_mark"), unused(docs, "_keep_row"), unused(docs, "_first")
-    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("row").alias(row), F.first("class_id").alias("class_id"))
-    firsts = firsts.select(F.coalesce("class_id", F.lit(NULL_ID)).alias(first_id), row)
-    marked = docs.withColumn(mark, F.struct(row_id(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("row")))
-    kept = marked.join(firsts.hint("shuffle_hash"), (F.col(f"{mark}.row") == F.col(row)) & (F.col(f"{mark}.id") == F.col(first_id)), "left_semi")
-    return kept.dropDuplicates([mark]).drop(mark)
+    row, first_id = unused(docs, "_keep_row"), unused(docs, "_first")
+    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component", "row", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    firsts = firsts.groupBy("component").agg(F.min(F.struct("row", "class_id", "n")).alias("f")).select(F.col("f.row").alias(row), F.coalesce("f.class_id", F.lit(NULL_ID)).alias(first_id), "f.n")
+    firsts = stored(firsts, "firsts")
+    own_row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    same = (own_row == F.col(row)) & (row_id(id_col) == F.col(first_id))
+    if firsts.filter("n > 1").isEmpty():
+        return docs.join(firsts.drop("n").hint("shuffle_hash"), same, "left_semi")
+    # some rows occur several times: those alone are made distinct
+    again = firsts.filter("n > 1").drop("n")
+    once = docs.join(firsts.filter("n = 1").drop("n").hint("shuffle_hash"), same, "left_semi")
+    several = docs.join(again.hint("shuffle_hash"), same).dropDuplicates([row, first_id])
+    return once.unionByName(several.select(*docs.columns))
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
