@@ -12,14 +12,14 @@ all documents in ``IDF_SLOTS`` hashed slots, a table of fixed size.
    documents agree on a sample with the probability of their weighted Jaccard
    similarity. Bands of ``ROWS`` samples are hashed to buckets.
 2. Equal word sequences are one node. In each bucket every node is paired with
-   ``CENTERS`` nodes drawn by hash; pairs are pruned by total weight (exact) and by 4-bit samples
-   (at most ``MAX_MISMATCH`` of 64 differ; a pair at 0.8 fails that with
-   probability under 1e-6), and verified by weighted Jaccard on the shingles.
+   ``CENTERS`` nodes drawn by hash; pairs are pruned by total weight (exact) and by ``SKETCH``
+   further samples of four bits (a pair at 0.8 fails that with probability
+   under 1e-4), and verified by weighted Jaccard on the shingles.
 3. Components of verified links. Then, in buckets whose nodes are still in
    several components, nodes outside the bucket's largest component are paired
    with all of other components and verified, so no link of a bucket is lost
-   and a large group of copies never makes all its pairs. These pairs are pruned
-   by ``SKETCH`` further samples inside the join, before they become rows.
+   and a large group of copies never makes all its pairs. Pairs are pruned inside the
+   join, before they become rows.
 
 Classes are components; the class id is the smallest doc_id in it.
 
@@ -45,11 +45,15 @@ from .seeds import HASH_BYTES, gram_hashes, keyed, mix, raw_texts, word_tokens
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-CENTERS = 3
+CENTERS = 2
 SAMPLES = BANDS * ROWS
-MAX_MISMATCH = 32
-#: Further samples of nodes in open buckets, of which so many may differ: a pair at 0.8 differs in 84 on average, deviation 8.3.
-SKETCH, MAX_SKETCH_MISMATCH = 448, 121
+#: Further samples of nodes that share a bucket.
+SKETCH = 448
+#: Of the SAMPLES + SKETCH 4-bit samples so many may differ: a pair at 0.8 differs in 96 on average, deviation 8.8.
+MAX_APART = 133
+#: Of the first SAMPLES so many; a pair at 0.8 differs in 12 on average, deviation 3.1.
+FIRST_APART = 28
+PACKED = [f"s{k}" for k in range(SAMPLES // 16)] + [f"k{k}" for k in range(SKETCH // 16)]
 IDF_SLOTS = 1 << 16
 #: Rows of the table of random draws.
 DRAWS = 1 << 16
@@ -183,10 +187,10 @@ def _apart(pairs: list[tuple[Column, Column]]) -> Column:
 
 
 def _prune(a: str, b: str) -> Column:
-    """Pairs that can be alike: total weights within the ratio, few 4-bit samples apart."""
+    """Pairs that can be alike: total weights within the ratio, few 4-bit samples apart (first of SAMPLES, then of all)."""
     wa, wb = F.col(f"{a}.weight"), F.col(f"{b}.weight")
-    near = _apart([(F.col(f"{a}.s{k}"), F.col(f"{b}.s{k}")) for k in range(4)]) <= MAX_MISMATCH
-    return (F.least(wa, wb) >= (SIMILARITY - 1e-6) * F.greatest(wa, wb)) & near
+    packed = [(F.col(f"{a}.{k}"), F.col(f"{b}.{k}")) for k in PACKED]
+    return (F.least(wa, wb) >= (SIMILARITY - 1e-6) * F.greatest(wa, wb)) & (_apart(packed[: SAMPLES // 16]) <= FIRST_APART) & (_apart(packed) <= MAX_APART)
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -199,8 +203,8 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     return low / union if union > 0 else 1.0
 
 
-def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray, sketch: bool) -> DataFrame:
-    """node, h and w (its shingles and weights), sketch (packed further samples, if asked for) of the wanted nodes; stored."""
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, h and w (its shingles and weights), sketch (packed further samples) of the wanted nodes; stored."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
     own = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("row").alias("own_row"), F.col("doc_id").alias("own_id"), "node")
 
@@ -208,9 +212,8 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.n
         for b in text_batches(batches, HASH_BYTES):
             hashes, weights, counts = weighted_shingles(raw_texts(b), table.value)
             ends = np.cumsum(np.r_[0, counts])
-            packed = np.zeros((len(counts), SKETCH // 16 if sketch else 0), np.int64)
-            if sketch:
-                packed[counts > 0] = _nibbles(icws(hashes, weights, counts, SAMPLES, SKETCH))
+            packed = np.zeros((len(counts), SKETCH // 16), np.int64)
+            packed[counts > 0] = _nibbles(icws(hashes, weights, counts, SAMPLES, SKETCH))
             slices = [(i, j) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch({"node": b.column("node"), "h": pa.array([hashes[i:j].tobytes() for i, j in slices], pa.binary()), "w": pa.array([weights[i:j].tobytes() for i, j in slices], pa.binary()), "sketch": pa.array(packed.tolist(), pa.list_(pa.int64()))})
 
@@ -262,34 +265,33 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between nodes, and the nodes' components."""
-    members = nodes.select("node", "weight", "s0", "s1", "s2", "s3", F.posexplode("bands").alias("band", "bucket"))
-    # the centres of a node's buckets are drawn anew for each band, so that a group of copies hangs together by many of them
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    # the centres of a bucket are drawn anew for each band, so that a group of copies hangs together by many of them
     draw = [F.struct(F.xxhash64("node", "band", F.lit(k)), F.col("node")) for k in range(CENTERS)]
     buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*[F.min(x)["node"] for x in draw])).alias("centers")).filter("size > 1")
     members = stored(members.join(buckets, ["band", "bucket"]), "members")
-    center = nodes.select(F.col("node").alias("center"), "weight", "s0", "s1", "s2", "s3").alias("c")
-    rays = members.withColumn("center", F.explode("centers")).filter("node != center").dropDuplicates(["node", "center"])
-    star = rays.alias("m").join(center, F.col("m.center") == F.col("c.center")).filter(_prune("m", "c"))
-    pairs = stored(star.select(F.least("m.center", "m.node").alias("a"), F.greatest("m.center", "m.node").alias("b")).distinct(), "pairs")
-    links = verify(pairs, shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, idf, False), similarity)
+    sets = shingle_sets(members, nodes, docs, idf)
+    known = nodes.drop("row", "doc_id").join(sets.select("node", *[F.get("sketch", k).alias(f"k{k}") for k in range(SKETCH // 16)]), "node")
+    known = stored(known, "sketches")
+
+    rays = members.select("node", F.explode("centers").alias("center")).filter("node != center").distinct()
+    star = rays.join(known.alias("m"), "node").join(known.withColumnRenamed("node", "center").alias("c"), "center").filter(_prune("m", "c"))
+    pairs = stored(star.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "pairs")
+    links = verify(pairs, sets, similarity)
     classes = components(links)
 
     labelled = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = labelled.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", "bucket", F.col("top.component").alias("top"))
-    open_ = stored(labelled.join(largest, ["band", "bucket"]), "open-buckets")
-    sets = shingle_sets(open_, nodes, docs, idf, True)
-    sketched = open_.join(sets.select("node", "sketch"), "node").join(nodes.select("node", "bands"), "node")
-    sketched = stored(sketched.select("*", *[F.get("sketch", k).alias(f"k{k}") for k in range(SKETCH // 16)]).drop("sketch"), "sketches")
-    out, rest = sketched.filter("component != top").alias("x"), sketched.alias("y")
+    open_ = stored(labelled.join(largest, ["band", "bucket"]).join(known, "node"), "open-buckets")
+    out, rest = open_.filter("component != top").alias("x"), open_.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    known = F.array_contains(F.col("x.centers"), F.col("x.node")) | F.array_contains(F.col("x.centers"), F.col("y.node"))
-    near = _apart([(F.col(f"x.k{k}"), F.col(f"y.k{k}")) for k in range(SKETCH // 16)]) <= MAX_SKETCH_MISMATCH
+    done = F.array_contains(F.col("x.centers"), F.col("x.node")) | F.array_contains(F.col("x.centers"), F.col("y.node"))
     first = F.lit(True)  # a pair that shares several buckets counts in the first
     for i in range(BANDS):
         first = first & ((F.col("x.band") <= i) | (F.get("x.bands", i) != F.get("y.bands", i)))
-    cross = out.join(rest, across & once & ~known & _prune("x", "y") & near & first)
+    cross = out.join(rest, across & once & ~done & first & _prune("x", "y"))
     cross = stored(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     more = verify(cross, sets, similarity)
     if more.isEmpty():
