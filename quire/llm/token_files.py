@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col).alias("order_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = parts_for(spark, text_bytes(rows), file_bytes)
-    rows = rows.repartitionByRange(parts, "order_id", "text").sortWithinPartitions("order_id", "text")
+    rows = rows.repartitionByRange(parts, "order_id").sortWithinPartitions("order_id", "text")
 
     def write(batches):
         encoder = library_encoder(path)
