@@ -31,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks kept by a task; about 150 bytes each.
-CACHE_CHUNKS = 500_000
+#: Chunks kept by a worker; about 200 bytes each.
+CACHE_CHUNKS = 1_000_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 #: Text bytes that a task holds at once.
