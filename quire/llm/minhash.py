@@ -55,8 +55,9 @@ MAX_APART = 133
 FIRST_APART = 28
 PACKED = [f"s{k}" for k in range(SAMPLES // 16)] + [f"k{k}" for k in range(SKETCH // 16)]
 IDF_SLOTS = 1 << 16
-#: Rows of the table of random draws.
-DRAWS = 1 << 16
+#: Shingles whose draws are made at once: they stay near the processor.
+BLOCK = 1 << 14
+_DRAW = np.uint64(0x94D049BB133111EB)
 
 
 def _slots(words: np.ndarray) -> np.ndarray:
@@ -112,27 +113,46 @@ def weighted_shingles(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray,
     return hashes[turn], means[turn] * times.astype(np.float32), np.bincount(doc[turn], minlength=len(texts))
 
 
-def _draws() -> tuple[np.ndarray, ...]:
-    """r and c from Gamma(2, 1), beta uniform: one row per draw, the same everywhere."""
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    r, c, beta = rng.gamma(2.0, 1.0, DRAWS), rng.gamma(2.0, 1.0, DRAWS), rng.random(DRAWS)
-    return tuple(x.astype(np.float32) for x in (r, 1 / r, beta, np.log(c)))
+def _spread(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= _DRAW
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Two uniforms of each 64-bit value, above 0 and below 1."""
+    u = x.view(np.int32).astype(np.float32)
+    np.abs(u, out=u)
+    u += np.float32(0.5)
+    u *= np.float32((1 - 2**-20) / 2**31)
+    return u
 
 
 def icws(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, first_sample: int = 0, n: int = SAMPLES) -> np.ndarray:
-    """Samples of each text that has shingles: (texts, n) hashes of (shingle, level)."""
-    r, inverse, beta, log_c = _draws()
+    """Samples of each text that has shingles: (texts, n) hashes of (shingle, level).
+
+    r and c (Gamma(2, 1), as -log of a product of two uniforms) and beta of every
+    (shingle, sample) come from 32 bits for each uniform, so that the shingles of
+    a long text never share their draws.
+    """
     some = counts > 0
     starts = (np.cumsum(counts) - counts)[some]
     sizes = counts[some]
     log_w = np.log(weights)
     out = np.zeros((len(starts), n), np.uint64)
+    a, level = np.empty(len(hashes), np.float32), np.empty(len(hashes), np.float32)
     odd = mix(np.arange(first_sample + 1, first_sample + n + 1, dtype=np.uint64)) | np.uint64(1)
     for s in range(n):
-        row = ((hashes * odd[s]) >> np.uint64(48)).astype(np.int64)
-        b = beta[row]
-        level = np.floor(log_w * inverse[row] + b)
-        a = log_c[row] - (level + np.float32(1) - b) * r[row]
+        for i in range(0, len(hashes), BLOCK):
+            own = slice(i, i + BLOCK)
+            x = _spread(hashes[own] * odd[s])
+            y = _spread(x * _DRAW)
+            u, v, beta = _uniform(x), _uniform(y), _uniform(y * _DRAW)[1::2]
+            minus_r = np.log(u[::2] * u[1::2])
+            log_c = np.log(-np.log(v[::2] * v[1::2]))
+            level[own] = np.floor(beta - log_w[own] / minus_r)
+            a[own] = log_c + (level[own] + np.float32(1) - beta) * minus_r
         lowest = np.minimum.reduceat(a, starts)
         at = np.flatnonzero(a == np.repeat(lowest, sizes))
         first = at[np.searchsorted(at, starts)]

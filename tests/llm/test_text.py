@@ -282,6 +282,23 @@ def test_near_duplicates_are_brute_force(docs, empty):
     assert minhash.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["all", "half", "own"])
+def test_samples_of_long_texts_are_independent(kind):
+    rng = np.random.default_rng(5)
+    n, samples = 120_000, minhash.SAMPLES + minhash.SKETCH
+    h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+    w = rng.uniform(0.5, 1, n).astype(np.float32) * np.float32(6 if kind == "half" else 1)
+    # the whole text repeats more often, a quarter of its parts, each there six times, occurs twice as often, or each text has shingles of its own
+    more = {"all": np.full(n, 1.24), "half": np.where(rng.random(n) < 0.24, 2, 1), "own": np.ones(n)}[kind]
+    x, y = (np.arange(n) >= n // 10, np.arange(n) < n - n // 10) if kind == "own" else (np.ones(n, bool),) * 2
+    sets = [(h[x], w[x]), (h[y], (w * more).astype(np.float32)[y])]
+    apart = (1 - minhash.weighted_jaccard(*sets[0], *sets[1])) * 15 / 16 * samples
+    one, two = (minhash.icws(*s, np.array([len(s[0])]), 0, samples) for s in sets)
+    found = int((one & np.uint64(15) != two & np.uint64(15)).sum())
+    assert abs(found - apart) < 4.5 * apart**0.5 and found <= minhash.MAX_APART
+    assert len(np.unique(one)) > 0.98 * samples
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(4)
     words = _vocabulary(rng, 300)
