@@ -32,6 +32,7 @@ input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -166,25 +167,49 @@ def _nibbles(samples: np.ndarray) -> np.ndarray:
     return (parts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def layout(similarity: float) -> tuple[int, int]:
+    """Bands and rows of the first SAMPLES: a pair at this similarity shares a bucket as surely as one at SIMILARITY does.
+
+    From SIMILARITY on they are BANDS and ROWS; below, bands have fewer rows.
+    """
+    for rows in range(ROWS, 0, -1):
+        bands = SAMPLES // rows
+        if similarity >= SIMILARITY or (1 - similarity**rows) ** bands <= (1 - SIMILARITY**ROWS) ** BANDS:
+            return bands, rows
+    raise ValueError(f"similarity {similarity}: {SAMPLES} samples do not find pairs below 0.13 with certainty")
+
+
+def most_apart(similarity: float) -> tuple[int, int]:
+    """Of the first SAMPLES and of all 4-bit samples so many may differ: FIRST_APART and MAX_APART, as many deviations from the mean at a lower similarity."""
+    if similarity >= SIMILARITY:
+        return FIRST_APART, MAX_APART
+    p, q = (1 - similarity) * 15 / 16, (1 - SIMILARITY) * 15 / 16
+    limits = []
+    for n, most in ((SAMPLES, FIRST_APART), (SAMPLES + SKETCH, MAX_APART)):
+        limits.append(math.ceil(n * p + (most + 1 - n * q) * math.sqrt(p * (1 - p) / (q * (1 - q)))))
+    return limits[0], limits[1]
+
+
+def signatures(docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row, node (digest of the words), total weight, bands, 4-bit samples; stored."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
+    n_bands, n_rows = layout(similarity)
 
     def sign(batches):
-        seed = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+        seed = mix(np.arange(n_bands, dtype=np.uint64) + np.uint64(77))
         for b in text_batches(batches, HASH_BYTES):
             texts = raw_texts(b)
             hashes, weights, counts = weighted_shingles(texts, table.value)
             some = np.flatnonzero(counts)
             samples = icws(hashes, weights, counts)
-            bands = np.zeros((len(some), BANDS), np.uint64)
-            for k in range(ROWS):
-                bands = mix(bands + samples[:, k::ROWS] + seed)
+            bands = np.zeros((len(some), n_bands), np.uint64)
+            for k in range(n_rows):
+                bands = mix(bands + samples[:, k : n_bands * n_rows : n_rows] + seed)
             packed = _nibbles(samples)
             total = np.zeros(len(texts))
             total[some] = np.add.reduceat(weights.astype(np.float64), (np.cumsum(counts) - counts)[some]) if len(some) else 0
             ends = np.zeros(len(texts) + 1, np.int32)
-            ends[1:] = np.cumsum(np.where(counts > 0, BANDS, 0))
+            ends[1:] = np.cumsum(np.where(counts > 0, n_bands, 0))
             out = {"doc_id": b.column("doc_id"), "row": b.column("row"), "node": pa.array([hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts], pa.binary()), "weight": pa.array(total, pa.float64()), "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))}
             for k in range(4):
                 values = np.zeros(len(texts), np.int64)
@@ -206,11 +231,12 @@ def _apart(pairs: list[tuple[Column, Column]]) -> Column:
     return apart
 
 
-def _prune(a: str, b: str) -> Column:
+def _prune(a: str, b: str, similarity: float = SIMILARITY) -> Column:
     """Pairs that can be alike: total weights within the ratio, few 4-bit samples apart (first of SAMPLES, then of all)."""
     wa, wb = F.col(f"{a}.weight"), F.col(f"{b}.weight")
     packed = [(F.col(f"{a}.{k}"), F.col(f"{b}.{k}")) for k in PACKED]
-    return (F.least(wa, wb) >= (SIMILARITY - 1e-6) * F.greatest(wa, wb)) & (_apart(packed[: SAMPLES // 16]) <= FIRST_APART) & (_apart(packed) <= MAX_APART)
+    first, most = most_apart(similarity)
+    return (F.least(wa, wb) >= (similarity - 1e-6) * F.greatest(wa, wb)) & (_apart(packed[: SAMPLES // 16]) <= first) & (_apart(packed) <= most)
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -295,7 +321,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
     known = stored(known, "sketches")
 
     rays = members.select("node", F.explode("centers").alias("center")).filter("node != center").distinct()
-    star = rays.join(known.alias("m"), "node").join(known.withColumnRenamed("node", "center").alias("c"), "center").filter(_prune("m", "c"))
+    star = rays.join(known.alias("m"), "node").join(known.withColumnRenamed("node", "center").alias("c"), "center").filter(_prune("m", "c", similarity))
     pairs = stored(star.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "pairs")
     links = verify(pairs, sets, similarity)
     classes = components(links)
@@ -309,9 +335,9 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     done = F.array_contains(F.col("x.centers"), F.col("x.node")) | F.array_contains(F.col("x.centers"), F.col("y.node"))
     first = F.lit(True)  # a pair that shares several buckets counts in the first
-    for i in range(BANDS):
+    for i in range(layout(similarity)[0]):
         first = first & ((F.col("x.band") <= i) | (F.get("x.bands", i) != F.get("y.bands", i)))
-    cross = out.join(rest, across & once & ~done & first & _prune("x", "y"))
+    cross = out.join(rest, across & once & ~done & first & _prune("x", "y", similarity))
     cross = stored(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     more = verify(cross, sets, similarity)
     if more.isEmpty():
@@ -324,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, row (hash of id and text), component (the class), class_id and class_size for every row."""
     own = keyed(docs, id_col, text_col)
     idf = word_idf(own)
-    signed = signatures(own, idf)
+    signed = signatures(own, idf, similarity)
     firsts = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row", "weight", "bands", "s0", "s1", "s2", "s3")).alias("f"))
     nodes = stored(firsts.select("node", "f.*"), "nodes")
     _, classes = near_links(nodes, own, idf, similarity)

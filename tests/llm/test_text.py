@@ -299,6 +299,23 @@ def test_samples_of_long_texts_are_independent(kind):
     assert len(np.unique(one)) > 0.98 * samples
 
 
+def test_near_duplicates_at_a_lower_similarity(spark):
+    rng = random.Random(6)
+    words = _vocabulary(rng, 3000)
+    rows, pairs = [], 30
+    for i in range(pairs):
+        text = [rng.choice(words) for _ in range(200)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[: 125 + i % 6]))]  # a prefix: total weights at 0.62 to 0.65
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, _ = _weighted(rows, minhash.word_idf(seeds.keyed(docs, "doc_id", "text")))
+    assert all(0.6 < minhash.weighted_jaccard(*sets[2 * i], *sets[2 * i + 1]) < 0.7 for i in range(pairs))
+    got = minhash.near_duplicates(docs, similarity=0.6).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(i, i // 2 * 2, 2) for i in range(2 * pairs)}
+    assert minhash.layout(0.8) == minhash.layout(0.9) == (minhash.BANDS, minhash.ROWS)
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs, similarity=0.05)
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(4)
     words = _vocabulary(rng, 300)
