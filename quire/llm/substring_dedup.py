@@ -75,7 +75,7 @@ def send_anchors(length: int, k: int, buckets: int):
                 at = first[order[i:j]]
                 own, index = np.unique(doc[at], return_inverse=True)
                 who, step = _runs(n[at])
-                values = (b, key[at].tobytes(), twice[order[i:j]].tobytes(), n[at].astype(np.uint8).tobytes(), grams[offset[at][who] + step].tobytes(), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), part.tobytes())
+                values = (b, key[at].tobytes(), twice[order[i:j]].tobytes(), n[at].astype(np.uint16).tobytes(), grams[offset[at][who] + step].tobytes(), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), part.tobytes())
                 for name, x in zip(out, values, strict=True):
                     out[name].append(x)
             return pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
@@ -116,7 +116,7 @@ def extend_bucket(length: int):
     def extend(table: pa.Table) -> pa.Table:
         blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
         spans = [column(blobs["done"], SPAN)]
-        key, twice, n = column(blobs["key"], np.uint64), column(blobs["twice"], np.uint8), column(blobs["n"], np.uint8).astype(np.int64)
+        key, twice, n = column(blobs["key"], np.uint64), column(blobs["twice"], np.uint8), column(blobs["n"], np.uint16).astype(np.int64)
         if len(key):
             grams = column(blobs["windows"], np.uint64)
             start = column(blobs["start"], np.uint32).astype(np.int64)

@@ -87,8 +87,8 @@ class IndexFamily:
 def _groups(key: np.ndarray, low: np.ndarray, n: np.ndarray, context: np.ndarray, doc_id: np.ndarray):
     """Members with equal seed, owned windows and bytes: order, first member of each group, group of each."""
     width = context.shape[1]
-    whole = np.concatenate([key.view(np.uint8).reshape(-1, 8), low.reshape(-1, 1), n.reshape(-1, 1), context], axis=1)
-    sign = np.ascontiguousarray(np.pad(whole, ((0, 0), (0, -(width + 10) % 8)))).view(np.uint64)
+    whole = np.concatenate([key.view(np.uint8).reshape(-1, 8), low.view(np.uint8).reshape(-1, 2), n.view(np.uint8).reshape(-1, 2), context], axis=1)
+    sign = np.ascontiguousarray(np.pad(whole, ((0, 0), (0, -(width + 12) % 8)))).view(np.uint64)
     folded = np.zeros(len(key), np.uint64)
     for c in range(sign.shape[1]):
         folded = mix(folded + sign[:, c])
@@ -153,7 +153,7 @@ def send_contexts(length: int, k: int, buckets: int):
                     folded = mix(folded + wide[:, c])
                 key[heavy] = folded
             starts = np.cumsum(np.r_[0, counts])
-            held.append((key, (low - place + left).astype(np.uint8), (high - low + 1).astype(np.uint8), context, low - starts[doc], doc + sum(map(len, ids))))
+            held.append((key, (low - place + left).astype(np.uint16), (high - low + 1).astype(np.uint16), context, low - starts[doc], doc + sum(map(len, ids))))
             ids.append(b.column("doc_id").to_numpy())
             rows.append(b.column("row").to_numpy())
         if held and (x := flush()) is not None:
@@ -169,7 +169,7 @@ def scan_bucket(length: int, k: int):
     def scan(table: pa.Table) -> pa.Table:
         blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
         spans = [column(blobs["done"], SPAN)]
-        key, low, n = column(blobs["key"], np.uint64), column(blobs["low"], np.uint8), column(blobs["n"], np.uint8)
+        key, low, n = column(blobs["key"], np.uint64), column(blobs["low"], np.uint16), column(blobs["n"], np.uint16)
         if len(key):
             plain = [pa.decompress(x, len(k) // 8 * width, codec="zstd", asbytes=True) for x, k in zip(blobs["context"], blobs["key"], strict=True) if x]
             context = column(plain, np.uint8).reshape(-1, width)

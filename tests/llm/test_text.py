@@ -180,6 +180,27 @@ def test_substring_dedup_is_brute_force(docs, empty, monkeypatch, heavy):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_dedup_of_long_strings_is_brute_force(spark):
+    rng = random.Random(8)
+    words = _vocabulary(rng, 2000)
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    shared, rows = [fresh(520) for _ in range(3)], []
+    for i in range(12):
+        a, b = rng.randrange(60), rng.randrange(430, 520)
+        rows.append((i, " ".join(fresh(20 + i) + shared[i % 3][a:b] + fresh(30))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.suffix_dedup(docs, length=400).collect()
+    assert Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in got) == _cut_bytes(rows, 400)
+    split = [t.split() for _, t in rows]
+    times = Counter(tuple(w[k : k + 400]) for w in split for k in range(len(w) - 399))
+    want = {}
+    for (i, _), w in zip(rows, split, strict=True):
+        gone = {x for k in range(len(w) - 399) if times[tuple(w[k : k + 400])] > 1 for x in range(k, k + 400)}
+        want[i] = (len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert any(n for n, _ in want.values())
+    assert {r.doc_id: (r.n_removed, r.kept) for r in substring_dedup.substring_dedup(docs, length=400).collect()} == want
+
+
 def _words(text):
     import re
 
