@@ -11,15 +11,21 @@ all documents in ``IDF_SLOTS`` hashed slots, a table of fixed size.
 1. ICWS draws ``BANDS * ROWS`` samples (shingle, level) per document; two
    documents agree on a sample with the probability of their weighted Jaccard
    similarity. Bands of ``ROWS`` samples are hashed to buckets.
-2. Equal word sequences are one node. In each bucket every node is paired with
-   ``CENTERS`` nodes drawn by hash; pairs are pruned by total weight (exact) and by ``SKETCH``
-   further samples of four bits (a pair at 0.8 fails that with probability
-   under 1e-4), and verified by weighted Jaccard on the shingles.
-3. Components of verified links. Then, in buckets whose nodes are still in
-   several components, nodes outside the bucket's largest component are paired
-   with all of other components and verified, so no link of a bucket is lost
-   and a large group of copies never makes all its pairs. Pairs are pruned inside the
-   join, before they become rows.
+2. Equal word sequences are one node. In each bucket that holds nodes of
+   several components, the nodes outside its largest component are paired with
+   two centres (a star), pruned by total weight (exact) and by the ``SAMPLES``
+   samples cut to four bits (a pair at 0.8 fails that with probability below
+   1e-5; ``exact`` leaves it out), and verified by weighted Jaccard on the
+   shingles. Components are contracted; ``TURNS`` rounds use fresh centres. A
+   group of n copies costs n.
+3. What is left, pairs of one bucket whose components still differ, is judged
+   in tiles. A bucket that is too large for a task is cut into blocks by weight
+   class and hash, a tile is two blocks. Members without a partner that passes
+   the pruning go first; the others' shingles are sent to the tile, turned into
+   posting lists, and all pairs judged exactly. Only links that join components
+   become rows. No link of a bucket is lost, whatever its size. Many nodes of a
+   bucket that are alike below the threshold stay single and still cost the
+   square of their number, spread over tiles.
 
 Classes are components; the class id is the smallest doc_id in it.
 
@@ -46,15 +52,18 @@ from .seeds import HASH_BYTES, gram_hashes, keyed, mix, raw_texts, word_tokens
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-CENTERS = 2
 SAMPLES = BANDS * ROWS
-#: Further samples of nodes that share a bucket.
-SKETCH = 448
-#: Of the SAMPLES + SKETCH 4-bit samples so many may differ: a pair at 0.8 differs in 96 on average, deviation 8.8.
-MAX_APART = 133
-#: Of the first SAMPLES so many; a pair at 0.8 differs in 12 on average, deviation 3.1.
-FIRST_APART = 28
-PACKED = [f"s{k}" for k in range(SAMPLES // 16)] + [f"k{k}" for k in range(SKETCH // 16)]
+#: Of the SAMPLES 4-bit samples so many may differ: a pair at 0.8 differs in 12 on average, deviation 3.1.
+MAX_APART = 28
+#: Totals of weights are summed in another order than shares of pairs.
+SLACK = 1e-6
+PACKED = [f"s{k}" for k in range(SAMPLES // 16)]
+#: Rounds of stars before all pairs that are left are judged.
+TURNS = 2
+#: Load of a tile's block: a node counts 1 and 1 more for each 250 of weight.
+ROOM = 8192
+#: Pairs and postings that a task holds at once.
+PAIRS = 1 << 20
 IDF_SLOTS = 1 << 16
 #: Shingles whose draws are made at once: they stay near the processor.
 BLOCK = 1 << 14
@@ -179,15 +188,12 @@ def layout(similarity: float) -> tuple[int, int]:
     raise ValueError(f"similarity {similarity}: {SAMPLES} samples do not find pairs below 0.13 with certainty")
 
 
-def most_apart(similarity: float) -> tuple[int, int]:
-    """Of the first SAMPLES and of all 4-bit samples so many may differ: FIRST_APART and MAX_APART, as many deviations from the mean at a lower similarity."""
+def most_apart(similarity: float) -> int:
+    """Of the 4-bit samples so many may differ: MAX_APART, as many deviations from the mean at a lower similarity."""
     if similarity >= SIMILARITY:
-        return FIRST_APART, MAX_APART
+        return MAX_APART
     p, q = (1 - similarity) * 15 / 16, (1 - SIMILARITY) * 15 / 16
-    limits = []
-    for n, most in ((SAMPLES, FIRST_APART), (SAMPLES + SKETCH, MAX_APART)):
-        limits.append(math.ceil(n * p + (most + 1 - n * q) * math.sqrt(p * (1 - p) / (q * (1 - q)))))
-    return limits[0], limits[1]
+    return math.ceil(SAMPLES * p + (MAX_APART + 1 - SAMPLES * q) * math.sqrt(p * (1 - p) / (q * (1 - q))))
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,12 +237,11 @@ def _apart(pairs: list[tuple[Column, Column]]) -> Column:
     return apart
 
 
-def _prune(a: str, b: str, similarity: float = SIMILARITY) -> Column:
-    """Pairs that can be alike: total weights within the ratio, few 4-bit samples apart (first of SAMPLES, then of all)."""
+def _prune(a: str, b: str, similarity: float, exact: bool) -> Column:
+    """Pairs that can be alike: total weights within the ratio and, unless ``exact``, few 4-bit samples apart."""
     wa, wb = F.col(f"{a}.weight"), F.col(f"{b}.weight")
-    packed = [(F.col(f"{a}.{k}"), F.col(f"{b}.{k}")) for k in PACKED]
-    first, most = most_apart(similarity)
-    return (F.least(wa, wb) >= (similarity - 1e-6) * F.greatest(wa, wb)) & (_apart(packed[: SAMPLES // 16]) <= first) & (_apart(packed) <= most)
+    near = F.least(wa, wb) >= (similarity - SLACK) * F.greatest(wa, wb)
+    return near if exact else near & (_apart([(F.col(f"{a}.{k}"), F.col(f"{b}.{k}")) for k in PACKED]) <= most_apart(similarity))
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -250,7 +255,7 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
 
 
 def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, h and w (its shingles and weights), sketch (packed further samples) of the wanted nodes; stored."""
+    """node, h and w (its shingles and weights) of the wanted nodes; stored."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
     own = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("row").alias("own_row"), F.col("doc_id").alias("own_id"), "node")
 
@@ -258,13 +263,11 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.n
         for b in text_batches(batches, HASH_BYTES):
             hashes, weights, counts = weighted_shingles(raw_texts(b), table.value)
             ends = np.cumsum(np.r_[0, counts])
-            packed = np.zeros((len(counts), SKETCH // 16), np.int64)
-            packed[counts > 0] = _nibbles(icws(hashes, weights, counts, SAMPLES, SKETCH))
             slices = [(i, j) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch({"node": b.column("node"), "h": pa.array([hashes[i:j].tobytes() for i, j in slices], pa.binary()), "w": pa.array([weights[i:j].tobytes() for i, j in slices], pa.binary()), "sketch": pa.array(packed.tolist(), pa.list_(pa.int64()))})
+            yield pa.record_batch({"node": b.column("node"), "h": pa.array([hashes[i:j].tobytes() for i, j in slices], pa.binary()), "w": pa.array([weights[i:j].tobytes() for i, j in slices], pa.binary())})
 
     found = docs.join(own.hint("shuffle_hash"), (F.col("row") == F.col("own_row")) & (F.col("doc_id") == F.col("own_id")))
-    return stored(found.select("node", "text").mapInArrow(shingle, "node binary, h binary, w binary, sketch array<long>"), "shingles")
+    return stored(found.select("node", "text").mapInArrow(shingle, "node binary, h binary, w binary"), "shingles")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -309,54 +312,286 @@ def components(links: DataFrame) -> DataFrame:
     return stored(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
 
 
-def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified links between nodes, and the nodes' components."""
-    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    # the centres of a bucket are drawn anew for each band, so that a group of copies hangs together by many of them
-    draw = [F.struct(F.xxhash64("node", "band", F.lit(k)), F.col("node")) for k in range(CENTERS)]
-    buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*[F.min(x)["node"] for x in draw])).alias("centers")).filter("size > 1")
-    members = stored(members.join(buckets, ["band", "bucket"]), "members")
+def labelled_members(members: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Memberships (node, band, bucket ...) with the node's component so far."""
+    if classes is None:
+        return members.withColumn("component", F.col("node"))
+    return members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def open_buckets(labelled: DataFrame, turn: int) -> DataFrame:
+    """Stored band, bucket, top (the largest component) and two centres of buckets in several components.
+
+    One centre lies in the largest component, the other is any node; both are
+    drawn by a hash of the node and the turn alone, so that the buckets of one
+    group agree on their centres and pairs of several buckets are equal.
+    """
+    own = F.xxhash64("node", F.lit(turn))
+    parts = labelled.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(own.alias("draw"), "node")).alias("head"))
+    ranked = F.struct("n", F.xxhash64("component", F.lit(turn)).alias("draw"), "component", F.col("head.node").alias("node"))
+    any_node = F.struct(F.col("head.draw").alias("draw"), F.col("head.node").alias("node"), "component")
+    found = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(ranked).alias("top"), F.min(any_node).alias("low"))
+    centers = F.array(F.struct(F.col("top.node").alias("center"), F.col("top.component").alias("own")), F.struct(F.col("low.node").alias("center"), F.col("low.component").alias("own")))
+    return stored(found.filter("parts > 1").select("band", "bucket", F.col("top.component").alias("top"), centers.alias("centers")), "open-buckets")
+
+
+def star_links(labelled: DataFrame, buckets: DataFrame, info: DataFrame, sets: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """Verified links of each bucket's nodes outside its largest component with the bucket's centres."""
+    outside = labelled.select("node", "band", "bucket", "component").join(buckets, ["band", "bucket"]).filter("component != top")
+    rays = outside.select("node", "component", F.explode(F.array_distinct("centers")).alias("c")).filter("component != c.own")
+    pairs = rays.select(F.least("node", "c.center").alias("a"), F.greatest("node", "c.center").alias("b")).distinct()
+    one, two = info.withColumnRenamed("node", "a").alias("m"), info.withColumnRenamed("node", "b").alias("c")
+    near = pairs.join(one, "a").join(two, "b").filter(_prune("m", "c", similarity, exact))
+    return verify(stored(near.select("a", "b"), "pairs"), sets, similarity)
+
+
+TILE = ["band", "bucket", "c1", "p1", "c2", "p2"]
+
+
+def tiles_of(labelled: DataFrame, buckets: DataFrame, similarity: float, room: int) -> DataFrame:
+    """The members of open buckets, dealt to tiles: each pair that can be alike meets in one tile of its bucket.
+
+    A bucket of more than ``room`` units of load is cut by weight class (nodes
+    two classes apart differ too much in weight) and in a class by a hash, so
+    that two blocks and not the bucket make a tile.
+    """
+    open_ = labelled.join(buckets.select("band", "bucket", "top"), ["band", "bucket"])
+    load = (F.lit(1.0) + F.col("weight") / 250).alias("load")
+    step = -float(np.log(similarity - SLACK))
+    open_ = open_.withColumn("cls", F.floor(F.log("weight") / step).cast("int"))
+    loads = open_.groupBy("band", "bucket", "cls").agg(F.sum(load).alias("load"))
+    plan = loads.groupBy("band", "bucket").agg(F.sum("load").alias("total"), F.map_from_entries(F.collect_list(F.struct("cls", F.ceil(F.col("load") / room).cast("int").alias("n")))).alias("salts"))
+    plan = stored(plan.select("band", "bucket", F.when(F.col("total") > room, F.col("salts")).alias("salts")), "tile-plan")
+    dealt = open_.join(plan, ["band", "bucket"])
+    n = lambda c: F.coalesce(F.try_element_at("salts", c), F.lit(0))
+    cls = F.col("cls")
+    own = F.pmod(F.xxhash64("node", F.lit("tile")), F.greatest(F.lit(1), n(cls)).cast("long")).cast("int")
+    key = lambda c1, p1, c2, p2, side: F.struct(c1.alias("c1"), p1.alias("p1"), c2.alias("c2"), p2.alias("p2"), side.alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+
+    def each(c: Column, f) -> Column:
+        return F.transform(F.filter(F.sequence(zero, n(c)), lambda q: q < n(c)), f)
+
+    spread = F.concat(
+        each(cls - 1, lambda q: key(cls - 1, q, cls, own, one)),
+        each(cls, lambda q: key(cls, F.least(q, own), cls, F.greatest(q, own), F.when(own <= q, zero).otherwise(one))),
+        each(cls + 1, lambda q: key(cls, own, cls + 1, q, zero)),
+    )
+    whole = F.array(key(zero, zero, zero, zero, zero))
+    placed = dealt.withColumn("tile", F.explode(F.when(F.col("salts").isNull(), whole).otherwise(spread)))
+    return placed.withColumn("outside", F.col("component") != F.col("top")).select("node", "component", "outside", "weight", "bands", *PACKED, "band", "bucket", "tile.*")
+
+
+def whole_tiles(batches, keys: list[str]):
+    """Tables of whole groups: record batches, sorted by the keys, are held back until their last group is complete."""
+    held: list[pa.RecordBatch] = []
+
+    def code(b: pa.RecordBatch, i: int) -> tuple:
+        return tuple(b.column(k)[i].as_py() for k in keys)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last, first = code(b, b.num_rows - 1), code(b, 0)
+        if held and code(held[-1], held[-1].num_rows - 1) != first:
+            yield pa.Table.from_batches(held)
+            held = []
+        if first == last:
+            held.append(b)
+            continue
+        columns = np.stack([np.asarray(b.column(k)) for k in keys])
+        cut = int(np.flatnonzero((columns != columns[:, -1:]).any(axis=0))[-1]) + 1
+        yield pa.Table.from_batches([*held, b.slice(0, cut)])
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First row and end of the group of each row of a sorted table."""
+    columns = np.stack([table.column(k).to_numpy() for k in keys])
+    turn = np.flatnonzero(np.r_[True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)])
+    ends = np.r_[turn[1:], table.num_rows]
+    return np.repeat(turn, ends - turn), np.repeat(ends, ends - turn)
+
+
+def _blocks(rows: np.ndarray, sizes: np.ndarray, most: int):
+    """Cut rows into runs whose sizes sum to about ``most``, at least one row each."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield rows[at:to]
+        at = to
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.unique(np.array(column.to_pylist(), dtype=object), return_inverse=True)[1]
+
+
+def _pairs(rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every row with every row of its group: place of the row in ``rows``, row, other row."""
+    times = (end - begin)[rows]
+    which = np.repeat(np.arange(len(rows)), times)
+    other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + begin[rows][which]
+    return which, rows[which], other
+
+
+def _meets(row: np.ndarray, other: np.ndarray, component: np.ndarray, outside: np.ndarray, side: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """Pairs that a tile judges: components differ; blocks differ if the tile has two; of two rows outside, the earlier row leads."""
+    return (component[row] != component[other]) & (~split[row] | (side[row] != side[other])) & (~outside[other] | (row < other))
+
+
+def flag_members(similarity: float):
+    """Task: of each tile the members with a partner that can be alike."""
+    most = most_apart(similarity)
+
+    def flag(batches):
+        for t in whole_tiles(batches, TILE):
+            begin, end = _runs(t, TILE)
+            weight, packed = t.column("weight").to_numpy(), np.stack([t.column(k).to_numpy().view(np.uint64) for k in PACKED])
+            bands = np.array(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+            band, component = t.column("band").to_numpy(), _codes(t.column("component"))
+            outside, side = t.column("outside").to_numpy(), t.column("side").to_numpy()
+            split = (t.column("c1").to_numpy() != t.column("c2").to_numpy()) | (t.column("p1").to_numpy() != t.column("p2").to_numpy())
+            marked = np.zeros(t.num_rows, bool)
+            rows = np.flatnonzero(outside)
+            for block in _blocks(rows, (end - begin)[rows], PAIRS):
+                _, row, other = _pairs(block, begin, end)
+                low, high = np.minimum(weight[row], weight[other]), np.maximum(weight[row], weight[other])
+                can = np.flatnonzero(_meets(row, other, component, outside, side, split) & (low >= (similarity - SLACK) * high))
+                row, other = row[can], other[can]
+                apart = np.zeros(len(row), np.int32)
+                for k in packed:
+                    x = k[row] ^ k[other]
+                    x |= x >> np.uint64(1)
+                    x |= x >> np.uint64(2)
+                    apart += np.bitwise_count(x & np.uint64(0x1111111111111111))
+                near = apart <= most
+                row, other = row[near], other[near]
+                # a pair that shares several buckets counts in the first
+                first = (np.argmax(bands[row] == bands[other], axis=1) == band[row]) if len(row) else np.zeros(0, bool)
+                marked[row[first]] = True
+                marked[other[first]] = True
+            yield from t.select(["node", "component", "outside", *TILE, "side"]).filter(pa.array(marked)).to_batches()
+
+    return flag
+
+
+def judge_tiles(similarity: float):
+    """Task: links that join components of a tile, by the weighted Jaccard similarity of all its pairs.
+
+    Shingles of a tile are turned into posting lists; each row outside the
+    largest component gathers what it shares with all other rows at once.
+    Components that a link joins are one from then on, so a tile gives fewer
+    links than it has rows.
+    """
+
+    def judge(batches):
+        for t in whole_tiles(batches, TILE):
+            begin, end = _runs(t, TILE)
+            component, outside, side = _codes(t.column("component")), t.column("outside").to_numpy(), t.column("side").to_numpy()
+            split = (t.column("c1").to_numpy() != t.column("c2").to_numpy()) | (t.column("p1").to_numpy() != t.column("p2").to_numpy())
+            nodes = t.column("node").to_pylist()
+            raw = [x.as_py() for x in t.column("h")]
+            sizes = np.array([len(x) // 8 for x in raw], np.int64)
+            h, w = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join([x.as_py() for x in t.column("w")]), np.float32).astype(np.float64)
+            owner = np.repeat(np.arange(t.num_rows), sizes)
+            total = np.bincount(owner, w, minlength=t.num_rows)
+            order = np.lexsort((owner, h, begin[owner]))  # postings: by tile, shingle and row
+            h, w, owner = h[order], w[order], owner[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (begin[owner[1:]] != begin[owner[:-1]])] if len(h) else np.zeros(0, bool)
+            turn = np.flatnonzero(new)
+            ends = np.r_[turn[1:], len(h)]
+            of = np.cumsum(new) - 1  # posting list of each entry
+            by_row = np.argsort(owner, kind="stable")
+            row_at = np.cumsum(np.r_[0, sizes])
+            root = np.arange(int(component.max(initial=0)) + 1)
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            reach = np.bincount(owner, (ends - turn)[of], minlength=t.num_rows).astype(np.int64)
+            out = {"a": [], "b": [], "similarity": []}
+            rows = np.flatnonzero(outside)
+            for block in _blocks(rows, reach[rows] + (end - begin)[rows], PAIRS):
+                times = (end - begin)[block]
+                base = np.cumsum(times) - times
+                entries = by_row[np.concatenate([np.arange(row_at[r], row_at[r + 1]) for r in block])]
+                which = np.repeat(np.arange(len(block)), sizes[block])
+                n = (ends - turn)[of[entries]]
+                post = np.repeat(turn[of[entries]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(base[which] - begin[block][which], n) + owner[post]
+                shared = np.bincount(at, np.minimum(np.repeat(w[entries], n), w[post]), minlength=int(times.sum()))
+                _, row, other = _pairs(block, begin, end)
+                score = shared / np.maximum(total[row] + total[other] - shared, 1e-300)
+                while (root[root] != root).any():
+                    root[:] = root[root]
+                label = root[component]
+                alike = np.flatnonzero((score >= similarity) & _meets(row, other, label, outside, side, split))
+                # one link for each row and component that it meets
+                _, one = np.unique(row[alike] * len(root) + label[other[alike]], return_index=True)
+                for i in alike[one]:
+                    x, y = find(component[row[i]]), find(component[other[i]])
+                    if x != y:
+                        root[x] = y
+                        a, b = sorted((nodes[row[i]], nodes[other[i]]))
+                        for name, value in zip(out, (a, b, float(score[i])), strict=True):
+                            out[name].append(value)
+            yield pa.record_batch({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "similarity": pa.array(out["similarity"], pa.float64())})
+
+    return judge
+
+
+def tile_links(labelled: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float, exact: bool, room: int) -> DataFrame:
+    """Stored links of what the stars leave: all pairs of an open bucket whose components differ are judged."""
+    placed = tiles_of(labelled, buckets, similarity, room).repartition(*TILE).sortWithinPartitions(*TILE, "node")
+    schema = "node binary, component binary, outside boolean, band int, bucket long, c1 int, p1 int, c2 int, p2 int, side int"
+    left = placed.select(*[c.split()[0] for c in schema.split(", ")]) if exact else placed.mapInArrow(flag_members(similarity), schema)
+    left = stored(left, "tile-members")
+    joined = left.join(sets, "node").repartition(*TILE).sortWithinPartitions(*TILE, "node")
+    return stored(joined.mapInArrow(judge_tiles(similarity), "a binary, b binary, similarity double"), "links")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY, exact: bool = False, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """Verified links that hold each class together, and the nodes' components.
+
+    Every pair of nodes that share a bucket is in one component if it is alike;
+    ``exact`` leaves out the test on samples, the only one that can be wrong.
+    """
+    info = nodes.select("node", "weight", *PACKED)
+    members = nodes.select("node", "weight", "bands", *PACKED, F.posexplode("bands").alias("band", "bucket"))
+    sizes = stored(members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "buckets")
+    members = stored(members.join(sizes, ["band", "bucket"]), "members")
     sets = shingle_sets(members, nodes, docs, idf)
-    known = nodes.drop("row", "doc_id").join(sets.select("node", *[F.get("sketch", k).alias(f"k{k}") for k in range(SKETCH // 16)]), "node")
-    known = stored(known, "sketches")
-
-    rays = members.select("node", F.explode("centers").alias("center")).filter("node != center").distinct()
-    star = rays.join(known.alias("m"), "node").join(known.withColumnRenamed("node", "center").alias("c"), "center").filter(_prune("m", "c", similarity))
-    pairs = stored(star.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "pairs")
-    links = verify(pairs, sets, similarity)
-    classes = components(links)
-
-    labelled = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = labelled.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", "bucket", F.col("top.component").alias("top"))
-    open_ = stored(labelled.join(largest, ["band", "bucket"]).join(known, "node"), "open-buckets")
-    out, rest = open_.filter("component != top").alias("x"), open_.alias("y")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    done = F.array_contains(F.col("x.centers"), F.col("x.node")) | F.array_contains(F.col("x.centers"), F.col("y.node"))
-    first = F.lit(True)  # a pair that shares several buckets counts in the first
-    for i in range(layout(similarity)[0]):
-        first = first & ((F.col("x.band") <= i) | (F.get("x.bands", i) != F.get("y.bands", i)))
-    cross = out.join(rest, across & once & ~done & first & _prune("x", "y", similarity))
-    cross = stored(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    more = verify(cross, sets, similarity)
-    if more.isEmpty():
-        return links, classes
-    every = links.unionByName(more)
-    return every, components(every)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    links, classes = None, None
+    for turn in range(TURNS + 1):
+        labelled = labelled_members(members, classes)
+        buckets = open_buckets(labelled, turn)
+        if links is not None and buckets.isEmpty():
+            break
+        found = star_links(labelled, buckets, info, sets, similarity, exact) if turn < TURNS else tile_links(labelled, buckets, sets, similarity, exact, room)
+        if links is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        classes = components(links)
+    return links, classes
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """doc_id, row (hash of id and text), component (the class), class_id and class_size for every row."""
     own = keyed(docs, id_col, text_col)
     idf = word_idf(own)
     signed = signatures(own, idf, similarity)
-    firsts = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row", "weight", "bands", "s0", "s1", "s2", "s3")).alias("f"))
+    firsts = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row", "weight", "bands", *PACKED)).alias("f"))
     nodes = stored(firsts.select("node", "f.*"), "nodes")
-    _, classes = near_links(nodes, own, idf, similarity)
+    _, classes = near_links(nodes, own, idf, similarity, exact)
     labelled = signed.select("doc_id", "row", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("doc_id", "row", "component"), "labelled")
-    sizes = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # stored first: a class that holds a third of all rows is then split on the way to its join
+    sizes = stored(labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return labelled.join(sizes, "component").select(back("doc_id"), "row", "component", back("class_id"), "class_size")
 

@@ -306,7 +306,7 @@ def test_near_duplicates_are_brute_force(docs, empty):
 @pytest.mark.parametrize("kind", ["all", "half", "own"])
 def test_samples_of_long_texts_are_independent(kind):
     rng = np.random.default_rng(5)
-    n, samples = 120_000, minhash.SAMPLES + minhash.SKETCH
+    n, samples = 120_000, 512
     h = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
     w = rng.uniform(0.5, 1, n).astype(np.float32) * np.float32(6 if kind == "half" else 1)
     # the whole text repeats more often, a quarter of its parts, each there six times, occurs twice as often, or each text has shingles of its own
@@ -316,7 +316,7 @@ def test_samples_of_long_texts_are_independent(kind):
     apart = (1 - minhash.weighted_jaccard(*sets[0], *sets[1])) * 15 / 16 * samples
     one, two = (minhash.icws(*s, np.array([len(s[0])]), 0, samples) for s in sets)
     found = int((one & np.uint64(15) != two & np.uint64(15)).sum())
-    assert abs(found - apart) < 4.5 * apart**0.5 and found <= minhash.MAX_APART
+    assert abs(found - apart) < 4.5 * apart**0.5
     assert len(np.unique(one)) > 0.98 * samples
 
 
@@ -350,6 +350,36 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert got == 1
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_tiles_judge_all_pairs_that_stars_leave(spark, monkeypatch, exact):
+    """A bucket whose nodes lie at about the threshold, cut into many tiles, against all pairs."""
+    rng = random.Random(9)
+    words = _vocabulary(rng, 3000)
+    base, rows = [rng.choice(words) for _ in range(200)], []
+    for i in range(150):
+        own = list(base if i % 3 else base[:170])
+        for at in rng.sample(range(len(own)), 1 + i % 4):
+            own[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = minhash.word_idf(seeds.keyed(docs, "doc_id", "text"))
+    sets, _ = _weighted(rows, idf)
+    alike = {(i, j) for i in range(150) for j in range(i) if minhash.weighted_jaccard(*sets[i], *sets[j]) >= 0.8}
+    assert 100 < len(alike) < 150 * 149 / 4
+    group = list(range(150))
+    for i, j in sorted(alike):
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    seen = []
+    tiled = minhash.tile_links
+    monkeypatch.setattr(minhash, "TURNS", 0)
+    monkeypatch.setattr(minhash, "PAIRS", 500)
+    monkeypatch.setattr(minhash, "tile_links", lambda *a: seen.append(tiled(*a[:5], 20)) or seen[-1])
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, exact=exact).collect()}
+    assert got == {i: min(j for j in range(150) if group[j] == group[i]) for i in range(150)}
+    assert seen[0].count() < 16 * 150
+
+
 def test_components_of_chains(spark):
     links = [(bytes([0, i]), bytes([0, i + 1])) for i in range(40)] + [(b"\x01\x09", b"\x01\x02"), (b"\x01\x02", b"\x01\x05")]
     got = minhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()
