@@ -470,6 +470,30 @@ def test_url_filters_are_brute_force(spark):
     assert Counter(tuple(r) for r in url_filters.url_filters(pages).collect()) == want
     assert url_filters.url_filters(pages.limit(0)).count() == 0
     assert url_filters.url_filters(pages, []).filter("verdict != 'allow'").count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/en/" + "x" * 300_000)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filters.url_filters(long).collect()] == [("com/en/", "block")]
+
+
+def test_url_filters_with_a_rule_table(spark):
+    """Thousands of nested rules in a table, and one host with most of the urls, against all rules for each url."""
+    rng = random.Random(12)
+    label = lambda: rng.choice(["a", "b", "c", "dd", "é", "a-b"])
+    name = lambda n: ".".join(label() for _ in range(rng.randint(1, n)))
+    rules = [(rng.choice(["allow", "block"]), name(5), "/" + "x" * rng.randint(0, 3)) for _ in range(4000)]
+    table = spark.createDataFrame([*rules, *rules[:9], (None, "a", "/"), ("block", None, "/"), ("block", "a", None)], "verdict string, host string, path string")
+    urls = [f"http://{'hot.a.b' if i % 3 else name(7)}/{'x' * rng.randint(0, 4)}" for i in range(900)]
+    by_host = {}
+    for v, h, p in rules:
+        by_host.setdefault(h, []).append((len(h) + len(p), h + p, v))
+    want = {}
+    for i, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        parts = host.split(".")
+        chain = [r for k in range(len(parts)) for r in by_host.get(".".join(parts[k:]), [])]
+        fits = [r for r in chain if ("/" + path).startswith(r[1][r[1].index("/") :])]
+        want[i] = max(fits, default=(0, None, "allow"))[1:]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filters.url_filters(pages, table).collect()} == want
 
 
 def test_pipeline(spark, sf):
