@@ -20,6 +20,7 @@ of the input other than id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,8 @@ CACHE_CHUNKS = 1_000_000
 CACHE_CHARS = 64
 #: Text bytes that a task holds at once.
 BATCH_BYTES = 4_000_000
+#: Pieces of more bytes are merged apart.
+LONG_PIECE = 2048
 #: Stands before the first part of a text, which has no space before it; no Arrow string holds it.
 MARK = "\ud800"
 #: The byte-level split pattern (fixed value of the vocabulary's format).
@@ -64,6 +67,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._refuse_others(spec)
         ids: dict[str, int] = spec["model"]["vocab"]
         of_char = {c: b for b, c in enumerate(byte_chars())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -82,6 +86,17 @@ class Vocabulary:
         self.pattern = regex.compile(PATTERN)
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    @staticmethod
+    def _refuse_others(spec: dict) -> None:
+        """Only plain byte-level BPE is read: settings that would change pieces or merges are errors."""
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        bad = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        bad += ["model"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+        bad += ["pre_tokenizer"] * (cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or not cut.get("use_regex", True))
+        bad += ["added_tokens"] * any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+        if bad:
+            raise ValueError(f"not plain byte-level BPE: {', '.join(bad)}")
+
     def _ranks(self, sym: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rank of the pair that begins at each given position, ``len(made)`` where there is none."""
         none = len(self.made)
@@ -97,9 +112,18 @@ class Vocabulary:
         """Ids of all pieces in one array, and how many each has.
 
         All pieces are merged together, a round at a time; after a round only
-        the pairs beside a merged symbol are looked up again.
+        the pairs beside a merged symbol are looked up again. A piece of over
+        ``LONG_PIECE`` bytes has rounds of its own.
         """
         n, none = len(pieces), len(self.made)
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG_PIECE]
+        if long:
+            rest = dict(zip(long, (self.merge_long(pieces[i]) for i in long), strict=True))
+            flat, counts = self.merge([b"" if i in rest else p for i, p in enumerate(pieces)])
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for i, ids in rest.items():
+                parts[i], counts[i] = ids, len(ids)
+            return np.concatenate(parts), counts
         sym = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(n, dtype=np.int32), np.fromiter(map(len, pieces), np.int64, n))
         rank = self._ranks(sym, owner, np.arange(len(sym)))
@@ -134,6 +158,62 @@ class Vocabulary:
         sym, owner = (np.concatenate(x) for x in zip(*done, strict=True))
         return sym[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=n)
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: rounds in rank order that touch only the places of their rank.
+
+        Symbols are linked both ways. Places wait under the rank of their pair;
+        a round takes the lowest rank, drops places whose pair has changed since
+        and merges the others at once, so the work grows with the merges and
+        not with rounds times length.
+        """
+        n, none = len(piece), len(self.made)
+        sym = self.of_byte[np.frombuffer(piece, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        live, rank = np.ones(n, bool), np.full(n, none, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            inside = after[at] < n
+            rank[at] = none
+            at = at[inside]
+            keys = (sym[at] << 32) | sym[after[at]]
+            place = np.searchsorted(self.pair_keys, keys)
+            place[place == len(self.pair_keys)] = 0
+            known = self.pair_keys[place] == keys
+            at, own = at[known], self.pair_ranks[place[known]]
+            rank[at] = own
+            order = np.argsort(own, kind="stable")
+            at, own = at[order], own[order]
+            turn = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+            for i, j in zip(turn.tolist(), [*turn[1:].tolist(), len(own)], strict=False):
+                r = int(own[i])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(at[i:j])
+
+        look_up(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[live[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # overlapping hits: of a run of linked ones, every other, from the left
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            live[gone] = False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            left = before[at]
+            look_up(np.unique(np.r_[at, left[left >= 0]]))
+        return sym[live]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -292,4 +372,5 @@ def bpe_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "d
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
