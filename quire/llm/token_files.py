@@ -3,19 +3,23 @@
 Documents are range-partitioned by id and sorted; each partition packs its ids,
 an end id after each document, into sequences of ``seq_len`` and writes one
 file whose record batches hold ``ids`` (fixed-size list of 16- or 32-bit ids,
-by vocabulary size) and ``mask`` (fixed-size list of booleans, false on the
-padding of a file's last sequence). All sequences are equally long, so the
-n-th one of a file is at a known batch and row and, in a memory-mapped file, is
-read without a copy. An index table (document, file, offset, tokens) is kept
-beside the files.
+by vocabulary size) and ``mask`` (fixed-size list of bytes, 0 on the padding of
+a file's last sequence and 1 elsewhere). All sequences are equally long, so the
+n-th one of a file is at a known batch and row and, in a memory-mapped file, its
+ids and its mask are read without a copy. An index table (document, part, file,
+offset, tokens) is kept beside the files.
 
-Files go to the shared folder under names made from the partition; a retried
-task writes to a name of its own and then moves it, so a lost executor leaves
-no half-written file under a final name.
+Files go to the shared folder. Each attempt of a task writes under a name of its
+own and moves the finished file to another; the index names the files of the
+attempts that succeeded, so what a lost executor leaves is never read.
+
+The library's model is called on pieces cut by this package; a vocabulary file
+whose normalizer or pre-tokenizer is another one is refused (``bpe.Vocabulary``).
 
 Defined cases: null and empty texts give the end id alone; null ids come last;
-rows with equal ids are ordered by text, equal rows follow each other; an empty
-table gives no documents. Columns of the input other than id and text are ignored.
+rows with equal ids are ordered by a hash of the text, equal rows follow each
+other; an empty table gives no documents. Columns of the input other than id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +77,7 @@ class SequenceWriter:
 
     def __init__(self, sink, seq_len: int, dtype):
         self.seq_len, self.dtype = seq_len, np.dtype(dtype)
-        self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(self.dtype), seq_len), "mask": pa.list_(pa.bool_(), seq_len)})
+        self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(self.dtype), seq_len), "mask": pa.list_(pa.uint8(), seq_len)})
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.room = BATCH_SEQS * seq_len
         self.held: list[np.ndarray] = []
@@ -90,7 +94,7 @@ class SequenceWriter:
             self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = np.arange(len(ids)) < n
+        mask = (np.arange(len(ids)) < n).astype(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -121,9 +125,8 @@ class SequenceFile:
     def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of the n-th sequence."""
         batch, row = self._batch(n // BATCH_SEQS), n % BATCH_SEQS
-        ids = batch.column("ids").values.to_numpy()[row * self.seq_len : (row + 1) * self.seq_len]
-        mask = batch.column("mask")[row].values.to_numpy(zero_copy_only=False)
-        return ids, mask
+        own = slice(row * self.seq_len, (row + 1) * self.seq_len)
+        return tuple(batch.column(c).values.to_numpy()[own] for c in ("ids", "mask"))
 
     def span(self, start: int, n: int):
         """Parts of the ids from start to start + n, batch by batch."""
@@ -139,12 +142,12 @@ class SequenceFile:
 
 
 def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the files and return their stored index: doc_id, file, offset, n_tokens."""
+    """Write the files and return their stored index: doc_id, part (orders the files), file, offset, n_tokens."""
     path = vocabulary or default_vocabulary()
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col).alias("order_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_id(id_col).alias("order_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("draw", F.xxhash64("text"))
     parts = parts_for(spark, text_bytes(rows), file_bytes)
-    rows = rows.repartitionByRange(parts, "order_id").sortWithinPartitions("order_id", "text")
+    rows = rows.repartitionByRange(parts, "order_id", "draw").sortWithinPartitions("order_id", "draw")
 
     def write(batches):
         encoder = library_encoder(path)
@@ -152,7 +155,8 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
         store, folder = fs.FileSystem.from_uri(out_dir)
         part = TaskContext.get().partitionId()
         store.create_dir(folder, recursive=True)
-        name, draft = f"part-{part:06d}.arrow", f"{folder}/.draft-{uuid.uuid4().hex}"
+        attempt = uuid.uuid4().hex
+        name, draft = f"part-{part:06d}-{attempt}.arrow", f"{folder}/.draft-{attempt}"
         end, offset = np.array([end_id], "<u4"), 0
         with store.open_output_stream(draft) as sink:
             writer = SequenceWriter(sink, seq_len, dtype)
@@ -163,24 +167,24 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
                     writer.add(end)
                     counts.append(len(raw) // 4 + 1)
                 ends = offset + np.cumsum(counts)
-                yield pa.record_batch({"doc_id": b.column("doc_id"), "file": pa.array([name] * len(counts), pa.string()), "offset": pa.array(ends - counts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+                yield pa.record_batch({"doc_id": b.column("doc_id"), "part": pa.array([part] * len(counts), pa.int64()), "file": pa.array([name] * len(counts), pa.string()), "offset": pa.array(ends - counts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
                 offset = int(ends[-1])
             writer.close()
         store.move(draft, f"{folder}/{name}")
 
-    return stored(rows.drop("order_id").mapInArrow(write, "doc_id long, file string, offset long, n_tokens long"), "token-index")
+    return stored(rows.drop("order_id", "draw").mapInArrow(write, "doc_id long, part long, file string, offset long, n_tokens long"), "token-index")
 
 
 def read_token_files(index: DataFrame, out_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32: every document's ids, read from the files.
 
     ``start`` counts the ids of all documents before it: the files' totals are
-    summed in file order (one row per file), the offsets in a file are known.
+    summed in the order of parts (one row per file), the offsets in a file are known.
     """
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = F.coalesce(F.sum("total").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("file", before.alias("base"))
-    placed = index.join(bases, "file").repartition("file").sortWithinPartitions("file", "offset")
+    totals = index.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("part", before.alias("base"))
+    placed = index.join(bases, "part").repartition("part").sortWithinPartitions("part", "offset")
 
     def read(batches):
         open_file, uri = None, None
@@ -204,6 +208,7 @@ def read_token_files(index: DataFrame, out_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
+    """All texts of ``documents`` as token files, read back: doc_id, start, n_tokens, ids_crc32."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out_dir = new_path(spark, "tokens")
     return read_token_files(write_token_files(docs, out_dir), out_dir)

@@ -85,8 +85,26 @@ def test_bpe_pieces_and_odd_texts():
     assert [np.frombuffer(g, "<u4").tolist() for g in token_files.library_encoder(bpe.default_vocabulary()).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def _order(row):
-    return (row[0] is None, row[0] or 0, row[1])
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "aé日"])
+def test_bpe_of_long_pieces(letters):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (2040, 2100, 200_000)] + ["a" * 30_001]
+    got = bpe.encoder_for(bpe.default_vocabulary()).encode(texts)
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(bpe.default_vocabulary(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(path))
 
 
 def test_token_files_round_trip(spark, docs, empty):
@@ -97,16 +115,21 @@ def test_token_files_round_trip(spark, docs, empty):
     index = token_files.write_token_files(docs, out, seq_len=16, file_bytes=20_000)
     got = sorted(tuple(r)[1:] for r in token_files.read_token_files(index, out).collect())
     want, at = [], 0
-    for i, text in sorted(_rows(docs), key=_order):
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    for i, text, _ in sorted(hashed, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h)):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
         want.append((at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == sorted(want)
-    first = index.orderBy("file", "offset").first()
+    first = index.orderBy("part", "offset").first()
     file = token_files.SequenceFile(f"{out}/{first.file}")
     ids, mask = file.sequence(0)
     assert len(ids) == len(mask) == 16 and mask.all()
     assert file.reader.schema.field("ids").type.list_size == 16
+    assert ids.base is not None and mask.dtype == np.uint8 and not ids.flags.owndata and not mask.flags.owndata
+    # parts beyond a million are ordered as numbers
+    far = index.withColumn("part", F.col("part") + 999_998)
+    assert sorted(tuple(r)[1:] for r in token_files.read_token_files(far, out).collect()) == sorted(want)
     nothing = token_files.write_token_files(empty, new_path(spark, "tokens"))
     assert token_files.read_token_files(nothing, new_path(spark, "tokens")).count() == 0
 
