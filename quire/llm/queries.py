@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op9_substring_dedup": substring_dedup.OP9_SQL,
-    "op5_chat": chat.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_url_filters": url_filters.OP10_SQL,

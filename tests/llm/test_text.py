@@ -450,27 +450,51 @@ def test_chat_round_trip(spark):
     rows += [(99, t, "user" if t % 2 == 0 else "assistant", f"long {t}\nsecond", "x", 1) for t in range(700)]
     rows += [(100, 0, "user", None, None, None), (100, 1, "assistant", "", None, None), (None, 0, "user", "no conversation", None, None)]
     talk = spark.createDataFrame(rows, CHAT)
-    model = chat.train(talk)
-    got = chat.parse_transcripts(chat.to_lines(talk).drop("role"), model).collect()
+    model = chat.train(talk, 0, 50)
+    got = chat.parse_transcripts(chat.to_lines(talk, 0, 50).drop("role"), model).collect()
     assert Counter((r.conv_id, r.turn, r.role, r.text) for r in got) == Counter((c, t, r, x or "") for c, t, r, x, *_ in rows)
     assert all(r.begins and r.ends and r.rendered == f"<|im_start|>{r.role}\n{r.text}<|im_end|>\n" for r in got)
     nothing = talk.limit(0)
     assert chat.parse_transcripts(chat.to_lines(nothing).drop("role"), chat.train(nothing)).count() == 0
-    unnamed = spark.createDataFrame([(1, 0, None, "User: hi\nmore", None, None), (1, 1, None, "**BOT**: ho", None, None)], CHAT)
-    found = chat.parse_transcripts(chat.to_lines(unnamed).drop("role"), model).orderBy("turn").collect()
-    assert [(r.role, r.text) for r in found] == [("user", "hi\nmore"), ("assistant", "ho")]
+    unnamed = spark.createDataFrame([(1, 0, None, "User: hi\nmore", None, None), (1, 1, None, "**BOT**: ho", None, None), (2, 0, None, "x " * 200_000, None, None)], CHAT)
+    found = chat.parse_transcripts(chat.to_lines(unnamed, 0, 0).drop("role"), model).orderBy("conv_id", "turn").collect()
+    assert [(r.role, r.text) for r in found[:2]] == [("user", "hi\nmore"), ("assistant", "ho")] and found[2].text == "x " * 200_000
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    model = chat.Hmm(*(np.log(rng.random(n)) for n in (6, (6, 6), (6, chat.SYMBOLS))))
+    lines = ["User: a", "", "b?", "- c", "d " * 90]
+    emit = chat._emissions(model, lines, True)
+    score = lambda p: emit[0, p[0]] + sum(model.step[a, b] + emit[i + 1, b] for i, (a, b) in enumerate(zip(p[:-1], p[1:], strict=True)))
+    for first, last in ((0, 0), (2, 5), (4, 1)):
+        best = max((p for p in product(range(6), repeat=5) if p[0] == first and p[-1] == last), key=score)
+        assert tuple(chat.viterbi(model, emit, first, last)) == best
+
+
+def test_roles_of_unmarked_turns(spark, sf):
+    """Held-out turns without a marker: the markers alone find none of them; their roles' majority is no bound either."""
+    talk = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/conversations.parquet")
+    parsed = chat.parse_transcripts(chat.to_lines(talk).drop("role"), chat.train(talk)).filter("begins AND line_no = 0").select("conv_id", "turn", F.col("role").alias("found"))
+    rows = talk.filter(chat.held_out() & chat.is_unmarked()).join(parsed, ["conv_id", "turn"], "left").select("role", "found", "text").collect()
+    right = sum(r.role == r.found for r in rows)
+    majority = max(Counter(r.role for r in rows).values())
+    assert len(rows) > 20 and all(chat.read_marker(r.text)[0] == 0 for r in rows)
+    assert right > 0.7 * len(rows) and right > 1.2 * majority
 
 
 def test_segmented_viterbi_is_viterbi(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    rows = [(1, t, None, ["User: a", "b " * 70, "Bot: c", "d"][rng.integers(4)], None, None) for t in range(120)]
+    rows = [(1, t, None, ["User: a", "b " * 70, "Bot: c", "d", "e\n"][rng.integers(5)], None, None) for t in range(120)]
     talk = spark.createDataFrame(rows, CHAT)
     base = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", "a\n" + "b " * 70, None, None) for c in range(9) for t in range(6)], CHAT)
-    model = chat.train(base)
+    model = chat.train(base, 0, 60)
     texts = []
     for size in (7, 1000):
         monkeypatch.setattr(chat, "SEGMENT", size)
-        parts = chat.parse_transcripts(chat.to_lines(talk).drop("role"), model).orderBy("turn", "line_no").collect()
+        parts = chat.parse_transcripts(chat.to_lines(talk, 0, 0).drop("role"), model).orderBy("turn", "line_no").collect()
         texts.append("".join(r.rendered for r in parts))
     assert texts[0] == texts[1]
 
