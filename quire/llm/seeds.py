@@ -30,7 +30,9 @@ from .common import parts_for, stored, text_bytes
 HASH_BYTES = 1_000_000
 #: Text bytes whose seeds are sent together.
 BATCH_BYTES = 8_000_000
-#: Text bytes for a bucket of seed hashes, and for a bucket of surroundings.
+#: Text bytes of the batches in a task.
+TASK_BYTES = 32_000_000
+#: Text bytes for a bucket of seed hashes, and for a bucket of contexts.
 HASH_BUCKET_BYTES, BUCKET_BYTES = 64_000_000, 12_000_000
 #: A seed hash at more places is heavy: its windows are dealt out one by one.
 HEAVY = 4096
@@ -77,7 +79,16 @@ _held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words are runs of bytes other than blanks; a word's hash is a polynomial of its bytes."""
+    """Hashes of the words of all texts in one array, and how many each text has."""
+    return placed_words(texts)[:2]
+
+
+def placed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words are runs of bytes other than blanks; a word's hash is a polynomial of its bytes.
+
+    With the words' hashes and counts come the bytes where they begin and end
+    in the texts joined by a byte.
+    """
     flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = _BLANK[flat]
     first = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
@@ -89,7 +100,21 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
     words = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return words, np.diff(np.r_[0, np.searchsorted(first, ends)])
+    return words, np.diff(np.r_[0, np.searchsorted(first, ends)]), first, last
+
+
+def split_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Token hashes and counts, the texts as one string, and where each token begins and ends in it."""
+    tokens, counts = byte_tokens(texts)
+    at = np.arange(len(tokens) + 1)
+    return tokens, counts, b"".join(texts), at[:-1], at[1:]
+
+
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """``split_bytes`` for words; one space stands between them."""
+    plain = [b" ".join(t.split()) for t in texts]
+    words, counts, first, last = placed_words(plain)
+    return words, counts, b"\n".join(plain), first, last
 
 
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -156,16 +181,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Sizes:
-    """Numbers of batches, of buckets of hashes and of buckets of surroundings, by the size of the text."""
+    """Numbers of batches, of tasks that hold them, of buckets of hashes and of contexts, by the size of the text."""
 
     batches: int
+    tasks: int
     hashes: int
     buckets: int
 
 
 def sizes_for(docs: DataFrame) -> Sizes:
     n, spark = text_bytes(docs), docs.sparkSession
-    return Sizes(max(1, -(-n // BATCH_BYTES)), parts_for(spark, n, HASH_BUCKET_BYTES), parts_for(spark, n, BUCKET_BYTES))
+    return Sizes(max(1, -(-n // BATCH_BYTES)), parts_for(spark, n, TASK_BYTES), parts_for(spark, n, HASH_BUCKET_BYTES), parts_for(spark, n, BUCKET_BYTES))
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -236,23 +262,129 @@ def batched(docs: DataFrame, sizes: Sizes) -> DataFrame:
 
 def repeated_seeds(docs: DataFrame, tokenize: Callable, length: int, k: int, sizes: Sizes) -> DataFrame:
     """Stored rows by batch and bucket: seed hashes of the batch that occur elsewhere, too."""
-    sent = batched(docs, sizes).select("batch", "text").groupBy("batch").applyInArrow(send_seeds(tokenize, length, k, sizes.hashes), SEED_ROWS)
+    sent = batched(docs, sizes).select("batch", "text").repartition(sizes.tasks, "batch").groupBy("batch").applyInArrow(send_seeds(tokenize, length, k, sizes.hashes), SEED_ROWS)
     met = sent.repartition(sizes.hashes, "bucket").groupBy("bucket").applyInArrow(meet, REPEATED_ROWS)
     return stored(met, "seeds")
 
 
-def deal_repeated(docs: DataFrame, seeds: DataFrame, sizes: Sizes, task: Callable, schema: str) -> DataFrame:
-    """Each batch of documents with its repeated seeds: ``task`` yields record batches of the schema."""
+CONTEXT_ROWS = "bucket int, key binary, at binary, size binary, context binary, times binary, start binary, doc binary, docs binary"
+SPAN_ROWS = "row long, doc_id long, start long, end long"
+
+
+def send_contexts(split: Callable, length: int, k: int, buckets: int):
+    """Task: repeated seeds with the text of the windows they own, dealt to the buckets of their hashes.
+
+    Places with equal seed and text are one context with a list of places. A
+    heavy seed's windows go one by one, under a hash of the window.
+    """
+
+    def send(own: pa.Table, found: pa.Table, hashes: int) -> pa.Table:
+        repeated = Repeated(found, hashes)
+        groups: dict[tuple[int, int, bytes], list[int]] = {}
+        ids, rows, base = [], [], 0
+        for b in text_batches(own.to_batches(), HASH_BYTES):
+            tokens, counts, flat, first, last = split(raw_texts(b))
+            s = winnow(tokens, counts, length, k)
+            hot, heavy = repeated.marks(s.key)
+            place, low, high, doc, key, heavy = (x[hot] for x in (s.place, s.low, s.high, s.doc, s.key, heavy))
+            times = np.where(heavy, high - low + 1, 1)
+            pick = np.repeat(np.arange(len(place)), times)
+            step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
+            place, doc, key, heavy = place[pick], doc[pick], key[pick], heavy[pick]
+            low, high = np.where(heavy, low[pick] + step, low[pick]), np.where(heavy, low[pick] + step, high[pick])
+            if heavy.any():
+                key[heavy] = mix(key[heavy] + gram_hashes(tokens, length)[low[heavy]])
+            start = low - np.cumsum(np.r_[0, counts])[doc]
+            for x, at, i, j, d, o in zip(key.tolist(), (place - low).tolist(), first[low].tolist(), last[high + length - 1].tolist(), (doc + base).tolist(), start.tolist(), strict=True):
+                groups.setdefault((x, at, flat[i:j]), []).extend((d, o))
+            ids.append(b.column("doc_id").to_numpy())
+            rows.append(b.column("row").to_numpy())
+            base += b.num_rows
+        key = np.fromiter((g[0] for g in groups), np.uint64, len(groups))
+        bucket = bucket_of(key, buckets)
+        order = np.lexsort((key, bucket))
+        _, runs = by_bucket(bucket[order], buckets)
+        heads, members = list(groups), list(groups.values())
+        doc_id, row = np.concatenate(ids), np.concatenate(rows)
+        out: dict[str, list] = {c.split()[0]: [] for c in CONTEXT_ROWS.split(", ")}
+        for b, i, j in runs:
+            at = order[i:j].tolist()
+            texts = [heads[x][2] for x in at]
+            places = np.array([v for x in at for v in members[x]], np.int64).reshape(-1, 2)
+            docs, index = np.unique(places[:, 0], return_inverse=True)
+            numbers = lambda values, dtype: np.fromiter(values, dtype, len(at)).tobytes()
+            values = (b, key[at].tobytes(), numbers((heads[x][1] for x in at), np.uint16), numbers(map(len, texts), np.uint32), pa.compress(b"".join(texts), codec="zstd", asbytes=True), numbers((len(members[x]) // 2 for x in at), np.uint32), places[:, 1].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[docs], doc_id[docs]], 1).tobytes())
+            for name, x in zip(out, values, strict=True):
+                out[name].append(x)
+        return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in out.items()})
+
+    return send
 
-    def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        if not own.num_rows or not found.num_rows:
-            return empty
-        out = list(task(own.to_batches(), Repeated(found, sizes.hashes)))
-        return pa.Table.from_batches(out) if out else empty
 
-    names = [(c.split()[0], {"int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in schema.split(", ")]
-    empty = pa.table({c: pa.array([], t) for c, t in names})
-    return batched(docs, sizes).groupBy("batch").cogroup(seeds.groupBy("batch")).applyInArrow(run, schema)
+class Contexts:
+    """What a bucket receives: contexts that are equal are one again, whoever sent them.
+
+    Of each context its seed's hash, where the seed stands in it, its text and
+    the number of its places; of each place its context, row, document and start.
+    """
+
+    def __init__(self, table: pa.Table):
+        blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
+        key, at, size = column(blobs["key"], np.uint64), column(blobs["at"], np.uint16), column(blobs["size"], np.uint32).astype(np.int64)
+        parts, begin = [], 0
+        for raw, head in zip(blobs["context"], blobs["key"], strict=True):
+            own = size[begin : begin + len(head) // 8]
+            begin += len(own)
+            text, ends = pa.decompress(raw, int(own.sum()), codec="zstd", asbytes=True), np.cumsum(np.r_[0, own]).tolist()
+            parts += [text[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        number: dict[tuple[int, int, bytes], int] = {}
+        of = np.fromiter((number.setdefault(x, len(number)) for x in zip(key.tolist(), at.tolist(), parts, strict=True)), np.int64, len(parts))
+        heads = list(number)
+        self.key = np.fromiter((x[0] for x in heads), np.uint64, len(heads))
+        self.at = np.fromiter((x[1] for x in heads), np.int64, len(heads))
+        self.texts = [x[2] for x in heads]
+        self.owner = np.repeat(of, column(blobs["times"], np.uint32))
+        self.times = np.bincount(self.owner, minlength=len(heads))
+        self.start = column(blobs["start"], np.uint32).astype(np.int64)
+        docs, base = column(blobs["docs"], np.int64).reshape(-1, 2), np.cumsum([0, *(len(x) // 16 for x in blobs["docs"])])[:-1]
+        doc = column(blobs["doc"], np.uint32) + np.repeat(base, [len(x) // 4 for x in blobs["doc"]])
+        self.row, self.doc_id = docs[doc, 0], docs[doc, 1]
+
+    def spans(self, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+        """Rows of spans of given places, counted from where the place's context starts."""
+        return pa.table({"row": self.row[place], "doc_id": self.doc_id[place], "start": self.start[place] + start, "end": self.start[place] + end})
+
+    def runs(self, verdict: np.ndarray, n: np.ndarray, length: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal runs of windows with a verdict, window by window of the given contexts: number of the context in the list, start, end."""
+        owner = np.repeat(np.arange(len(contexts)), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.flatnonzero(verdict)
+        owner, step = owner[at], step[at]
+        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (step[1:] != step[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+        last = np.r_[new[1:] - 1, len(at) - 1] if len(at) else new
+        return owner[new], step[new], step[last] + length
+
+
+def repeated_spans(docs: DataFrame, split: Callable, length: int, k: int, judge: Callable, name: str) -> DataFrame:
+    """row, doc_id, spans (packed start and end, unmerged; stored) of a keyed table: ``judge`` maps a bucket's table to rows of spans.
+
+    Both exchanges are cut by the size of the text, not by the session's setting.
+    """
+    if not 0 < k <= length < 1 << 15:
+        raise ValueError(f"length {length}, seed {k}: the seed is at most as long, the length under {1 << 15}")
+    sizes = sizes_for(docs)
+    seeds = repeated_seeds(docs, lambda texts: split(texts)[:2], length, k, sizes)
+    task, hashes = send_contexts(split, length, k, sizes.buckets), sizes.hashes
+    empty = pa.table({c.split()[0]: pa.array([], pa.int32() if "int" in c else pa.binary()) for c in CONTEXT_ROWS.split(", ")})
+
+    def send(own: pa.Table, found: pa.Table) -> pa.Table:
+        return task(own, found, hashes) if own.num_rows and found.num_rows else empty
+
+    texts = batched(docs, sizes).repartition(sizes.tasks, "batch")
+    sent = texts.groupBy("batch").cogroup(seeds.repartition(sizes.tasks, "batch").groupBy("batch")).applyInArrow(send, CONTEXT_ROWS)
+    spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(judge, SPAN_ROWS)
+    packed = F.shiftleft("start", 32) + F.col("end")
+    return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), name)
 
 
 class Repeated:

@@ -5,13 +5,15 @@ else, in the same document or another; windows are judged on the input, and
 every occurrence goes.
 
 Seeds (see ``seeds``) are winnowed ``k``-word anchors. Documents meet on the
-hash of an anchor. There all members of the anchor are extended both ways at
-once: for each window that owns the anchor, ``o`` words to its left and
-``length - k - o`` to its right, members whose extension hashes agree have the
-window in common. Overlapping windows of a document join to maximal repeats.
+hash of an anchor, each with the words of the windows that own the anchor. There
+all members of the anchor are extended at once, word by word to the right and to
+the left: members stay in one class as long as their words agree. A window with
+``o`` words to the left of its anchor is a repeat if its left class at ``o`` and
+its right class at the rest have another member, or one that occurs twice.
+Adjacent windows make maximal repeats, which join across anchors in a document.
 No pairs of members are made, so a group of n copies costs n.
 
-Members with equal extensions are merged where they are made; an anchor that
+Equal members are sent once with the list of their places; an anchor that
 occurs at over ``HEAVY`` places is dealt out window by window.
 
 Defined cases: null and empty texts have no words; texts under ``length`` words
@@ -26,134 +28,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_batches
-from .common import NULL_ID, release, stored
-from .seeds import HASH_BYTES, bucket_of, by_bucket, column, deal_repeated, gram_hashes, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow, word_tokens
+from .common import NULL_ID
+from .seeds import Contexts, keyed, merged_spans, placed_words, raw_texts, repeated_spans, split_words
 
 LENGTH = 35
 SEED = 8
 
-ANCHOR_ROWS = "bucket int, key binary, twice binary, n binary, windows binary, start binary, doc binary, docs binary, done binary"
-SPAN = np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("end", "<i8")])
-
-
-def _runs(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and number in its owner of each of so many members."""
-    owner = np.repeat(np.arange(len(times)), times)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
-
-
-def send_anchors(length: int, k: int, buckets: int):
-    """Task: repeated anchors with the hashes of the windows they own."""
-
-    def send(batches, repeated):
-        held, windows, ids, rows = [], [], [], []
-
-        def flush():
-            key, n, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            grams = np.concatenate(windows)
-            doc_id, row = np.concatenate(ids), np.concatenate(rows)
-            if not len(key):
-                return None
-            # members with the same anchor and windows: their sums of mixed hashes agree
-            offset = np.cumsum(n) - n
-            owner, step = _runs(n)
-            folded = mix(key + np.add.reduceat(mix(grams + step.astype(np.uint64)), offset) + n.astype(np.uint64))
-            order = np.argsort(folded, kind="stable")
-            turn = np.flatnonzero(np.r_[True, folded[order][1:] != folded[order][:-1]])
-            times = np.diff(np.r_[turn, len(order)])
-            gone = order[np.repeat(times > 1, times)]
-            done = np.zeros(len(gone), SPAN)
-            done["row"], done["doc_id"] = row[doc[gone]], doc_id[doc[gone]]
-            done["start"], done["end"] = start[gone], start[gone] + n[gone] - 1 + length
-            first, twice = order[turn], (times > 1).astype(np.uint8)
-            by = np.argsort(first, kind="stable")
-            first, twice = first[by], twice[by]
-            order, runs = by_bucket(bucket_of(key[first], buckets), buckets)
-            out = {name: [] for name in ("bucket", "key", "twice", "n", "windows", "start", "doc", "docs", "done")}
-            for (b, i, j), part in zip(runs, np.array_split(done, len(runs)), strict=True):  # finished spans ride along
-                at = first[order[i:j]]
-                own, index = np.unique(doc[at], return_inverse=True)
-                who, step = _runs(n[at])
-                values = (b, key[at].tobytes(), twice[order[i:j]].tobytes(), n[at].astype(np.uint16).tobytes(), grams[offset[at][who] + step].tobytes(), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), part.tobytes())
-                for name, x in zip(out, values, strict=True):
-                    out[name].append(x)
-            return pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
-
-        for b in text_batches(batches, HASH_BYTES):
-            texts = raw_texts(b)
-            tokens, counts = word_tokens(texts)
-            s = winnow(tokens, counts, length, k)
-            hot, heavy = repeated.marks(s.key)
-            low, high, doc, key, heavy = (x[hot] for x in (s.low, s.high, s.doc, s.key, heavy))
-            pick, step = _runs(np.where(heavy, high - low + 1, 1))
-            doc, key, heavy = doc[pick], key[pick], heavy[pick]
-            low, high = np.where(heavy, low[pick] + step, low[pick]), np.where(heavy, low[pick] + step, high[pick])
-            n = high - low + 1
-            if len(low):
-                who, step = _runs(n)
-                grams = gram_hashes(tokens, length)[low[who] + step]
-                if heavy.any():
-                    one = heavy[who]
-                    key[heavy] = mix(key[heavy] + grams[one])
-                starts = np.cumsum(np.r_[0, counts])
-                held.append((key, n, low - starts[doc], doc + sum(map(len, ids))))
-                windows.append(grams)
-            else:
-                held.append((key, n, low, doc))
-                windows.append(np.zeros(0, np.uint64))
-            ids.append(b.column("doc_id").to_numpy())
-            rows.append(b.column("row").to_numpy())
-        if held and (x := flush()) is not None:
-            yield x
-
-    return send
-
-
-def extend_bucket(length: int):
-    """Bucket: windows that two members of an anchor have in common."""
+
+def _refined(classes: np.ndarray, words: np.ndarray, n_words: int) -> np.ndarray:
+    """Classes cut by the next word of each member."""
+    return np.unique(classes * n_words + words, return_inverse=True)[1]
+
+
+def repeated_windows(c: Contexts, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context's windows whether they are repeats, in one array, and how many windows each has."""
+    words, counts, _, _ = placed_words(c.texts)
+    known, word = np.unique(words, return_inverse=True)
+    begin, n_words = np.cumsum(counts) - counts, max(1, len(known))
+    anchor, n = begin + c.at, counts - length + 1
+    out, offset = np.zeros(int(n.sum()), bool), np.cumsum(n) - n
+
+    together = np.unique(c.key, return_inverse=True)[1]
+    for j in range(k):
+        together = _refined(together, word[anchor + j], n_words)
+    alone = np.bincount(together, c.times)[together] < 2
+    on = np.flatnonzero(~alone)  # members with company
+    right, who = {0: together[on]}, {0: on}
+    for j in range(1, length - k + 1):  # words after the anchor
+        has = c.at[who[j - 1]] + k + j <= counts[who[j - 1]]
+        who[j] = who[j - 1][has]
+        right[j] = _refined(right[j - 1][has], word[anchor[who[j]] + k - 1 + j], n_words)
+    left = together[on]
+    for o in range(length - k + 1):  # words before it
+        if o:
+            has = c.at[on] >= o
+            on, left = on[has], left[has]
+            left = _refined(left, word[anchor[on] - o], n_words)
+        rest = length - k - o
+        first = c.at[on] - o
+        own = np.flatnonzero(np.isin(on, who[rest], assume_unique=True) & (first < n[on]))
+        member = on[own]
+        place = np.searchsorted(who[rest], member)
+        both = left[own] * (len(c.times) + 1) + right[rest][place]
+        _, group = np.unique(both, return_inverse=True)
+        twin = np.bincount(group, c.times[member])[group] > 1 if len(member) else np.zeros(0, bool)
+        out[(offset[member] + first[own])[twin]] = True
+    return out, n
+
+
+def extend_bucket(length: int, k: int):
+    """Bucket: maximal runs of repeated windows of every place."""
 
     def extend(table: pa.Table) -> pa.Table:
-        blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
-        spans = [column(blobs["done"], SPAN)]
-        key, twice, n = column(blobs["key"], np.uint64), column(blobs["twice"], np.uint8), column(blobs["n"], np.uint16).astype(np.int64)
-        if len(key):
-            grams = column(blobs["windows"], np.uint64)
-            start = column(blobs["start"], np.uint32).astype(np.int64)
-            docs = column(blobs["docs"], np.int64).reshape(-1, 2)
-            base = np.cumsum([0, *(len(x) // 16 for x in blobs["docs"])])[:-1]
-            doc = column(blobs["doc"], np.uint32) + np.repeat(base, [len(x) // 4 for x in blobs["doc"]])
-            owner, step = _runs(n)
-            both = mix(grams + mix(key)[owner])
-            order = np.argsort(both, kind="stable")
-            same = (both[order][1:] == both[order][:-1]) & (grams[order][1:] == grams[order][:-1])
-            twin = np.zeros(len(both), bool)
-            twin[order[1:]] |= same
-            twin[order[:-1]] |= same
-            # a member merged where it was made stands for several, which are done already
-            at = np.flatnonzero(twin & (twice[owner] == 0))
-            if len(at):
-                m, place = owner[at], start[owner[at]] + step[at]
-                new = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (place[1:] != place[:-1] + 1)])
-                found = np.zeros(len(new), SPAN)
-                found["row"], found["doc_id"] = docs[doc[m[new]], 0], docs[doc[m[new]], 1]
-                found["start"], found["end"] = place[new], place[np.r_[new[1:] - 1, len(at) - 1]] + length
-                spans.append(found)
-        out = np.concatenate(spans)
-        return pa.table({c: pa.array(np.ascontiguousarray(out[c]), pa.int64()) for c in SPAN.names})
+        c = Contexts(table)
+        verdict, n = repeated_windows(c, length, k)
+        owner, start, end = c.runs(verdict, n, length, np.arange(len(n)))
+        # every place of a context has its runs
+        runs = np.bincount(owner, minlength=len(n))
+        times = runs[c.owner]
+        place = np.repeat(np.arange(len(c.owner)), times)
+        run = np.repeat((np.cumsum(runs) - runs)[c.owner], times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+        return c.spans(place, start[run], end[run])
 
     return extend
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
     """row, doc_id, spans (start, end in words, packed) of a keyed table (see ``seeds.keyed``)."""
-    sizes = sizes_for(docs)
-    seeds = repeated_seeds(docs, word_tokens, length, k, sizes)
-    release(docs.sparkSession)  # the seeds' shuffle
-    sent = deal_repeated(docs, seeds, sizes, send_anchors(length, k, sizes.buckets), ANCHOR_ROWS)
-    spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(extend_bucket(length), "row long, doc_id long, start long, end long")
-    packed = F.shiftleft("start", 32) + F.col("end")
-    return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), "passages")
+    return repeated_spans(docs, split_words, length, k, extend_bucket(length, k), "passages")
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,6 +128,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` without its repeated passages: doc_id, n_words, n_removed, kept_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = substring_dedup(docs)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

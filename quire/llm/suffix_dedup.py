@@ -6,16 +6,22 @@ with a smaller id; strings are judged on the input. Three steps:
 1. Seeds (see ``seeds``) tell which places may repeat; the rest of the text is
    left alone from here on.
 2. Each repeated seed, with the bytes of the windows it owns, goes to the bucket
-   of its hash, so equal strings meet. Equal surroundings are merged where they
-   are made and again on arrival: all but the earliest document's are repeats.
-3. In a bucket, strings arrive in document order in batches. Each batch gets a
-   suffix array (its window starts, sorted by their ``length`` bytes); the array
-   is merge-scanned against the levels of the index for equal strings of earlier
-   documents, and then joins the index: equal-sized levels merge, so n strings
-   are kept in about log n sorted levels and each is merged as often.
+   of its hash, so equal strings meet. Equal contexts are one from there on, with
+   the list of their places; nothing is decided by that.
+3. In a bucket, contexts arrive in the order of their smallest document, in
+   batches. Each batch gets a suffix array: its window starts, sorted by all bytes
+   that follow. The array is merge-scanned against every level of the index;
+   where neighbours of the merged order agree in ``length`` bytes or more, the
+   strings are equal, and the smallest document of the run is the earliest that
+   holds them. Then the batch joins the index: equal-sized levels merge, so n
+   strings are kept in about log n sorted levels and each is merged as often.
+   Every removed byte is one of a window for which the index knows an earlier
+   document.
 
 A seed hash that occurs at over ``HEAVY`` places is dealt out window by window,
 so that a passage which very many documents hold does not meet in one task.
+Within a bucket the seeds are taken in groups of ``GROUP_STRINGS`` windows, each
+with an index of its own: windows of different seeds are never equal.
 
 Defined cases: null and empty texts have nothing to remove; rows with equal ids
 do not remove from each other; a null id counts as later than all others;
@@ -30,214 +36,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_batches
-from .common import NULL_ID, release, row_id, stored, unused
-from .seeds import HASH_BYTES, bucket_of, by_bucket, byte_tokens, column, deal_repeated, keyed, merged_spans, mix, raw_texts, repeated_seeds, sizes_for, winnow
+from .common import NULL_ID, row_id, unused
+from .seeds import Contexts, keyed, merged_spans, raw_texts, repeated_spans, split_bytes
 
 LENGTH = 50
 SEED = 20
-#: Window starts in a batch of the index family.
-BATCH_STRINGS = 1 << 14
+#: Window starts in a batch of the index family, and in one index.
+BATCH_STRINGS, GROUP_STRINGS = 1 << 15, 1 << 18
+#: No document is later.
+NEVER = 2**63 - 1
 
-CONTEXT_ROWS = "bucket int, key binary, low binary, n binary, context binary, start binary, doc binary, docs binary, done binary"
-SPAN = np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
+def suffix_array(texts: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` suffixes of each text as strings of ``width`` bytes (zeros after its end), and their sorted order."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), n)
+    begin = (ends - sizes)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    flat = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(flat, width)[begin]
+    rows[np.arange(width)[None, :] >= (ends[owner] - begin)[:, None]] = 0
+    strings = rows.view(f"S{width}").ravel()
+    return strings, np.argsort(strings, kind="stable")
 
-def suffix_array(strings: np.ndarray) -> np.ndarray:
-    """Window starts sorted by their bytes; equal ones stay in document order."""
-    return np.argsort(strings, kind="stable")
+
+def common_prefix(strings: np.ndarray) -> np.ndarray:
+    """Bytes that each of some strings of equal width has in common with the one after it."""
+    rows = strings.view(np.uint8).reshape(len(strings), -1)
+    apart = rows[1:] != rows[:-1]
+    return np.where(apart.any(axis=1), apart.argmax(axis=1), rows.shape[1])
 
 
 class IndexFamily:
-    """Sorted levels of distinct strings with the smallest document of each."""
+    """Sorted levels of suffixes with the smallest document of each."""
 
-    def __init__(self):
+    def __init__(self, length: int = LENGTH):
+        self.length = length
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _distinct(strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted strings one each, with its smallest document."""
-        turn = np.flatnonzero(np.r_[True, strings[1:] != strings[:-1]])
-        return strings[turn], np.minimum.reduceat(docs, turn)
-
-    def scan_and_add(self, strings: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Which strings of a new batch occur in an earlier document."""
-        order = suffix_array(strings)
-        own, own_docs = strings[order], docs[order]
-        distinct, first = self._distinct(own, own_docs)
-        earliest = first.copy()
-        for level, level_docs in self.levels:  # merge scan: both sides are sorted
-            at = np.searchsorted(level, distinct)
-            at[at == len(level)] = 0
-            same = level[at] == distinct
-            earliest[same] = np.minimum(earliest[same], level_docs[at[same]])
-        which = np.cumsum(np.r_[0, (own[1:] != own[:-1]).astype(np.int64)])
-        repeated = np.empty(len(strings), bool)
-        repeated[order] = earliest[which] < own_docs
-        new = (distinct, first)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):  # geometric merge
-            old = self.levels.pop()
-            both = np.concatenate([old[0], new[0]])
-            order = np.argsort(both, kind="stable")
-            new = self._distinct(both[order], np.concatenate([old[1], new[1]])[order])
-        self.levels.append(new)
-        return repeated
-
-
-def _groups(key: np.ndarray, low: np.ndarray, n: np.ndarray, context: np.ndarray, doc_id: np.ndarray):
-    """Members with equal seed, owned windows and bytes: order, first member of each group, group of each."""
-    width = context.shape[1]
-    whole = np.concatenate([key.view(np.uint8).reshape(-1, 8), low.view(np.uint8).reshape(-1, 2), n.view(np.uint8).reshape(-1, 2), context], axis=1)
-    sign = np.ascontiguousarray(np.pad(whole, ((0, 0), (0, -(width + 12) % 8)))).view(np.uint64)
-    folded = np.zeros(len(key), np.uint64)
-    for c in range(sign.shape[1]):
-        folded = mix(folded + sign[:, c])
-    order = np.lexsort((doc_id, folded))
-    same = (folded[order][1:] == folded[order][:-1]) & (whole[order][1:] == whole[order][:-1]).all(axis=1)
-    turn = np.flatnonzero(np.r_[True, ~same])
-    return order, turn, np.repeat(np.arange(len(turn)), np.diff(np.r_[turn, len(order)]))
-
-
-def send_contexts(length: int, k: int, buckets: int):
-    """Task: repeated seeds with the bytes of their windows, merged and dealt to buckets."""
-    left = length - k
-
-    def send(batches, repeated):
-        held, ids, rows = [], [], []
-
-        def flush():
-            key, low, n, context, start, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            doc_id, row = np.concatenate(ids), np.concatenate(rows)
-            if not len(key):
-                return None
-            order, turn, group = _groups(key, low, n, context, doc_id[doc])
-            first = order[turn]
-            # all but the earliest document of a group are repeats of it
-            late = doc_id[doc[order]] > doc_id[doc[first]][group]
-            gone = order[late]
-            done = np.zeros(len(gone), SPAN)
-            done["row"], done["doc_id"] = row[doc[gone]], doc_id[doc[gone]]
-            done["start"], done["end"] = start[gone], start[gone] + n[gone] - 1 + length
-            stay = np.sort(order[~late])
-            key, low, n, context, start, doc = key[stay], low[stay], n[stay], context[stay], start[stay], doc[stay]
-            order, runs = by_bucket(bucket_of(key, buckets), buckets)
-            out = {name: [] for name in ("bucket", "key", "low", "n", "context", "start", "doc", "docs", "done")}
-            for (b, i, j), part in zip(runs, np.array_split(done, len(runs)), strict=True):  # finished spans ride along
-                at = order[i:j]
-                own, index = np.unique(doc[at], return_inverse=True)
-                values = (b, key[at].tobytes(), low[at].tobytes(), n[at].tobytes(), pa.compress(context[at].tobytes(), codec="zstd", asbytes=True), start[at].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[own], doc_id[own]], 1).tobytes(), part.tobytes())
-                for name, x in zip(out, values, strict=True):
-                    out[name].append(x)
-            return pa.record_batch([pa.array(out["bucket"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
-
-        for b in text_batches(batches, HASH_BYTES):
-            texts = raw_texts(b)
-            tokens, counts = byte_tokens(texts)
-            s = winnow(tokens, counts, length, k)
-            hot, heavy = repeated.marks(s.key)
-            place, low, high, doc, key, heavy = (x[hot] for x in (s.place, s.low, s.high, s.doc, s.key, heavy))
-            times = np.where(heavy, high - low + 1, 1)  # a heavy seed's windows go one by one
-            pick = np.repeat(np.arange(len(place)), times)
-            step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-            place, doc, key, heavy = place[pick], doc[pick], key[pick], heavy[pick]
-            low, high = np.where(heavy, low[pick] + step, low[pick]), np.where(heavy, low[pick] + step, high[pick])
-            flat = np.concatenate([np.zeros(left, np.uint8), np.frombuffer(b"".join(texts), np.uint8), np.zeros(length, np.uint8)])
-            spots = place[:, None] + np.arange(left + length)[None, :]
-            context = flat[spots]
-            column_at = spots - left
-            context[(column_at < low[:, None]) | (column_at >= (high + length)[:, None])] = 0
-            if heavy.any():  # by the window, not the seed
-                wide = np.pad(context[heavy], ((0, 0), (0, -(left + length) % 8))).view(np.uint64)
-                folded = key[heavy].copy()
-                for c in range(wide.shape[1]):
-                    folded = mix(folded + wide[:, c])
-                key[heavy] = folded
-            starts = np.cumsum(np.r_[0, counts])
-            held.append((key, (low - place + left).astype(np.uint16), (high - low + 1).astype(np.uint16), context, low - starts[doc], doc + sum(map(len, ids))))
-            ids.append(b.column("doc_id").to_numpy())
-            rows.append(b.column("row").to_numpy())
-        if held and (x := flush()) is not None:
-            yield x
-
-    return send
+    def merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two sorted levels in one order, and where each element came from; a stable sort merges the two runs."""
+        strings = np.concatenate([one[0], two[0]])
+        order = np.argsort(strings, kind="stable")
+        return strings[order], np.concatenate([one[1], two[1]])[order], order
+
+    def scan_and_add(self, strings: np.ndarray, docs: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """For each suffix of a new batch the smallest document whose suffix agrees with it in ``length`` bytes, itself included."""
+        own = strings[order], docs[order]
+        earliest = docs.copy()
+        nothing = strings[:0], docs[:0]
+        for level in self.levels or [nothing]:
+            both, whose, source = self.merged(level, own)
+            turn = np.flatnonzero(np.r_[True, common_prefix(both) < self.length]) if len(both) else np.zeros(0, np.int64)
+            lowest = np.repeat(np.minimum.reduceat(whose, turn), np.diff(np.r_[turn, len(both)])) if len(both) else whose
+            new = source >= len(level[0])
+            at = order[source[new] - len(level[0])]
+            earliest[at] = np.minimum(earliest[at], lowest[new])
+        level = own
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):  # geometric merge
+            strings, docs, _ = self.merged(self.levels.pop(), level)
+            turn = np.flatnonzero(np.r_[True, strings[1:] != strings[:-1]])
+            level = strings[turn], np.minimum.reduceat(docs, turn)
+        self.levels.append(level)
+        return earliest
+
+
+def first_documents(c: Contexts, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context's windows, in one array, the smallest document that the index finds for them; and how many windows each has."""
+    n = np.fromiter(map(len, c.texts), np.int64, len(c.texts)) - length + 1
+    offset = np.cumsum(n) - n
+    out = np.full(int(n.sum()), NEVER, np.int64)
+    by_key = np.argsort(c.key, kind="stable")
+    group = np.empty(len(n), np.int64)
+    group[by_key] = (np.cumsum(n[by_key]) - n[by_key]) // GROUP_STRINGS
+    # a seed belongs to the group in which it begins
+    _, seed, times = np.unique(c.key[by_key], return_index=True, return_counts=True)
+    group[by_key] = np.repeat(group[by_key][seed], times)
+    order = np.lexsort((first, group))
+    family, now, at = None, -1, 0
+    while at < len(order):
+        if group[order[at]] != now:
+            family, now = IndexFamily(length), group[order[at]]
+        upto = at + int(np.searchsorted(group[order[at:]], now, "right"))
+        windows = np.cumsum(n[order[at:upto]])
+        part = order[at : at + max(1, int(np.searchsorted(windows, BATCH_STRINGS, "right")))]
+        at += len(part)
+        strings, sorted_ = suffix_array([c.texts[i] for i in part], n[part], 2 * length - k)
+        step = np.arange(len(strings)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+        out[np.repeat(offset[part], n[part]) + step] = family.scan_and_add(strings, np.repeat(first[part], n[part]), sorted_)
+    return out, n
 
 
 def scan_bucket(length: int, k: int):
     """Bucket: spans of documents that repeat strings of earlier ones."""
-    width = 2 * length - k
 
     def scan(table: pa.Table) -> pa.Table:
-        blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
-        spans = [column(blobs["done"], SPAN)]
-        key, low, n = column(blobs["key"], np.uint64), column(blobs["low"], np.uint16), column(blobs["n"], np.uint16)
-        if len(key):
-            plain = [pa.decompress(x, len(k) // 8 * width, codec="zstd", asbytes=True) for x, k in zip(blobs["context"], blobs["key"], strict=True) if x]
-            context = column(plain, np.uint8).reshape(-1, width)
-            start = column(blobs["start"], np.uint32).astype(np.int64)
-            docs = column(blobs["docs"], np.int64).reshape(-1, 2)
-            base = np.cumsum([0, *(len(x) // 16 for x in blobs["docs"])])[:-1]
-            doc = column(blobs["doc"], np.uint32) + np.repeat(base, [len(x) // 4 for x in blobs["doc"]])
-            row, doc_id = docs[doc, 0], docs[doc, 1]
-            order, turn, group = _groups(key, low, n, context, doc_id)
-            first = order[turn]
-            late = doc_id[order] > doc_id[first][group]
-            gone = order[late]
-            spans.append(_spans(row[gone], doc_id[gone], start[gone], start[gone] + n[gone] - 1 + length))
-            # seeds that have several surroundings: judge window by window
-            _, kind, times = np.unique(key[first], return_inverse=True, return_counts=True)
-            several = times[kind] > 1
-            heads, of_group = first[several], np.flatnonzero(several)
-            by_doc = np.argsort(doc_id[heads], kind="stable")
-            heads, of_group = heads[by_doc], of_group[by_doc]
-            family = IndexFamily()
-            repeated = np.zeros((len(turn), length - k + 1), bool)
-            ends = np.cumsum(n[heads].astype(np.int64))
-            at = 0
-            while at < len(heads):
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_STRINGS, "right")))
-                part, groups = heads[at:upto], of_group[at:upto]
-                times = n[part].astype(np.int64)
-                pick = np.repeat(np.arange(len(part)), times)
-                step = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-                windows = np.lib.stride_tricks.sliding_window_view(context[part], length, axis=1)[pick, low[part][pick] + step]
-                strings = np.ascontiguousarray(windows).view(f"S{length}").ravel()
-                repeated[groups[pick], step] = family.scan_and_add(strings, doc_id[part][pick])
-                at = upto
-            # the earliest document's rows of each group take the group's verdicts
-            early = ~late
-            members, verdict = order[early], repeated[group[early]]
-            m, step = np.nonzero(verdict)
-            at = start[members[m]] + step
-            if len(m):
-                new = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (step[1:] != step[:-1] + 1)])
-                who = members[m[new]]
-                spans.append(_spans(row[who], doc_id[who], at[new], at[np.r_[new[1:] - 1, len(at) - 1]] + length))
-        found = np.concatenate(spans)
-        return pa.table({c: pa.array(np.ascontiguousarray(found[c]), pa.int64()) for c in SPAN.names})
+        c = Contexts(table)
+        first = np.full(len(c.texts), NEVER, np.int64)
+        np.minimum.at(first, c.owner, c.doc_id)
+        found, n = first_documents(c, first, length, k)
+        latest = np.maximum.reduceat(found, np.cumsum(n) - n)
+        # places of documents after all those found lose the whole context
+        gone = np.flatnonzero(c.doc_id > latest[c.owner])
+        spans = [c.spans(gone, np.zeros(len(gone), np.int64), n[c.owner[gone]] - 1 + length)]
+        # the others are judged window by window
+        rest = np.flatnonzero((c.doc_id <= latest[c.owner]) & (np.minimum.reduceat(found, np.cumsum(n) - n)[c.owner] < c.doc_id))
+        times = n[c.owner[rest]]
+        at = np.repeat((np.cumsum(n) - n)[c.owner[rest]], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        which, start, end = c.runs(found[at] < np.repeat(c.doc_id[rest], times), times, length, rest)
+        spans.append(c.spans(rest[which], start, end))
+        return pa.concat_tables(spans)
 
     return scan
 
 
-def _spans(row, doc_id, start, end) -> np.ndarray:
-    out = np.zeros(len(row), SPAN)
-    out["row"], out["doc_id"], out["start"], out["end"] = row, doc_id, start, end
-    return out
-
-
 def earlier_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
     """row, doc_id, spans (start, end in bytes, unmerged) of a keyed table (see ``seeds.keyed``)."""
-    sizes = sizes_for(docs)
-    seeds = repeated_seeds(docs, byte_tokens, length, k, sizes)
-    release(docs.sparkSession)  # the seeds' shuffle
-    sent = deal_repeated(docs, seeds, sizes, send_contexts(length, k, sizes.buckets), CONTEXT_ROWS)
-    spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(scan_bucket(length, k), "row long, doc_id long, start long, end long")
-    packed = F.shiftleft("start", 32) + F.col("end")
-    return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), "spans")
+    return repeated_spans(docs, split_bytes, length, k, scan_bucket(length, k), "spans")
 
 
 def _with_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     spans = earlier_spans(docs, length, k).select(F.col("row").alias("span_row"), F.col("doc_id").alias("span_id"), "spans")
-    release(docs.sparkSession)  # the contexts' shuffle
     return docs.join(spans.hint("shuffle_hash"), (docs["row"] == spans["span_row"]) & (docs["doc_id"] == spans["span_id"]), "left")
 
 
@@ -272,7 +192,6 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str
     others = [c for c in docs.columns if c != text_col]
     row, order, found = unused(docs, "_row"), unused(docs, "_order"), unused(docs, "_spans")
     spans = earlier_spans(keyed(docs, id_col, text_col), length, k).select(F.col("row").alias(row), F.col("doc_id").alias(order), F.col("spans").alias(found))
-    release(docs.sparkSession)  # the contexts' shuffle
     own_row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.join(spans.hint("shuffle_hash"), (own_row == F.col(row)) & (row_id(id_col) == F.col(order)), "left")
     schema = docs.schema
@@ -288,6 +207,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` without the strings of earlier ones: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = suffix_dedup(docs)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -159,6 +159,7 @@ def _cut_bytes(rows, length):
 def test_suffix_dedup_is_brute_force(docs, empty, monkeypatch, heavy):
     monkeypatch.setattr(seeds, "HEAVY", heavy)
     monkeypatch.setattr(suffix_dedup, "BATCH_STRINGS", 64)
+    monkeypatch.setattr(suffix_dedup, "GROUP_STRINGS", 1000)
     got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(docs).collect())
     assert got == _cut_bytes(_rows(docs), 50)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
@@ -170,18 +171,38 @@ def test_suffix_dedup_is_brute_force(docs, empty, monkeypatch, heavy):
 
 def test_index_family_keeps_log_many_levels():
     rng = np.random.default_rng(1)
-    family, seen, first = suffix_dedup.IndexFamily(), {}, 0
+    family, seen, first = suffix_dedup.IndexFamily(6), {}, 0
     for batch in range(40):
-        strings = rng.integers(97, 99, (50, 6)).astype(np.uint8).view("S6").ravel()
-        docs = np.sort(rng.integers(first, first + 5, 50))
+        texts = [bytes(rng.integers(97, 99, 9).astype(np.uint8)) for _ in range(15)]
+        docs = np.repeat(np.sort(rng.integers(first, first + 5, 15)), 4)
         first += 5
-        got = family.scan_and_add(strings, docs)
+        strings, order = suffix_dedup.suffix_array(texts, np.full(15, 4), 9)
+        assert strings.tolist() == [t[i:] for t in texts for i in range(4)]
+        got = family.scan_and_add(strings, docs, order)
         own = dict(seen)
         for s, d in zip(strings.tolist(), docs.tolist(), strict=True):
-            own[s] = min(own.get(s, d), d)
-        assert got.tolist() == [own[s] < d for s, d in zip(strings.tolist(), docs.tolist(), strict=True)]
+            own[s[:6]] = min(own.get(s[:6], d), d)
+        assert got.tolist() == [own[s[:6]] for s in strings.tolist()]
         seen = own
         assert len(family.levels) <= 7
+        assert all((level[0][1:] > level[0][:-1]).all() for level in family.levels[:-1])
+
+
+def test_nothing_goes_without_the_index(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.IndexFamily, "scan_and_add", lambda self, strings, docs, order: np.full(len(docs), suffix_dedup.NEVER))
+    got = suffix_dedup.scan_bucket(50, 20)
+    sent = seeds.send_contexts(seeds.split_bytes, 50, 20, 1)
+    import pyarrow as pa
+
+    text = "0123456789 abcdefghij klmnopqrst uvwxyz ABCDEFGHIJ KLMNOPQRST"
+    own = pa.table({"doc_id": [1, 2], "row": [1, 2], "text": [text, text]})
+    s = seeds.winnow(*seeds.byte_tokens([text.encode()]), 50, 20)
+    low = (s.key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    found = pa.table({"bucket": pa.array([0] * len(low), pa.int32()), "key": pa.array([x.tobytes() for x in low], pa.binary()), "heavy": pa.array([b"\0"] * len(low), pa.binary())})
+    table = sent(own, found, 1)
+    assert table.num_rows == 1 and got(table).num_rows == 0
+    monkeypatch.undo()
+    assert set(suffix_dedup.scan_bucket(50, 20)(table).column("doc_id").to_pylist()) == {2}
 
 
 @pytest.mark.parametrize("heavy", [seeds.HEAVY, 2])
