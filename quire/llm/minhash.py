@@ -13,11 +13,11 @@ all documents in ``IDF_SLOTS`` hashed slots, a table of fixed size.
    similarity. Bands of ``ROWS`` samples are hashed to buckets.
 2. Equal word sequences are one node. In each bucket that holds nodes of
    several components, the nodes outside its largest component are paired with
-   two centres (a star), pruned by total weight (exact) and by the ``SAMPLES``
+   one centre of it (a star), pruned by total weight (exact) and by the ``SAMPLES``
    samples cut to four bits (a pair at 0.8 fails that with probability below
    1e-5; ``exact`` leaves it out), and verified by weighted Jaccard on the
-   shingles. Components are contracted; ``TURNS`` rounds use fresh centres. A
-   group of n copies costs n.
+   shingles. Components are contracted; with more than one of the ``TURNS``
+   each uses a fresh centre. A group of n copies costs n.
 3. What is left, pairs of one bucket whose components still differ, is judged
    in tiles. A bucket that is too large for a task is cut into blocks by weight
    class and hash, a tile is two blocks. Members without a partner that passes
@@ -59,7 +59,7 @@ MAX_APART = 28
 SLACK = 1e-6
 PACKED = [f"s{k}" for k in range(SAMPLES // 16)]
 #: Rounds of stars before all pairs that are left are judged.
-TURNS = 2
+TURNS = 1
 #: Load of a tile's block: a node counts 1 and 1 more for each 250 of weight.
 ROOM = 8192
 #: Pairs and postings that a task holds at once.
@@ -320,26 +320,22 @@ def labelled_members(members: DataFrame, classes: DataFrame | None) -> DataFrame
 
 
 def open_buckets(labelled: DataFrame, turn: int) -> DataFrame:
-    """Stored band, bucket, top (the largest component) and two centres of buckets in several components.
+    """Stored band, bucket, top (the largest component) and a centre in it, of buckets in several components.
 
-    One centre lies in the largest component, the other is any node; both are
-    drawn by a hash of the node and the turn alone, so that the buckets of one
-    group agree on their centres and pairs of several buckets are equal.
+    Both are drawn by a hash of the node and the turn alone, so that the buckets
+    of one group agree on their centres and pairs of several buckets are equal.
     """
     own = F.xxhash64("node", F.lit(turn))
     parts = labelled.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(own.alias("draw"), "node")).alias("head"))
-    ranked = F.struct("n", F.xxhash64("component", F.lit(turn)).alias("draw"), "component", F.col("head.node").alias("node"))
-    any_node = F.struct(F.col("head.draw").alias("draw"), F.col("head.node").alias("node"), "component")
-    found = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(ranked).alias("top"), F.min(any_node).alias("low"))
-    centers = F.array(F.struct(F.col("top.node").alias("center"), F.col("top.component").alias("own")), F.struct(F.col("low.node").alias("center"), F.col("low.component").alias("own")))
-    return stored(found.filter("parts > 1").select("band", "bucket", F.col("top.component").alias("top"), centers.alias("centers")), "open-buckets")
+    ranked = F.struct("n", "head.draw", "component", F.col("head.node").alias("node"))
+    found = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(ranked).alias("top"))
+    return stored(found.filter("parts > 1").select("band", "bucket", F.col("top.component").alias("top"), F.col("top.node").alias("center")), "open-buckets")
 
 
 def star_links(labelled: DataFrame, buckets: DataFrame, info: DataFrame, sets: DataFrame, similarity: float, exact: bool) -> DataFrame:
-    """Verified links of each bucket's nodes outside its largest component with the bucket's centres."""
+    """Verified links of each bucket's nodes outside its largest component with the bucket's centre."""
     outside = labelled.select("node", "band", "bucket", "component").join(buckets, ["band", "bucket"]).filter("component != top")
-    rays = outside.select("node", "component", F.explode(F.array_distinct("centers")).alias("c")).filter("component != c.own")
-    pairs = rays.select(F.least("node", "c.center").alias("a"), F.greatest("node", "c.center").alias("b")).distinct()
+    pairs = outside.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     one, two = info.withColumnRenamed("node", "a").alias("m"), info.withColumnRenamed("node", "b").alias("c")
     near = pairs.join(one, "a").join(two, "b").filter(_prune("m", "c", similarity, exact))
     return verify(stored(near.select("a", "b"), "pairs"), sets, similarity)
@@ -348,14 +344,14 @@ def star_links(labelled: DataFrame, buckets: DataFrame, info: DataFrame, sets: D
 TILE = ["band", "bucket", "c1", "p1", "c2", "p2"]
 
 
-def tiles_of(labelled: DataFrame, buckets: DataFrame, similarity: float, room: int) -> DataFrame:
+def tiles_of(labelled: DataFrame, buckets: DataFrame, info: DataFrame, similarity: float, room: int) -> DataFrame:
     """The members of open buckets, dealt to tiles: each pair that can be alike meets in one tile of its bucket.
 
     A bucket of more than ``room`` units of load is cut by weight class (nodes
     two classes apart differ too much in weight) and in a class by a hash, so
     that two blocks and not the bucket make a tile.
     """
-    open_ = labelled.join(buckets.select("band", "bucket", "top"), ["band", "bucket"])
+    open_ = labelled.join(buckets.select("band", "bucket", "top"), ["band", "bucket"]).join(info.select("node", "weight"), "node")
     load = (F.lit(1.0) + F.col("weight") / 250).alias("load")
     step = -float(np.log(similarity - SLACK))
     open_ = open_.withColumn("cls", F.floor(F.log("weight") / step).cast("int"))
@@ -379,7 +375,7 @@ def tiles_of(labelled: DataFrame, buckets: DataFrame, similarity: float, room: i
     )
     whole = F.array(key(zero, zero, zero, zero, zero))
     placed = dealt.withColumn("tile", F.explode(F.when(F.col("salts").isNull(), whole).otherwise(spread)))
-    return placed.withColumn("outside", F.col("component") != F.col("top")).select("node", "component", "outside", "weight", "bands", *PACKED, "band", "bucket", "tile.*")
+    return placed.withColumn("outside", F.col("component") != F.col("top")).select("node", "component", "outside", "weight", "band", "bucket", "tile.*")
 
 
 def whole_tiles(batches, keys: list[str]):
@@ -545,11 +541,14 @@ def judge_tiles(similarity: float):
     return judge
 
 
-def tile_links(labelled: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float, exact: bool, room: int) -> DataFrame:
+def tile_links(labelled: DataFrame, buckets: DataFrame, info: DataFrame, sets: DataFrame, similarity: float, exact: bool, room: int) -> DataFrame:
     """Stored links of what the stars leave: all pairs of an open bucket whose components differ are judged."""
-    placed = tiles_of(labelled, buckets, similarity, room).repartition(*TILE).sortWithinPartitions(*TILE, "node")
+    placed = tiles_of(labelled, buckets, info, similarity, room)
     schema = "node binary, component binary, outside boolean, band int, bucket long, c1 int, p1 int, c2 int, p2 int, side int"
-    left = placed.select(*[c.split()[0] for c in schema.split(", ")]) if exact else placed.mapInArrow(flag_members(similarity), schema)
+    left = placed.select(*[c.split()[0] for c in schema.split(", ")])
+    if not exact:
+        sampled = placed.join(info.drop("weight"), "node").repartition(*TILE).sortWithinPartitions(*TILE, "node")
+        left = sampled.mapInArrow(flag_members(similarity), schema)
     left = stored(left, "tile-members")
     joined = left.join(sets, "node").repartition(*TILE).sortWithinPartitions(*TILE, "node")
     return stored(joined.mapInArrow(judge_tiles(similarity), "a binary, b binary, similarity double"), "links")
@@ -561,8 +560,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
     Every pair of nodes that share a bucket is in one component if it is alike;
     ``exact`` leaves out the test on samples, the only one that can be wrong.
     """
-    info = nodes.select("node", "weight", *PACKED)
-    members = nodes.select("node", "weight", "bands", *PACKED, F.posexplode("bands").alias("band", "bucket"))
+    info = nodes.select("node", "weight", "bands", *PACKED)
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = stored(members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "buckets")
     members = stored(members.join(sizes, ["band", "bucket"]), "members")
     sets = shingle_sets(members, nodes, docs, idf)
@@ -572,7 +571,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
         buckets = open_buckets(labelled, turn)
         if links is not None and buckets.isEmpty():
             break
-        found = star_links(labelled, buckets, info, sets, similarity, exact) if turn < TURNS else tile_links(labelled, buckets, sets, similarity, exact, room)
+        found = star_links(labelled, buckets, info.drop("bands"), sets, similarity, exact) if turn < TURNS else tile_links(labelled, buckets, info, sets, similarity, exact, room)
         if links is not None and found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)

@@ -418,7 +418,7 @@ def test_tiles_judge_all_pairs_that_stars_leave(spark, monkeypatch, exact):
     tiled = minhash.tile_links
     monkeypatch.setattr(minhash, "TURNS", 0)
     monkeypatch.setattr(minhash, "PAIRS", 500)
-    monkeypatch.setattr(minhash, "tile_links", lambda *a: seen.append(tiled(*a[:5], 20)) or seen[-1])
+    monkeypatch.setattr(minhash, "tile_links", lambda *a: seen.append(tiled(*a[:6], 20)) or seen[-1])
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, exact=exact).collect()}
     assert got == {i: min(j for j in range(150) if group[j] == group[i]) for i in range(150)}
     assert seen[0].count() < 16 * 150
