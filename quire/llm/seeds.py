@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import parts_for, stored, text_bytes
+from .common import parts_for, release, stored, text_bytes
 
 #: Text bytes hashed at once: temporary arrays stay near the processor.
 HASH_BYTES = 1_000_000
@@ -374,6 +374,7 @@ def repeated_spans(docs: DataFrame, split: Callable, length: int, k: int, judge:
         raise ValueError(f"length {length}, seed {k}: the seed is at most as long, the length under {1 << 15}")
     sizes = sizes_for(docs)
     seeds = repeated_seeds(docs, lambda texts: split(texts)[:2], length, k, sizes)
+    release(docs.sparkSession)  # the seeds' shuffle
     task, hashes = send_contexts(split, length, k, sizes.buckets), sizes.hashes
     empty = pa.table({c.split()[0]: pa.array([], pa.int32() if "int" in c else pa.binary()) for c in CONTEXT_ROWS.split(", ")})
 

@@ -42,21 +42,18 @@ from .seeds import Contexts, keyed, merged_spans, raw_texts, repeated_spans, spl
 LENGTH = 50
 SEED = 20
 #: Window starts in a batch of the index family, and in one index.
-BATCH_STRINGS, GROUP_STRINGS = 1 << 15, 1 << 18
+BATCH_STRINGS, GROUP_STRINGS = 1 << 16, 1 << 18
 #: No document is later.
 NEVER = 2**63 - 1
 
 
 def suffix_array(texts: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` suffixes of each text as strings of ``width`` bytes (zeros after its end), and their sorted order."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), n)
-    begin = (ends - sizes)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    flat = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
-    rows = np.lib.stride_tricks.sliding_window_view(flat, width)[begin]
-    rows[np.arange(width)[None, :] >= (ends[owner] - begin)[:, None]] = 0
-    strings = rows.view(f"S{width}").ravel()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + width
+    begin = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    gap = bytes(width)
+    flat = np.frombuffer(gap.join([*texts, b""]), np.uint8)
+    strings = np.lib.stride_tricks.sliding_window_view(flat, width)[begin].view(f"S{width}").ravel()
     return strings, np.argsort(strings, kind="stable")
 
 
@@ -83,49 +80,59 @@ class IndexFamily:
 
     def scan_and_add(self, strings: np.ndarray, docs: np.ndarray, order: np.ndarray) -> np.ndarray:
         """For each suffix of a new batch the smallest document whose suffix agrees with it in ``length`` bytes, itself included."""
-        own = strings[order], docs[order]
+        batch, whose = strings[order], docs[order]
+        number = np.arange(len(order))  # of each element the place in the batch, -1 if it comes from a level
         earliest = docs.copy()
-        nothing = strings[:0], docs[:0]
-        for level in self.levels or [nothing]:
-            both, whose, source = self.merged(level, own)
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        grows = True
+        for level in self.levels[::-1] or [(strings[:0], docs[:0])]:  # from the smallest on
+            both, docs_of, source = self.merged(level, (batch, whose))
             turn = np.flatnonzero(np.r_[True, common_prefix(both) < self.length]) if len(both) else np.zeros(0, np.int64)
-            lowest = np.repeat(np.minimum.reduceat(whose, turn), np.diff(np.r_[turn, len(both)])) if len(both) else whose
-            new = source >= len(level[0])
-            at = order[source[new] - len(level[0])]
-            earliest[at] = np.minimum(earliest[at], lowest[new])
-        level = own
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):  # geometric merge
-            strings, docs, _ = self.merged(self.levels.pop(), level)
-            turn = np.flatnonzero(np.r_[True, strings[1:] != strings[:-1]])
-            level = strings[turn], np.minimum.reduceat(docs, turn)
-        self.levels.append(level)
+            lowest = np.repeat(np.minimum.reduceat(docs_of, turn), np.diff(np.r_[turn, len(both)])) if len(both) else docs_of
+            place = np.concatenate([np.full(len(level[0]), -1), number])[source]
+            at = order[place[place >= 0]]
+            earliest[at] = np.minimum(earliest[at], lowest[place >= 0])
+            grows = grows and len(level[0]) <= 2 * len(batch)
+            if grows:  # geometric merge: the merged order stands for both from here on
+                batch, whose, number = both, docs_of, place
+            else:
+                kept.append(level)
+        turn = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1]]) if len(batch) else np.zeros(0, np.int64)
+        self.levels = [*kept[::-1], (batch[turn], np.minimum.reduceat(whose, turn) if len(turn) else whose)]
         return earliest
 
 
 def first_documents(c: Contexts, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context's windows, in one array, the smallest document that the index finds for them; and how many windows each has."""
+    """For each context's windows, in one array, the smallest document that the index finds for them; and how many windows each has.
+
+    All windows of a context go into the suffix arrays, as its neighbours may
+    share some of them. A context that has its seed for itself can only match as
+    a whole: of it one suffix goes in, whose match covers all its windows.
+    """
     n = np.fromiter(map(len, c.texts), np.int64, len(c.texts)) - length + 1
-    offset = np.cumsum(n) - n
-    out = np.full(int(n.sum()), NEVER, np.int64)
-    by_key = np.argsort(c.key, kind="stable")
-    group = np.empty(len(n), np.int64)
-    group[by_key] = (np.cumsum(n[by_key]) - n[by_key]) // GROUP_STRINGS
+    _, seed, times = np.unique(c.key, return_inverse=True, return_counts=True)
+    sent = np.where(times[seed] == 1, 1, n)
+    offset = np.cumsum(sent) - sent
+    found = np.full(int(sent.sum()), NEVER, np.int64)
+    by_seed = np.argsort(seed, kind="stable")
     # a seed belongs to the group in which it begins
-    _, seed, times = np.unique(c.key[by_key], return_index=True, return_counts=True)
-    group[by_key] = np.repeat(group[by_key][seed], times)
+    before = np.cumsum(sent[by_seed]) - sent[by_seed]
+    group = (before[np.searchsorted(seed[by_seed], np.arange(len(times)))] // GROUP_STRINGS)[seed]
     order = np.lexsort((first, group))
+    ends = np.searchsorted(group[order], group[order], "right")
     family, now, at = None, -1, 0
     while at < len(order):
         if group[order[at]] != now:
             family, now = IndexFamily(length), group[order[at]]
-        upto = at + int(np.searchsorted(group[order[at:]], now, "right"))
-        windows = np.cumsum(n[order[at:upto]])
-        part = order[at : at + max(1, int(np.searchsorted(windows, BATCH_STRINGS, "right")))]
+        size = np.cumsum(sent[order[at : ends[at]]])
+        part = order[at : at + max(1, int(np.searchsorted(size, BATCH_STRINGS, "right")))]
         at += len(part)
-        strings, sorted_ = suffix_array([c.texts[i] for i in part], n[part], 2 * length - k)
-        step = np.arange(len(strings)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-        out[np.repeat(offset[part], n[part]) + step] = family.scan_and_add(strings, np.repeat(first[part], n[part]), sorted_)
-    return out, n
+        strings, sorted_ = suffix_array([c.texts[i] for i in part], sent[part], 2 * length - k)
+        step = np.arange(len(strings)) - np.repeat(np.cumsum(sent[part]) - sent[part], sent[part])
+        found[np.repeat(offset[part], sent[part]) + step] = family.scan_and_add(strings, np.repeat(first[part], sent[part]), sorted_)
+    owner = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return found[offset[owner] + np.minimum(step, sent[owner] - 1)], n
 
 
 def scan_bucket(length: int, k: int):
