@@ -17,11 +17,14 @@ NULL_ID = 2**63 - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder is taken and
-    kept in the session's settings, so that one session uses one folder.
+    Where the setting is absent and the master is local (tests), a temporary
+    folder is taken and kept in the session's settings, so that one session uses
+    one folder; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = spark.conf.get("quire.shared.dir", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -29,8 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """All intermediate tables of an application lie in one folder."""
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables and token files; call it when the results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def release(spark: SparkSession) -> None:

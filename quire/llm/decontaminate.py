@@ -5,7 +5,8 @@ gives windows of ``n`` consecutive words (one shorter window if it has fewer).
 
 1. The frequency of every test term is counted over the whole corpus.
 2. Each window names its two rarest terms. The postings of all rarest terms,
-   (term, document, position) with the words around it, are stored.
+   (term, document, position) with the words around it, are inverted: dealt by
+   ranges of the term, a frequent term over several, sorted by it and stored.
 3. Lists are shifted by the term's offset in the window, so that both lists of a
    window hold the phrase's start, and intersected. What survives is compared
    with the whole window, word by word, from the stored surroundings.
@@ -71,10 +72,11 @@ def term_frequencies(worded: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def positional_index(worded: DataFrame, terms: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The stored index: one row per document with n_words and its postings.
+    """doc_id, h, n_words, k, term, pos, before, context: one row per posting, or one without a term if a document has none.
 
-    A posting has the term, its position, and the ``n - 1`` words before and
-    after it, so that any window through the position can be verified.
+    ``k`` numbers the postings of a document from 0. A posting has the term, its
+    position, and the ``n - 1`` words before and after it, so that any window
+    through the position can be verified.
     """
     n_words = F.size("words").cast("long").alias("n_words")
 
@@ -82,14 +84,18 @@ def positional_index(worded: DataFrame, terms: DataFrame, n: int = WINDOW) -> Da
         before = F.least(at, F.lit(n - 1))
         return F.struct(F.get("words", at).alias("term"), at.alias("pos"), before.alias("before"), F.slice("words", at - before + 1, before + n).alias("context"))
 
+    def inverted(listed: DataFrame) -> DataFrame:
+        rows = listed.select("doc_id", "h", "n_words", F.posexplode_outer("postings").alias("k", "p"))
+        return rows.select("doc_id", "h", "n_words", F.coalesce("k", F.lit(0)).alias("k"), "p.*").repartitionByRange("term", "h").sortWithinPartitions("term")
+
     few = _term_set(terms)
     if few is not None:
         places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(few), i)), lambda i: i.isNotNull())
-        return worded.select("doc_id", "h", n_words, F.transform(places, posting).alias("postings"))
+        return inverted(worded.select("doc_id", "h", n_words, F.transform(places, posting).alias("postings")))
     found = worded.select("doc_id", "h", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
     places = found.groupBy(F.col("doc_id").alias("own_id"), F.col("h").alias("own_h")).agg(F.collect_set("pos").alias("places"))
     joined = worded.join(places, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h")), "left")
-    return joined.select("doc_id", "h", n_words, F.transform(F.coalesce("places", F.array().cast("array<int>")), posting).alias("postings"))
+    return inverted(joined.select("doc_id", "h", n_words, F.transform(F.coalesce("places", F.array().cast("array<int>")), posting).alias("postings")))
 
 
 def rarest_terms(windows: DataFrame, df: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def phrase_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
     dealt out, each is thinned by its stored surroundings: the other term must
     stand at its offset. Then they are intersected and the words compared.
     """
-    postings = index.select("doc_id", "h", F.explode("postings").alias("p")).select("doc_id", "h", "p.*")
+    postings = index.filter("term IS NOT NULL")
     size = rare.agg(F.coalesce(F.sum(64 + F.octet_length(F.array_join("window", " ")) * 2), F.lit(0)).alias("n")).first()["n"]
     rare = F.broadcast(rare) if size <= MAX_BROADCAST else rare
     at = lambda offset: F.get("context", F.col("before") + offset)
@@ -132,8 +138,13 @@ def proximity_matches(docs: DataFrame, phrase: list[str], slop: int) -> DataFram
     """doc_id, first, last: places where all words of a phrase stand within ``slop`` words.
 
     Starts from the phrase's rarest word; the other words are looked up in the
-    stored surroundings of its postings, which reach ``slop`` to both sides.
+    stored surroundings of its postings, which reach ``slop`` to both sides. Words
+    are in any order; a repeated one counts once. A text shorter than ``slop`` is
+    one place. Null and empty texts have none, equal rows and ids give equal places
+    once, and an empty phrase is an error.
     """
+    if not phrase:
+        raise ValueError("a phrase has words")
     spark = docs.sparkSession
     worded = docs.select("doc_id", row_hash().alias("h"), words_of(F.col("text")).alias("words"))
     terms = spark.createDataFrame([(w,) for w in dict.fromkeys(phrase)], "term string")
@@ -142,7 +153,7 @@ def proximity_matches(docs: DataFrame, phrase: list[str], slop: int) -> DataFram
         return worded.select("doc_id", F.lit(0).alias("first"), F.lit(0).alias("last")).limit(0)
     rarest = min(df, key=lambda w: (df[w], w))
     index = positional_index(worded, terms.filter(F.col("term") == rarest), slop)
-    at = index.select("doc_id", F.explode("postings").alias("p")).select("doc_id", "p.*")
+    at = index.filter("term IS NOT NULL")
     lowest = F.col("pos") - F.col("before")
     spans = F.transform(F.sequence(F.lit(0), F.col("before")), lambda s: F.struct((lowest + s).alias("first"), F.least(lowest + s + (slop - 1), lowest + F.size("context") - 1).alias("last"), F.slice("context", s + 1, slop).alias("words")))
     found = at.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*")
@@ -165,13 +176,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
     hit = fresh.groupBy("doc_id", "h").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).cast("long").alias("n_hit"))
     found = matches.join(windows, "window").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias("items"))
     hits = hit.join(found, (hit["doc_id"].eqNullSafe(found["doc_id"])) & (hit["h"].eqNullSafe(found["h"]))).select(hit["doc_id"].alias("hit_id"), hit["h"].alias("hit_h"), "n_hit", "items")
-    base = index.select("doc_id", "h", "n_words")
+    base = index.filter("k = 0").select("doc_id", "h", "n_words")
     out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("h").eqNullSafe(F.col("hit_h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (CONTAMINATED_ONE_IN * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` against all windows of ``benchmark``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate(docs, items)

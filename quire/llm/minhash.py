@@ -617,5 +617,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents``: doc_id, class_id (smallest doc_id of its class), class_size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "class_size")

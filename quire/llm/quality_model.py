@@ -217,6 +217,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def op4_quality_model(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` scored by a model of ``labels``: doc_id, held_out, score, predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return score(docs, fit(docs, labels))

@@ -26,7 +26,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 #: A host is rejected when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
-#: Hosts are few beside documents; a prior never counts for more documents than this.
+#: Where hosts do not differ beyond noise the fitted prior has no bound: it counts for so many documents.
 MAX_PRIOR_WEIGHT = 1000.0
 
 BLANKS = " \t\n\x0b\f\r"
@@ -63,11 +63,13 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, host, the five counts and ``base_failed``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     worded = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), _words(text).alias("words"))
-    windowed = worded.withColumn(
+    # words are hashed once, windows from the words' hashes
+    hashed = worded.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    windowed = hashed.withColumn(
         "windows",
         F.when(
             F.size("words") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(*(F.get("words", i + (k - 1)) for k in range(WINDOW)))),
+            F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(*(F.get("hashes", i + (k - 1)) for k in range(WINDOW)))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
@@ -85,7 +87,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counted.withColumn("base_failed", failed)
 
 
-def host_verdicts(base: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(base: DataFrame, max_rate: float = MAX_HOST_RATE, max_prior_weight: float = MAX_PRIOR_WEIGHT) -> DataFrame:
     """One row per host: documents, failures, shrunk rate and verdict.
 
     The prior comes from the hosts themselves: its mean is the overall failure
@@ -103,25 +105,26 @@ def host_verdicts(base: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     mean = f / n if n else 0.0
     noise = mean * (1 - mean)
     spread = max(0.0, (sums["ff"] or 0.0) / n - mean * mean - noise * sums["hosts"] / n) if n else 0.0
-    weight = min(MAX_PRIOR_WEIGHT, max(1.0, noise / spread - 1)) if spread > 0 else MAX_PRIOR_WEIGHT
+    weight = min(max_prior_weight, max(1.0, noise / spread - 1)) if spread > 0 else max_prior_weight
     rate = (F.col("host_failed") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
     return hosts.withColumn("host_rate", rate).withColumn("host_ok", rate <= max_rate)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE, max_prior_weight: float = MAX_PRIOR_WEIGHT) -> DataFrame:
     """Base counts, host rate and ``kept`` for every document.
 
-    Hosts that fail are joined back by an anti-join of a filtered host table:
-    rejected hosts are the small side whatever the number of documents, and a
-    hot host is split by adaptive skew handling.
+    Every host's rate and verdict, one row a host, is joined back to the stored
+    base counts. Spark sends the hosts to all tasks where they are few, and else
+    sorts both sides; a hot host is then split by adaptive skew handling.
     """
     base = stored(base_counts(docs, id_col, text_col, host_col), "quality-base")
-    hosts = host_verdicts(base, max_rate).select(F.col("host").alias("host_key"), "host_rate", "host_ok")
+    hosts = host_verdicts(base, max_rate, max_prior_weight).select(F.col("host").alias("host_key"), "host_rate", "host_ok")
     joined = base.join(hosts, F.col("host").eqNullSafe(F.col("host_key")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("host_key")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents``: doc_id, the five counts, base_failed and, with its source's verdict, kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

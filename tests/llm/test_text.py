@@ -278,11 +278,20 @@ def test_decontamination_is_brute_force(spark, docs, empty, monkeypatch, few):
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "one two three four five"), (2, "five x x x x x x one"), (3, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.first) for r in decontaminate.proximity_matches(docs, ["five", "two"], 4).collect()}
-    assert got and {d for d, _ in got} == {1}
+def test_proximity_is_brute_force(spark, empty):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 25))) for _ in range(40)] + [None, "", "a b", "a b", "x " * 5000 + "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for phrase, slop in ((["a", "b"], 2), (["c", "a", "e"], 4), (["d", "d"], 1), (["b", "a"], 30)):
+        want = set()
+        for i, t in enumerate(texts):
+            w = _words(t or "")
+            for k in range(max(1, len(w) - slop + 1)):
+                if set(phrase) <= set(w[k : k + slop]):
+                    want.add(i)
+        assert {r.doc_id for r in decontaminate.proximity_matches(docs, phrase, slop).collect()} == want
     assert decontaminate.proximity_matches(docs, ["absent"], 3).count() == 0
+    assert decontaminate.proximity_matches(empty, ["a"], 3).count() == 0
 
 
 def test_quality_rules_are_brute_force(docs, empty):
@@ -301,6 +310,28 @@ def test_quality_rules_are_brute_force(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1000.0, 3.0])
+def test_host_rates_are_those_of_a_plain_fit(spark, most):
+    rng = random.Random(1)
+    rows, text = [], " ".join(str(rng.random()) for _ in range(12))
+    for h in range(8):
+        for i in range(5 * (h + 1)):
+            rows.append((len(rows), "short" if rng.random() < h / 9 else text, None if h == 3 else f"h{h}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hosts = {}
+    for _, t, h in rows:
+        hosts.setdefault(h, []).append(t == "short")
+    n, f = len(rows), sum(map(sum, hosts.values()))
+    mean = f / n
+    spread = sum(sum(x) ** 2 / len(x) for x in hosts.values()) / n - mean**2 - mean * (1 - mean) * len(hosts) / n
+    weight = min(most, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else most
+    want = {h: (sum(x) + mean * weight) / (len(x) + weight) for h, x in hosts.items()}
+    got = quality_rules.quality_rules(docs, max_prior_weight=most).collect()
+    assert all(abs(r.host_rate - want[r.host]) < 1e-9 for r in got)
+    assert all(r.kept == (not r.base_failed and want[r.host] <= 0.5) for r in got)
+    assert any(not r.kept and not r.base_failed for r in got)
+
+
 def test_bad_hosts_lose_their_documents(spark):
     rng = random.Random(2)
     good = " ".join(str(rng.random()) for _ in range(20))
@@ -453,6 +484,84 @@ def test_quality_model_learns(spark, empty):
     assert {r.score for r in quality_model.score(docs, none).collect()} == {0.5}
 
 
+def test_features_are_those_of_a_plain_loop():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "bb", "Ccc", "12", "x,", "é"]) for _ in range(rng.randint(0, 9))).encode() for _ in range(60)]
+    slots, counts = quality_model.features(texts)
+    ends = np.cumsum(np.r_[0, counts])
+    got = [set(slots[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    assert all(len(g) == j - i for g, i, j in zip(got, ends[:-1], ends[1:], strict=True))
+    cls = lambda b: 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b > 127 else 5 + b
+    mixed = lambda x: int(seeds.mix(np.array([x % 2**64], np.uint64))[0])
+    for text, own in zip(texts, got, strict=True):
+        words = text.split()
+        hashed = [int(seeds.word_tokens([w])[0][0]) for w in words]
+        shapes = []
+        for i, w in enumerate(words):
+            shape = 0
+            for b in (w[0], w[min(1, len(w) - 1)], w[max(len(w) - 2, 0)], w[-1]):
+                shape = shape * 300 + cls(b)
+            shapes.append(mixed((shape * 4 + min(len(w) - 1, 3)) * 2 + (i > 0 and words[i - 1] == w)))
+        want = set()
+        for stream, n, kind in ((hashed, 1, 1), (hashed, 2, 2), (shapes, 1, 3), (shapes, 3, 4)):
+            for i in range(len(stream) - n + 1):
+                g = stream[i]
+                for k in range(1, n):
+                    g = (mixed(g) + stream[i + k]) % 2**64
+                want.add(mixed(g + kind) % quality_model.SLOTS)
+        assert own == want
+
+
+def test_ratios_and_scores_are_those_of_plain_counting(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "bad", "so", "it"]) for _ in range(6)), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    kept = {}
+    descent = quality_model.dual_descent
+    monkeypatch.setattr(quality_model, "dual_descent", lambda vectors, y, *a: kept.update(vectors=vectors, y=y, result=descent(vectors, y, *a)) or kept["result"])
+    model = quality_model.fit(docs, labels)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    counts = np.ones((2, quality_model.SLOTS))
+    for _, text, label in train:
+        counts[label][quality_model.features([text.encode()])[0]] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(model.scale, ratio)
+    w, bias = kept["result"]
+    got = {r.doc_id: r.score for r in quality_model.score(docs, model).collect()}
+    for i, text, _ in rows:
+        slots = quality_model.features([text.encode()])[0]
+        v = ratio[slots] / (np.sqrt((ratio[slots] ** 2).sum()) + 1e-9)
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * (w[slots] @ v + bias) + model.shift)))) < 1e-6
+
+
+def test_dual_descent_reaches_the_primal_optimum():
+    """The hinge-loss objective against a long subgradient descent, and against the dual's value."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    y = np.where(x @ [1, -2, 0.5, 0] + rng.normal(size=60) > 0, 1.0, -1.0)
+    rows = [(np.arange(4), v) for v in x]
+    w, b = quality_model.dual_descent(rows, y, 1.0, 2000)
+    ones = np.c_[x, np.ones(60)]
+    objective = lambda u: 0.5 * u @ u + np.maximum(0, 1 - y * (ones @ u)).sum()
+    u, best = np.zeros(5), np.inf
+    for t in range(1, 60_000):
+        u -= (u - ((y * (ones @ u) < 1) * y) @ ones) / (t + 50)
+        best = min(best, objective(u)) if t % 50 == 0 else best
+    assert objective(np.r_[w[:4], b]) <= best * 1.002
+
+
+def test_held_out_rows_are_judged_well(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(r.score, r.predicted, labels[r.doc_id]) for r in quality_model.op4_quality_model(spark, d).filter("held_out").collect() if labels.get(r.doc_id) is not None]
+    good, bad = [s for s, _, y in got if y == 1], [s for s, _, y in got if y == 0]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    right = sum(p == y for _, p, y in got) / len(got)
+    print(f"held out: {len(got)} rows, accuracy {right:.3f}, AUC {auc:.3f}, majority {max(len(good), len(bad)) / len(got):.3f}")
+    assert auc > 0.95 and right > max(len(good), len(bad)) / len(got) + 0.05
+
+
 def test_dual_descent_separates():
     rows = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0])), (np.array([0, 2]), np.array([0.6, 0.8]))]
     w, b = quality_model.dual_descent(rows, np.array([1.0, -1.0, 1.0]), 1.0, 50)
@@ -584,6 +693,61 @@ def test_pipeline(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """All five stages against plain versions of them, chained, on a table with extra rows of every kind."""
+    import re
+
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    texts = _texts(seed=21, n=50)
+    item = " ".join(texts[2].split()[:40])
+    texts += ["before it " + item, " ".join(f"w{i}" for i in range(2000)) + " " + item[:90], item.upper()]
+    rows = [(i, t, "en", f"s{i % 4}", None) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    items = [("a", item), ("b", "never seen here"), ("c", None)]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+
+    def failed(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        rep = {p for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        return len(w) < 10 or 100 * len(rep) > 20 * len(w)
+
+    bad = {i: failed(t or "") for i, t, *_ in rows}
+    assert all(sum(bad[i] for i, *_, h, _ in rows if h == f"s{k}") < 0.45 * len(rows) / 4 for k in range(4))  # no host fails
+    left = [(i, t) for i, t, *_ in rows if not bad[i]]
+    sets, words = _weighted(left, minhash.word_idf(seeds.keyed(spark.createDataFrame(left, "doc_id long, text string"), "doc_id", "text")))
+    first = {}
+    group = list(range(len(left)))
+    for x in range(len(left)):
+        for y in range(x):
+            if group[x] != group[y] and (words[x] == words[y] or minhash.weighted_jaccard(*sets[x], *sets[y]) >= 0.8):
+                a, b = group[x], group[y]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    for k, g in enumerate(group):
+        first.setdefault(g, left[k])
+    left = sorted(first.values())
+    cut = sorted((i, kept.decode("utf-8", "ignore")) for i, kept, *_ in _cut_bytes(left, 50))
+    windows = set()
+    for _, t in items:
+        w = _words(t or "")
+        n = min(13, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1) if n}
+
+    def contaminated(t):
+        w = _words(t)
+        hit = {p for g in windows for k in range(len(w) - len(g) + 1) if tuple(w[k : k + len(g)]) == g for p in range(k, k + len(g))}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = [(i, t) for i, t in cut if not contaminated(t)]
+    assert len(rows) > len(left) + 5 and 0 < len(clean) < len(cut) and cut != left
+    encoder = Tokenizer.from_file(bpe.default_vocabulary())
+    want = {i: encoder.encode(t, add_special_tokens=False).ids for i, t in clean}
+    assert {r.doc_id: list(r.ids) for r in C.run(spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_same_results_from_other_partitions(docs):
     one = minhash.near_duplicates(docs.coalesce(1)).select("doc_id", "class_id").collect()
     many = minhash.near_duplicates(docs.withColumn("x", F.rand(3)).repartition(7, "x")).select("doc_id", "class_id").collect()
