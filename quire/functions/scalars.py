@@ -89,6 +89,14 @@ def aspect_ratio(width: Column, height: Column) -> Column:
     return F.try_divide(width, height)
 
 
+def preview_size(width: Column, height: Column, whole_page: bool = True) -> Column:
+    """struct(width, height) in pixels of a page's preview, or of the smaller picture in a list."""
+    # fixed values: bounds of width and height
+    widths, heights = ((350, 1500), (350, 1700)) if whole_page else ((280, 1100), (280, 1500))
+    bounded = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.floor(c + 0.5))).cast("int")
+    return F.struct(bounded(width, *widths).alias("width"), bounded(height, *heights).alias("height"))
+
+
 def shown_ratio(ratio: Column) -> Column:
     return F.coalesce(F.greatest(F.least(ratio, F.lit(1.5)), F.lit(0.5)), F.lit(0.7))
 

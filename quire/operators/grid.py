@@ -61,23 +61,31 @@ def image_minmax(grid: DataFrame) -> DataFrame:
     return grid.groupBy("image_id").agg(F.min(F.least(*RGB)).alias("mn"), F.max(F.greatest(*RGB)).alias("mx"))
 
 
+def _stretched(c: Column, mn: Column, mx: Column) -> Column:
+    """The value between the extremes, from 0 to 255; flat images stay."""
+    return F.when(mx > mn, _div((c - mn) * 255, F.greatest(F.lit(1), mx - mn)).cast("int")).otherwise(c)
+
+
 def img_normalize(grid: DataFrame) -> DataFrame:
     """Stretch each image's values to 0..255; flat images stay.
 
-    The extremes come from a window, so no second pass and no join is needed.
+    The extremes are summed on the map side, one row each task and image, and
+    joined back; where the grid is dealt by image neither shuffles again.
     """
-    own = W.partitionBy("image_id")
-    ranged = grid.withColumns({"mn": F.min(F.least(*RGB)).over(own), "mx": F.max(F.greatest(*RGB)).over(own)})
-    stretch = lambda c: F.when(F.col("mx") > F.col("mn"), _div((F.col(c) - F.col("mn")) * 255, F.greatest(F.lit(1), F.col("mx") - F.col("mn"))).cast("int")).otherwise(F.col(c))
-    return ranged.select("image_id", "y", "x", *[stretch(c).alias(c) for c in RGB])
+    ranged = grid.join(image_minmax(grid), "image_id")
+    return ranged.select("image_id", "y", "x", *[_stretched(F.col(c), F.col("mn"), F.col("mx")).alias(c) for c in RGB])
 
 
 def img_contrast(grid: DataFrame, level: int) -> DataFrame:
     return _looked_up(grid, contrast_table(level))
 
 
+def _saturated(c: str, tenths: int = 12) -> Column:
+    return _byte(F.col("l") + _div((F.col(c) - F.col("l")) * tenths, 10))
+
+
 def img_saturation(grid: DataFrame, tenths: int = 12) -> DataFrame:
-    return grid.withColumn("l", luma()).select("image_id", "y", "x", *[_byte(F.col("l") + _div((F.col(c) - F.col("l")) * tenths, 10)).alias(c) for c in RGB])
+    return grid.withColumn("l", luma()).select("image_id", "y", "x", *[_saturated(c, tenths).alias(c) for c in RGB])
 
 
 def img_brightness(grid: DataFrame, brightness: float, gamma: float = 1.0) -> DataFrame:
@@ -97,7 +105,7 @@ def _column():
     return W.partitionBy("image_id", "x").orderBy("y")
 
 
-def img_sharpen(grid: DataFrame, center: int, side: int) -> DataFrame:
+def img_sharpen(grid: DataFrame, center: int | Column, side: int | Column) -> DataFrame:
     """3 x 3 cross in tenths; at the edges a pixel stands in for its missing neighbour."""
     around = {}
     for c in RGB:
@@ -136,6 +144,7 @@ def local_stats(grid: DataFrame, block: int = 15, step: int = 3) -> DataFrame:
 
 def img_document(grid: DataFrame, block: int = 15, step: int = 3) -> DataFrame:
     """Whiten paper and keep ink by local contrast and threshold, then sharpen."""
+    # fixed values: the shares, bounds and offsets below
     n = len(range(-block, block + 1, step)) ** 2
     stats = local_stats(grid, block, step)
     lum = F.col("l").cast("double")
@@ -174,13 +183,23 @@ def otsu_threshold(histogram: DataFrame) -> DataFrame:
     return best.select("image_id", (F.coalesce(-F.col("top.lower"), F.lit(128)).cast("double") * F.lit(0.9)).cast("int").alias("threshold"))
 
 
+def black_white_levels(grid: DataFrame) -> DataFrame:
+    """image_id, mn, mx, threshold: the extremes of luma and Otsu's threshold of the stretched luma, all from one histogram."""
+    levels = image_histogram(grid)
+    ends = levels.groupBy("image_id").agg(F.min("level").alias("mn"), F.max("level").alias("mx"))
+    stretched = levels.join(ends, "image_id").groupBy("image_id", "mn", "mx", _stretched(F.col("level"), F.col("mn"), F.col("mx")).alias("level")).agg(F.sum("n").alias("n"))
+    return ends.join(otsu_threshold(stretched), "image_id")
+
+
+def _soft_step(g: Column, t: Column) -> Column:
+    """Black below, white above, and 20 levels to each side between them."""
+    return F.when(g < t - 20, 0).when(g > t + 20, 255).otherwise(_byte(_div((g - (t - 20)) * 255, 40))).cast("int")
+
+
 def img_black_white(grid: DataFrame) -> DataFrame:
     """Grayscale, stretch, Otsu's threshold, then a soft step of 20 levels to each side."""
-    gray = img_normalize(img_grayscale(grid))
-    cut = gray.join(otsu_threshold(image_histogram(gray)), "image_id")
-    g, t = F.col("r"), F.col("threshold")
-    v = F.when(g < t - 20, 0).when(g > t + 20, 255).otherwise(_byte(_div((g - (t - 20)) * 255, 40)))
-    return cut.select("image_id", "y", "x", *[v.cast("int").alias(c) for c in RGB])
+    v = _soft_step(_stretched(luma(), F.col("mn"), F.col("mx")), F.col("threshold"))
+    return grid.join(black_white_levels(grid), "image_id").select("image_id", "y", "x", *[v.alias(c) for c in RGB])
 
 
 def img_grayscale_clean(grid: DataFrame) -> DataFrame:
@@ -200,15 +219,42 @@ def img_magic_color(grid: DataFrame) -> DataFrame:
 PIPELINES = {"auto": img_auto, "document": img_document, "magicColor": img_magic_color, "blackWhite": img_black_white, "grayscale": img_grayscale_clean}
 
 
-def apply_filters(grid: DataFrame, image_manifest: DataFrame) -> DataFrame:
-    """Each image by the filter its manifest row names, from its original pixels; others unchanged."""
-    named = grid.join(image_manifest.select("image_id", "filter").distinct(), "image_id", "left")
-    out = named.filter(F.col("filter").isNull() | ~F.col("filter").isin(*FILTERS)).select(*grid.columns)
-    for name, pipeline in PIPELINES.items():
-        out = out.unionByName(pipeline(by_image(named.filter(F.col("filter") == name).select(*grid.columns))))
+def _tables(levels: list[tuple[str, list[int]]], name: Column, c: Column) -> Column:
+    """The value by the table of the row's filter, as it is for others."""
+    out = c
+    for own, table in levels:
+        out = F.when(name == own, F.get(F.array(*[F.lit(v) for v in table]), c)).otherwise(out)
     return out
 
 
+def apply_filters(grid: DataFrame, image_manifest: DataFrame) -> DataFrame:
+    """Each image by the filter its manifest row names, from its original pixels; others unchanged.
+
+    The grid is dealt by image once. All filters but the document one are one
+    chain, in which each step takes the filter from a column: levels (one row an
+    image) are joined, colours mapped, and the cross sharpens by factors of the
+    filter. The document filter has windows of its own.
+    """
+    named = by_image(grid).join(image_manifest.select("image_id", "filter").distinct(), "image_id", "left")
+    name = F.col("filter")
+    rest = named.filter(name.isNull() | (name != "document"))
+    gray = name.isin("blackWhite", "grayscale")
+    based = rest.select("image_id", "y", "x", F.when(name.isin(*FILTERS), name).alias("filter"), *[F.when(gray, luma()).otherwise(F.col(c)).alias(c) for c in RGB])
+    cuts = black_white_levels(rest.filter(name == "blackWhite")).select("image_id", "threshold")
+    levels = image_minmax(based.filter("filter IS NOT NULL")).join(cuts, "image_id", "left")
+    ranged = based.join(levels, "image_id", "left")
+    ranged = ranged.select("image_id", "y", "x", "filter", "threshold", *[F.when(name.isNull(), F.col(c)).otherwise(_stretched(F.col(c), F.col("mn"), F.col("mx"))).alias(c) for c in RGB])
+    vivid = ranged.withColumn("l", luma())
+    vivid = vivid.withColumns({c: F.when(name == "magicColor", _saturated(c)).otherwise(F.col(c)) for c in RGB})
+    contrast = [("auto", contrast_table(CONTRAST["auto"])), ("magicColor", contrast_table(CONTRAST["magic"])), ("grayscale", contrast_table(CONTRAST["grayscale"]))]
+    bright = [("magicColor", brightness_table(1.08, 0.9)), ("grayscale", brightness_table(1.05))]
+    mapped = vivid.withColumns({c: _tables(contrast, name, F.col(c)) for c in RGB}).withColumns({c: _tables(bright, name, F.col(c)) for c in RGB})
+    mapped = mapped.withColumns({c: F.when(name == "blackWhite", _soft_step(F.col(c), F.col("threshold"))).otherwise(F.col(c)) for c in RGB})
+    factor = lambda k: F.when(name == "auto", SHARPEN["auto"][k]).when(name == "magicColor", SHARPEN["magic"][k]).when(name == "grayscale", SHARPEN["grayscale"][k]).otherwise((10, 0)[k])
+    done = img_sharpen(mapped.withColumns({"center": factor(0), "side": factor(1)}), F.col("center"), F.col("side"))
+    return done.unionByName(img_document(named.filter(name == "document").select(*grid.columns)))
+
+
 def preset_boxes(grid: DataFrame, presets: DataFrame) -> DataFrame:
     """Largest centred box of a preset's shape; ``presets`` has image_id and preset ('Free': the whole image)."""
     size = grid.groupBy("image_id").agg((F.max("x") + 1).alias("iw"), (F.max("y") + 1).alias("ih"))

@@ -9,18 +9,22 @@ what a request leaves out is told by ``reject_report``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Page box of an image.
 PAGE_BOX = (595.0, 842.0)
 #: Entry points and their actions.
 ACTIONS = [("View", "view"), ("Merge", "merge"), ("Split", "split")]
 
 
 def paginate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "\n") -> DataFrame:
-    """Cut texts into pages at a mark; blank pages stay."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, mark)).alias("at", "content"))
+    """Cut texts into pages at a mark, taken as it is; blank pages stay."""
+    plain = "\\Q" + mark.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, plain)).alias("at", "content"))
     return cut.select("doc_id", (F.col("at") + 1).alias("page_no"), "content")
 
 
@@ -44,20 +48,29 @@ def _renumber(by: list[str], order: list[str]) -> Column:
     return F.row_number().over(W.partitionBy(*by).orderBy(*order))
 
 
+def complete_batches(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """batch_id of batches with at least two inputs, all of which have pages: a merge succeeds as a whole or not at all."""
+    present = pages.select("doc_id").distinct().withColumn("present", F.lit(1))
+    judged = manifest.join(present, "doc_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("inputs"), F.count("present").alias("there"))
+    return judged.filter("inputs >= 2 AND inputs = there").select("batch_id")
+
+
 def merge_documents(manifest: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of each batch's documents in (position, page_no) order, renumbered."""
-    joined = mergeable_batches(manifest).join(pages, "doc_id")
+    """Pages of each complete batch's documents in (position, page_no) order, renumbered."""
+    joined = manifest.join(complete_batches(manifest, pages), "batch_id", "left_semi").join(pages, "doc_id")
     return joined.select("batch_id", "position", "doc_id", "page_no", "content", _renumber(["batch_id"], ["position", "page_no"]).alias("out_page_no"))
 
 
-def dense_ordinals(ids: DataFrame, key: str, runs: int = 64) -> DataFrame:
+def dense_ordinals(ids: DataFrame, key: str, runs: int | None = None) -> DataFrame:
     """Distinct keys with their ordinal from 1, without sorting them in one task.
 
-    Quantiles of the keys cut them into runs; keys are numbered within their run
-    and the runs' counts, one row each, are summed.
+    Quantiles of the keys cut them into runs, as many as the session has shuffle
+    partitions; keys are numbered within their run and the runs' counts, one row
+    each, are summed.
     """
+    runs = runs or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = [i / runs for i in range(1, runs)]
-    cuts = sorted(set(ids.agg(F.percentile_approx(key, marks, 10_000).alias("q")).first()["q"] or []))
+    cuts = sorted(set((ids.agg(F.percentile_approx(key, marks, 10_000).alias("q")).first()["q"] if marks else None) or []))
     run = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     dealt = ids.withColumn("_run", run)
     sizes = dealt.groupBy("_run").count()
@@ -68,9 +81,9 @@ def dense_ordinals(ids: DataFrame, key: str, runs: int = 64) -> DataFrame:
 
 def merge_batches(manifest: DataFrame, pages: DataFrame) -> DataFrame:
     """``merge_documents`` with an ordinal, from 1, over the batches that succeed."""
-    merged = merge_documents(manifest, pages)
-    done = mergeable_batches(manifest).join(pages.select("doc_id").distinct(), "doc_id", "left_semi").select("batch_id").distinct()
-    return merged.join(dense_ordinals(done, "batch_id"), "batch_id").select("batch_id", "ordinal", "out_page_no", "doc_id", "page_no", "content")
+    numbered = dense_ordinals(complete_batches(manifest, pages), "batch_id")
+    joined = manifest.join(numbered, "batch_id").join(pages, "doc_id")
+    return joined.select("batch_id", "ordinal", _renumber(["batch_id"], ["position", "page_no"]).alias("out_page_no"), "doc_id", "page_no", "content")
 
 
 def assemble(merged: DataFrame, out_col: str = "batch_id") -> DataFrame:
@@ -132,9 +145,14 @@ def split_all(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("page_no").cast("string")).alias("out_id"), F.concat(F.lit("page_"), F.col("page_no").cast("string")).alias("name"), F.lit(1).alias("out_page_no"), "doc_id", "page_no", "content")
 
 
-def images_to_document(image_manifest: DataFrame, quality: int = 85) -> DataFrame:
-    """One page per image in position order, with the page box and target quality."""
-    return image_manifest.select("doc_id", "image_id", _renumber(["doc_id"], ["position"]).alias("page_no"), F.lit(PAGE_BOX[0]).alias("width"), F.lit(PAGE_BOX[1]).alias("height"), F.lit(quality).alias("quality"))
+def images_to_document(image_manifest: DataFrame, images: DataFrame, quality: int = 85) -> DataFrame:
+    """One page per image in position order, with the page box and target quality.
+
+    An image that can't be decoded is passed on as it is: it has a page, but no
+    quality. ``images`` has image_id and decoded; images that it lacks are not decoded.
+    """
+    known = image_manifest.join(images.select("image_id", "decoded"), "image_id", "left").withColumn("decoded", F.coalesce("decoded", F.lit(False)))
+    return known.select("doc_id", "image_id", _renumber(["doc_id"], ["position"]).alias("page_no"), F.lit(PAGE_BOX[0]).alias("width"), F.lit(PAGE_BOX[1]).alias("height"), F.when(F.col("decoded"), quality).alias("quality"), "decoded")
 
 
 def action_lookup(requests: DataFrame) -> DataFrame:
@@ -164,21 +182,21 @@ def output_stats(merged: DataFrame, manifest: DataFrame, catalog: DataFrame, ext
     also of those too small to merge; for extraction the selected pages; for
     other splits the number of outputs.
     """
+    none = F.lit(0).cast("long")
     all_pages = manifest.join(catalog.select("doc_id", "page_count"), "doc_id", "left").agg(F.coalesce(F.sum("page_count"), F.lit(0)).cast("long").alias("told"))
-
-    def row(op: str, df: DataFrame, *out_cols: str) -> DataFrame:
-        return df.agg(F.count_distinct(F.struct(*out_cols)).alias("outputs"), F.count(F.lit(1)).alias("pages")).select(F.lit(op).alias("op"), "outputs", "pages")
-
-    merge = row("merge", merged, "batch_id").withColumn("key", F.lit(1)).join(all_pages.withColumn("key", F.lit(1)), "key").drop("key")
-    rest = row("extract", extracted, "doc_id").withColumn("told", F.col("pages"))
-    for op, df, cols in (("split_range", ranged, ("doc_id", "range_ord")), ("split_all", exploded, ("out_id",))):
-        rest = rest.unionByName(row(op, df, *cols).withColumn("told", F.col("outputs")))
-    return merge.unionByName(rest)
+    parts = [all_pages.select(F.lit("merge").alias("op"), none.alias("outputs"), none.alias("pages"), "told")]
+    for op, df, cols, told in (("merge", merged, ("batch_id",), none), ("extract", extracted, ("doc_id",), F.col("pages")), ("split_range", ranged, ("doc_id", "range_ord"), F.col("outputs")), ("split_all", exploded, ("out_id",), F.col("outputs"))):
+        # pages by output first, on each task's rows: no set of outputs is kept
+        sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(sizes.agg(F.count(F.lit(1)).alias("outputs"), F.coalesce(F.sum("n"), none).alias("pages")).select(F.lit(op).alias("op"), "outputs", "pages", told.alias("told")))
+    return reduce(DataFrame.unionByName, parts).groupBy("op").agg(*[F.sum(c).alias(c) for c in ("outputs", "pages", "told")])
 
 
 def reject_report(manifest: DataFrame, ranges: DataFrame, selection: DataFrame, counts: DataFrame) -> DataFrame:
     """op, request, reason of every request that gives no output."""
-    few = manifest.groupBy("batch_id").count().filter("count < 2").select(F.lit("merge").alias("op"), F.col("batch_id").cast("string").alias("request"), F.lit("too_few_inputs").alias("reason"))
+    inputs = manifest.join(counts, "doc_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("page_count").isNull()).alias("missing"), F.count_if(F.col("page_count") == 0).alias("empty"))
+    wrong = F.when(F.col("n") < 2, "too_few_inputs").when(F.col("missing") > 0, "missing_doc").when(F.col("empty") > 0, "empty_document")
+    few = inputs.select(F.lit("merge").alias("op"), F.col("batch_id").cast("string").alias("request"), wrong.alias("reason")).filter("reason IS NOT NULL")
 
     def why(bad: Column, told: str) -> Column:
         return F.when(F.col("page_count").isNull(), "missing_doc").when(F.col("page_count") == 0, "empty_document").when(bad, told)

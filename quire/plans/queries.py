@@ -9,6 +9,7 @@ from quire.operators import grid as G
 from quire.operators import pages as P
 from quire.plans import fixtures as X
 from quire.sources.files import catalog_scan as scan_catalog
+from quire.sources.files import shared_folder
 from quire.streaming import events as E
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -44,9 +45,13 @@ def query(sql: str | None = None):
 # sources and sinks
 
 
-@query()
+@query("SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, false AS loading FROM documents GROUP BY source")
 def catalog_scan(spark, d):
-    return scan_catalog(spark, d, "*.parquet").select("name", "file_size", "is_loading", "page_count")
+    """The catalogue of a folder of files, into which Spark has written each source's texts: bytes by source."""
+    folder = shared_folder(spark, "texts")
+    X.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(folder)
+    found = scan_catalog(spark, folder, "*.txt")
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("file_size").alias("n_bytes"), F.bool_or("is_loading").alias("loading"))
 
 
 @query("SELECT doc_id, u.i::INT AS page_no, u.c AS content FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS i) AS u")
@@ -55,7 +60,7 @@ def paginate(spark, d):
 
 
 MERGED = """SELECT m.batch_id, m.position, m.doc_id, p.page_no, p.content, row_number() OVER (PARTITION BY m.batch_id ORDER BY m.position, p.page_no)::INT AS out_page_no
-FROM manifest m JOIN pages_conv p USING (doc_id) WHERE m.batch_id IN (SELECT batch_id FROM manifest GROUP BY batch_id HAVING count(*) >= 2)"""
+FROM manifest m JOIN pages_conv p USING (doc_id) WHERE m.batch_id IN (SELECT batch_id FROM manifest GROUP BY batch_id HAVING count(*) >= 2 AND bool_and(doc_id IN (SELECT doc_id FROM pages_conv)))"""
 
 
 @query(_with("SELECT batch_id, count(*)::INT AS n_pages, string_agg(coalesce(content, ''), chr(12) ORDER BY out_page_no) AS artifact FROM merged GROUP BY batch_id", "manifest pages_conv", merged=MERGED))
@@ -78,7 +83,8 @@ def output_path(spark, d):
 
 @query(
     _with(
-        """SELECT 'merge' AS op, batch_id::VARCHAR AS request, 'too_few_inputs' AS reason FROM manifest GROUP BY batch_id HAVING count(*) < 2
+        """SELECT 'merge' AS op, batch_id::VARCHAR AS request, CASE WHEN count(*) < 2 THEN 'too_few_inputs' ELSE 'missing_doc' END AS reason FROM manifest
+GROUP BY batch_id HAVING count(*) < 2 OR NOT bool_and(doc_id IN (SELECT doc_id FROM counts_conv))
 UNION ALL SELECT 'split_range', doc_id || '/' || range_ord, 'bad_range' FROM ranges JOIN counts_conv USING (doc_id) WHERE NOT ("start" >= 1 AND "end" <= page_count AND "start" <= "end")
 UNION ALL SELECT DISTINCT 'extract', doc_id::VARCHAR, 'index_out_of_range' FROM selection JOIN counts_conv USING (doc_id) WHERE page_idx < 0 OR page_idx >= page_count""",
         "manifest ranges selection",
@@ -100,15 +106,16 @@ TITLE = """CASE WHEN bare = '' OR (bare = name AND starts_with(name, 'intent_'))
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, '/tmp/' || CASE doc_id % 5 WHEN 0 THEN 'intent_' || doc_id || '_a.pdf' WHEN 1 THEN 'intent_x.pdf' WHEN 2 THEN 'opened.pdf' WHEN 3 THEN 'intent_12_' ELSE 'doc_' || doc_id || '.pdf' END AS path FROM documents),
-n AS (SELECT doc_id, list_extract(string_split(path, '/'), -1) AS name FROM p),
-b AS (SELECT doc_id, name, regexp_replace(name, '^intent_[0-9]+_', '') AS bare FROM n) SELECT doc_id, {TITLE} AS title FROM b"""
+    f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '[^/]*$', 'intent_' || page_id || '_\\0.pdf') WHEN page_id % 3 = 1 THEN url ELSE regexp_replace(url, '[^/]*$', 'intent_\\0') END AS path FROM pages),
+n AS (SELECT page_id, list_extract(regexp_split_to_array(path, '[/\\\\]'), -1) AS name FROM p),
+b AS (SELECT page_id, name, regexp_replace(name, '^intent_[0-9]+_', '') AS bare FROM n) SELECT page_id, {TITLE} AS title FROM b"""
 )
 def display_title(spark, d):
-    i = F.col("doc_id").cast("string")
-    names = [F.concat(F.lit("intent_"), i, F.lit("_a.pdf")), F.lit("intent_x.pdf"), F.lit("opened.pdf"), F.lit("intent_12_"), F.concat(F.lit("doc_"), i, F.lit(".pdf"))]
-    path = F.concat(F.lit("/tmp/"), F.get(F.array(*names), (F.col("doc_id") % 5).cast("int")))
-    return X.table(spark, d, "documents").select("doc_id", S.display_title(path).alias("title"))
+    t, i = X.table(spark, d, "pages"), F.col("page_id")
+    last, base = F.regexp_extract("url", "([^/]*)$", 1), F.regexp_extract("url", "^(?s)(.*?)[^/]*$", 1)
+    staged = F.concat(base, F.lit("intent_"), i.cast("string"), F.lit("_"), last, F.lit(".pdf"))
+    path = F.when(i % 3 == 0, staged).when(i % 3 == 1, F.col("url")).otherwise(F.concat(base, F.lit("intent_"), last))
+    return t.select("page_id", S.display_title(path).alias("title"))
 
 
 def _tenths(n: int, unit: str) -> str:
@@ -126,13 +133,14 @@ def format_file_size(spark, d):
     return X.table(spark, d, "documents").select("doc_id", S.format_file_size(size).alias("size"))
 
 
-LEVELS = ["Low", "Medium", "High", "Maximum", "high"]
-
-
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 50 WHEN 1 THEN 70 WHEN 2 THEN 85 WHEN 3 THEN 100 ELSE 85 END AS quality FROM documents")
+@query(
+    """WITH l AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, CASE p_size % 5 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' WHEN 3 THEN 'Maximum' END AS level FROM part)
+SELECT p_partkey, CASE level WHEN 'Low' THEN 50 WHEN 'Medium' THEN 70 WHEN 'Maximum' THEN 100 ELSE 85 END AS quality FROM (SELECT p_partkey, coalesce(level, a) AS level FROM l)"""
+)
 def quality_to_jpeg(spark, d):
-    level = F.get(F.array(*[F.lit(x) for x in LEVELS], F.lit(None).cast("string")), (F.col("doc_id") % 6).cast("int"))
-    return X.table(spark, d, "documents").select("doc_id", S.quality_to_jpeg(level).alias("quality"))
+    known = F.get(F.array(*[F.lit(x) for x in S.QUALITY]), (F.col("p_size") % 5).cast("int"))
+    level = F.coalesce(known, F.get(F.split("p_name", " "), F.lit(0)))
+    return X.table(spark, d, "part").select("p_partkey", S.quality_to_jpeg(level).alias("quality"))
 
 
 PDF_URI = "coalesce(contains(lower(uri), '.pdf') OR starts_with(lower(uri), 'content://') OR starts_with(lower(uri), 'file://'), false)"
@@ -153,11 +161,15 @@ def resolve_uri(spark, d):
     return X.requests(spark, d).select("request_id", S.resolve_uri(F.col("uri"), name, F.lit(0)).alias("path"))
 
 
-@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'f' || event_id || '.PDF' WHEN event_id % 3 = 1 THEN 'f' || event_id || '.pdf' END, 'opened.pdf') AS name FROM events")
+@query(
+    """WITH n AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN name || '.PDF' WHEN page_id % 4 = 1 THEN name || '.pdf' WHEN page_id % 4 = 2 THEN name END AS name
+FROM (SELECT page_id, list_extract(regexp_split_to_array(url, '[/\\\\]'), -1) AS name FROM pages))
+SELECT page_id, CASE WHEN name IS NULL THEN 'opened.pdf' WHEN suffix(lower(name), '.pdf') THEN name ELSE name || '.pdf' END AS name FROM n"""
+)
 def ensure_pdf_name(spark, d):
-    i = F.col("event_id").cast("string")
-    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("f"), i, F.lit(".PDF"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("f"), i))
-    return X.table(spark, d, "events").select("event_id", S.ensure_pdf_name(name).alias("name"))
+    k, name = F.col("page_id") % 4, S.base_name(F.col("url"))
+    shown = F.when(k == 0, F.concat(name, F.lit(".PDF"))).when(k == 1, F.concat(name, F.lit(".pdf"))).when(k == 2, name)
+    return X.table(spark, d, "pages").select("page_id", S.ensure_pdf_name(shown).alias("name"))
 
 
 FROM, TO = "coalesce(try_cast(from_txt AS INT), 1)", "coalesce(try_cast(to_txt AS INT), page_count)"
@@ -181,6 +193,18 @@ def split_mode(spark, d):
     return X.table(spark, d, "documents").select("doc_id", S.split_mode(n, F.when(F.col("doc_id") % 2 == 0, "all")).alias("mode"))
 
 
+@query(
+    _with(
+        "SELECT doc_id, page_no, greatest(350, least(1500, floor(width * 20 + 0.5)))::INT AS w, greatest(350, least(1700, floor(height * 30 + 0.5)))::INT AS h, greatest(280, least(1100, floor(width * 20 + 0.5)))::INT AS small_w, greatest(280, least(1500, floor(height * 30 + 0.5)))::INT AS small_h FROM page_dims",
+        "page_dims",
+    )
+)
+def preview_size(spark, d):
+    w, h = F.col("width") * 20, F.col("height") * 30
+    each = X.page_dims(spark, d).select("doc_id", "page_no", S.preview_size(w, h).alias("a"), S.preview_size(w, h, False).alias("b"))
+    return each.select("doc_id", "page_no", F.col("a.width").alias("w"), F.col("a.height").alias("h"), F.col("b.width").alias("small_w"), F.col("b.height").alias("small_h"))
+
+
 @query(_with("SELECT doc_id, width / height AS ratio, coalesce(greatest(least(width / height, 1.5), 0.5), 0.7) AS shown FROM page_dims WHERE page_no = 1", "page_dims"))
 def aspect_ratio(spark, d):
     ratio = S.aspect_ratio(F.col("width"), F.col("height"))
@@ -251,9 +275,14 @@ def split_all(spark, d):
     return P.split_all(X.pages_conv(spark, d))
 
 
-@query(_with("SELECT doc_id, image_id, row_number() OVER (PARTITION BY doc_id ORDER BY position)::INT AS page_no, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, 85 AS quality FROM image_manifest", "image_manifest"))
+@query(
+    _with(
+        "SELECT m.doc_id, m.image_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY position)::INT AS page_no, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, CASE WHEN decoded THEN 85 END AS quality, coalesce(decoded, false) AS decoded FROM image_manifest m LEFT JOIN images i ON i.image_id = m.image_id",
+        "image_manifest images",
+    )
+)
 def images_to_document(spark, d):
-    return P.images_to_document(X.image_manifest(spark, d))
+    return P.images_to_document(X.image_manifest(spark, d), X.images(spark, d))
 
 
 ACTION = "CASE alias WHEN 'Merge' THEN 'merge' WHEN 'Split' THEN 'split' ELSE 'view' END"
@@ -431,14 +460,14 @@ def img_sharpen(spark, d):
     return G.img_sharpen(_grid(spark, d), *G.SHARPEN["magic"])
 
 
-@query(_with(f"SELECT image_id, y, x, l, total::BIGINT AS total, low, high FROM ({sql_stats('grid', 3, 1)})", "grid"))
+@query(_with(f"SELECT image_id, y, x, l, total::BIGINT AS total, low, high FROM ({sql_stats('wide_grid', 15, 3)})", "wide_grid"))
 def local_stats(spark, d):
-    return G.local_stats(_grid(spark, d), 3, 1).select("image_id", "y", "x", "l", F.col("total").cast("long").alias("total"), "low", "high")
+    return G.local_stats(G.by_image(X.wide_grid(spark, d)), 15, 3).select("image_id", "y", "x", "l", F.col("total").cast("long").alias("total"), "low", "high")
 
 
-@query(_with(sql_document("grid", 3, 1), "grid"))
+@query(_with(sql_document("wide_grid", 15, 3), "wide_grid"))
 def img_document(spark, d):
-    return G.img_document(_grid(spark, d), 3, 1)
+    return G.img_document(G.by_image(X.wide_grid(spark, d)), 15, 3)
 
 
 @query(_with(sql_black_white("grid"), "grid"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,20 @@ def image_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def image_grid(images: DataFrame) -> DataFrame:
     """Pixels of decoded images; bytes are in blue, green, red order, a single channel is gray."""
-    good = images.filter("decoded").select(F.col("origin").alias("image_id"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("at"))
-    at = lambda k: F.conv(F.hex(F.expr(f"substring(data, at * nChannels + {k} + 1, 1)")), 16, 10).cast("int")
+    rows = images.filter("decoded").select(F.col("origin").alias("image_id"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    # the bytes of one row of pixels go on, not those of the image
+    line = F.hex(F.expr("substring(data, y * width * nChannels + 1, width * nChannels)"))
+    rows = rows.select("image_id", "y", "nChannels", line.alias("line"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    at = lambda k: F.conv(F.expr(f"substring(line, 2 * (x * nChannels + {k}) + 1, 2)"), 16, 10).cast("int")
     gray = F.col("nChannels") == 1
-    return good.select("image_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"), F.when(gray, at(0)).otherwise(at(2)).alias("r"), F.when(gray, at(0)).otherwise(at(1)).alias("g"), at(0).alias("b"))
+    return rows.select("image_id", "y", "x", F.when(gray, at(0)).otherwise(at(2)).alias("r"), F.when(gray, at(0)).otherwise(at(1)).alias("g"), at(0).alias("b"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; without that setting, as in tests, a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{found.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}"

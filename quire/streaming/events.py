@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import display_title, is_pdf_uri, resolve_uri
@@ -35,23 +35,48 @@ def route_requests(requests: DataFrame, stamp: Column | None = None) -> DataFram
     return routed.select("request_id", "ts", "user_id", "path", "title", "action", target.alias("target"))
 
 
+class Throttle:
+    """State of a key: events so far and the time of the last one emitted."""
+
+    def __init__(self, every: int, gap_s: int, n: int = 0, last: int = -1):
+        self.every, self.gap, self.n, self.last = every, gap_s * 1_000_000, n, last
+
+    def emits(self, at: int, free: bool) -> bool:
+        self.n += 1
+        shown = self.n > 1 and self.n % self.every == 0 and free and (self.last < 0 or at - self.last >= self.gap)
+        if shown:
+            self.last = at
+        return shown
+
+
 def throttle_events(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S, available: Column | None = None) -> DataFrame:
     """Events that are emitted: each ``every``-th of a key but never its first, at least ``gap_s`` after the last emitted.
 
-    The gap counts from the last *emitted* event, so candidates are folded in
-    order. Candidates are one in ``every``; each is a time and an id.
+    The gap counts from the last *emitted* event, so a key's events are taken in
+    order of time and id. They are sorted by Spark and streamed through the task
+    of their key; of a key, however hot, only its state is held.
     """
-    free = F.lit(True) if available is None else available
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    picked = events.withColumns({"n": n, "free": free}).filter((F.col("n") > 1) & (F.col("n") % every == 0) & F.col("free"))
-    lists = picked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(_micros().alias("at"), "event_id", "n", "ts"))).alias("c"))
-    none = F.struct(F.lit(None).cast("bigint").alias("last"), F.slice("c", 1, 0).alias("out"))
-    far = lambda s, c: s["last"].isNull() | (c["at"] - s["last"] >= gap_s * 1_000_000)
-    fold = F.aggregate("c", none, lambda s, c: F.when(far(s, c), F.struct(c["at"].alias("last"), F.concat(s["out"], F.array(c)).alias("out"))).otherwise(s), lambda s: s["out"])
-    return lists.select("user_id", F.explode(fold).alias("e")).select("user_id", "e.event_id", "e.ts", F.col("e.n").cast("long").alias("n"))
-
-
-def throttle_stream(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S) -> DataFrame:
+    free = F.lit(True) if available is None else F.coalesce(available, F.lit(False))
+    rows = events.select("user_id", "event_id", "ts", _micros().alias("at"), free.alias("free"))
+    schema = rows.select("user_id", "event_id", "ts").schema.add("n", "long")
+
+    def fold(batches):
+        key, state = None, Throttle(every, gap_s)
+        for b in batches:
+            users, times, can = (b.column(c).to_pylist() for c in ("user_id", "at", "free"))
+            keep, numbers = [], []
+            for i, user in enumerate(users):
+                if user != key:
+                    key, state = user, Throttle(every, gap_s)
+                if state.emits(times[i], can[i]):
+                    keep.append(i)
+                    numbers.append(state.n)
+            yield pa.record_batch([*(b.column(c).take(pa.array(keep, pa.int64())) for c in ("user_id", "event_id", "ts")), pa.array(numbers, pa.int64())], names=["user_id", "event_id", "ts", "n"])
+
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInArrow(fold, schema)
+
+
+def throttle_stream(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S, available: Column | None = None) -> DataFrame:
     """``throttle_events`` on a stream: the state of a key is its count and last emission.
 
     Rows are ordered within each micro-batch; late rows never emit again.
@@ -59,17 +84,13 @@ def throttle_stream(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S) -
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, -1)
+        own = Throttle(every, gap_s, *(state.get if state.exists else ()))
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        out = []
-        for at, event_id in zip(rows["at"].tolist(), rows["event_id"].tolist(), strict=True):
-            n += 1
-            if n > 1 and n % every == 0 and (last < 0 or at - last >= gap_s * 1_000_000):
-                last = at
-                out.append((key[0], event_id, at, n))
-        state.update((n, last))
+        out = [(key[0], event_id, at, own.n) for at, event_id, free in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["free"].tolist(), strict=True) if own.emits(at, free)]
+        state.update((own.n, own.last))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "at", "n"])
 
-    keyed = events.select("user_id", "event_id", _micros().alias("at")).groupBy("user_id")
+    free = F.lit(True) if available is None else F.coalesce(available, F.lit(False))
+    keyed = events.select("user_id", "event_id", _micros().alias("at"), free.alias("free")).groupBy("user_id")
     emitted = keyed.applyInPandasWithState(step, "user_id long, event_id long, at long, n long", "n long, last long", "append", GroupStateTimeout.NoTimeout)
     return emitted.select("user_id", "event_id", F.timestamp_micros("at").alias("ts"), "n")

@@ -60,6 +60,8 @@ TITLES = [("/path/to/Report.pdf", "Report.pdf"), ("C:\\docs\\My File.pdf", "My F
 def test_sizes_and_titles(spark):
     got = spark.createDataFrame(SIZES, "n long, want string").select(S.format_file_size(F.col("n")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+    sizes = spark.createDataFrame([(100.0, 2000.0), (595.4, 841.5)], "w double, h double").select(S.preview_size(F.col("w"), F.col("h")).alias("a"), S.preview_size(F.col("w"), F.col("h"), False).alias("b")).collect()
+    assert [(tuple(r.a), tuple(r.b)) for r in sizes] == [((350, 1700), (280, 1500)), ((595, 842), (595, 842))]
     got = spark.createDataFrame(TITLES, "p string, want string").select(S.display_title(F.col("p")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
 
@@ -94,6 +96,39 @@ def test_accepted_and_rejected_are_all(spark, sf):
     assert [r.reason for r in empty.collect()] == ["empty_document"]
 
 
+def test_a_merge_succeeds_as_a_whole_or_not_at_all(spark):
+    manifest = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (2, 0, 10), (2, 1, 99), (3, 0, 11), (4, 0, 10), (4, 1, 12)], "batch_id long, position int, doc_id long")
+    pages = spark.createDataFrame([(10, 1, "a"), (10, 2, None), (11, 1, "b")], "doc_id long, page_no int, content string")
+    merged = P.merge_documents(manifest, pages).collect()
+    assert sorted((r.batch_id, r.out_page_no, r.content) for r in merged) == [(1, 1, "a"), (1, 2, None), (1, 3, "b")]
+    assert {(r.batch_id, r.ordinal) for r in P.merge_batches(manifest, pages).collect()} == {(1, 1)}
+    counts = spark.createDataFrame([(10, 2), (11, 1), (12, 0)], "doc_id long, page_count long")
+    nothing = spark.createDataFrame([], "doc_id long, range_ord int, start int, `end` int"), spark.createDataFrame([], "doc_id long, sel_ord int, page_idx int")
+    report = P.reject_report(manifest, *nothing, counts).collect()
+    assert {(r.op, r.request, r.reason) for r in report} == {("merge", "2", "missing_doc"), ("merge", "3", "too_few_inputs"), ("merge", "4", "empty_document")}
+
+
+def test_page_marks_are_taken_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "a|b.c"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.page_no, r.content) for r in P.paginate(docs, mark="|").collect()) == [(1, 1, "a"), (1, 2, "b.c"), (3, 1, "")]
+
+
+def test_images_that_cannot_be_decoded_keep_their_page(spark):
+    manifest = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 2, 7)], "doc_id long, position int, image_id long")
+    images = spark.createDataFrame([(5, True), (6, False)], "image_id long, decoded boolean")
+    got = sorted((r.page_no, r.image_id, r.quality, r.decoded) for r in P.images_to_document(manifest, images, 70).collect())
+    assert got == [(1, 5, 70, True), (2, 6, None, False), (3, 7, None, False)]
+
+
+def test_tables_of_colours():
+    """Entries computed by hand: ((v/255 - 0.5) * (level/100)^2 + 0.5) * 255, and 255 * min(1, v/255 * brightness)^gamma."""
+    table = G.contrast_table(140)
+    assert (table[0], table[63], table[127], table[128], table[192], table[255]) == (0, 1, 126, 128, 253, 255)
+    bright = G.brightness_table(1.05)
+    assert (bright[0], bright[100], bright[200], bright[243], bright[255]) == (0, 105, 210, 255, 255)
+    assert (G.brightness_table(1.08, 0.9)[0], G.brightness_table(1.08, 0.9)[255]) == (0, 255)
+
+
 def _grid(spark, rows):
     return spark.createDataFrame([(i, y, x, v, v, v) for i, g in enumerate(rows) for y, line in enumerate(g) for x, v in enumerate(line)], "image_id int, y int, x int, r int, g int, b int")
 
@@ -169,6 +204,11 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     gap = 6 * 3600
     got = _streamed(spark, events, lambda s: E.throttle_stream(s, gap_s=gap), f"file://{tmp_path}", "throttled")
     want = E.throttle_events(events, gap_s=gap)
+    assert want.schema["ts"] == events.schema["ts"]
+    assert {(r.user_id, r.event_id, r.n) for r in got.collect()} == {(r.user_id, r.event_id, r.n) for r in want.collect()}
+    free = F.col("event_id") % 4 != 1
+    got = _streamed(spark, events, lambda s: E.throttle_stream(s, gap_s=gap, available=free), f"file://{tmp_path}", "available")
+    want = E.throttle_events(events, gap_s=gap, available=free)
     assert {(r.user_id, r.event_id, r.n) for r in got.collect()} == {(r.user_id, r.event_id, r.n) for r in want.collect()}
 
 
