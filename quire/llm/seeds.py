@@ -385,7 +385,10 @@ def repeated_spans(docs: DataFrame, split: Callable, length: int, k: int, judge:
     sent = texts.groupBy("batch").cogroup(seeds.repartition(sizes.tasks, "batch").groupBy("batch")).applyInArrow(send, CONTEXT_ROWS)
     spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(judge, SPAN_ROWS)
     packed = F.shiftleft("start", 32) + F.col("end")
-    return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), name)
+    found = stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), name)
+    del texts, sent, spans
+    release(docs.sparkSession)  # the texts' and the contexts' shuffles
+    return found
 
 
 class Repeated:
