@@ -278,14 +278,14 @@ def send_contexts(split: Callable, length: int, k: int, buckets: int):
     heavy seed's windows go one by one, under a hash of the window.
     """
 
-    def send(own: pa.Table, found: pa.Table, hashes: int) -> pa.Table:
-        repeated = Repeated(found, hashes)
+    def send(own: pa.Table, found: pa.Table | None, hashes: int) -> pa.Table:
+        repeated = Repeated(found, hashes) if found is not None else None  # None: all seeds are sent
         groups: dict[tuple[int, int, bytes], list[int]] = {}
         ids, rows, base = [], [], 0
         for b in text_batches(own.to_batches(), HASH_BYTES):
             tokens, counts, flat, first, last = split(raw_texts(b))
             s = winnow(tokens, counts, length, k)
-            hot, heavy = repeated.marks(s.key)
+            hot, heavy = repeated.marks(s.key) if repeated else (np.ones(len(s.key), bool), np.zeros(len(s.key), bool))
             place, low, high, doc, key, heavy = (x[hot] for x in (s.place, s.low, s.high, s.doc, s.key, heavy))
             times = np.where(heavy, high - low + 1, 1)
             pick = np.repeat(np.arange(len(place)), times)
@@ -321,6 +321,18 @@ def send_contexts(split: Callable, length: int, k: int, buckets: int):
     return send
 
 
+def context_texts(blobs: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Seed hash, place of the seed and text of all contexts of some rows."""
+    key, at, size = column(blobs["key"], np.uint64), column(blobs["at"], np.uint16), column(blobs["size"], np.uint32).astype(np.int64)
+    parts, begin = [], 0
+    for raw, head in zip(blobs["context"], blobs["key"], strict=True):
+        own = size[begin : begin + len(head) // 8]
+        begin += len(own)
+        text, ends = pa.decompress(raw, int(own.sum()), codec="zstd", asbytes=True), np.cumsum(np.r_[0, own]).tolist()
+        parts += [text[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return key, at, parts
+
+
 class Contexts:
     """What a bucket receives: contexts that are equal are one again, whoever sent them.
 
@@ -330,13 +342,7 @@ class Contexts:
 
     def __init__(self, table: pa.Table):
         blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
-        key, at, size = column(blobs["key"], np.uint64), column(blobs["at"], np.uint16), column(blobs["size"], np.uint32).astype(np.int64)
-        parts, begin = [], 0
-        for raw, head in zip(blobs["context"], blobs["key"], strict=True):
-            own = size[begin : begin + len(head) // 8]
-            begin += len(own)
-            text, ends = pa.decompress(raw, int(own.sum()), codec="zstd", asbytes=True), np.cumsum(np.r_[0, own]).tolist()
-            parts += [text[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        key, at, parts = context_texts(blobs)
         number: dict[tuple[int, int, bytes], int] = {}
         of = np.fromiter((number.setdefault(x, len(number)) for x in zip(key.tolist(), at.tolist(), parts, strict=True)), np.int64, len(parts))
         heads = list(number)
@@ -384,13 +390,18 @@ def repeated_spans(docs: DataFrame, split: Callable, length: int, k: int, judge:
     texts = batched(docs, sizes).repartition(sizes.tasks, "batch")
     sent = texts.groupBy("batch").cogroup(seeds.repartition(sizes.tasks, "batch").groupBy("batch")).applyInArrow(send, CONTEXT_ROWS)
     spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(judge, SPAN_ROWS)
-    packed = F.shiftleft("start", 32) + F.col("end")
-    found = stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), name)
+    found = packed_spans(spans, name)
     del texts, sent, spans
     release(docs.sparkSession)  # the texts' and the contexts' shuffles
     return found
 
 
+def packed_spans(spans: DataFrame, name: str) -> DataFrame:
+    """row, doc_id, spans: a document's spans in one row; stored."""
+    packed = F.shiftleft("start", 32) + F.col("end")
+    return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), name)
+
+
 class Repeated:
     """A batch's repeated seed hashes."""
 

@@ -20,6 +20,9 @@ with a smaller id; strings are judged on the input. Three steps:
 
 A seed hash that occurs at over ``HEAVY`` places is dealt out window by window,
 so that a passage which very many documents hold does not meet in one task.
+``StoredIndex`` keeps the family across batches that arrive over time: its levels
+are tables of contexts with their suffix arrays, merged by jobs.
+
 Within a bucket the seeds are taken in groups of ``GROUP_STRINGS`` windows, each
 with an index of its own: windows of different seeds are never equal.
 
@@ -33,27 +36,33 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, row_id, unused
-from .seeds import Contexts, keyed, merged_spans, raw_texts, repeated_spans, split_bytes
+from .common import NULL_ID, new_path, row_id, stored, unused
+from .seeds import CONTEXT_ROWS, SPAN_ROWS, Contexts, batched, context_texts, keyed, merged_spans, packed_spans, raw_texts, repeated_spans, send_contexts, sizes_for, split_bytes
 
 LENGTH = 50
 SEED = 20
 #: Window starts in a batch of the index family, and in one index.
 BATCH_STRINGS, GROUP_STRINGS = 1 << 16, 1 << 18
-#: No document is later.
-NEVER = 2**63 - 1
+#: No document is later, and none earlier.
+NEVER, BEFORE = 2**63 - 1, -(2**63)
 
 
-def suffix_array(texts: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` suffixes of each text as strings of ``width`` bytes (zeros after its end), and their sorted order."""
+def suffixes(texts: list[bytes], n: np.ndarray, width: int) -> np.ndarray:
+    """The first ``n`` suffixes of each text as strings of ``width`` bytes, with zeros after the text's end."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + width
     begin = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    gap = bytes(width)
-    flat = np.frombuffer(gap.join([*texts, b""]), np.uint8)
-    strings = np.lib.stride_tricks.sliding_window_view(flat, width)[begin].view(f"S{width}").ravel()
+    flat = np.frombuffer(bytes(width).join([*texts, b""]), np.uint8)
+    if not len(begin):
+        return np.zeros(0, f"S{width}")
+    return np.lib.stride_tricks.sliding_window_view(flat, width)[begin].view(f"S{width}").ravel()
+
+
+def suffix_array(texts: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``suffixes`` and their sorted order."""
+    strings = suffixes(texts, n, width)
     return strings, np.argsort(strings, kind="stable")
 
 
@@ -102,7 +111,114 @@ class IndexFamily:
         return earliest
 
 
-def first_documents(c: Contexts, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+class Level:
+    """A stored level of a bucket: contexts of earlier batches, and the numbers of their suffixes in sorted order."""
+
+    def __init__(self, row: dict[str, bytes], length: int, k: int):
+        self.key, self.at, self.texts = context_texts({c: [x] for c, x in row.items()})
+        self.n = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) - length + 1
+        self.order = np.frombuffer(row["suffixes"], np.uint32).astype(np.int64)
+        self.width = 2 * length - k
+
+    def part(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The level of an index for some seeds: their suffixes, still sorted; all are earlier than any document to come."""
+        own = np.isin(self.key, keys)
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        inside = own[owner]
+        number = np.cumsum(inside) - 1  # of a suffix among those of the seeds
+        strings = suffixes([t for t, x in zip(self.texts, own, strict=True) if x], self.n[own], self.width)
+        strings = strings[number[self.order[inside[self.order]]]]
+        return strings, np.full(len(strings), BEFORE, np.int64)
+
+
+def make_level(length: int, k: int):
+    """Bucket: the contexts of a batch and of levels that join it as one level; the sorted runs are merged."""
+
+    def make(sent: pa.Table, levels: pa.Table) -> pa.Table:
+        texts: dict[tuple[int, int, bytes], int] = {}
+        runs = []
+        for table, own in ((levels, False), (sent, True)):
+            for row in table.drop_columns(["bucket"]).to_pylist():
+                key, at, parts = context_texts({c: [x] for c, x in row.items()})
+                number = [texts.setdefault(x, len(texts)) for x in zip(key.tolist(), at.tolist(), parts, strict=True)]
+                runs.append((number, None if own else np.frombuffer(row["suffixes"], np.uint32).astype(np.int64)))
+        heads = list(texts)
+        plain = [x[2] for x in heads]
+        n = np.fromiter(map(len, plain), np.int64, len(plain)) - length + 1
+        strings, offset = suffixes(plain, n, 2 * length - k), np.cumsum(n) - n
+        order, seen = np.zeros(0, np.int64), np.zeros(len(plain), bool)
+        for number, sorted_ in runs:
+            fresh = np.array([x for x in dict.fromkeys(number) if not seen[x]], np.int64)
+            seen[fresh] = True
+            if sorted_ is None:
+                run = np.concatenate([np.arange(offset[x], offset[x] + n[x]) for x in fresh]) if len(fresh) else order[:0]
+                run = run[np.argsort(strings[run], kind="stable")]
+            else:  # from the level's numbers to those of the whole
+                own = np.array(number, np.int64)
+                run = (np.repeat(offset[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(int(n[own].sum())))[sorted_]
+                run = run[np.isin(np.repeat(own, n[own])[sorted_], fresh)]
+            both = np.concatenate([order, run])
+            order = both[np.argsort(strings[both], kind="stable")]
+        numbers = lambda i, dtype: np.fromiter((x[i] for x in heads), dtype, len(heads)).tobytes()
+        bucket = (sent if sent.num_rows else levels).column("bucket")[0].as_py()
+        size = np.fromiter(map(len, plain), np.uint32, len(plain)).tobytes()
+        row = {"bucket": pa.array([bucket], pa.int32()), "key": [numbers(0, np.uint64)], "at": [numbers(1, np.uint16)], "size": [size], "context": [pa.compress(b"".join(plain), codec="zstd", asbytes=True)], "suffixes": [order.astype(np.uint32).tobytes()]}
+        return pa.table({c: x if c == "bucket" else pa.array(x, pa.binary()) for c, x in row.items()})
+
+    return make
+
+
+NO_SPANS = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in SPAN_ROWS.split(", ")})
+LEVEL_ROWS = "bucket int, key binary, at binary, size binary, context binary, suffixes binary"
+
+
+class StoredIndex:
+    """The index family over batches of documents that arrive one after the other.
+
+    A level is a table in the shared folder, a row for each bucket of seeds, with
+    the contexts of all seeds of its batches and their suffix array. A new batch
+    is scanned against every level; then it becomes a level and is joined, by one
+    job, with the levels that are not more than twice as large. ``levels`` (path
+    and number of contexts, oldest first) is all that a later session needs.
+
+    Unlike in ``earlier_spans`` no seed can be left out, as a batch to come may
+    repeat it: the index holds a context of up to ``2 * length - k`` bytes for
+    each seed. Take enough buckets that one holds a few megabytes of text.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int, length: int = LENGTH, k: int = SEED, levels: list[tuple[str, int]] | None = None):
+        self.spark, self.buckets, self.length, self.k, self.levels = spark, buckets, length, k, list(levels or [])
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(LEVEL_ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], LEVEL_ROWS)
+
+    def scan_and_add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """row, doc_id, spans of the batch's documents that earlier batches, or smaller ids of the batch, hold; then the batch joins the index."""
+        length, k, buckets = self.length, self.k, self.buckets
+        own = keyed(docs, id_col, text_col)
+        sizes = sizes_for(own)
+        send = send_contexts(split_bytes, length, k, buckets)
+        texts = batched(own, sizes).repartition(sizes.tasks, "batch").groupBy("batch")
+        sent = stored(texts.applyInArrow(lambda t: send(t, None, 1), CONTEXT_ROWS), "batch-contexts")
+
+        def scan(new: pa.Table, old: pa.Table) -> pa.Table:
+            return scan_bucket(length, k, [Level(row, length, k) for row in old.drop_columns(["bucket"]).to_pylist()])(new) if new.num_rows else NO_SPANS
+
+        dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+        found = packed_spans(dealt(sent).cogroup(dealt(self._read([p for p, _ in self.levels]))).applyInArrow(scan, SPAN_ROWS), "spans")
+        size = sent.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("n")).first()["n"] // 8
+        joining = []
+        while self.levels and self.levels[-1][1] <= 2 * size:  # geometric merge
+            path, n = self.levels.pop()
+            joining.append(path)
+            size += n
+        path = new_path(self.spark, "level")
+        dealt(sent).cogroup(dealt(self._read(joining))).applyInArrow(make_level(length, k), LEVEL_ROWS).write.parquet(path)
+        self.levels.append((path, size))
+        return found
+
+
+def first_documents(c: Contexts, first: np.ndarray, length: int, k: int, levels: list[Level]) -> tuple[np.ndarray, np.ndarray]:
     """For each context's windows, in one array, the smallest document that the index finds for them; and how many windows each has.
 
     All windows of a context go into the suffix arrays, as its neighbours may
@@ -111,7 +227,10 @@ def first_documents(c: Contexts, first: np.ndarray, length: int, k: int) -> tupl
     """
     n = np.fromiter(map(len, c.texts), np.int64, len(c.texts)) - length + 1
     _, seed, times = np.unique(c.key, return_inverse=True, return_counts=True)
-    sent = np.where(times[seed] == 1, 1, n)
+    alone = times[seed] == 1
+    for level in levels:
+        alone &= ~np.isin(c.key, level.key)
+    sent = np.where(alone, 1, n)
     offset = np.cumsum(sent) - sent
     found = np.full(int(sent.sum()), NEVER, np.int64)
     by_seed = np.argsort(seed, kind="stable")
@@ -124,6 +243,7 @@ def first_documents(c: Contexts, first: np.ndarray, length: int, k: int) -> tupl
     while at < len(order):
         if group[order[at]] != now:
             family, now = IndexFamily(length), group[order[at]]
+            family.levels = [x for x in (level.part(c.key[group == now]) for level in levels) if len(x[0])]
         size = np.cumsum(sent[order[at : ends[at]]])
         part = order[at : at + max(1, int(np.searchsorted(size, BATCH_STRINGS, "right")))]
         at += len(part)
@@ -135,14 +255,14 @@ def first_documents(c: Contexts, first: np.ndarray, length: int, k: int) -> tupl
     return found[offset[owner] + np.minimum(step, sent[owner] - 1)], n
 
 
-def scan_bucket(length: int, k: int):
-    """Bucket: spans of documents that repeat strings of earlier ones."""
+def scan_bucket(length: int, k: int, levels: list[Level] = []):  # noqa: B006
+    """Bucket: spans of documents that repeat strings of earlier ones, or of stored levels."""
 
     def scan(table: pa.Table) -> pa.Table:
         c = Contexts(table)
         first = np.full(len(c.texts), NEVER, np.int64)
         np.minimum.at(first, c.owner, c.doc_id)
-        found, n = first_documents(c, first, length, k)
+        found, n = first_documents(c, first, length, k, levels)
         latest = np.maximum.reduceat(found, np.cumsum(n) - n)
         # places of documents after all those found lose the whole context
         gone = np.flatnonzero(c.doc_id > latest[c.owner])

@@ -188,6 +188,25 @@ def test_index_family_keeps_log_many_levels():
         assert all((level[0][1:] > level[0][:-1]).all() for level in family.levels[:-1])
 
 
+def test_stored_index_over_batches_is_brute_force(spark, docs):
+    """Batches one after the other: what an earlier batch holds is earlier, whatever the ids."""
+    rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL").collect()))
+    index, seen, sizes = suffix_dedup.StoredIndex(spark, 3), [], []
+    for part in (rows[1::2][:20], rows[::2][:9], rows[::2][9:13], rows[1::2][20:], [], rows[::2][13:]):
+        batch = spark.createDataFrame(part, "doc_id long, text string")
+        found = {r.doc_id: suffix_dedup._cut((dict(part)[r.doc_id] or "").encode(), r.spans)[0] for r in index.scan_and_add(batch).collect()}
+        order = [(i - 10**6, t or "") for i, t in seen] + [(i, t or "") for i, t in part]
+        want = {i: kept for (i, kept, *_), _ in _cut_bytes(order, 50).items() if i >= 0}
+        assert {i: found.get(i, (t or "").encode()) for i, t in part} == want
+        seen += part
+        sizes.append(len(index.levels))
+    assert 1 < max(sizes) <= 4
+    again = suffix_dedup.StoredIndex(spark, 3, levels=index.levels)
+    batch = spark.createDataFrame(rows[:5], "doc_id long, text string")
+    left = {r.doc_id: suffix_dedup._cut((dict(rows)[r.doc_id] or "").encode(), r.spans)[0] for r in again.scan_and_add(batch).collect()}
+    assert all(left[i] == b"" for i, t in rows[:5] if len((t or "").encode()) >= 50)
+
+
 def test_nothing_goes_without_the_index(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup.IndexFamily, "scan_and_add", lambda self, strings, docs, order: np.full(len(docs), suffix_dedup.NEVER))
     got = suffix_dedup.scan_bucket(50, 20)
