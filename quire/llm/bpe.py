@@ -238,6 +238,8 @@ class ChunkEncoder:
     def __init__(self, vocabulary: Vocabulary, encode_pieces):
         self.vocabulary, self.encode_pieces = vocabulary, encode_pieces
         self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}  # the half before; what is met again moves on
+        self.bare: dict[str, bytes] = {}  # pieces without a leading space
         self.careful = regex.compile(r"\s*\S+|\s+")
 
     def _pieces(self, chunk: str) -> list[str]:
@@ -251,8 +253,16 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks (with their leading blanks)."""
         cut = list(map(self._pieces, chunks))
-        pieces = list(set().union(*cut))
-        of = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
+        of: dict[str, bytes] = {}
+        for p in set().union(*cut):  # a piece may be known as a chunk of its own
+            found = self.known.get(p[1:]) if p[0] == " " else self.bare.get(p)
+            if found is not None:
+                of[p] = found
+        pieces = list(set().union(*cut).difference(of))
+        new = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
+        of |= new
+        if len(self.bare) < CACHE_CHUNKS // 10:
+            self.bare.update((p, x) for p, x in new.items() if p[0] != " " and len(p) <= CACHE_CHARS)
         return [of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for ps in cut]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -262,10 +272,13 @@ class ChunkEncoder:
         single spaces is empty or has a blank at an end, all the cuts are such.
         """
         parts = [(MARK + t).split(" ") for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
-        known = self.known
+        if len(self.known) > CACHE_CHUNKS // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         new = set().union(*parts).difference(known)
+        again = new.intersection(old)
+        known.update((p, old[p]) for p in again)
+        new -= again
         unsafe = {p for p in new if not p or p[-1].isspace() or p[0].isspace() or p[0] == MARK and (len(p) == 1 or p[1].isspace())}
         fresh = list(new - unsafe)
         known.update(zip(fresh, self._learn([p[1:] if p[0] == MARK else " " + p for p in fresh]), strict=True))
