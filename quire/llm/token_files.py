@@ -3,10 +3,10 @@
 Documents are range-partitioned by id and sorted; each partition packs its ids,
 an end id after each document, into sequences of ``seq_len`` and writes one
 file whose record batches hold ``ids`` (fixed-size list of 16- or 32-bit ids,
-by vocabulary size) and ``mask`` (fixed-size list of bytes, 0 on the padding of
-a file's last sequence and 1 elsewhere). All sequences are equally long, so the
-n-th one of a file is at a known batch and row and, in a memory-mapped file, its
-ids and its mask are read without a copy. An index table (document, part, file,
+by vocabulary size) and ``mask`` (fixed-size list of bytes of 8 bits, lowest first:
+0 on the padding of a file's last sequence and 1 elsewhere). All sequences are
+equally long, so the n-th one of a file is at a known batch and row and, in a
+memory-mapped file, its ids and the bytes of its mask are read without a copy. An index table (document, part, file,
 offset, tokens) is kept beside the files.
 
 Files go to the shared folder. Each attempt of a task writes under a name of its
@@ -77,7 +77,7 @@ class SequenceWriter:
 
     def __init__(self, sink, seq_len: int, dtype):
         self.seq_len, self.dtype = seq_len, np.dtype(dtype)
-        self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(self.dtype), seq_len), "mask": pa.list_(pa.uint8(), seq_len)})
+        self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(self.dtype), seq_len), "mask": pa.list_(pa.uint8(), -(-seq_len // 8))})
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.room = BATCH_SEQS * seq_len
         self.held: list[np.ndarray] = []
@@ -94,8 +94,8 @@ class SequenceWriter:
             self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = (np.arange(len(ids)) < n).astype(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
+        mask = np.packbits((np.arange(len(ids)) < n).reshape(-1, self.seq_len), axis=1, bitorder="little")
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), size) for x, size in ((ids, self.seq_len), (mask.ravel(), mask.shape[1]))]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -123,10 +123,13 @@ class SequenceFile:
         return self.batch
 
     def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the n-th sequence."""
+        """Ids and mask (packed, see ``unpacked``) of the n-th sequence: views of the file."""
         batch, row = self._batch(n // BATCH_SEQS), n % BATCH_SEQS
-        own = slice(row * self.seq_len, (row + 1) * self.seq_len)
-        return tuple(batch.column(c).values.to_numpy()[own] for c in ("ids", "mask"))
+        return tuple(x.values.to_numpy()[row * x.type.list_size : (row + 1) * x.type.list_size] for x in (batch.column("ids"), batch.column("mask")))
+
+    def unpacked(self, mask: np.ndarray) -> np.ndarray:
+        """A boolean for each id of a sequence."""
+        return np.unpackbits(mask, count=self.seq_len, bitorder="little").view(bool)
 
     def span(self, start: int, n: int):
         """Parts of the ids from start to start + n, batch by batch."""
@@ -157,15 +160,13 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary: str | None = No
         store.create_dir(folder, recursive=True)
         attempt = uuid.uuid4().hex
         name, draft = f"part-{part:06d}-{attempt}.arrow", f"{folder}/.draft-{attempt}"
-        end, offset = np.array([end_id], "<u4"), 0
+        end, offset = np.array([end_id], "<u4").tobytes(), 0
         with store.open_output_stream(draft) as sink:
             writer = SequenceWriter(sink, seq_len, dtype)
             for b in text_batches(batches):
-                counts = []
-                for raw in encoder.encode(b.column("text").to_pylist()):
-                    writer.add(np.frombuffer(raw, "<u4"))
-                    writer.add(end)
-                    counts.append(len(raw) // 4 + 1)
+                found = encoder.encode(b.column("text").to_pylist())
+                writer.add(np.frombuffer(end.join([*found, b""]), "<u4"))
+                counts = [len(raw) // 4 + 1 for raw in found]
                 ends = offset + np.cumsum(counts)
                 yield pa.record_batch({"doc_id": b.column("doc_id"), "part": pa.array([part] * len(counts), pa.int64()), "file": pa.array([name] * len(counts), pa.string()), "offset": pa.array(ends - counts, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
                 offset = int(ends[-1])

@@ -124,7 +124,10 @@ def test_token_files_round_trip(spark, docs, empty):
     first = index.orderBy("part", "offset").first()
     file = token_files.SequenceFile(f"{out}/{first.file}")
     ids, mask = file.sequence(0)
-    assert len(ids) == len(mask) == 16 and mask.all()
+    assert len(ids) == len(file.unpacked(mask)) == 16 and file.unpacked(mask).all()
+    last = -(-sum(r.n_tokens for r in index.filter(F.col("file") == first.file).collect()) // 16) - 1
+    used = sum(r.n_tokens for r in index.filter(F.col("file") == first.file).collect()) - 16 * last
+    assert file.unpacked(file.sequence(last)[1]).tolist() == [k < used for k in range(16)]
     assert file.reader.schema.field("ids").type.list_size == 16
     assert ids.base is not None and mask.dtype == np.uint8 and not ids.flags.owndata and not mask.flags.owndata
     # parts beyond a million are ordered as numbers
