@@ -774,3 +774,15 @@ def test_same_results_from_other_partitions(docs):
     one = minhash.near_duplicates(docs.coalesce(1)).select("doc_id", "class_id").collect()
     many = minhash.near_duplicates(docs.withColumn("x", F.rand(3)).repartition(7, "x")).select("doc_id", "class_id").collect()
     assert _multiset(one) == _multiset(many)
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    from quire.llm import common
+
+    kept = common.stored(spark.range(5).toDF("x"), "five")
+    folder = common.session_dir(spark).removeprefix("file://")
+    assert kept.count() == 5 and os.listdir(folder)
+    common.clear_stored(spark)
+    assert not os.path.exists(folder)
