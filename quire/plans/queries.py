@@ -277,12 +277,12 @@ def split_all(spark, d):
 
 @query(
     _with(
-        "SELECT m.doc_id, m.image_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY position)::INT AS page_no, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, CASE WHEN decoded THEN 85 END AS quality, coalesce(decoded, false) AS decoded FROM image_manifest m LEFT JOIN images i ON i.image_id = m.image_id",
+        "SELECT m.doc_id, m.image_id, row_number() OVER (PARTITION BY m.doc_id ORDER BY position)::INT AS page_no, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, CASE WHEN decoded THEN 85 ELSE 0 END AS quality, coalesce(decoded, false) AS decoded FROM image_manifest m LEFT JOIN images i ON i.image_id = m.image_id",
         "image_manifest images",
     )
 )
 def images_to_document(spark, d):
-    return P.images_to_document(X.image_manifest(spark, d), X.images(spark, d))
+    return P.images_to_document(X.image_manifest(spark, d), X.images(spark, d)).withColumn("quality", F.coalesce("quality", F.lit(0)))
 
 
 ACTION = "CASE alias WHEN 'Merge' THEN 'merge' WHEN 'Split' THEN 'split' ELSE 'view' END"
@@ -371,9 +371,10 @@ def sql_sharpen(t: str, center: int, side: int) -> str:
 def sql_stats(t: str, block: int, step: int) -> str:
     """The direct form: every sample of the square, by a join on clamped coordinates."""
     o = f"range({-block}, {block + 1}, {step})"
+    sized = f"SELECT *, {LUMA} AS l, max(x) OVER (PARTITION BY image_id) AS mx, max(y) OVER (PARTITION BY image_id) AS my FROM {t}"
+    spots = f"SELECT *, greatest(0, least(mx, x + dx)) AS qx, greatest(0, least(my, y + dy)) AS qy FROM (SELECT *, unnest({o}) AS dy FROM (SELECT *, unnest({o}) AS dx FROM ({sized})))"
     return f"""SELECT p.image_id, p.y, p.x, p.r, p.g, p.b, any_value(p.l) AS l, sum(q.l) AS total, min(q.l) AS low, max(q.l) AS high
-FROM (SELECT *, {LUMA} AS l, max(x) OVER (PARTITION BY image_id) AS mx, max(y) OVER (PARTITION BY image_id) AS my FROM {t}) p, (SELECT unnest({o}) AS dx) a, (SELECT unnest({o}) AS dy) c,
-(SELECT *, {LUMA} AS l FROM {t}) q WHERE q.image_id = p.image_id AND q.x = greatest(0, least(p.mx, p.x + a.dx)) AND q.y = greatest(0, least(p.my, p.y + c.dy)) GROUP BY ALL"""
+FROM ({spots}) p JOIN (SELECT image_id, x, y, {LUMA} AS l FROM {t}) q ON q.image_id = p.image_id AND q.x = p.qx AND q.y = p.qy GROUP BY ALL"""
 
 
 def sql_document(t: str, block: int, step: int) -> str:
