@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, minhash, quality_model, quality_rules, substring_dedup, suffix_dedup, token_files, url_filters
+from . import bpe, chat, decontaminate, minhash, pieces, quality_model, quality_rules, runs, spelling, substring_dedup, suffix_dedup, token_files, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_runs": runs.op11_runs,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {
