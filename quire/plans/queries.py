@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import scalars as S
 from quire.operators import grid as G
 from quire.operators import pages as P
+from quire.operators import raster as R
 from quire.plans import fixtures as X
 from quire.sources.files import catalog_scan as scan_catalog
 from quire.sources.files import shared_folder
@@ -461,13 +462,28 @@ def img_sharpen(spark, d):
     return G.img_sharpen(_grid(spark, d), *G.SHARPEN["magic"])
 
 
-@query(_with(f"SELECT image_id, y, x, l, total::BIGINT AS total, low, high FROM ({sql_stats('wide_grid', 15, 3)})", "wide_grid"))
+STATS = _with(f"SELECT image_id, y, x, l, total::BIGINT AS total, low, high FROM ({sql_stats('wide_grid', 15, 3)})", "wide_grid")
+
+
+@query(STATS)
 def local_stats(spark, d):
+    return R.local_stats(X.wide_grid(spark, d), 15, 3).drop(*G.RGB)
+
+
+@query(STATS)
+def local_stats_by_pixel(spark, d):
+    """The same by windows over pixel rows."""
     return G.local_stats(G.by_image(X.wide_grid(spark, d)), 15, 3).select("image_id", "y", "x", "l", F.col("total").cast("long").alias("total"), "low", "high")
 
 
 @query(_with(sql_document("wide_grid", 15, 3), "wide_grid"))
 def img_document(spark, d):
+    return R.apply_filter(X.wide_grid(spark, d), "document")
+
+
+@query(ORACLE_SQL["img_document"])
+def img_document_by_pixel(spark, d):
+    """The same by windows over pixel rows."""
     return G.img_document(G.by_image(X.wide_grid(spark, d)), 15, 3)
 
 
@@ -497,9 +513,26 @@ def _named(name: str) -> str:
 
 @query(_with(" UNION ALL ".join(f"SELECT * FROM ({q})" for q in ("SELECT * FROM " + _named("original"), sql_auto(_named("auto")), sql_document(_named("document"), 15, 3), sql_magic(_named("magicColor")), sql_black_white(_named("blackWhite")), sql_clean(_named("grayscale")))), "grid image_manifest"))
 def apply_filters(spark, d):
+    return R.apply_filters(X.grid(spark, d), X.image_manifest(spark, d))
+
+
+@query(ORACLE_SQL["apply_filters"])
+def apply_filters_by_pixel(spark, d):
+    """The same by expressions and windows over pixel rows."""
     return G.apply_filters(X.grid(spark, d), X.image_manifest(spark, d))
 
 
+EVERY_FILTER = {"auto": sql_auto, "magicColor": sql_magic, "blackWhite": sql_black_white, "grayscale": sql_clean, "document": lambda t: sql_document(t, 15, 3), "original": lambda t: f"SELECT * FROM {t}"}
+
+
+@query(_with(" UNION ALL ".join(f"SELECT * FROM ({q('wide_grid')})" for q in EVERY_FILTER.values()), "wide_grid"))
+def every_filter(spark, d):
+    """Packed lines by all filters at once, each image from its original bytes."""
+    lines = R.pack(X.wide_grid(spark, d))
+    wanted = X.wide_grid(spark, d).filter("y = 0 AND x = 0").select("image_id", F.explode(F.array(*[F.lit(x) for x in EVERY_FILTER])).alias("filter"))
+    return R.unpack(R.apply_filters(lines, wanted))
+
+
 @query(
     _with(
         "SELECT image_id, y - y0 AS y, x - x0 AS x, r, g, b FROM grid JOIN boxes USING (image_id) WHERE x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h",

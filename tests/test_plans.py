@@ -217,3 +217,59 @@ def test_throttle_counts_from_the_last_shown(spark):
     events = spark.createDataFrame(rows, "event_id long, t string, user_id long").select("event_id", F.to_timestamp("t").alias("ts"), "user_id")
     assert [r.event_id for r in E.throttle_events(events, gap_s=240).orderBy("event_id").collect()] == [2, 8]
     assert [r.event_id for r in E.throttle_events(events, gap_s=0, available=F.col("event_id") != 5).orderBy("event_id").collect()] == [2, 8, 11]
+
+
+def _noise(seed, shapes):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    out = []
+    for h, w in shapes:
+        base = rng.integers(0, 256, (h, w, 3)) if rng.random() < 0.5 else np.clip(rng.normal(190, 30, (h, w, 3)) - 150 * (rng.random((h, w, 1)) < 0.1), 0, 255).astype(int)
+        out.append(base.tolist())
+    return out
+
+
+def test_packed_filters_are_those_of_pixel_rows(spark, monkeypatch):
+    from quire.operators import raster as R
+
+    monkeypatch.setattr(R, "BAND", 7)
+    shapes = [(1, 1), (1, 9), (9, 1), (40, 37), (40, 37), (33, 5), (5, 50), (64, 20)]
+    images = [*_noise(5, shapes), [[(77, 77, 77)] * 3] * 3, [[(40, 40, 40), (200, 200, 200)] * 2] * 4]
+    grid = spark.createDataFrame([(i, y, x, *p) for i, g in enumerate(images) for y, line in enumerate(g) for x, p in enumerate(line)], "image_id int, y int, x int, r int, g int, b int").repartition(3)
+    bag = lambda df: Counter(map(tuple, df.select("image_id", "y", "x", "r", "g", "b").collect()))
+    for name, by_pixel in G.PIPELINES.items():
+        assert bag(R.apply_filter(grid, name)) == bag(by_pixel(grid)), name
+    assert bag(R.unpack(R.pack(grid))) == bag(grid) == bag(R.apply_filter(grid, "unknown"))
+    names = ["auto", "document", "magicColor", "blackWhite", "grayscale", None, "other"]
+    manifest = spark.createDataFrame([(i, names[i % 7]) for i in range(9)] + [(0, "auto"), (99, "auto")], "image_id int, filter string")
+    want = bag(G.apply_filters(grid, manifest))
+    assert bag(R.apply_filters(grid, manifest)) == want
+    lines = R.apply_filters(R.pack(grid), manifest)
+    assert bag(R.unpack(lines)) == want and lines.columns == ["image_id", "y", "r", "g", "b"]
+    two = R.apply_filters(grid.filter("image_id = 3"), spark.createDataFrame([(3, "auto"), (3, "grayscale")], "image_id int, filter string"))
+    assert bag(two) == bag(G.img_auto(grid.filter("image_id = 3"))) + bag(G.img_grayscale_clean(grid.filter("image_id = 3")))
+    for block, step in ((15, 3), (3, 1), (4, 3), (20, 5)):
+        got, own = R.local_stats(grid, block, step), G.local_stats(grid, block, step)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, own.select(*got.columns).collect()))
+    assert R.apply_filters(grid.limit(0), manifest).count() == 0 and R.pack(grid.limit(0)).count() == 0
+    with pytest.raises(Exception, match="full rectangle"):
+        R.pack(grid.filter("NOT (image_id = 3 AND y = 4 AND x = 4)")).count()
+
+
+def test_packed_filters_need_two_exchanges(spark, sf):
+    from quire.operators import raster as R
+
+    lines = spark.createDataFrame([(1, 0, b"a", b"b", b"c")], "image_id long, y int, r binary, g binary, b binary")
+    plan = R.apply_filters(lines, X.image_manifest(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
+
+
+def test_lines_of_image_files(spark, tmp_path):
+    from quire.operators import raster as R
+
+    (tmp_path / "a.png").write_bytes(_png([[(1, 2, 3), (4, 5, 6)], [(7, 8, 9), (250, 251, 252)]]))
+    (tmp_path / "junk.png").write_bytes(b"junk")
+    images = files.image_scan(spark, f"file://{tmp_path}")
+    pixels = R.unpack(R.image_lines(images))
+    assert Counter(map(tuple, pixels.collect())) == Counter(map(tuple, files.image_grid(images).collect()))
