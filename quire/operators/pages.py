@@ -1,16 +1,19 @@
 """Page-sequence operators: a document is an ordered set of page rows.
 
-``pages`` has doc_id, page_no (from 1) and content. Requests are tables:
-``manifest`` (batch_id, position, doc_id), ``ranges`` (doc_id, range_ord, start,
-end), ``selection`` (doc_id, sel_ord, page_idx from 0). Every operator handles
-all documents at once, carries explicit ordinals and joins on document ids;
-what a request leaves out is told by ``reject_report``.
+``pages`` has doc_id, page_no and content; a page is known by its position, so
+page numbers run from 1 without gaps (``renumber_pages`` makes them so). Requests
+are tables: ``manifest`` (batch_id, position, doc_id), ``ranges`` (doc_id,
+range_ord, start, end), ``selection`` (doc_id, sel_ord, page_idx from 0). Every
+operator handles all documents at once, carries explicit ordinals and joins on
+document ids; what a request leaves out is told by ``reject_report``.
+
+Positions in an output are sums of counts, taken over the request tables and never
+over page contents; contents are moved once, by document, and a document or batch
+with a large share of all pages is spread over tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +22,14 @@ from pyspark.sql import functions as F
 PAGE_BOX = (595.0, 842.0)
 #: Entry points and their actions.
 ACTIONS = [("View", "view"), ("Merge", "merge"), ("Split", "split")]
+#: Inputs of a batch, or pages of an output, whose sizes are summed in one group.
+SUM_BLOCK = 4096
+#: Page numbers that a range is joined by at once.
+RANGE_BLOCK = 64
+#: Characters of a part of an assembled output.
+PART_CHARS = 1 << 20
+#: Bits of a key that are ranked at once.
+RANK_BITS = 20
 
 
 def paginate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "\n") -> DataFrame:
@@ -48,48 +59,120 @@ def _renumber(by: list[str], order: list[str]) -> Column:
     return F.row_number().over(W.partitionBy(*by).orderBy(*order))
 
 
-def complete_batches(manifest: DataFrame, pages: DataFrame) -> DataFrame:
-    """batch_id of batches with at least two inputs, all of which have pages: a merge succeeds as a whole or not at all."""
-    present = pages.select("doc_id").distinct().withColumn("present", F.lit(1))
-    judged = manifest.join(present, "doc_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("inputs"), F.count("present").alias("there"))
+def _div(c: Column, n: int) -> Column:
+    return F.call_function("div", c.cast("long"), F.lit(n).cast("long"))
+
+
+def _before(value: str, by: list[str], order: list[str]) -> Column:
+    """Sum of a column over the rows before, in a group."""
+    return F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def renumber_pages(pages: DataFrame) -> DataFrame:
+    """Pages numbered from 1 without gaps, in the order of their numbers: for tables that lost pages."""
+    return pages.withColumn("page_no", _renumber(["doc_id"], ["page_no"]))
+
+
+def input_offsets(manifest: DataFrame, counts: DataFrame) -> DataFrame:
+    """batch_id, position, doc_id, page_offset of the inputs of complete batches: the pages that come before each in its output.
+
+    A batch is complete if it has at least two inputs, all of which have pages: a
+    merge succeeds as a whole or not at all. Sums are taken in blocks of positions
+    and then over blocks, so a batch with very many inputs is no single group.
+    """
+    has = counts.filter("page_count > 0").select("doc_id", F.col("page_count").alias("n"))
+    inputs = manifest.select("batch_id", "position", "doc_id").join(has, "doc_id", "left").withColumn("block", F.coalesce(_div(F.col("position"), SUM_BLOCK), F.lit(-(2**62))))
+    blocks = inputs.groupBy("batch_id", "block").agg(F.sum("n").alias("block_n"), F.count(F.lit(1)).alias("inputs"), F.count("n").alias("there"))
+    whole = W.partitionBy("batch_id")
+    judged = blocks.select("batch_id", "block", _before("block_n", ["batch_id"], ["block"]).alias("blocks_before"), F.sum("inputs").over(whole).alias("inputs"), F.sum("there").over(whole).alias("there"))
+    complete = judged.filter("inputs >= 2 AND inputs = there").select("batch_id", "block", "blocks_before")
+    within = _before("n", ["batch_id", "block"], ["position", "doc_id"])
+    return inputs.join(complete, ["batch_id", "block"]).select("batch_id", "position", "doc_id", (F.col("blocks_before") + within).alias("page_offset"))
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("doc_id").agg(F.count("page_no").alias("page_count"))
+
+
+def complete_batches(manifest: DataFrame, counts: DataFrame) -> DataFrame:
+    """batch_id of batches with at least two inputs, all of which have pages."""
+    has = counts.filter("page_count > 0").select("doc_id", F.lit(1).alias("n"))
+    judged = manifest.select("batch_id", "doc_id").join(has, "doc_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("inputs"), F.count("n").alias("there"))
     return judged.filter("inputs >= 2 AND inputs = there").select("batch_id")
 
 
-def merge_documents(manifest: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of each complete batch's documents in (position, page_no) order, renumbered."""
-    joined = manifest.join(complete_batches(manifest, pages), "batch_id", "left_semi").join(pages, "doc_id")
-    return joined.select("batch_id", "position", "doc_id", "page_no", "content", _renumber(["batch_id"], ["position", "page_no"]).alias("out_page_no"))
+def merge_documents(manifest: DataFrame, pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Pages of each complete batch's documents in (position, page_no) order, renumbered.
 
+    A page's number is its own and the pages of the inputs before; ``counts``
+    (doc_id, page_count) is taken from the page numbers if it is not given.
+    """
+    offsets = input_offsets(manifest, _counted(pages) if counts is None else counts)
+    out_page_no = (F.col("page_offset") + F.col("page_no")).cast("int")
+    return offsets.join(pages, "doc_id").select("batch_id", "position", "doc_id", "page_no", "content", out_page_no.alias("out_page_no"))
 
-def dense_ordinals(ids: DataFrame, key: str, runs: int | None = None) -> DataFrame:
-    """Distinct keys with their ordinal from 1, without sorting them in one task.
 
-    Quantiles of the keys cut them into runs, as many as the session has shuffle
-    partitions; keys are numbered within their run and the runs' counts, one row
-    each, are summed.
+def dense_ordinals(ids: DataFrame, key: str) -> DataFrame:
+    """Distinct whole-number keys with their ordinal from 1, without sorting them in one task.
+
+    A key's ordinal is its rank among the keys that differ in the last bits only,
+    and the keys below in the groups before, which are ranked alike, twice.
+    Groups have at most 2 ** RANK_BITS members (the last, of the highest bits, 16
+    times as many), whatever the keys are; nothing is sampled or collected.
     """
-    runs = runs or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = [i / runs for i in range(1, runs)]
-    cuts = sorted(set((ids.agg(F.percentile_approx(key, marks, 10_000).alias("q")).first()["q"] if marks else None) or []))
-    run = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    dealt = ids.withColumn("_run", run)
-    sizes = dealt.groupBy("_run").count()
-    before = sizes.select("_run", F.coalesce(F.sum("count").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_run").orderBy(key))
-    return dealt.withColumn("_own", within).join(before, "_run").select(key, (F.col("_own") + F.col("_before")).cast("int").alias("ordinal"))
-
-
-def merge_batches(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    low, high = F.shiftright(F.col(key).cast("long"), RANK_BITS), F.shiftright(F.col(key).cast("long"), 2 * RANK_BITS)
+    keys = ids.select(key).distinct().select(key, low.alias("_low"), high.alias("_high"))
+    ranked = keys.withColumn("_own", F.row_number().over(W.partitionBy("_low").orderBy(key)))
+    lows = keys.groupBy("_low", "_high").agg(F.count(F.lit(1)).alias("_n"))
+    highs = lows.groupBy("_high").agg(F.sum("_n").alias("_n"))
+    highs = highs.select("_high", F.coalesce(F.sum("_n").over(W.orderBy("_high").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_highs_before"))
+    lows = lows.withColumn("_lows_before", _before("_n", ["_high"], ["_low"])).join(highs, "_high")
+    before = lows.select("_low", (F.col("_lows_before") + F.col("_highs_before")).alias("_before"))
+    return ranked.join(before, "_low").select(key, (F.col("_own") + F.col("_before")).cast("int").alias("ordinal"))
+
+
+def merge_batches(manifest: DataFrame, pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``merge_documents`` with an ordinal, from 1, over the batches that succeed."""
-    numbered = dense_ordinals(complete_batches(manifest, pages), "batch_id")
-    joined = manifest.join(numbered, "batch_id").join(pages, "doc_id")
-    return joined.select("batch_id", "ordinal", _renumber(["batch_id"], ["position", "page_no"]).alias("out_page_no"), "doc_id", "page_no", "content")
+    counts = _counted(pages) if counts is None else counts
+    numbered = dense_ordinals(complete_batches(manifest, counts), "batch_id")
+    offsets = input_offsets(manifest, counts).join(numbered, "batch_id")
+    out_page_no = (F.col("page_offset") + F.col("page_no")).cast("int")
+    return offsets.join(pages, "doc_id").select("batch_id", "ordinal", out_page_no.alias("out_page_no"), "doc_id", "page_no", "content")
+
+
+def assemble_parts(merged: DataFrame, out_col: str = "batch_id", part_chars: int = PART_CHARS) -> DataFrame:
+    """Artifacts in parts: out_col, part (from 0), first_page, n_bytes, content.
+
+    An artifact is its pages' contents in order, joined by form feeds; a null
+    content is empty. Part k holds its characters from ``k * part_chars`` on, so
+    no row is longer, and a page longer than a part is cut. Places are summed in
+    blocks of pages, so an output with very many pages is no single group; an
+    output without characters has one empty part.
+    """
+    rows = merged.select(out_col, "out_page_no", F.coalesce("content", F.lit("")).alias("text"), _div(F.col("out_page_no"), SUM_BLOCK).alias("block"))
+    rows = rows.withColumn("n", (F.char_length("text") + 1).cast("long"))
+    blocks = rows.groupBy(out_col, "block").agg(F.sum("n").alias("block_n"))
+    placed = blocks.select(out_col, "block", _before("block_n", [out_col], ["block"]).alias("blocks_before"), F.sum("block_n").over(W.partitionBy(out_col)).alias("all_n"))
+    at = F.col("blocks_before") + _before("n", [out_col, "block"], ["out_page_no"])
+    pages = rows.join(placed, [out_col, "block"]).select(out_col, "out_page_no", "text", at.alias("at"), "n", "all_n")
+    # the last page has no form feed behind it
+    ended = pages.withColumn("text", F.when(F.col("at") + F.col("n") == F.col("all_n"), F.col("text")).otherwise(F.concat("text", F.lit("\f"))))
+    last = F.greatest(F.col("at") + F.char_length("text") - 1, F.col("at"))
+    slices = ended.withColumn("part", F.explode(F.sequence(_div(F.col("at"), part_chars), _div(last, part_chars))))
+    start = F.greatest(F.col("part") * part_chars - F.col("at"), F.lit(0).cast("long"))
+    room = (F.col("part") + 1) * part_chars - F.greatest(F.col("at"), F.col("part") * part_chars)
+    slices = slices.select(out_col, "part", "out_page_no", F.col("at").alias("_at"), F.substring("text", (start + 1).cast("int"), room.cast("int")).alias("piece"))
+    slices = slices.filter("piece <> '' OR (part = 0 AND out_page_no = 1)")
+    parts = slices.groupBy(out_col, "part").agg(F.array_sort(F.collect_list(F.struct("out_page_no", "piece"))).alias("p"))
+    content = F.array_join(F.transform("p", lambda x: x["piece"]), "")
+    return parts.select(out_col, "part", F.element_at("p", 1)["out_page_no"].alias("first_page"), F.octet_length(content).cast("long").alias("n_bytes"), content.alias("content"))
 
 
 def assemble(merged: DataFrame, out_col: str = "batch_id") -> DataFrame:
-    """One artifact per output: its pages' contents in order, joined by form feeds."""
-    rows = merged.groupBy(out_col).agg(F.array_sort(F.collect_list(F.struct("out_page_no", "content"))).alias("p"))
-    return rows.select(out_col, F.size("p").alias("n_pages"), F.array_join(F.transform("p", lambda x: F.coalesce(x["content"], F.lit(""))), "\f").alias("artifact"))
+    """One artifact per output in one row: the parts joined; for outputs that fit in a row, others are read by parts."""
+    parts = assemble_parts(merged, out_col).groupBy(out_col).agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("p"))
+    pages = merged.groupBy(out_col).agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
+    return parts.join(pages, out_col).select(out_col, "n_pages", F.array_join(F.transform("p", lambda x: x["content"]), "").alias("artifact"))
 
 
 def write_outputs(outputs: DataFrame, path: str, by: str = "op") -> None:
@@ -109,9 +192,15 @@ def split_range(pages: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def split_ranges(pages: DataFrame, ranges: DataFrame, counts: DataFrame) -> DataFrame:
-    """One output per valid range; the join has the document as its equal key."""
+    """One output per valid range.
+
+    Ranges are cut at blocks of page numbers and joined by document and block, so
+    at most a block at each end of a range is met in vain, and the pages of a
+    document with many ranges are spread over tasks.
+    """
     good = valid_ranges(ranges, counts).select("doc_id", "range_ord", F.col("start").alias("first"), F.col("end").alias("last"))
-    inside = good.join(pages, "doc_id").filter("page_no BETWEEN first AND last")
+    cut = good.withColumn("block", F.explode(F.sequence(_div(F.col("first"), RANGE_BLOCK), _div(F.col("last"), RANGE_BLOCK))))
+    inside = cut.join(pages.withColumn("block", _div(F.col("page_no"), RANGE_BLOCK)), ["doc_id", "block"]).filter("page_no BETWEEN first AND last")
     return inside.select("doc_id", "range_ord", "page_no", "content", (F.col("page_no") - F.col("first") + 1).alias("out_page_no"))
 
 
@@ -175,21 +264,38 @@ def batch_stats(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def output_stats(merged: DataFrame, manifest: DataFrame, catalog: DataFrame, extracted: DataFrame, ranged: DataFrame, exploded: DataFrame) -> DataFrame:
-    """Outputs and pages by operation, as a completion message tells them.
+def output_stats(manifest: DataFrame, ranges: DataFrame, selection: DataFrame, counts: DataFrame) -> DataFrame:
+    """op, outputs, pages, told: outputs and pages by operation, as a completion message tells them.
 
-    ``told`` is the number in the message: for merges the pages of all batches,
-    also of those too small to merge; for extraction the selected pages; for
-    other splits the number of outputs.
+    All is counted from the requests and the page counts (doc_id, page_count), in
+    one pass over tagged rows: by request, then by operation. ``told`` is the number
+    in the message: for merges the pages of all batches, also of those too small
+    to merge; for extraction the selected pages; for other splits the number of
+    outputs.
     """
-    none = F.lit(0).cast("long")
-    all_pages = manifest.join(catalog.select("doc_id", "page_count"), "doc_id", "left").agg(F.coalesce(F.sum("page_count"), F.lit(0)).cast("long").alias("told"))
-    parts = [all_pages.select(F.lit("merge").alias("op"), none.alias("outputs"), none.alias("pages"), "told")]
-    for op, df, cols, told in (("merge", merged, ("batch_id",), none), ("extract", extracted, ("doc_id",), F.col("pages")), ("split_range", ranged, ("doc_id", "range_ord"), F.col("outputs")), ("split_all", exploded, ("out_id",), F.col("outputs"))):
-        # pages by output first, on each task's rows: no set of outputs is kept
-        sizes = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(sizes.agg(F.count(F.lit(1)).alias("outputs"), F.coalesce(F.sum("n"), none).alias("pages")).select(F.lit(op).alias("op"), "outputs", "pages", told.alias("told")))
-    return reduce(DataFrame.unionByName, parts).groupBy("op").agg(*[F.sum(c).alias(c) for c in ("outputs", "pages", "told")])
+    none = F.lit(None).cast("long")
+
+    def tagged(df: DataFrame, op: str, request: Column, doc: Column, first: Column = none, last: Column = none) -> DataFrame:
+        return df.select(F.lit(op).alias("op"), request.cast("string").alias("request"), doc.cast("long").alias("doc_id"), first.cast("long").alias("first"), last.cast("long").alias("last"))
+
+    doc = F.col("doc_id")
+    asked = tagged(manifest, "merge", F.col("batch_id"), doc)
+    asked = asked.unionByName(tagged(ranges, "split_range", F.concat_ws("/", doc.cast("string"), F.col("range_ord").cast("string"), F.col("start").cast("string"), F.col("end").cast("string")), doc, F.col("start"), F.col("end")))
+    asked = asked.unionByName(tagged(selection, "extract", doc, doc, F.col("page_idx") + 1, F.col("page_idx") + 1))
+    known = counts.select(F.col("doc_id").cast("long").alias("doc_id"), "page_count")
+    rows = asked.join(known, "doc_id", "left")
+    n = F.col("page_count")
+    fits = F.when(F.col("op") == "merge", n > 0).otherwise((F.col("first") >= 1) & (F.col("last") <= n) & (F.col("first") <= F.col("last")))
+    pages = F.when(F.col("op") == "merge", n).otherwise(F.col("last") - F.col("first") + 1)
+    requests = rows.groupBy("op", "request").agg(F.count(F.lit(1)).alias("inputs"), F.bool_and(F.coalesce(fits, F.lit(False))).alias("good"), F.sum(pages).alias("pages"))
+    # equal ranges are requests of their own; a selection or a batch is one
+    outputs = F.when(F.col("op") == "split_range", F.col("inputs")).otherwise(F.lit(1))
+    good = F.col("good") & ((F.col("op") != "merge") | (F.col("inputs") >= 2))
+    zero = F.lit(0).cast("long")
+    by_op = requests.groupBy("op").agg(F.sum(F.when(good, outputs).otherwise(zero)).alias("outputs"), F.sum(F.when(good, F.col("pages")).otherwise(zero)).alias("pages"), F.coalesce(F.sum("pages"), zero).alias("every"))
+    told = F.when(F.col("op") == "merge", F.col("every")).when(F.col("op") == "extract", F.col("pages")).otherwise(F.col("outputs"))
+    exploded = known.agg(F.coalesce(F.sum("page_count"), zero).alias("n")).select(F.lit("split_all").alias("op"), F.col("n").alias("outputs"), F.col("n").alias("pages"), F.col("n").alias("told"))
+    return by_op.select("op", "outputs", "pages", told.alias("told")).unionByName(exploded)
 
 
 def reject_report(manifest: DataFrame, ranges: DataFrame, selection: DataFrame, counts: DataFrame) -> DataFrame:

@@ -69,6 +69,20 @@ def assemble(spark, d):
     return P.assemble(P.merge_documents(X.manifest(spark, d), X.pages_conv(spark, d)))
 
 
+@query(
+    _with(
+        """SELECT o.batch_id, k AS part, (SELECT max(out_page_no) FROM placed p WHERE p.batch_id = o.batch_id AND p.at <= k * 300) AS first_page, octet_length(encode(substr(artifact, (k * 300 + 1)::BIGINT, 300))) AS n_bytes, substr(artifact, (k * 300 + 1)::BIGINT, 300) AS content
+FROM (SELECT *, unnest(range(0, (length(artifact) + 299) // 300)) AS k FROM whole) o""",
+        "manifest pages_conv",
+        merged=MERGED,
+        placed="SELECT batch_id, out_page_no, coalesce(sum(length(coalesce(content, '')) + 1) OVER (PARTITION BY batch_id ORDER BY out_page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM merged",
+        whole="SELECT batch_id, string_agg(coalesce(content, ''), chr(12) ORDER BY out_page_no) AS artifact FROM merged GROUP BY batch_id",
+    )
+)
+def assemble_parts(spark, d):
+    return P.assemble_parts(P.merge_documents(X.manifest(spark, d), X.pages_conv(spark, d)), part_chars=300)
+
+
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN '/out/' || CASE WHEN source = 'src0' THEN 'Documents' ELSE 'Downloads' END || '/'
        || CASE doc_id % 5 WHEN 0 THEN 'merged_' || (doc_id % 9 + 1) WHEN 1 THEN 'scanned' WHEN 2 THEN 'split_' || (doc_id % 9 + 1) WHEN 3 THEN 'page_' || (doc_id % 9 + 1) ELSE 'extracted' END
@@ -325,9 +339,7 @@ UNION ALL SELECT 'split_all', count(*), count(*), count(*) FROM pages_conv""",
     )
 )
 def output_stats(spark, d):
-    pages, counts, m = X.pages_conv(spark, d), X.counts_conv(spark, d), X.manifest(spark, d)
-    extracted = P.extract_pages(pages, X.selection(spark, d), counts)
-    return P.output_stats(P.merge_documents(m, pages), m, counts, extracted, P.split_ranges(pages, X.ranges(spark, d), counts), P.split_all(pages))
+    return P.output_stats(X.manifest(spark, d), X.ranges(spark, d), X.selection(spark, d), X.counts_conv(spark, d))
 
 
 @query(_with("SELECT * FROM page_dims WHERE page_no = 1", "page_dims"))

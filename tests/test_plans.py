@@ -273,3 +273,105 @@ def test_lines_of_image_files(spark, tmp_path):
     images = files.image_scan(spark, f"file://{tmp_path}")
     pixels = R.unpack(R.image_lines(images))
     assert Counter(map(tuple, pixels.collect())) == Counter(map(tuple, files.image_grid(images).collect()))
+
+
+def _book(spark, seed, docs=12, most=30):
+    import random
+
+    rng = random.Random(seed)
+    sizes = {i: rng.choice([0, 1, 2, rng.randint(1, most)]) for i in range(docs)} | {100: 90}
+    pages = [(i, k, rng.choice([None, "", "é" * rng.randint(0, 9), "some text "])) for i, n in sizes.items() for k in range(1, n + 1)]
+    return rng, sizes, pages, spark.createDataFrame(pages, "doc_id long, page_no int, content string").repartition(5)
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_offsets_are_those_of_a_running_count(spark, monkeypatch, block):
+    """Batches of many inputs, repeats, ties, gaps and nulls among positions; blocks of any size."""
+    monkeypatch.setattr(P, "SUM_BLOCK", block)
+    monkeypatch.setattr(P, "RANK_BITS", 3)
+    rng, sizes, pages, df = _book(spark, block)
+    full = [i for i, n in sizes.items() if n]
+    manifest = [(b * 7 - 40, k * rng.choice([1, 3]), rng.choice(full)) for b in range(30) for k in range(rng.randint(0, 12))]
+    manifest += [(1000, k, 100) for k in range(40)] + [(2000, 0, full[0]), (2000, 1, 12345), (3000, 0, full[0]), (4000, None, full[0]), (4000, -2, full[1]), (1 << 40, 0, 100), (1 << 40, 1, 100)]
+    text = {(i, k): c for i, k, c in pages}
+    want, done = Counter(), []
+    for b in sorted({m[0] for m in manifest}):
+        rows = sorted((m for m in manifest if m[0] == b), key=lambda m: (m[1] is not None, m[1] or 0, m[2]))
+        if len(rows) < 2 or not all(sizes.get(m[2]) for m in rows):
+            continue
+        done.append(b)
+        at = 0
+        for _, position, doc in rows:
+            for k in range(1, sizes[doc] + 1):
+                at += 1
+                want[(b, position, doc, k, text[doc, k], at)] += 1
+    table = spark.createDataFrame(manifest, "batch_id long, position int, doc_id long").repartition(3)
+    merged = P.merge_documents(table, df)
+    assert Counter(map(tuple, merged.collect())) == want
+    numbered = {(r.batch_id, r.ordinal) for r in P.merge_batches(table, df).select("batch_id", "ordinal").distinct().collect()}
+    assert numbered == {(b, i + 1) for i, b in enumerate(done)}
+    fixed = spark.createDataFrame(merged.collect(), merged.schema).repartition(4)
+    for chars in (1, 7) if block == 2 else (10_000,):
+        parts = P.assemble_parts(fixed, part_chars=chars).collect()
+        for b in done[:4] + [1000]:
+            own = sorted((k[-1], k[4] or "") for k in want.elements() if k[0] == b)
+            artifact, starts, at = "\f".join(c for _, c in own), [], 0
+            for n, c in own:
+                starts.append((at, n))
+                at += len(c) + 1
+            got = sorted((r.part, r.first_page, r.n_bytes, r.content) for r in parts if r.batch_id == b)
+            cut = [artifact[i : i + chars] for i in range(0, max(len(artifact), 1), chars)]
+            first = [max(n for a, n in starts if a <= max(min(i * chars, len(artifact) - 1), 0)) if artifact else 1 for i in range(len(cut))]
+            assert [(g[0], g[2], g[3]) for g in got] == [(i, len(c.encode()), c) for i, c in enumerate(cut)]
+            if all(c for _, c in own):
+                assert [g[1] for g in got] == first
+    assert {r.batch_id: r.artifact for r in P.assemble(fixed).collect()}[1000] == "\f".join((k[4] or "") for k in sorted((k for k in want.elements() if k[0] == 1000), key=lambda k: k[-1]))
+
+
+def test_contents_are_in_no_window(spark):
+    manifest = spark.createDataFrame([(1, 0, 10), (1, 1, 11)], "batch_id long, position int, doc_id long")
+    pages = spark.createDataFrame([(10, 1, "a"), (11, 1, "b")], "doc_id long, page_no int, content string")
+    for merged in (P.merge_documents(manifest, pages), P.merge_batches(manifest, pages)):
+        lines = merged._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not any("Window" in x and "content" in x for x in lines)
+    counts = spark.createDataFrame([(10, 1)], "doc_id long, page_count long")
+    ranges = spark.createDataFrame([(10, 1, 1, 1)], "doc_id long, range_ord int, start int, `end` int")
+    selection = spark.createDataFrame([(10, 0, 0)], "doc_id long, sel_ord int, page_idx int")
+    plan = P.output_stats(manifest, ranges, selection, counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 6 and "content" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_ranges_by_blocks_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "RANGE_BLOCK", block)
+    rng, sizes, pages, df = _book(spark, 20 + block)
+    counts = [(i, n) for i, n in sizes.items()]
+    ranges = [(i, k, rng.randint(-1, 12), rng.randint(-1, 35)) for i in [*sizes, 777] for k in range(6)] + [(100, k, 1 + k, 90 - k) for k in range(40)] + [(100, 99, None, 3)]
+    text = {(i, k): c for i, k, c in pages}
+    want = Counter((i, o, k, text[i, k], k - a + 1) for i, o, a, b in ranges if i in sizes and a is not None and 1 <= a <= b <= sizes[i] for k in range(a, b + 1))
+    got = P.split_ranges(df, spark.createDataFrame(ranges, "doc_id long, range_ord int, start int, `end` int"), spark.createDataFrame(counts, "doc_id long, page_count long"))
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_counts_from_requests_are_those_of_outputs(spark):
+    rng, sizes, pages, df = _book(spark, 3)
+    counts = spark.createDataFrame(list(sizes.items()), "doc_id long, page_count long")
+    manifest = spark.createDataFrame([(b, k, rng.choice([*sizes, 5555])) for b in range(25) for k in range(rng.randint(1, 4))], "batch_id long, position int, doc_id long")
+    rows = [(i, rng.randint(1, 2), rng.randint(0, 3), rng.randint(0, 9)) for i in sizes for _ in range(4)]
+    ranges = spark.createDataFrame(rows + rows[:3], "doc_id long, range_ord int, start int, `end` int")
+    selection = spark.createDataFrame([(i, k, rng.randint(0, max(n, 1) - rng.choice([0, 1, 1, 1]))) for i, n in sizes.items() for k in range(3)], "doc_id long, sel_ord int, page_idx int")
+    got = {r.op: (r.outputs, r.pages, r.told) for r in P.output_stats(manifest, ranges, selection, counts).collect()}
+    merged, picked, cut = P.merge_documents(manifest, df), P.extract_pages(df, selection, counts), P.split_ranges(df, ranges, counts)
+    told = manifest.join(counts, "doc_id").agg(F.sum("page_count")).first()[0]
+    assert got["merge"] == (merged.select("batch_id").distinct().count(), merged.count(), told)
+    assert got["extract"] == (picked.select("doc_id").distinct().count(), picked.count(), picked.count())
+    valid = P.valid_ranges(ranges, counts).count()
+    assert got["split_range"] == (valid, cut.count(), valid)
+    assert got["split_all"] == (len(pages),) * 3
+
+
+def test_pages_with_gaps_are_numbered_anew(spark):
+    pages = spark.createDataFrame([(1, 2, "b"), (1, 7, "c"), (2, 1, "a")], "doc_id long, page_no int, content string")
+    manifest = spark.createDataFrame([(9, 0, 1), (9, 1, 2)], "batch_id long, position int, doc_id long")
+    merged = P.merge_documents(manifest, P.renumber_pages(pages))
+    assert sorted((r.out_page_no, r.content) for r in merged.collect()) == [(1, "b"), (2, "c"), (3, "a")]
