@@ -375,3 +375,43 @@ def test_pages_with_gaps_are_numbered_anew(spark):
     manifest = spark.createDataFrame([(9, 0, 1), (9, 1, 2)], "batch_id long, position int, doc_id long")
     merged = P.merge_documents(manifest, P.renumber_pages(pages))
     assert sorted((r.out_page_no, r.content) for r in merged.collect()) == [(1, "b"), (2, "c"), (3, "a")]
+
+
+def _folded(rows, every, gap_s):
+    """Emitted events by a plain loop over (user, event, micros or None, free)."""
+    out, state = set(), {}
+    for user, event, at, free in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        n, last = state.get(user, (0, None))
+        n += 1
+        if n > 1 and n % every == 0 and free and (last is None or at - last >= gap_s * 1_000_000):
+            out.add((user, event, at, n))
+            last = at
+        state[user] = (n, last)
+    return out
+
+
+@pytest.mark.parametrize("gap_s", [0, 1, 40, 3000])
+def test_throttle_of_a_hot_key_is_the_fold(spark, gap_s):
+    """A key cut into many pieces: dense and empty stretches, ties of time, null times and keys, times before 1970."""
+    import random
+
+    rng = random.Random(gap_s)
+    at, rows = -5_000_000_000, []
+    for i in range(6000):
+        at += rng.choice([0, 1000, 900_000, 2_000_000, 2_000_000, 400_000_000 if rng.random() < 0.02 else 0])
+        rows.append((rng.choice([7, 7, 7, 7, None, 8, 9 + i % 50]), i, None if rng.random() < 0.02 else at, rng.random() < 0.9))
+    events = spark.createDataFrame(rows, "user_id long, event_id long, at long, free boolean").repartition(4)
+    events = events.select("user_id", "event_id", F.timestamp_micros("at").alias("ts"), "free")
+    for every, hot, piece in ((3, 500, 40), (3, 500, 400), (3, 1 << 20, 1 << 18), (1, 300, 7)):
+        got = E.throttle_events(events, every, gap_s, F.col("free"), hot, piece)
+        assert {(r.user_id, r.event_id, r.at, r.n) for r in got.withColumn("at", F.unix_micros("ts")).collect()} == _folded(rows, every, gap_s)
+    pieces = E._with_pieces(events.select("user_id", "event_id", F.unix_micros("ts").alias("at")).filter("at IS NOT NULL"), 500, 40).groupBy("user_id", "piece").count()
+    assert pieces.filter("user_id = 7").count() > 30 and E.throttle_events(events.limit(0)).count() == 0
+
+
+def test_throttle_of_early_and_missing_times(spark, tmp_path):
+    rows = [(i, f"1960-01-01 00:00:0{i}" if i < 9 else None) for i in range(11)]
+    events = spark.createDataFrame(rows, "event_id long, t string").select("event_id", F.to_timestamp("t").alias("ts"), F.lit(1).cast("long").alias("user_id"))
+    assert [r.event_id for r in E.throttle_events(events).collect()] == [2]
+    got = _streamed(spark, events.filter("ts IS NOT NULL"), E.throttle_stream, f"file://{tmp_path}", "early")
+    assert [r.event_id for r in got.collect()] == [2]
