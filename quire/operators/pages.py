@@ -73,34 +73,42 @@ def renumber_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page_no", _renumber(["doc_id"], ["page_no"]))
 
 
-def input_offsets(manifest: DataFrame, counts: DataFrame) -> DataFrame:
+def _inputs(manifest: DataFrame, counts: DataFrame) -> DataFrame:
+    """Inputs of batches with their pages n, null where there are none, and their block of positions; null positions come first."""
+    has = counts.filter("page_count > 0").select("doc_id", F.col("page_count").alias("n"))
+    block = F.coalesce(_div(F.col("position"), SUM_BLOCK), F.lit(-(2**62)))
+    return manifest.select("batch_id", "position", "doc_id").join(has, "doc_id", "left").withColumn("block", block)
+
+
+def _complete_blocks(inputs: DataFrame) -> DataFrame:
+    """batch_id, block, blocks_before (pages of the blocks before) of complete batches."""
+    blocks = inputs.groupBy("batch_id", "block").agg(F.sum("n").alias("block_n"), F.count(F.lit(1)).alias("inputs"), F.count("n").alias("there"))
+    whole = W.partitionBy("batch_id")
+    judged = blocks.select("batch_id", "block", _before("block_n", ["batch_id"], ["block"]).alias("blocks_before"), F.sum("inputs").over(whole).alias("inputs"), F.sum("there").over(whole).alias("there"))
+    return judged.filter("inputs >= 2 AND inputs = there").drop("inputs", "there")
+
+
+def input_offsets(manifest: DataFrame, counts: DataFrame, ordinals: bool = False) -> DataFrame:
     """batch_id, position, doc_id, page_offset of the inputs of complete batches: the pages that come before each in its output.
 
     A batch is complete if it has at least two inputs, all of which have pages: a
     merge succeeds as a whole or not at all. Sums are taken in blocks of positions
     and then over blocks, so a batch with very many inputs is no single group.
+    With ``ordinals`` there is the batch's ordinal, from 1, among the complete ones.
     """
-    has = counts.filter("page_count > 0").select("doc_id", F.col("page_count").alias("n"))
-    inputs = manifest.select("batch_id", "position", "doc_id").join(has, "doc_id", "left").withColumn("block", F.coalesce(_div(F.col("position"), SUM_BLOCK), F.lit(-(2**62))))
-    blocks = inputs.groupBy("batch_id", "block").agg(F.sum("n").alias("block_n"), F.count(F.lit(1)).alias("inputs"), F.count("n").alias("there"))
-    whole = W.partitionBy("batch_id")
-    judged = blocks.select("batch_id", "block", _before("block_n", ["batch_id"], ["block"]).alias("blocks_before"), F.sum("inputs").over(whole).alias("inputs"), F.sum("there").over(whole).alias("there"))
-    complete = judged.filter("inputs >= 2 AND inputs = there").select("batch_id", "block", "blocks_before")
+    inputs = _inputs(manifest, counts)
+    complete = _complete_blocks(inputs)
+    more = ["ordinal"] if ordinals else []
+    if ordinals:
+        complete = complete.join(dense_ordinals(complete.select("batch_id"), "batch_id"), "batch_id")
     within = _before("n", ["batch_id", "block"], ["position", "doc_id"])
-    return inputs.join(complete, ["batch_id", "block"]).select("batch_id", "position", "doc_id", (F.col("blocks_before") + within).alias("page_offset"))
+    return inputs.join(complete, ["batch_id", "block"]).select("batch_id", *more, "position", "doc_id", (F.col("blocks_before") + within).alias("page_offset"))
 
 
 def _counted(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("page_no").alias("page_count"))
 
 
-def complete_batches(manifest: DataFrame, counts: DataFrame) -> DataFrame:
-    """batch_id of batches with at least two inputs, all of which have pages."""
-    has = counts.filter("page_count > 0").select("doc_id", F.lit(1).alias("n"))
-    judged = manifest.select("batch_id", "doc_id").join(has, "doc_id", "left").groupBy("batch_id").agg(F.count(F.lit(1)).alias("inputs"), F.count("n").alias("there"))
-    return judged.filter("inputs >= 2 AND inputs = there").select("batch_id")
-
-
 def merge_documents(manifest: DataFrame, pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Pages of each complete batch's documents in (position, page_no) order, renumbered.
 
@@ -121,21 +129,17 @@ def dense_ordinals(ids: DataFrame, key: str) -> DataFrame:
     times as many), whatever the keys are; nothing is sampled or collected.
     """
     low, high = F.shiftright(F.col(key).cast("long"), RANK_BITS), F.shiftright(F.col(key).cast("long"), 2 * RANK_BITS)
-    keys = ids.select(key).distinct().select(key, low.alias("_low"), high.alias("_high"))
-    ranked = keys.withColumn("_own", F.row_number().over(W.partitionBy("_low").orderBy(key)))
-    lows = keys.groupBy("_low", "_high").agg(F.count(F.lit(1)).alias("_n"))
-    highs = lows.groupBy("_high").agg(F.sum("_n").alias("_n"))
-    highs = highs.select("_high", F.coalesce(F.sum("_n").over(W.orderBy("_high").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_highs_before"))
-    lows = lows.withColumn("_lows_before", _before("_n", ["_high"], ["_low"])).join(highs, "_high")
-    before = lows.select("_low", (F.col("_lows_before") + F.col("_highs_before")).alias("_before"))
+    group = W.partitionBy("_low")
+    ranked = ids.select(key, low.alias("_low"), high.alias("_high")).distinct().select(key, "_low", "_high", F.row_number().over(group.orderBy(key)).alias("_own"), F.count(F.lit(1)).over(group).alias("_n"))
+    lows = ranked.filter("_own = 1").select("_low", "_high", "_n", _before("_n", ["_high"], ["_low"]).alias("_lows_before"))
+    highs = lows.groupBy("_high").agg(F.sum("_n").alias("_n")).select("_high", F.coalesce(F.sum("_n").over(W.orderBy("_high").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_highs_before"))
+    before = lows.join(highs, "_high").select("_low", (F.col("_lows_before") + F.col("_highs_before")).alias("_before"))
     return ranked.join(before, "_low").select(key, (F.col("_own") + F.col("_before")).cast("int").alias("ordinal"))
 
 
 def merge_batches(manifest: DataFrame, pages: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``merge_documents`` with an ordinal, from 1, over the batches that succeed."""
-    counts = _counted(pages) if counts is None else counts
-    numbered = dense_ordinals(complete_batches(manifest, counts), "batch_id")
-    offsets = input_offsets(manifest, counts).join(numbered, "batch_id")
+    offsets = input_offsets(manifest, _counted(pages) if counts is None else counts, ordinals=True)
     out_page_no = (F.col("page_offset") + F.col("page_no")).cast("int")
     return offsets.join(pages, "doc_id").select("batch_id", "ordinal", out_page_no.alias("out_page_no"), "doc_id", "page_no", "content")
 
@@ -169,10 +173,9 @@ def assemble_parts(merged: DataFrame, out_col: str = "batch_id", part_chars: int
 
 
 def assemble(merged: DataFrame, out_col: str = "batch_id") -> DataFrame:
-    """One artifact per output in one row: the parts joined; for outputs that fit in a row, others are read by parts."""
-    parts = assemble_parts(merged, out_col).groupBy(out_col).agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("p"))
-    pages = merged.groupBy(out_col).agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
-    return parts.join(pages, out_col).select(out_col, "n_pages", F.array_join(F.transform("p", lambda x: x["content"]), "").alias("artifact"))
+    """One artifact per output in one row, for outputs that fit in a row; others are taken by ``assemble_parts``."""
+    rows = merged.groupBy(out_col).agg(F.array_sort(F.collect_list(F.struct("out_page_no", "content"))).alias("p"))
+    return rows.select(out_col, F.size("p").alias("n_pages"), F.array_join(F.transform("p", lambda x: F.coalesce(x["content"], F.lit(""))), "\f").alias("artifact"))
 
 
 def write_outputs(outputs: DataFrame, path: str, by: str = "op") -> None:
