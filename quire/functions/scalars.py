@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: Quality levels and their image quality.
 QUALITY = {"Low": 50, "Medium": 70, "High": 85, "Maximum": 100}
 DEFAULT_QUALITY = 85
-#: Documents with fewer pages offer single pages to pick.
+#: Fixed value: documents with fewer pages offer single pages to pick.
 PICK_BELOW = 30
+#: Bounds of width and height of a page's picture.
+PREVIEWS = {"page": ((350, 1500), (350, 1700)), "list": ((280, 1100), (280, 1500)), "pick": ((280, 1600), (280, 1700))}
 UNITS = [("GB", 1024**3), ("MB", 1024**2), ("KB", 1024)]
 
 
@@ -57,27 +59,36 @@ def uri_scheme(uri: Column) -> Column:
 
 
 def resolve_uri(uri: Column, name: Column, stamp: Column) -> Column:
-    """A file's path, the staged name of shared content, or null for other schemes."""
-    path = F.regexp_extract(uri, r"^file:(?://[^/?#]*)?([^?#]*)", 1)
+    """A file's path with its percent codes decoded, the staged name of shared content, or null for other schemes.
+
+    A plus sign is one; a path whose codes are no text stays as it is.
+    """
+    coded = F.regexp_extract(uri, r"^file:(?://[^/?#]*)?([^?#]*)", 1)
+    path = F.coalesce(F.try_url_decode(F.replace(coded, F.lit("+"), F.lit("%2B"))), coded)
     staged = F.concat(F.lit("intent_"), stamp.cast("string"), F.lit("_"), ensure_pdf_name(name))
     return F.when(uri_scheme(uri) == "file", path).when(uri_scheme(uri) == "content", staged)
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("int"))
+    """A whole number of up to 64 bits, else null."""
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long"))
+
+
+def _range(start: Column, end: Column) -> Column:
+    return F.struct(start.try_cast("int").alias("start"), end.try_cast("int").alias("end"))
 
 
 def parse_range_lenient(first: Column, last: Column, total: Column) -> Column:
     """struct(start, end), both clamped to the document; null if reversed or the document is empty."""
     start = F.greatest(F.lit(1), F.least(F.coalesce(_number(first), F.lit(1)), total))
     end = F.greatest(F.lit(1), F.least(F.coalesce(_number(last), total), total))
-    return F.when((total >= 1) & (start <= end), F.struct(start.alias("start"), end.alias("end")))
+    return F.when((total >= 1) & (start <= end), _range(start, end))
 
 
 def parse_range_strict(first: Column, last: Column, total: Column) -> Column:
     """struct(start, end); null if it leaves the document or is reversed."""
     start, end = F.coalesce(_number(first), F.lit(1)), F.coalesce(_number(last), total)
-    return F.when((start >= 1) & (end <= total) & (start <= end), F.struct(start.alias("start"), end.alias("end")))
+    return F.when((start >= 1) & (end <= total) & (start <= end), _range(start, end))
 
 
 def split_mode(page_count: Column, chosen: Column) -> Column:
@@ -89,10 +100,9 @@ def aspect_ratio(width: Column, height: Column) -> Column:
     return F.try_divide(width, height)
 
 
-def preview_size(width: Column, height: Column, whole_page: bool = True) -> Column:
-    """struct(width, height) in pixels of a page's preview, or of the smaller picture in a list."""
-    # fixed values: bounds of width and height
-    widths, heights = ((350, 1500), (350, 1700)) if whole_page else ((280, 1100), (280, 1500))
+def preview_size(width: Column, height: Column, kind: str = "page") -> Column:
+    """struct(width, height) in pixels of the picture of a page: alone, in a list, or where pages are picked."""
+    widths, heights = PREVIEWS[kind]
     bounded = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), F.floor(c + 0.5))).cast("int")
     return F.struct(bounded(width, *widths).alias("width"), bounded(height, *heights).alias("height"))
 

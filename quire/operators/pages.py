@@ -14,6 +14,8 @@ with a large share of all pages is spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -207,17 +209,22 @@ def split_ranges(pages: DataFrame, ranges: DataFrame, counts: DataFrame) -> Data
     return inside.select("doc_id", "range_ord", "page_no", "content", (F.col("page_no") - F.col("first") + 1).alias("out_page_no"))
 
 
-def valid_selection(selection: DataFrame, counts: DataFrame) -> DataFrame:
-    """All-or-nothing: one index outside the document rejects its whole selection."""
+def valid_selection(selection: DataFrame, counts: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """All-or-nothing: one index outside the document rejects its whole selection.
+
+    ``by`` names the columns that make a selection, the document among them, so that
+    a document may have several.
+    """
     judged = selection.join(counts, "doc_id", "left")
     bad = judged.filter(F.col("page_count").isNull() | (F.col("page_idx") < 0) | (F.col("page_idx") >= F.col("page_count")) | F.col("page_idx").isNull())
-    return selection.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+    return selection.join(bad.select(*by).distinct(), list(by), "left_anti")
 
 
-def extract_pages(pages: DataFrame, selection: DataFrame, counts: DataFrame) -> DataFrame:
-    """Chosen pages in the order given, repeats kept."""
-    good = valid_selection(selection, counts).select("doc_id", "sel_ord", (F.col("page_idx") + 1).alias("page_no"))
-    return good.join(pages, ["doc_id", "page_no"]).select("doc_id", "page_no", "content", _renumber(["doc_id"], ["sel_ord"]).alias("out_page_no"))
+def extract_pages(pages: DataFrame, selection: DataFrame, counts: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Chosen pages in the order given, repeats kept; one output for each selection."""
+    more = [c for c in by if c != "doc_id"]
+    good = valid_selection(selection, counts, by).select("doc_id", *more, "sel_ord", (F.col("page_idx") + 1).alias("page_no"))
+    return good.join(pages, ["doc_id", "page_no"]).select("doc_id", *more, "page_no", "content", _renumber(list(by), ["sel_ord"]).alias("out_page_no"))
 
 
 def extract_selected(pages: DataFrame, selection: DataFrame, counts: DataFrame) -> DataFrame:

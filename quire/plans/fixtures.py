@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FILTER_NAMES = ["original", "auto", "document", "magicColor", "blackWhite", "grayscale"]
-RANGE_TEXTS = [("", ""), ("2", ""), ("0", "99"), ("x", "3"), ("5", "2"), ("1", "1")]
+RANGE_TEXTS = [("", ""), ("2", ""), ("0", "99"), ("x", "3"), ("5", "2"), ("1", "1"), ("99999999999", ""), ("1", "3000000000"), ("-3000000000", "2"), ("99999999999999999999", "2")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def ranges(spark, d) -> DataFrame:
 
 
 def range_text(spark, d) -> DataFrame:
-    k = F.col("doc_id") % 6
+    k = F.col("doc_id") % len(RANGE_TEXTS)
     pick = lambda j: F.get(F.array(*[F.lit(t[j]) for t in RANGE_TEXTS]), k.cast("int"))
     return counts_conv(spark, d).select("doc_id", F.col("page_count").cast("int").alias("page_count"), pick(0).alias("from_txt"), pick(1).alias("to_txt"))
 
@@ -92,7 +92,8 @@ def requests(spark, d) -> DataFrame:
 
 def as_requests(events: DataFrame) -> DataFrame:
     i = F.col("event_id").cast("string")
-    uris = [F.concat(F.lit("file:///d/"), i, F.lit(".pdf")), F.concat(F.lit("content://p/"), i), F.concat(F.lit("https://h/"), i, F.lit(".PDF")), F.concat(F.lit("https://h/"), i, F.lit(".html"))]
+    named = F.when(F.col("event_id") % 10 == 0, "My%20File+%C3%A9").otherwise("")
+    uris = [F.concat(F.lit("file:///d/"), named, i, F.lit(".pdf")), F.concat(F.lit("content://p/"), i), F.concat(F.lit("https://h/"), i, F.lit(".PDF")), F.concat(F.lit("https://h/"), i, F.lit(".html"))]
     uri = F.get(F.array(*uris, F.lit(None).cast("string")), (F.col("event_id") % 5).cast("int"))
     alias = F.get(F.array(F.lit("View"), F.lit("Merge"), F.lit("Split"), F.lit("Other")), (F.col("event_id") % 4).cast("int"))
     return events.select(F.col("event_id").alias("request_id"), "ts", "user_id", uri.alias("uri"), alias.alias("alias"))
@@ -108,7 +109,7 @@ SQL = {
     "counts_conv": "SELECT doc_id, count(page_no) AS page_count FROM pages_conv GROUP BY doc_id",
     "manifest": "SELECT DISTINCT conv_id // 3 AS batch_id, (conv_id % 3)::INT AS position, conv_id AS doc_id FROM conversations UNION ALL SELECT DISTINCT conv_id // 3, 3, -1 - conv_id FROM conversations WHERE conv_id % 33 = 0",
     "ranges": "SELECT doc_id, 1 AS range_ord, 1 AS \"start\", 2 AS \"end\" FROM counts_conv UNION ALL SELECT doc_id, 2, 2, page_count::INT FROM counts_conv UNION ALL SELECT doc_id, 3, page_count::INT, page_count::INT + 1 FROM counts_conv",
-    "range_text": f"SELECT doc_id, page_count::INT AS page_count, {_case('doc_id % 6', [a for a, _ in RANGE_TEXTS])} AS from_txt, {_case('doc_id % 6', [b for _, b in RANGE_TEXTS])} AS to_txt FROM counts_conv",
+    "range_text": f"SELECT doc_id, page_count::INT AS page_count, {_case(f'doc_id % {len(RANGE_TEXTS)}', [a for a, _ in RANGE_TEXTS])} AS from_txt, {_case(f'doc_id % {len(RANGE_TEXTS)}', [b for _, b in RANGE_TEXTS])} AS to_txt FROM counts_conv",
     "selection": "SELECT doc_id, (u.i - 1)::INT AS sel_ord, u.v AS page_idx FROM (SELECT doc_id, list_concat([page_count::INT - i::INT for i in range(1, page_count + 1)], [0], CASE WHEN doc_id % 10 = 0 THEN [page_count::INT] ELSE [] END) AS picks FROM counts_conv), LATERAL (SELECT unnest(picks) AS v, generate_subscripts(picks, 1) AS i) AS u",
     "catalog": "SELECT doc_id, '/corpus/' || source || '/doc_' || doc_id || '.pdf' AS path, n_chars AS file_size, doc_id % 97 = 0 AS is_loading, doc_id % 40 AS page_count FROM documents",
     "page_dims": "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity)::INT AS page_no, l_quantity AS width, l_extendedprice / 1000 AS height FROM lineitem",
@@ -116,5 +117,5 @@ SQL = {
     "wide_grid": "SELECT image_id // 16 AS image_id, (image_id % 16 // 4 * 8 + y)::INT AS y, (image_id % 4 * 8 + x)::INT AS x, r, g, b FROM grid",
     "images": "SELECT vec_id AS image_id, vec_id % 7 <> 0 AS decoded FROM embeddings WHERE vec_id % 13 <> 0",
     "image_manifest": f"SELECT vec_id // 5 AS doc_id, (vec_id % 5)::INT AS position, vec_id AS image_id, {_case('vec_id % 6', FILTER_NAMES)} AS filter FROM embeddings",
-    "requests": "SELECT event_id AS request_id, ts, user_id, CASE event_id % 5 WHEN 0 THEN 'file:///d/' || event_id || '.pdf' WHEN 1 THEN 'content://p/' || event_id WHEN 2 THEN 'https://h/' || event_id || '.PDF' WHEN 3 THEN 'https://h/' || event_id || '.html' END AS uri, " + _case("event_id % 4", ["View", "Merge", "Split", "Other"]) + " AS alias FROM events",
+    "requests": "SELECT event_id AS request_id, ts, user_id, CASE event_id % 5 WHEN 0 THEN 'file:///d/' || CASE WHEN event_id % 10 = 0 THEN 'My%20File+%C3%A9' ELSE '' END || event_id || '.pdf' WHEN 1 THEN 'content://p/' || event_id WHEN 2 THEN 'https://h/' || event_id || '.PDF' WHEN 3 THEN 'https://h/' || event_id || '.html' END AS uri, " + _case("event_id % 4", ["View", "Merge", "Split", "Other"]) + " AS alias FROM events",
 }

@@ -46,11 +46,15 @@ def query(sql: str | None = None):
 # sources and sinks
 
 
-@query("SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, false AS loading FROM documents GROUP BY source")
+@query("SELECT source, sum(octet_length(encode(doc_id::VARCHAR || ' ' || n_chars::VARCHAR)) + 1)::BIGINT AS n_bytes, false AS loading FROM documents GROUP BY source")
 def catalog_scan(spark, d):
-    """The catalogue of a folder of files, into which Spark has written each source's texts: bytes by source."""
-    folder = shared_folder(spark, "texts")
-    X.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(folder)
+    """The catalogue of a folder of files, into which Spark has written a line for each document of a source: bytes by source.
+
+    The files lie in the session's folder, which ``clear_shared`` deletes.
+    """
+    folder = shared_folder(spark, "lists")
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
+    X.table(spark, d, "documents").select("source", line.alias("line")).write.partitionBy("source").text(folder)
     found = scan_catalog(spark, folder, "*.txt")
     return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("file_size").alias("n_bytes"), F.bool_or("is_loading").alias("loading"))
 
@@ -166,7 +170,7 @@ def is_pdf_uri(spark, d):
     return X.requests(spark, d).select("request_id", S.is_pdf_uri(F.col("uri")).alias("is_pdf"))
 
 
-RESOLVED = """CASE WHEN starts_with(uri, 'file:') THEN regexp_extract(uri, '^file:(?://[^/?#]*)?([^?#]*)', 1)
+RESOLVED = """CASE WHEN starts_with(uri, 'file:') THEN url_decode(replace(regexp_extract(uri, '^file:(?://[^/?#]*)?([^?#]*)', 1), '+', '%2B'))
 WHEN starts_with(uri, 'content:') THEN 'intent_0_' || CASE WHEN suffix(lower(regexp_extract(uri, '([^/]*)$', 1)), '.pdf') THEN regexp_extract(uri, '([^/]*)$', 1) ELSE regexp_extract(uri, '([^/]*)$', 1) || '.pdf' END END"""
 
 
@@ -187,16 +191,16 @@ def ensure_pdf_name(spark, d):
     return X.table(spark, d, "pages").select("page_id", S.ensure_pdf_name(shown).alias("name"))
 
 
-FROM, TO = "coalesce(try_cast(from_txt AS INT), 1)", "coalesce(try_cast(to_txt AS INT), page_count)"
+FROM, TO = "coalesce(try_cast(from_txt AS BIGINT), 1)", "coalesce(try_cast(to_txt AS BIGINT), page_count)"
 
 
-@query(_with("SELECT doc_id, a AS \"start\", b AS \"end\" FROM r WHERE a <= b", "range_text", r=f"SELECT doc_id, greatest(1, least({FROM}, page_count)) AS a, greatest(1, least({TO}, page_count)) AS b FROM range_text"))
+@query(_with("SELECT doc_id, a::INT AS \"start\", b::INT AS \"end\" FROM r WHERE a <= b", "range_text", r=f"SELECT doc_id, greatest(1, least({FROM}, page_count)) AS a, greatest(1, least({TO}, page_count)) AS b FROM range_text"))
 def parse_range_lenient(spark, d):
     r = S.parse_range_lenient(F.col("from_txt"), F.col("to_txt"), F.col("page_count"))
     return X.range_text(spark, d).select("doc_id", r.alias("r")).filter("r IS NOT NULL").select("doc_id", "r.*")
 
 
-@query(_with("SELECT doc_id, a AS \"start\", b AS \"end\" FROM r WHERE a >= 1 AND b <= page_count AND a <= b", "range_text", r=f"SELECT doc_id, page_count, {FROM} AS a, {TO} AS b FROM range_text"))
+@query(_with("SELECT doc_id, a::INT AS \"start\", b::INT AS \"end\" FROM r WHERE a >= 1 AND b <= page_count AND a <= b", "range_text", r=f"SELECT doc_id, page_count, {FROM} AS a, {TO} AS b FROM range_text"))
 def parse_range_strict(spark, d):
     r = S.parse_range_strict(F.col("from_txt"), F.col("to_txt"), F.col("page_count"))
     return X.range_text(spark, d).select("doc_id", r.alias("r")).filter("r IS NOT NULL").select("doc_id", "r.*")
@@ -210,14 +214,15 @@ def split_mode(spark, d):
 
 @query(
     _with(
-        "SELECT doc_id, page_no, greatest(350, least(1500, floor(width * 20 + 0.5)))::INT AS w, greatest(350, least(1700, floor(height * 30 + 0.5)))::INT AS h, greatest(280, least(1100, floor(width * 20 + 0.5)))::INT AS small_w, greatest(280, least(1500, floor(height * 30 + 0.5)))::INT AS small_h FROM page_dims",
+        "SELECT doc_id, page_no, greatest(350, least(1500, floor(width * 20 + 0.5)))::INT AS w, greatest(350, least(1700, floor(height * 30 + 0.5)))::INT AS h, greatest(280, least(1100, floor(width * 20 + 0.5)))::INT AS small_w, greatest(280, least(1500, floor(height * 30 + 0.5)))::INT AS small_h, greatest(280, least(1600, floor(width * 20 + 0.5)))::INT AS pick_w, greatest(280, least(1700, floor(height * 30 + 0.5)))::INT AS pick_h FROM page_dims",
         "page_dims",
     )
 )
 def preview_size(spark, d):
     w, h = F.col("width") * 20, F.col("height") * 30
-    each = X.page_dims(spark, d).select("doc_id", "page_no", S.preview_size(w, h).alias("a"), S.preview_size(w, h, False).alias("b"))
-    return each.select("doc_id", "page_no", F.col("a.width").alias("w"), F.col("a.height").alias("h"), F.col("b.width").alias("small_w"), F.col("b.height").alias("small_h"))
+    each = X.page_dims(spark, d).select("doc_id", "page_no", *[S.preview_size(w, h, k).alias(k) for k in S.PREVIEWS])
+    names = [("page", ""), ("list", "small_"), ("pick", "pick_")]
+    return each.select("doc_id", "page_no", *[F.col(f"{k}.{side}").alias(f"{p}{side[0]}") for k, p in names for side in ("width", "height")])
 
 
 @query(_with("SELECT doc_id, width / height AS ratio, coalesce(greatest(least(width / height, 1.5), 0.5), 0.7) AS shown FROM page_dims WHERE page_no = 1", "page_dims"))
@@ -280,6 +285,20 @@ def extract_selected(spark, d):
     return P.extract_selected(X.pages_conv(spark, d), X.selection(spark, d), X.counts_conv(spark, d))
 
 
+@query(
+    _with(
+        "SELECT p.doc_id, g.request, p.page_no, p.content, row_number() OVER (PARTITION BY g.request, p.doc_id ORDER BY sel_ord)::INT AS out_page_no FROM good g JOIN pages_conv p ON p.doc_id = g.doc_id AND p.page_no = g.page_idx + 1",
+        "selection",
+        requested="SELECT *, sel_ord % 2 AS request FROM selection",
+        good="SELECT * FROM requested WHERE (doc_id, request) NOT IN (SELECT (doc_id, request) FROM requested JOIN counts_conv USING (doc_id) WHERE page_idx < 0 OR page_idx >= page_count)",
+    )
+)
+def extract_requests(spark, d):
+    """Two selections of each document, each good or bad for itself."""
+    selection = X.selection(spark, d).withColumn("request", F.col("sel_ord") % 2)
+    return P.extract_pages(X.pages_conv(spark, d), selection, X.counts_conv(spark, d), by=["doc_id", "request"])
+
+
 @query(_with("SELECT doc_id, i AS sel_ord, i AS page_idx FROM (SELECT doc_id, unnest(range(0, page_count)) AS i FROM counts_conv)", "counts_conv"))
 def select_all(spark, d):
     return P.select_all(X.counts_conv(spark, d))

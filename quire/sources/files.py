@@ -34,11 +34,24 @@ def image_grid(images: DataFrame) -> DataFrame:
     return rows.select("image_id", "y", "x", F.when(gray, at(0)).otherwise(at(2)).alias("r"), F.when(gray, at(0)).otherwise(at(1)).alias("g"), at(0).alias("b"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; without that setting, as in tests, a local one."""
+def session_folder(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``, which all executors share; without that setting, as in tests, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{found.rstrip('/')}/quire-{uuid.uuid4().hex}/{name}"
+        found = spark.conf.get("quire.shared.dir", None)
+        if not found:
+            found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            spark.conf.set("quire.shared.dir", found)
+    return f"{found.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    return f"{session_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that the session has written to its folder; call it when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

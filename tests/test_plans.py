@@ -60,7 +60,7 @@ TITLES = [("/path/to/Report.pdf", "Report.pdf"), ("C:\\docs\\My File.pdf", "My F
 def test_sizes_and_titles(spark):
     got = spark.createDataFrame(SIZES, "n long, want string").select(S.format_file_size(F.col("n")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
-    sizes = spark.createDataFrame([(100.0, 2000.0), (595.4, 841.5)], "w double, h double").select(S.preview_size(F.col("w"), F.col("h")).alias("a"), S.preview_size(F.col("w"), F.col("h"), False).alias("b")).collect()
+    sizes = spark.createDataFrame([(100.0, 2000.0), (595.4, 841.5)], "w double, h double").select(S.preview_size(F.col("w"), F.col("h")).alias("a"), S.preview_size(F.col("w"), F.col("h"), "list").alias("b")).collect()
     assert [(tuple(r.a), tuple(r.b)) for r in sizes] == [((350, 1700), (280, 1500)), ((595, 842), (595, 842))]
     got = spark.createDataFrame(TITLES, "p string, want string").select(S.display_title(F.col("p")).alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
@@ -415,3 +415,23 @@ def test_throttle_of_early_and_missing_times(spark, tmp_path):
     assert [r.event_id for r in E.throttle_events(events).collect()] == [2]
     got = _streamed(spark, events.filter("ts IS NOT NULL"), E.throttle_stream, f"file://{tmp_path}", "early")
     assert [r.event_id for r in got.collect()] == [2]
+
+
+def test_paths_and_numbers_of_any_size(spark):
+    uris = [("file:///d/My%20File.pdf", "/d/My File.pdf"), ("file:///a+b%2Bc.pdf", "/a+b+c.pdf"), ("file:///%C3%A9.pdf", "/é.pdf"), ("file:///50%.pdf", "/50%.pdf"), ("file:/x%zz", "/x%zz"), ("http://h/x.pdf", None), (None, None)]
+    got = spark.createDataFrame(uris, "uri string, want string").select(S.resolve_uri(F.col("uri"), F.lit("n"), F.lit(0)).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    texts = [("99999999999", "", 10, (10, 10), None), ("1", "3000000000", 10, (1, 10), None), ("-5000000000", "4", 10, (1, 4), None), ("9" * 30, "4", 10, (1, 4), (1, 4)), ("2", "3", 10, (2, 3), (2, 3)), ("1", "1", 0, None, None)]
+    rows = spark.createDataFrame([t[:3] for t in texts], "a string, b string, total int")
+    got = rows.select(S.parse_range_lenient(F.col("a"), F.col("b"), F.col("total")).alias("x"), S.parse_range_strict(F.col("a"), F.col("b"), F.col("total")).alias("y")).collect()
+    assert [(r.x and tuple(r.x), r.y and tuple(r.y)) for r in got] == [t[3:] for t in texts]
+
+
+def test_the_sessions_folder_is_cleared(spark, sf):
+    import pathlib
+
+    assert Q.QUERIES["catalog_scan"](spark, sf).count() > 0
+    folder = pathlib.Path(files.session_folder(spark).removeprefix("file://"))
+    assert any(folder.iterdir())
+    files.clear_shared(spark)
+    assert not folder.exists()
