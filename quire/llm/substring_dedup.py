@@ -7,7 +7,8 @@ every occurrence goes.
 Seeds (see ``seeds``) are winnowed ``k``-word anchors. Documents meet on the
 hash of an anchor, each with the words of the windows that own the anchor. There
 all members of the anchor are extended at once, word by word to the right and to
-the left: members stay in one class as long as their words agree. A window with
+the left: members stay in one class as long as their words agree, byte for byte
+(hashes only bring them together). A window with
 ``o`` words to the left of its anchor is a repeat if its left class at ``o`` and
 its right class at the rest have another member, or one that occurs twice.
 Adjacent windows make maximal repeats, which join across anchors in a document.
@@ -23,13 +24,16 @@ empty table gives an empty table. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID
-from .seeds import Contexts, keyed, merged_spans, placed_words, raw_texts, repeated_spans, split_words
+from .seeds import Contexts, keyed, merged_spans, raw_texts, repeated_spans, split_words
 
 LENGTH = 35
 SEED = 8
@@ -40,11 +44,18 @@ def _refined(classes: np.ndarray, words: np.ndarray, n_words: int) -> np.ndarray
     return np.unique(classes * n_words + words, return_inverse=True)[1]
 
 
+def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words of all texts as numbers, equal for equal bytes; how many each text has; how many numbers there are."""
+    number = defaultdict(count().__next__)
+    words = [t.split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter((number[w] for own in words for w in own), np.int64, int(counts.sum())), counts, max(1, len(number))
+
+
 def repeated_windows(c: Contexts, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each context's windows whether they are repeats, in one array, and how many windows each has."""
-    words, counts, _, _ = placed_words(c.texts)
-    known, word = np.unique(words, return_inverse=True)
-    begin, n_words = np.cumsum(counts) - counts, max(1, len(known))
+    word, counts, n_words = numbered_words(c.texts)
+    begin = np.cumsum(counts) - counts
     anchor, n = begin + c.at, counts - length + 1
     out, offset = np.zeros(int(n.sum()), bool), np.cumsum(n) - n
 
