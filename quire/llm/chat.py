@@ -127,15 +127,18 @@ def to_lines(conversations: DataFrame, unmarked: int = UNMARKED, spaced: int = S
     return transcript_turns(conversations, unmarked, spaced).select("conv_id", "turn", "role", F.posexplode("lines").alias("line_no", "line"))
 
 
-def train(conversations: DataFrame, unmarked: int = UNMARKED, spaced: int = SPACED) -> Hmm:
-    """Counts over all rows with a known role outside the held-out fold; some hundred sums reach the driver.
+def turn_counts(conversations: DataFrame, unmarked: int = UNMARKED, spaced: int = SPACED) -> DataFrame:
+    """kind, i, j, n: symbols by state (0), roles by the role before (1) and first roles (2), over all rows with a known role outside the held-out fold.
 
     What precedes a turn's first line, and the step between turns, come from
     joining each turn with the one before it, which deals by conversation and turn.
+    Of several rows for the turn before, the one with the least role counts, so
+    repeated rows are counted once each and never meet in pairs.
     """
     known = conversations.filter(F.col("role").isin(*ROLES) & ~held_out())
     turns = transcript_turns(known, unmarked, spaced)
-    ends = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last_role"), (F.element_at("lines", -1) == "").alias("blank"))
+    ends = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.struct(F.col("role").alias("last_role"), (F.element_at("lines", -1) == "").alias("blank")).alias("end"))
+    ends = ends.groupBy("conv_id", "turn").agg(F.min("end").alias("end")).select("conv_id", "turn", "end.*")
     joined = turns.join(ends, ["conv_id", "turn"], "left").select("role", "last_role", F.coalesce("blank", F.lit(True)).alias("blank"), "lines")
 
     def count(batches):
@@ -153,9 +156,14 @@ def train(conversations: DataFrame, unmarked: int = UNMARKED, spaced: int = SPAC
         rows = [(k, i, j, int(table[i, j])) for k, table in enumerate((lines, step, start[None])) for i, j in zip(*np.nonzero(table), strict=True)]
         yield pa.record_batch({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())))})
 
+    return joined.mapInArrow(count, "kind int, i int, j int, n long").groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+
+
+def train(conversations: DataFrame, unmarked: int = UNMARKED, spaced: int = SPACED) -> Hmm:
+    """The model of ``turn_counts``; some hundred sums reach the driver."""
     lines, move, start = np.full((STATES, SYMBOLS), 0.1), np.ones((3, 3)), np.full(STATES, 1e-6)
     seen = np.zeros(STATES)
-    for r in joined.mapInArrow(count, "kind int, i int, j int, n long").groupBy("kind", "i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in turn_counts(conversations, unmarked, spaced).collect():
         if r["kind"] == 0:
             lines[r["i"], r["j"]] += r["n"]
             seen[r["i"]] += r["n"]
