@@ -118,15 +118,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sorts both sides; a hot host is then split by adaptive skew handling.
     """
     base = stored(base_counts(docs, id_col, text_col, host_col), "quality-base")
-    hosts = host_verdicts(base, max_rate, max_prior_weight).select(F.col("host").alias("host_key"), "host_rate", "host_ok")
+    hosts = host_verdicts(base, max_rate, max_prior_weight).withColumnRenamed("host", "host_key")
     joined = base.join(hosts, F.col("host").eqNullSafe(F.col("host_key")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("host_key")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Every text of ``documents``: doc_id, the five counts, base_failed and, with its source's verdict, kept."""
+    """Every text of ``documents``: doc_id, the five counts, base_failed, its source's documents, failures and rate in millionths, and kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rate = F.round(F.col("host_rate") * 1e6).cast("long").alias("host_rate_ppm")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failed", rate, "kept")
 
 
 OP8_SQL = r"""
@@ -154,8 +155,9 @@ hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS
 sums AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q, count(*) / sum(n) AS r FROM hosts),
 prior AS (SELECT m, greatest(0.0, q - m * m - m * (1 - m) * r) AS s FROM sums),
 weight AS (SELECT m, CASE WHEN s > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / s - 1)) ELSE 1000.0 END AS k FROM prior),
-verdict AS (SELECT source, (f + m * k) / (n + k) <= 0.5 AS ok FROM hosts, weight)
+verdict AS (SELECT source, n, f, (f + m * k) / (n + k) AS rate, (f + m * k) / (n + k) <= 0.5 AS ok FROM hosts, weight)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       n::BIGINT AS host_docs, f::BIGINT AS host_failed, round(rate * 1000000)::BIGINT AS host_rate_ppm,
        NOT base_failed AND v.ok AS kept
 FROM judged j JOIN verdict v ON j.source IS NOT DISTINCT FROM v.source
 """
