@@ -182,22 +182,49 @@ def throttle_events(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S, a
     return started.repartition("user_id", "piece").sortWithinPartitions("user_id", "piece", "at", "event_id").mapInArrow(fold, schema)
 
 
-def throttle_stream(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S, available: Column | None = None) -> DataFrame:
+def throttle_stream(events: DataFrame, every: int = EVERY, gap_s: int = GAP_S, available: Column | None = None, delay: str | None = None) -> DataFrame:
     """``throttle_events`` on a stream: the state of a key is its count and last emission.
 
-    Rows are ordered within each micro-batch; late rows never emit again. Events
-    without a time are left out.
+    Without ``delay`` rows are ordered within each micro-batch, and late rows never
+    emit again. With it (``"10 minutes"``) the stream equals the table whatever the
+    order of rows within the delay: events wait in their key's state until the
+    watermark has passed them, are then taken in order of time and id, and a timer
+    of event time takes those of keys without new rows. What a key holds is its events of
+    the last ``delay``; rows that come later still are left out. Events without a
+    time are left out.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    free = F.lit(True) if available is None else F.coalesce(available, F.lit(False))
+    result, columns = "user_id long, event_id long, at long, n long", ["user_id", "event_id", "at", "n"]
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = Throttle(every, gap_s, *(state.get if state.exists else ()))
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = [(key[0], event_id, at, own.n) for at, event_id, free in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["free"].tolist(), strict=True) if own.emits(at, free)]
         state.update((own.n, own.last))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "at", "n"])
-
-    free = F.lit(True) if available is None else F.coalesce(available, F.lit(False))
-    keyed = events.select("user_id", "event_id", _micros().alias("at"), free.alias("free")).filter("at IS NOT NULL").groupBy("user_id")
-    emitted = keyed.applyInPandasWithState(step, "user_id long, event_id long, at long, n long", "n long, last long", "append", GroupStateTimeout.NoTimeout)
+        yield pd.DataFrame(out, columns=columns)
+
+    def wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last, *held = state.get if state.exists else (0, NEVER, [], [], [])
+        own, mark = Throttle(every, gap_s, n, last), state.getCurrentWatermarkMs() * 1000
+        waiting = list(zip(*map(list, held), strict=True))
+        for f in frames:
+            waiting += zip(f["at"].tolist(), f["event_id"].tolist(), f["free"].tolist(), strict=True)
+        waiting.sort()
+        ready = sum(1 for at, *_ in waiting if at < mark)
+        out = [(key[0], event_id, at, own.n) for at, event_id, free in waiting[:ready] if own.emits(at, free)]
+        rest = waiting[ready:]
+        state.update((own.n, own.last, *([r[i] for r in rest] for i in range(3))))
+        if rest:  # the timer fires when the watermark is past the first that waits
+            state.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, mark // 1000 + 1))
+        yield pd.DataFrame(out, columns=columns)
+
+    timed = events if delay is None else events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    keyed = timed.select("user_id", "event_id", "ts", _micros().alias("at"), free.alias("free")).filter("at IS NOT NULL")
+    if delay is None:
+        emitted = keyed.drop("ts").groupBy("user_id").applyInPandasWithState(step, result, "n long, last long", "append", GroupStateTimeout.NoTimeout)
+    else:
+        held = "n long, last long, ats array<long>, ids array<long>, frees array<boolean>"
+        emitted = keyed.groupBy("user_id").applyInPandasWithState(wait, result, held, "append", GroupStateTimeout.EventTimeTimeout)
     return emitted.select("user_id", "event_id", F.timestamp_micros("at").alias("ts"), "n")

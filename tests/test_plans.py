@@ -435,3 +435,30 @@ def test_the_sessions_folder_is_cleared(spark, sf):
     assert any(folder.iterdir())
     files.clear_shared(spark)
     assert not folder.exists()
+
+
+def test_a_stream_out_of_order_equals_the_table(spark, tmp_path):
+    """Files whose rows overlap in time by less than the delay, ties, a key without new rows, and one file that moves the watermark on."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 2, 3]), i, 1_700_000_000 + rng.choice([i * 5, i * 5, i * 5 - i * 5 % 20]), rng.random() < 0.8) for i in range(600)]
+    rows += [(4, 1000 + i, 1_700_000_000 + i * 40, True) for i in range(7)]
+    rows.sort(key=lambda r: r[2] + rng.randint(0, 250))
+    schema = "user_id long, event_id long, s long, free boolean"
+    as_events = lambda part: spark.createDataFrame(part, schema).select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"), "free")
+    for i in range(0, len(rows), 100):
+        as_events(rows[i : i + 100]).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    for s in (100_000, 200_000):
+        as_events([(99, s, 1_700_000_000 + s, False)]).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    frame = as_events(rows)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = E.throttle_stream(stream, gap_s=60, available=F.col("free"), delay="5 minutes")
+    query = out.writeStream.format("memory").queryName("unordered").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    want = {(r.user_id, r.event_id, r.n) for r in E.throttle_events(frame, gap_s=60, available=F.col("free")).collect()}
+    got = [(r.user_id, r.event_id, r.n) for r in spark.table("unordered").collect()]
+    assert set(got) == want and len(got) == len(want) > 40
