@@ -579,20 +579,42 @@ def near_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: f
     return links, classes
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
-    """doc_id, row (hash of id and text), component (the class), class_id and class_size for every row."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their nodes, nodes, verified links and the nodes' components."""
     own = keyed(docs, id_col, text_col)
     idf = word_idf(own)
     signed = signatures(own, idf, similarity)
     firsts = signed.groupBy("node").agg(F.min(F.struct("doc_id", "row", "weight", "bands", *PACKED)).alias("f"))
     nodes = stored(firsts.select("node", "f.*"), "nodes")
-    _, classes = near_links(nodes, own, idf, similarity, exact)
+    return signed, nodes, *near_links(nodes, own, idf, similarity, exact)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, exact: bool = False, links: bool = False) -> DataFrame:
+    """doc_id, row (hash of id and text), component (the class), class_id and class_size for every row.
+
+    With ``links`` also n_links: the verified links between different texts that
+    hold the class together, none for copies of one text.
+    """
+    signed, _, found, classes = _linked(docs, id_col, text_col, similarity, exact)
     labelled = signed.select("doc_id", "row", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("doc_id", "row", "component"), "labelled")
+    sizes = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    if links:
+        pairs = found.select(F.col("a").alias("node"), "b").distinct()
+        counts = pairs.join(classes, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n_links"))
+        sizes = sizes.join(counts, "component", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     # stored first: a class that holds a third of all rows is then split on the way to its join
-    sizes = stored(labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
+    sizes = stored(sizes, "class-sizes")
+    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return labelled.join(sizes, "component").select(back("doc_id"), "row", "component", back("class_id"), "class_size", *(["n_links"] if links else []))
+
+
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+    """a_id, b_id, similarity: the verified links between different texts, each text by its smallest doc_id."""
+    _, nodes, found, _ = _linked(docs, id_col, text_col, similarity, exact)
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return labelled.join(sizes, "component").select(back("doc_id"), "row", "component", back("class_id"), "class_size")
+    one, two = (nodes.select(F.col("node").alias(n), F.col("doc_id").alias(f"{n}_id")) for n in ("a", "b"))
+    return found.dropDuplicates(["a", "b"]).join(one, "a").join(two, "b").select(back("a_id"), back("b_id"), "similarity")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -617,6 +639,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
-    """Every text of ``documents``: doc_id, class_id (smallest doc_id of its class), class_size."""
+    """Every text of ``documents``: doc_id, class_id (smallest doc_id of its class), class_size, n_links."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "class_id", "class_size")
+    return near_duplicates(docs, links=True).select("doc_id", "class_id", "class_size", "n_links")

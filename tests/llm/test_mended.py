@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from quire.llm import chat, quality_rules, substring_dedup
+from quire.llm import chat, minhash, quality_rules, substring_dedup
 
 
 @pytest.mark.parametrize("size", [512, 1024, 2048])
@@ -49,3 +49,41 @@ def test_a_host_rejects_its_good_documents(spark):
     assert all(not r.kept for r in got if r.host == "spam") and all(r.kept for r in got if r.host == "fair")
     assert {(r.host, r.host_docs, r.host_failed) for r in got} == {("spam", 400, 360), ("fair", 400, 0)}
     assert sum(1 for r in got if r.host == "spam" and not r.base_failed) == 40
+
+
+def test_links_hold_the_classes_together(spark):
+    """Links join each class, are at the threshold or above, and are none for copies of one text."""
+    import random
+
+    rng = random.Random(11)
+    rows, i = [], 0
+    for _ in range(12):
+        text = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for _ in range(rng.randint(1, 4)):
+            rows += [(i := i + 1, " ".join(text))] * rng.randint(1, 2)
+            text = list(text)
+            text[rng.randrange(150)] = "changed"
+    rows += [(5000 + k, "copies of a text that is near to no other one at all") for k in range(3)] + [(None, None), (6000, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = minhash.near_duplicates(docs, links=True).collect()
+    links = [tuple(r) for r in minhash.near_duplicate_links(docs).collect()]
+    of = {r.doc_id: r.class_id for r in found}
+    assert links and all(s >= 0.8 and of[a] == of[b] for a, b, s in links)
+    root = {x: x for x in of}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in links:
+        root[find(a)] = find(b)
+    texts = {}
+    for d, t in rows:
+        if d is not None:
+            root[find(d)] = find(texts.setdefault(t or "", d))
+    for r in found:
+        if r.doc_id is not None:
+            assert find(r.doc_id) == find(r.class_id)
+            assert r.n_links == sum(1 for a, _, _ in links if of[a] == r.class_id)
+    assert {r.n_links for r in found if r.class_id == 5000} == {0}
