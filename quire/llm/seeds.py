@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import parts_for, release, stored, text_bytes
+from .common import parts_for, release, stored, text_bytes, unused
 
 #: Text bytes hashed at once: temporary arrays stay near the processor.
 HASH_BYTES = 1_000_000
@@ -203,7 +203,7 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, i
     order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
     ordered = bucket[order]
     turn = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, np.int64)
-    ends = np.r_[turn[1:], len(order)]
+    ends = np.r_[turn[1:], len(order)] if len(order) else turn
     return order, [(int(ordered[i]), int(i), int(j)) for i, j in zip(turn, ends, strict=True)]
 
 
@@ -237,23 +237,27 @@ def send_seeds(tokenize: Callable, length: int, k: int, buckets: int):
     return send
 
 
-def meet(table: pa.Table) -> pa.Table:
-    """Bucket: for each batch those of its hashes that occur more than once, and whether they are heavy."""
-    keys, counts = table.column("key").to_pylist(), table.column("n").to_pylist()
-    key, n = column(keys, np.uint32), column(counts, np.uint16).astype(np.int64)
-    order = np.argsort(key)
-    turn = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    total = np.empty(len(key), np.int64)
-    total[order] = np.repeat(np.add.reduceat(n[order], turn), np.diff(np.r_[turn, len(key)]))
-    out, at = {"batch": [], "bucket": [], "key": [], "heavy": []}, 0
-    for raw, batch, bucket in zip(keys, table.column("batch").to_pylist(), table.column("bucket").to_pylist(), strict=True):
-        own = slice(at, at + len(raw) // 4)
-        at = own.stop
-        hot = total[own] > 1
-        if hot.any():
-            for name, x in zip(out, (batch, bucket, key[own][hot].tobytes(), (total[own][hot] > HEAVY).tobytes()), strict=True):
-                out[name].append(x)
-    return pa.table({"batch": pa.array(out["batch"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "key": pa.array(out["key"], pa.binary()), "heavy": pa.array(out["heavy"], pa.binary())})
+def meet(most: int):
+    """Bucket: for each batch those of its hashes that occur more than once, and whether they do at over ``most`` places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = table.column("key").to_pylist(), table.column("n").to_pylist()
+        key, n = column(keys, np.uint32), column(counts, np.uint16).astype(np.int64)
+        order = np.argsort(key)
+        turn = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        total = np.empty(len(key), np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], turn), np.diff(np.r_[turn, len(key)]))
+        out, at = {"batch": [], "bucket": [], "key": [], "heavy": []}, 0
+        for raw, batch, bucket in zip(keys, table.column("batch").to_pylist(), table.column("bucket").to_pylist(), strict=True):
+            own = slice(at, at + len(raw) // 4)
+            at = own.stop
+            hot = total[own] > 1
+            if hot.any():
+                for name, x in zip(out, (batch, bucket, key[own][hot].tobytes(), (total[own][hot] > most).tobytes()), strict=True):
+                    out[name].append(x)
+        return pa.table({"batch": pa.array(out["batch"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "key": pa.array(out["key"], pa.binary()), "heavy": pa.array(out["heavy"], pa.binary())})
+
+    return run
 
 
 def batched(docs: DataFrame, sizes: Sizes) -> DataFrame:
@@ -263,24 +267,36 @@ def batched(docs: DataFrame, sizes: Sizes) -> DataFrame:
 def repeated_seeds(docs: DataFrame, tokenize: Callable, length: int, k: int, sizes: Sizes) -> DataFrame:
     """Stored rows by batch and bucket: seed hashes of the batch that occur elsewhere, too."""
     sent = batched(docs, sizes).select("batch", "text").repartition(sizes.tasks, "batch").groupBy("batch").applyInArrow(send_seeds(tokenize, length, k, sizes.hashes), SEED_ROWS)
-    met = sent.repartition(sizes.hashes, "bucket").groupBy("bucket").applyInArrow(meet, REPEATED_ROWS)
+    met = sent.repartition(sizes.hashes, "bucket").groupBy("bucket").applyInArrow(meet(HEAVY), REPEATED_ROWS)
     return stored(met, "seeds")
 
 
-CONTEXT_ROWS = "bucket int, key binary, at binary, size binary, context binary, times binary, start binary, doc binary, docs binary"
-SPAN_ROWS = "row long, doc_id long, start long, end long"
+CONTEXT_ROWS = "bucket int, batch long, key binary, at binary, size binary, context binary, times binary, first binary, start binary, doc binary, docs binary"
+VERDICT_ROWS = "batch long, bucket int, spans binary, verdict binary, times binary, start binary, doc binary, docs binary"
+SPAN_ROWS = "row long, doc_id long, spans array<long>"
+#: A heavy window goes from places of documents after its verdict: all are after the first of these, none after the second.
+BEFORE, NEVER = -(2**63), 2**63 - 1
+
+
+def arrow_schema(rows: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(c, kinds[kind]) for c, kind in (x.split() for x in rows.split(", "))])
 
 
 def send_contexts(split: Callable, length: int, k: int, buckets: int):
     """Task: repeated seeds with the text of the windows they own, dealt to the buckets of their hashes.
 
     Places with equal seed and text are one context with a list of places. A
-    heavy seed's windows go one by one, under a hash of the window.
+    heavy seed's windows go one by one, under a hash of the window, with their
+    count and smallest document alone. Their places stay with the batch, in one
+    row that a bucket of the batch's own passes on; they are in the order of the
+    buckets that judge them.
     """
 
     def send(own: pa.Table, found: pa.Table | None, hashes: int) -> pa.Table:
         repeated = Repeated(found, hashes) if found is not None else None  # None: all seeds are sent
-        groups: dict[tuple[int, int, bytes], list[int]] = {}
+        light: dict[tuple[int, int, bytes], list[int]] = {}
+        hot_windows: dict[tuple[int, int, bytes], list[int]] = {}
         ids, rows, base = [], [], 0
         for b in text_batches(own.to_batches(), HASH_BYTES):
             tokens, counts, flat, first, last = split(raw_texts(b))
@@ -295,28 +311,36 @@ def send_contexts(split: Callable, length: int, k: int, buckets: int):
             if heavy.any():
                 key[heavy] = mix(key[heavy] + gram_hashes(tokens, length)[low[heavy]])
             start = low - np.cumsum(np.r_[0, counts])[doc]
-            for x, at, i, j, d, o in zip(key.tolist(), (place - low).tolist(), first[low].tolist(), last[high + length - 1].tolist(), (doc + base).tolist(), start.tolist(), strict=True):
-                groups.setdefault((x, at, flat[i:j]), []).extend((d, o))
+            for x, at, i, j, d, o, h in zip(key.tolist(), (place - low).tolist(), first[low].tolist(), last[high + length - 1].tolist(), (doc + base).tolist(), start.tolist(), heavy.tolist(), strict=True):
+                (hot_windows if h else light).setdefault((x, at, flat[i:j]), []).extend((d, o))
             ids.append(b.column("doc_id").to_numpy())
             rows.append(b.column("row").to_numpy())
             base += b.num_rows
-        key = np.fromiter((g[0] for g in groups), np.uint64, len(groups))
-        bucket = bucket_of(key, buckets)
-        order = np.lexsort((key, bucket))
-        _, runs = by_bucket(bucket[order], buckets)
-        heads, members = list(groups), list(groups.values())
         doc_id, row = np.concatenate(ids), np.concatenate(rows)
-        out: dict[str, list] = {c.split()[0]: [] for c in CONTEXT_ROWS.split(", ")}
-        for b, i, j in runs:
-            at = order[i:j].tolist()
-            texts = [heads[x][2] for x in at]
-            places = np.array([v for x in at for v in members[x]], np.int64).reshape(-1, 2)
+        batch = own.column("batch")[0].as_py() if "batch" in own.column_names else 0
+        out: list[dict] = []
+
+        def placed(members: list[list[int]]) -> dict:
+            places = np.array([v for x in members for v in x], np.int64).reshape(-1, 2)
             docs, index = np.unique(places[:, 0], return_inverse=True)
-            numbers = lambda values, dtype: np.fromiter(values, dtype, len(at)).tobytes()
-            values = (b, key[at].tobytes(), numbers((heads[x][1] for x in at), np.uint16), numbers(map(len, texts), np.uint32), pa.compress(b"".join(texts), codec="zstd", asbytes=True), numbers((len(members[x]) // 2 for x in at), np.uint32), places[:, 1].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.stack([row[docs], doc_id[docs]], 1).tobytes())
-            for name, x in zip(out, values, strict=True):
-                out[name].append(x)
-        return pa.table({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in out.items()})
+            return {"start": places[:, 1].astype(np.uint32).tobytes(), "doc": index.astype(np.uint32).tobytes(), "docs": np.stack([row[docs], doc_id[docs]], 1).tobytes()}
+
+        for groups, heavy in ((light, False), (hot_windows, True)):
+            key = np.fromiter((g[0] for g in groups), np.uint64, len(groups))
+            bucket = bucket_of(key, buckets)
+            order = np.lexsort((key, bucket))
+            _, runs = by_bucket(bucket[order], buckets)
+            heads, members = list(groups), list(groups.values())
+            for b, i, j in runs:
+                at = order[i:j].tolist()
+                texts = [heads[x][2] for x in at]
+                numbers = lambda values, dtype: np.fromiter(values, dtype, len(at)).tobytes()
+                sent = {"bucket": b, "batch": batch, "key": key[at].tobytes(), "at": numbers((heads[x][1] for x in at), np.uint16), "size": numbers(map(len, texts), np.uint32), "context": pa.compress(b"".join(texts), codec="zstd", asbytes=True), "times": numbers((len(members[x]) // 2 for x in at), np.uint32)}
+                out.append(sent | ({"first": numbers((doc_id[members[x][::2]].min() for x in at), np.int64)} if heavy else placed([members[x] for x in at])))
+            if heavy and groups:
+                ordered = [members[x] for x in order.tolist()]
+                out.append({"bucket": buckets + batch, "batch": batch, "times": np.fromiter((len(x) // 2 for x in ordered), np.uint32, len(ordered)).tobytes()} | placed(ordered))
+        return pa.Table.from_pylist(out, arrow_schema(CONTEXT_ROWS))
 
     return send
 
@@ -333,15 +357,24 @@ def context_texts(blobs: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray
     return key, at, parts
 
 
+def place_documents(blobs: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and document of all places of some rows."""
+    docs, base = column(blobs["docs"], np.int64).reshape(-1, 2), np.cumsum([0, *(len(x) // 16 for x in blobs["docs"])])[:-1]
+    doc = column(blobs["doc"], np.uint32) + np.repeat(base, [len(x) // 4 for x in blobs["doc"]])
+    return docs[doc, 0], docs[doc, 1]
+
+
 class Contexts:
     """What a bucket receives: contexts that are equal are one again, whoever sent them.
 
-    Of each context its seed's hash, where the seed stands in it, its text and
-    the number of its places; of each place its context, row, document and start.
+    Of each context its seed's hash, where the seed stands in it, its text, the
+    number of its places and the smallest document; of each place of those that
+    are not heavy its context, row, document and start. ``heavy`` holds batch,
+    bucket and contexts of each row of heavy windows.
     """
 
     def __init__(self, table: pa.Table):
-        blobs = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
+        blobs = {c: [x or b"" for x in table.column(c).to_pylist()] for c in table.column_names if c not in ("bucket", "batch")}
         key, at, parts = context_texts(blobs)
         number: dict[tuple[int, int, bytes], int] = {}
         of = np.fromiter((number.setdefault(x, len(number)) for x in zip(key.tolist(), at.tolist(), parts, strict=True)), np.int64, len(parts))
@@ -349,16 +382,24 @@ class Contexts:
         self.key = np.fromiter((x[0] for x in heads), np.uint64, len(heads))
         self.at = np.fromiter((x[1] for x in heads), np.int64, len(heads))
         self.texts = [x[2] for x in heads]
-        self.owner = np.repeat(of, column(blobs["times"], np.uint32))
-        self.times = np.bincount(self.owner, minlength=len(heads))
+        ends = np.cumsum([len(x) // 8 for x in blobs["key"]])
+        own = [of[i:j] for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+        dealt = zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), own, blobs["first"], strict=True)
+        self.heavy = [(batch, bucket, x) for batch, bucket, x, first in dealt if first]
+        hot = np.repeat([len(x) > 0 for x in blobs["first"]], [len(x) for x in own])
+        times = column(blobs["times"], np.uint32).astype(np.int64)
+        self.owner = np.repeat(of, np.where(hot, 0, times))
+        self.times = np.zeros(len(heads), np.int64)
+        np.add.at(self.times, of, times)
         self.start = column(blobs["start"], np.uint32).astype(np.int64)
-        docs, base = column(blobs["docs"], np.int64).reshape(-1, 2), np.cumsum([0, *(len(x) // 16 for x in blobs["docs"])])[:-1]
-        doc = column(blobs["doc"], np.uint32) + np.repeat(base, [len(x) // 4 for x in blobs["doc"]])
-        self.row, self.doc_id = docs[doc, 0], docs[doc, 1]
+        self.row, self.doc_id = place_documents(blobs)
+        self.first = np.full(len(heads), NEVER, np.int64)
+        np.minimum.at(self.first, self.owner, self.doc_id)
+        np.minimum.at(self.first, of[hot], column(blobs["first"], np.int64))
 
-    def spans(self, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-        """Rows of spans of given places, counted from where the place's context starts."""
-        return pa.table({"row": self.row[place], "doc_id": self.doc_id[place], "start": self.start[place] + start, "end": self.start[place] + end})
+    def spans(self, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """row, document, start and end of spans of given places, counted from where the place's context starts."""
+        return np.stack([self.row[place], self.doc_id[place], self.start[place] + start, self.start[place] + end], 1)
 
     def runs(self, verdict: np.ndarray, n: np.ndarray, length: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal runs of windows with a verdict, window by window of the given contexts: number of the context in the list, start, end."""
@@ -371,35 +412,90 @@ class Contexts:
         return owner[new], step[new], step[last] + length
 
 
-def repeated_spans(docs: DataFrame, split: Callable, length: int, k: int, judge: Callable, name: str) -> DataFrame:
-    """row, doc_id, spans (packed start and end, unmerged; stored) of a keyed table: ``judge`` maps a bucket's table to rows of spans.
+def judged(judge: Callable, batches: int, buckets: int):
+    """Bucket: spans and verdicts, dealt to the batches that the documents came from.
+
+    ``judge`` maps contexts to spans of their places and to a verdict for each
+    context, of which only those of heavy windows are used.
+    """
 
-    Both exchanges are cut by the size of the text, not by the session's setting.
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:  # a batch's places pass
+            return pa.Table.from_pylist(table.select(["batch", "times", "start", "doc", "docs"]).to_pylist(), arrow_schema(VERDICT_ROWS))
+        c = Contexts(table)
+        spans, verdict = judge(c)
+        batch = spans[:, 0] % batches
+        order = np.argsort(batch, kind="stable")
+        turn = np.flatnonzero(np.diff(batch[order], prepend=-1))
+        out = [{"batch": int(batch[order[i]]), "spans": spans[order[i:j]].tobytes()} for i, j in zip(turn, np.r_[turn[1:], len(order)], strict=True)] if len(order) else []
+        out += [{"batch": own, "bucket": bucket, "verdict": verdict[x].tobytes()} for own, bucket, x in c.heavy]
+        return pa.Table.from_pylist(out, arrow_schema(VERDICT_ROWS))
+
+    return run
+
+
+def settle(length: int):
+    """Batch: verdicts meet the places of heavy windows; the spans of each document as maximal ones, in one row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = {c: [x or b"" for x in table.column(c).to_pylist()] for c in ("spans", "times", "start", "doc", "docs")}
+        spans = column(blobs["spans"], np.int64).reshape(-1, 4)
+        verdicts = sorted((b, v) for b, v in zip(table.column("bucket").to_pylist(), table.column("verdict").to_pylist(), strict=True) if v)
+        if verdicts:
+            (row, doc_id), start = place_documents(blobs), column(blobs["start"], np.uint32).astype(np.int64)
+            gone = np.repeat(column([v for _, v in verdicts], np.int64), column(blobs["times"], np.uint32)) < doc_id
+            spans = np.concatenate([spans, np.stack([row, doc_id, start, start + length], 1)[gone]])
+        if not len(spans):
+            return arrow_schema(SPAN_ROWS).empty_table()
+        docs, whose = np.unique(spans[:, :2], axis=0, return_inverse=True)
+        base = whose.ravel() << 33  # documents follow one another at a distance that no span bridges
+        start, end = merged_spans(base + spans[:, 2], base + spans[:, 3])
+        offset, inside = np.searchsorted(start >> 33, np.arange(len(docs) + 1)), (1 << 33) - 1
+        packed = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array((start & inside) << 32 | end & inside))
+        return pa.table({"row": docs[:, 0], "doc_id": docs[:, 1], "spans": packed})
+
+    return run
+
+
+def settled(sent: DataFrame, judge: Callable, length: int, sizes: Sizes, buckets: int, name: str) -> DataFrame:
+    """row, doc_id, spans (packed start and end) from contexts; stored."""
+    verdicts = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judged(judge, sizes.batches, buckets), VERDICT_ROWS)
+    return stored(verdicts.repartition(sizes.tasks, "batch").groupBy("batch").applyInArrow(settle(length), SPAN_ROWS), name)
+
+
+def repeated_spans(docs: DataFrame, split: Callable, length: int, k: int, judge: Callable, name: str, sizes: Sizes) -> DataFrame:
+    """row, doc_id, spans (packed start and end, maximal; stored) of a keyed table, by ``judge`` (see ``judged``).
+
+    All exchanges are cut by the size of the text, not by the session's setting.
     """
     if not 0 < k <= length < 1 << 15:
         raise ValueError(f"length {length}, seed {k}: the seed is at most as long, the length under {1 << 15}")
-    sizes = sizes_for(docs)
     seeds = repeated_seeds(docs, lambda texts: split(texts)[:2], length, k, sizes)
     release(docs.sparkSession)  # the seeds' shuffle
     task, hashes = send_contexts(split, length, k, sizes.buckets), sizes.hashes
-    empty = pa.table({c.split()[0]: pa.array([], pa.int32() if "int" in c else pa.binary()) for c in CONTEXT_ROWS.split(", ")})
+    empty = arrow_schema(CONTEXT_ROWS).empty_table()
 
     def send(own: pa.Table, found: pa.Table) -> pa.Table:
         return task(own, found, hashes) if own.num_rows and found.num_rows else empty
 
     texts = batched(docs, sizes).repartition(sizes.tasks, "batch")
     sent = texts.groupBy("batch").cogroup(seeds.repartition(sizes.tasks, "batch").groupBy("batch")).applyInArrow(send, CONTEXT_ROWS)
-    spans = sent.repartition(sizes.buckets, "bucket").groupBy("bucket").applyInArrow(judge, SPAN_ROWS)
-    found = packed_spans(spans, name)
-    del texts, sent, spans
+    found = settled(sent, judge, length, sizes, sizes.buckets, name)
+    del texts, sent
     release(docs.sparkSession)  # the texts' and the contexts' shuffles
     return found
 
 
-def packed_spans(spans: DataFrame, name: str) -> DataFrame:
-    """row, doc_id, spans: a document's spans in one row; stored."""
-    packed = F.shiftleft("start", 32) + F.col("end")
-    return stored(spans.groupBy("row", "doc_id").agg(F.collect_list(packed).alias("spans")), name)
+def with_spans(docs: DataFrame, row: str, doc_id: str, spans: DataFrame, name: str, sizes: Sizes) -> DataFrame:
+    """The table with a column of packed spans, null where there are none.
+
+    Both sides are cut by the size of the text, so that what a task hashes, the
+    spans of ``TASK_BYTES`` of text, does not grow with the table.
+    """
+    a, b = unused(docs, "_span_row"), unused(docs, "_span_doc")
+    found = spans.select(F.col("row").alias(a), F.col("doc_id").alias(b), F.col("spans").alias(name)).repartition(sizes.tasks, a, b)
+    same = (F.col(row) == F.col(a)) & (F.col(doc_id) == F.col(b))
+    return docs.repartition(sizes.tasks, row, doc_id).join(found.hint("shuffle_hash"), same, "left").drop(a, b)
 
 
 class Repeated:

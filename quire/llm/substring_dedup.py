@@ -15,7 +15,8 @@ Adjacent windows make maximal repeats, which join across anchors in a document.
 No pairs of members are made, so a group of n copies costs n.
 
 Equal members are sent once with the list of their places; an anchor that
-occurs at over ``HEAVY`` places is dealt out window by window.
+occurs at over ``HEAVY`` places is dealt out window by window, each with its
+count in a batch of documents; whether it is a repeat comes back to the batch.
 
 Defined cases: null and empty texts have no words; texts under ``length`` words
 stay whole; repeated rows are two occurrences, so all their windows go; an
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID
-from .seeds import Contexts, keyed, merged_spans, raw_texts, repeated_spans, split_words
+from .seeds import BEFORE, NEVER, Contexts, Sizes, keyed, merged_spans, raw_texts, repeated_spans, sizes_for, split_words, with_spans
 
 LENGTH = 35
 SEED = 8
@@ -87,11 +88,10 @@ def repeated_windows(c: Contexts, length: int, k: int) -> tuple[np.ndarray, np.n
     return out, n
 
 
-def extend_bucket(length: int, k: int):
-    """Bucket: maximal runs of repeated windows of every place."""
+def extend_contexts(length: int, k: int):
+    """Contexts: maximal runs of repeated windows of every place; of each context whether its first window goes."""
 
-    def extend(table: pa.Table) -> pa.Table:
-        c = Contexts(table)
+    def extend(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
         verdict, n = repeated_windows(c, length, k)
         owner, start, end = c.runs(verdict, n, length, np.arange(len(n)))
         # every place of a context has its runs
@@ -99,21 +99,21 @@ def extend_bucket(length: int, k: int):
         times = runs[c.owner]
         place = np.repeat(np.arange(len(c.owner)), times)
         run = np.repeat((np.cumsum(runs) - runs)[c.owner], times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
-        return c.spans(place, start[run], end[run])
+        return c.spans(place, start[run], end[run]), np.where(verdict[np.cumsum(n) - n], BEFORE, NEVER)
 
     return extend
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
-    """row, doc_id, spans (start, end in words, packed) of a keyed table (see ``seeds.keyed``)."""
-    return repeated_spans(docs, split_words, length, k, extend_bucket(length, k), "passages")
+def repeated_passages(docs: DataFrame, length: int = LENGTH, k: int = SEED, sizes: Sizes | None = None) -> DataFrame:
+    """row, doc_id, spans (start and end in words, maximal, packed) of a keyed table (see ``seeds.keyed``)."""
+    return repeated_spans(docs, split_words, length, k, extend_contexts(length, k), "passages", sizes or sizes_for(docs))
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kept (words left, joined by spaces), n_words, n_removed, passages (maximal, as word spans) for every row."""
     own = keyed(docs, id_col, text_col)
-    spans = repeated_passages(own, length, k).select(F.col("row").alias("span_row"), F.col("doc_id").alias("span_id"), "spans")
-    joined = own.join(spans.hint("shuffle_hash"), (F.col("row") == F.col("span_row")) & (F.col("doc_id") == F.col("span_id")), "left")
+    sizes = sizes_for(own)
+    joined = with_spans(own, "row", "doc_id", repeated_passages(own, length, k, sizes), "spans", sizes)
 
     def cut(batches):
         for b in batches:

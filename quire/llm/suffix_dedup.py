@@ -18,8 +18,10 @@ with a smaller id; strings are judged on the input. Three steps:
    Every removed byte is one of a window for which the index knows an earlier
    document.
 
-A seed hash that occurs at over ``HEAVY`` places is dealt out window by window,
-so that a passage which very many documents hold does not meet in one task.
+A seed hash that occurs at over ``HEAVY`` places is dealt out window by window, and
+of such a window each batch of documents sends its smallest document alone: the
+earliest one comes back to the batch, which looks at its own places. A passage that
+very many documents hold so brings a row for each batch to a task, not its places.
 ``StoredIndex`` keeps the family across batches that arrive over time: its levels
 are tables of contexts with their suffix arrays, merged by jobs.
 
@@ -40,14 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, new_path, row_id, stored, unused
-from .seeds import CONTEXT_ROWS, SPAN_ROWS, Contexts, batched, context_texts, keyed, merged_spans, packed_spans, raw_texts, repeated_spans, send_contexts, sizes_for, split_bytes
+from .seeds import BEFORE, CONTEXT_ROWS, NEVER, SPAN_ROWS, VERDICT_ROWS, Contexts, Sizes, arrow_schema, batched, context_texts, judged, keyed, merged_spans, raw_texts, repeated_spans, send_contexts, settle, sizes_for, split_bytes, with_spans
 
 LENGTH = 50
 SEED = 20
 #: Window starts in a batch of the index family, and in one index.
 BATCH_STRINGS, GROUP_STRINGS = 1 << 16, 1 << 18
-#: No document is later, and none earlier.
-NEVER, BEFORE = 2**63 - 1, -(2**63)
 
 
 def suffixes(texts: list[bytes], n: np.ndarray, width: int) -> np.ndarray:
@@ -168,7 +168,6 @@ def make_level(length: int, k: int):
     return make
 
 
-NO_SPANS = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in SPAN_ROWS.split(", ")})
 LEVEL_ROWS = "bucket int, key binary, at binary, size binary, context binary, suffixes binary"
 
 
@@ -202,10 +201,12 @@ class StoredIndex:
         sent = stored(texts.applyInArrow(lambda t: send(t, None, 1), CONTEXT_ROWS), "batch-contexts")
 
         def scan(new: pa.Table, old: pa.Table) -> pa.Table:
-            return scan_bucket(length, k, [Level(row, length, k) for row in old.drop_columns(["bucket"]).to_pylist()])(new) if new.num_rows else NO_SPANS
+            levels = [Level(row, length, k) for row in old.drop_columns(["bucket"]).to_pylist()]
+            return judged(scan_contexts(length, k, levels), sizes.batches, buckets)(new) if new.num_rows else arrow_schema(VERDICT_ROWS).empty_table()
 
         dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
-        found = packed_spans(dealt(sent).cogroup(dealt(self._read([p for p, _ in self.levels]))).applyInArrow(scan, SPAN_ROWS), "spans")
+        verdicts = dealt(sent).cogroup(dealt(self._read([p for p, _ in self.levels]))).applyInArrow(scan, VERDICT_ROWS)
+        found = stored(verdicts.repartition(sizes.tasks, "batch").groupBy("batch").applyInArrow(settle(length), SPAN_ROWS), "spans")
         size = sent.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("n")).first()["n"] // 8
         joining = []
         while self.levels and self.levels[-1][1] <= 2 * size:  # geometric merge
@@ -255,37 +256,34 @@ def first_documents(c: Contexts, first: np.ndarray, length: int, k: int, levels:
     return found[offset[owner] + np.minimum(step, sent[owner] - 1)], n
 
 
-def scan_bucket(length: int, k: int, levels: list[Level] = []):  # noqa: B006
-    """Bucket: spans of documents that repeat strings of earlier ones, or of stored levels."""
+def scan_contexts(length: int, k: int, levels: list[Level] = []):  # noqa: B006
+    """Contexts: spans of places whose documents repeat strings of earlier ones, or of stored levels; each context's earliest document."""
 
-    def scan(table: pa.Table) -> pa.Table:
-        c = Contexts(table)
-        first = np.full(len(c.texts), NEVER, np.int64)
-        np.minimum.at(first, c.owner, c.doc_id)
-        found, n = first_documents(c, first, length, k, levels)
-        latest = np.maximum.reduceat(found, np.cumsum(n) - n)
+    def scan(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+        found, n = first_documents(c, c.first, length, k, levels)
+        latest, earliest = (x.reduceat(found, np.cumsum(n) - n) for x in (np.maximum, np.minimum))
         # places of documents after all those found lose the whole context
         gone = np.flatnonzero(c.doc_id > latest[c.owner])
         spans = [c.spans(gone, np.zeros(len(gone), np.int64), n[c.owner[gone]] - 1 + length)]
         # the others are judged window by window
-        rest = np.flatnonzero((c.doc_id <= latest[c.owner]) & (np.minimum.reduceat(found, np.cumsum(n) - n)[c.owner] < c.doc_id))
+        rest = np.flatnonzero((c.doc_id <= latest[c.owner]) & (earliest[c.owner] < c.doc_id))
         times = n[c.owner[rest]]
         at = np.repeat((np.cumsum(n) - n)[c.owner[rest]], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         which, start, end = c.runs(found[at] < np.repeat(c.doc_id[rest], times), times, length, rest)
-        spans.append(c.spans(rest[which], start, end))
-        return pa.concat_tables(spans)
+        return np.concatenate([*spans, c.spans(rest[which], start, end)]), earliest
 
     return scan
 
 
-def earlier_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
-    """row, doc_id, spans (start, end in bytes, unmerged) of a keyed table (see ``seeds.keyed``)."""
-    return repeated_spans(docs, split_bytes, length, k, scan_bucket(length, k), "spans")
+def scan_bucket(length: int, k: int):
+    """Bucket: row, doc_id, start and end of the spans of one bucket's places."""
+    scan = scan_contexts(length, k)
+    return lambda table: pa.table(dict(zip(("row", "doc_id", "start", "end"), scan(Contexts(table))[0].T, strict=True)))
 
 
-def _with_spans(docs: DataFrame, length: int, k: int) -> DataFrame:
-    spans = earlier_spans(docs, length, k).select(F.col("row").alias("span_row"), F.col("doc_id").alias("span_id"), "spans")
-    return docs.join(spans.hint("shuffle_hash"), (docs["row"] == spans["span_row"]) & (docs["doc_id"] == spans["span_id"]), "left")
+def earlier_spans(docs: DataFrame, length: int = LENGTH, k: int = SEED, sizes: Sizes | None = None) -> DataFrame:
+    """row, doc_id, spans (start and end in bytes, maximal, packed) of a keyed table (see ``seeds.keyed``)."""
+    return repeated_spans(docs, split_bytes, length, k, scan_contexts(length, k), "spans", sizes or sizes_for(docs))
 
 
 def _cut(raw: bytes, packed) -> tuple[bytes, int, int]:
@@ -307,7 +305,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: s
             ids = [None if x == NULL_ID else x for x in b.column("doc_id").to_pylist()]
             yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array([x[1] for x in found], pa.binary()), "n_bytes": pa.array([len(x[0]) for x in found], pa.int64()), "n_removed": pa.array([x[2] for x in found], pa.int64()), "n_spans": pa.array([x[3] for x in found], pa.int64())})
 
-    joined = _with_spans(keyed(docs, id_col, text_col), length, k)
+    own = keyed(docs, id_col, text_col)
+    sizes = sizes_for(own)
+    joined = with_spans(own, "row", "doc_id", earlier_spans(own, length, k, sizes), "spans", sizes)
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
@@ -318,9 +318,11 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, k: int = SEED, id_col: str
     """
     others = [c for c in docs.columns if c != text_col]
     row, order, found = unused(docs, "_row"), unused(docs, "_order"), unused(docs, "_spans")
-    spans = earlier_spans(keyed(docs, id_col, text_col), length, k).select(F.col("row").alias(row), F.col("doc_id").alias(order), F.col("spans").alias(found))
-    own_row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(spans.hint("shuffle_hash"), (own_row == F.col(row)) & (row_id(id_col) == F.col(order)), "left")
+    own = keyed(docs, id_col, text_col)
+    sizes = sizes_for(own)
+    spans = earlier_spans(own, length, k, sizes)
+    text_hash = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    joined = with_spans(docs.withColumns({row: text_hash, order: row_id(id_col)}), row, order, spans, found, sizes)
     schema = docs.schema
 
     def cut(batches):
