@@ -99,4 +99,4 @@ def without_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_
     a, b = unused(docs, "_id"), unused(docs, "_h")
     named = rows.select(F.col("doc_id").alias(a), F.col("h").alias(b)).distinct()
     same = (row_id(id_col) == F.col(a)) & (row_hash(text_col) == F.col(b))
-    return docs.join(named.hint("shuffle_hash"), same, "left_anti")
+    return docs.join(named, same, "left_anti")
