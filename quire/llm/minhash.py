@@ -266,7 +266,7 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.n
             slices = [(i, j) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch({"node": b.column("node"), "h": pa.array([hashes[i:j].tobytes() for i, j in slices], pa.binary()), "w": pa.array([weights[i:j].tobytes() for i, j in slices], pa.binary())})
 
-    found = docs.join(own.hint("shuffle_hash"), (F.col("row") == F.col("own_row")) & (F.col("doc_id") == F.col("own_id")))
+    found = docs.join(own, (F.col("row") == F.col("own_row")) & (F.col("doc_id") == F.col("own_id")))
     return stored(found.select("node", "text").mapInArrow(shingle, "node binary, h binary, w binary"), "shingles")
 
 
@@ -630,11 +630,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own_row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
     same = (own_row == F.col(row)) & (row_id(id_col) == F.col(first_id))
     if firsts.filter("n > 1").isEmpty():
-        return docs.join(firsts.drop("n").hint("shuffle_hash"), same, "left_semi")
+        return docs.join(firsts.drop("n"), same, "left_semi")
     # some rows occur several times: those alone are made distinct
     again = firsts.filter("n > 1").drop("n")
-    once = docs.join(firsts.filter("n = 1").drop("n").hint("shuffle_hash"), same, "left_semi")
-    several = docs.join(again.hint("shuffle_hash"), same).dropDuplicates([row, first_id])
+    once = docs.join(firsts.filter("n = 1").drop("n"), same, "left_semi")
+    several = docs.join(again, same).dropDuplicates([row, first_id])
     return once.unionByName(several.select(*docs.columns))
 
 
