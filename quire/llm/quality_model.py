@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     n = known.count()
     share = min(1.0, max_train / n) if n else 0.0
     drawn = F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known.withColumn("drawn", drawn).hint("shuffle_hash"), "label_id").select("label_id", "text", "label", "drawn")
+    rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known.withColumn("drawn", drawn), "label_id").select("label_id", "text", "label", "drawn")
 
     def count(batches):
         totals = np.zeros((2, SLOTS), np.int64)
