@@ -80,8 +80,9 @@ def _misspelt(doc_id: int | None, runs: Counter) -> Counter:
         return runs
     seed = zlib.crc32(f"{doc_id}:".encode())
     hits = [(r, h) for r in runs if (h := zlib.crc32(_utf8(r), seed)) % DELETE_ONE_IN == 0]
-    for r, h in hits:
-        n = runs.pop(r)
+    # all are taken out first: what a deletion leaves may be another hit, and loses no second letter
+    taken = [(r, h, runs.pop(r)) for r, h in hits]
+    for r, h, n in taken:
         at = h % len(r)
         runs[r[:at] + r[at + 1 :]] += n
     return runs
