@@ -14,7 +14,12 @@ step, so the work for a pixel does not depend on the size of the square.
 
 Defined cases: an image that no manifest row names, or with an unknown filter, stays
 as it is; an image named with several filters gives the result of each; null ids are
-one image; images are full rectangles from (0, 0), and one that is not raises an error.
+one image. Lines are full rectangles from (0, 0), and an image of lines that is not
+raises an error, also one to be packed. Pixel rows may have gaps: then an image's
+rectangle reaches to its greatest y and x, samples at places without a pixel are left
+out, a missing neighbour is the next pixel in its direction, and only the pixels that
+are there come out, as in SQL. Such an image is taken at once, not in bands; one with
+two pixels at a place or with places below 0 raises an error.
 """
 
 from __future__ import annotations
@@ -53,8 +58,28 @@ def _stretched(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return np.where(high > low, (values.astype(np.int32) - low) * 255 // np.maximum(high - low, 1), values)
 
 
-def _sharpened(values: np.ndarray, center: int, side: int) -> np.ndarray:
+def _before(values: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The value at the last place before each one, along the last axis, that is there; its own if there is none."""
+    n = there.shape[-1]
+    own = np.arange(n)
+    last = np.maximum.accumulate(np.where(there, own, -1), axis=-1)
+    last = np.concatenate([np.full((*there.shape[:-1], 1), -1), last[..., :-1]], axis=-1)
+    return np.take_along_axis(values, np.broadcast_to(np.where(last < 0, own, last)[:, None], values.shape), axis=-1)
+
+
+def _around(values: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Sum of the next values that are there on the four sides."""
+    flip = lambda x: x[..., ::-1]
+    turn = lambda x: np.swapaxes(x, -1, -2)
+    both = lambda v, t: _before(v, t) + flip(_before(flip(v), flip(t)))
+    return both(values, there) + turn(both(turn(values), turn(there)))
+
+
+def _sharpened(values: np.ndarray, center: int, side: int, there: np.ndarray | None = None) -> np.ndarray:
     """Cross kernel in tenths; at the edges a pixel stands in for its missing neighbour."""
+    if there is not None:
+        v = values.astype(np.int32)
+        return np.clip((center * v - side * _around(v, there)) // 10, 0, 255)
     v = np.pad(values.astype(np.int32), ((0, 0), (0, 0), (1, 1), (1, 1)), "edge")
     around = v[..., :-2, 1:-1] + v[..., 2:, 1:-1] + v[..., 1:-1, :-2] + v[..., 1:-1, 2:]
     return np.clip((center * v[..., 1:-1, 1:-1] - side * around) // 10, 0, 255)
@@ -93,22 +118,25 @@ def _window_extreme(values: np.ndarray, block: int, step: int, least: bool) -> n
     return found.reshape(*found.shape[:-2], -1)[..., : values.shape[-1]]
 
 
-def sampled(gray: np.ndarray, block: int = 15, step: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Total, least and greatest of the square sample around each pixel of (images, lines, columns)."""
+def sampled(gray: np.ndarray, block: int = 15, step: int = 3, there: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Total, least and greatest of the square sample around each pixel of (images, lines, columns).
+
+    Of a sample without a pixel that is ``there`` the least is over the greatest.
+    """
 
-    def both(f, *more):
-        along = f(gray, block, step, *more)
+    def both(f, none, *more):
+        along = f(gray if there is None else np.where(there, gray, none), block, step, *more)
         return np.swapaxes(f(np.ascontiguousarray(np.swapaxes(along, -1, -2)), block, step, *more), -1, -2)
 
-    return both(_window_sum), both(_window_extreme, True), both(_window_extreme, False)
+    return both(_window_sum, 0), both(_window_extreme, 256, True), both(_window_extreme, -1, False)
 
 
-def _whitened(rgb: np.ndarray, block: int, step: int) -> np.ndarray:
+def _whitened(rgb: np.ndarray, block: int, step: int, there: np.ndarray | None = None) -> np.ndarray:
     """Paper and ink by local contrast and threshold, in the order of operations of the pixel form."""
     # fixed values: the shares, bounds and offsets below
     n = len(range(-block, block + 1, step)) ** 2
     gray = luma(rgb)
-    total, low, high = sampled(gray, block, step)
+    total, low, high = sampled(gray, block, step, there)
     lum, v = gray.astype(np.float64)[:, None], rgb.astype(np.float64)
     threshold = (total.astype(np.float64) / float(n) * 0.85 - 8.0)[:, None]
     flat = ((high - low).astype(np.float64) / 255.0)[:, None] < 0.15
@@ -154,18 +182,18 @@ def _table(values: np.ndarray, table: list[int]) -> np.ndarray:
     return np.array(table, np.int32)[values]
 
 
-def _band(rgb: np.ndarray, name: str, levels: Levels, block: int, step: int) -> np.ndarray:
+def _band(rgb: np.ndarray, name: str, levels: Levels, block: int, step: int, there: np.ndarray | None = None) -> np.ndarray:
     if name == "document":
         return _sharpened(_whitened(rgb, block, step), *SHARPEN["document"])
     if name in ("auto", "magicColor"):
         v = _stretched(rgb, levels.low, levels.high)
         if name == "auto":
-            return _sharpened(_table(v, contrast_table(CONTRAST["auto"])), *SHARPEN["auto"])
+            return _sharpened(_table(v, contrast_table(CONTRAST["auto"])), *SHARPEN["auto"], there)
         v = _table(_table(_saturated(v), contrast_table(CONTRAST["magic"])), brightness_table(1.08, 0.9))
-        return _sharpened(v, *SHARPEN["magic"])
+        return _sharpened(v, *SHARPEN["magic"], there)
     gray = np.repeat(_stretched(luma(rgb), levels.low, levels.high)[:, None], 3, axis=1)
     if name == "grayscale":
-        return _sharpened(_table(_table(gray, contrast_table(CONTRAST["grayscale"])), brightness_table(1.05)), *SHARPEN["grayscale"])
+        return _sharpened(_table(_table(gray, contrast_table(CONTRAST["grayscale"])), brightness_table(1.05)), *SHARPEN["grayscale"], there)
     cut = levels.threshold.reshape(-1, 1, 1, 1)
     return np.where(gray < cut - 20, 0, np.where(gray > cut + 20, 255, np.clip((gray - (cut - 20)) * 255 // 40, 0, 255)))
 
@@ -187,11 +215,23 @@ def filtered(rgb: np.ndarray, name: str | None, block: int = 15, step: int = 3)
     return out
 
 
+def filtered_with_gaps(rgb: np.ndarray, there: np.ndarray, name: str | None, block: int = 15, step: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one image (1, 3, lines, columns) with the pixels that are ``there``; a pixel without a sample goes."""
+    if name not in REACH:
+        return rgb, there
+    levels = Levels(rgb[:, :, there[0]][:, :, None], name)
+    if name == "document":
+        _, low, high = sampled(luma(rgb), block, step, there)
+        whitened, there = _whitened(rgb, block, step, there), there & (low <= high)
+        return _sharpened(whitened, *SHARPEN["document"], there), there
+    return _band(rgb, name, levels, block, step, there), there
+
+
 # images of a sorted stream
 
 
-def _image(parts: list[pa.RecordBatch], lines: bool) -> np.ndarray:
-    """The bytes (3, lines, columns) of an image whose rows, in order, are the parts."""
+def _image(parts: list[pa.RecordBatch], lines: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bytes (3, lines, columns) of an image whose rows, in order, are the parts, and the places that are there, None for all."""
     table = pa.Table.from_batches(parts)
     y = table.column("y").to_numpy()
     if lines:
@@ -203,18 +243,25 @@ def _image(parts: list[pa.RecordBatch], lines: bool) -> np.ndarray:
         rows, width = [table.column(c).to_numpy().astype(np.uint8) for c in RGB], int(x.max()) + 1
         whole = len(x) % width == 0 and (y * width + x == np.arange(len(x))).all()
     if not whole:
-        raise ValueError("an image is not a full rectangle from (0, 0)")
-    return np.stack(rows).reshape(3, -1, width)
-
-
-def _sorted_images(batches: Iterator[pa.RecordBatch], lines: bool) -> Iterator[list[tuple[object, list[str | None], np.ndarray]]]:
-    """(id, filters, bytes) of the images of a stream sorted by image, some at a time."""
+        at = None if lines else y.astype(np.int64) * width + x
+        if at is None or min(y.min(), x.min()) < 0 or (at[1:] <= at[:-1]).any():
+            raise ValueError("an image is not a full rectangle from (0, 0)")
+        # gaps hold the first pixel, so that they lie between the image's extremes
+        there = np.zeros((int(y.max()) + 1) * width, bool)
+        rgb = np.repeat(np.stack(rows)[:, :1], len(there), axis=1)
+        rgb[:, at], there[at] = rows, True
+        return rgb.reshape(3, -1, width), there.reshape(-1, width)
+    return np.stack(rows).reshape(3, -1, width), None
+
+
+def _sorted_images(batches: Iterator[pa.RecordBatch], lines: bool) -> Iterator[list[tuple[object, list[str | None], np.ndarray, np.ndarray | None]]]:
+    """(id, filters, bytes, places that are there) of the images of a stream sorted by image, some at a time."""
     held: list[pa.RecordBatch] = []
     ready, pixels = [], 0
 
     def done():
         own = held[0].column("filters")[0].as_py() if "filters" in held[0].schema.names else None
-        return held[0].column("image_id")[0], own or [ORIGINAL], _image(held, lines)
+        return held[0].column("image_id")[0], own or [ORIGINAL], *_image(held, lines)
 
     for b in batches:
         if not b.num_rows:
@@ -253,6 +300,11 @@ def as_pixels(ids: list[pa.Scalar], rgb: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([_ids(ids, height * width), pa.array(y), pa.array(x), *(pa.array(rgb[:, c].reshape(-1).astype(np.int32)) for c in range(3))], names=["image_id", "y", "x", *RGB])
 
 
+def _there(pixels: pa.RecordBatch, there: np.ndarray) -> pa.RecordBatch:
+    """The pixels of an image that are there."""
+    return pixels.filter(pa.array(there.reshape(-1)))
+
+
 def is_lines(images: DataFrame) -> bool:
     return "x" not in images.columns
 
@@ -261,16 +313,24 @@ def _ordered(images: DataFrame) -> DataFrame:
     return images.sortWithinPartitions("image_id", "y", *([] if is_lines(images) else ["x"]))
 
 
-def _by_image(images: DataFrame, schema: str, work: Callable) -> DataFrame:
-    """``work(ids, filters, images of one shape)`` gives record batches; rows are already dealt out by image."""
+def _by_image(images: DataFrame, schema: str, work: Callable, with_gaps: Callable | None = None) -> DataFrame:
+    """``work(ids, filters, images of one shape)`` gives record batches; rows are already dealt out by image.
+
+    ``with_gaps(id, filter, image, places that are there)`` does so for an image with gaps; without it one raises an error.
+    """
     lines = is_lines(images)
 
     def run(batches):
         for some in _sorted_images(batches, lines):
             alike = defaultdict(list)
-            for image_id, filters, rgb in some:
+            for image_id, filters, rgb, there in some:
+                if there is not None and not with_gaps:
+                    raise ValueError("an image is not a full rectangle from (0, 0)")
                 for name in filters:
-                    alike[name, rgb.shape].append((image_id, rgb))
+                    if there is None:
+                        alike[name, rgb.shape].append((image_id, rgb))
+                    else:
+                        yield with_gaps(image_id, name, rgb[None], there[None])
             for (name, _), own in alike.items():
                 yield from work([i for i, _ in own], name, np.stack([rgb for _, rgb in own]))
 
@@ -313,10 +373,18 @@ def image_lines(images: DataFrame) -> DataFrame:
     return named.mapInArrow(run, f"image_id string, {LINES}")
 
 
+def _gaps(block: int, step: int) -> Callable:
+    def work(image_id, name, rgb, there):
+        done, kept = filtered_with_gaps(rgb, there, name, block, step)
+        return _there(as_pixels([image_id], done), kept)
+
+    return work
+
+
 def apply_filter(images: DataFrame, name: str, block: int = 15, step: int = 3) -> DataFrame:
     """All images by one filter; lines give lines, pixel rows give pixel rows."""
     made, schema = (as_lines, LINES) if is_lines(images) else (as_pixels, PIXELS)
-    return _by_image(images.repartition("image_id"), schema, lambda ids, _, rgb: [made(ids, filtered(rgb, name, block, step))])
+    return _by_image(images.repartition("image_id"), schema, lambda ids, _, rgb: [made(ids, filtered(rgb, name, block, step))], lambda i, _, *image: _gaps(block, step)(i, name, *image))
 
 
 def apply_filters(images: DataFrame, image_manifest: DataFrame, block: int = 15, step: int = 3) -> DataFrame:
@@ -327,7 +395,7 @@ def apply_filters(images: DataFrame, image_manifest: DataFrame, block: int = 15,
     made, schema = (as_lines, LINES) if is_lines(images) else (as_pixels, PIXELS)
     wanted = image_manifest.groupBy("image_id").agg(F.sort_array(F.collect_set(F.coalesce("filter", F.lit(ORIGINAL)))).alias("filters"))
     named = images.hint("merge").join(wanted, "image_id", "left")
-    return _by_image(named, schema, lambda ids, name, rgb: [made(ids, filtered(rgb, name, block, step))])
+    return _by_image(named, schema, lambda ids, name, rgb: [made(ids, filtered(rgb, name, block, step))], _gaps(block, step))
 
 
 def local_stats(images: DataFrame, block: int = 15, step: int = 3) -> DataFrame:
@@ -339,10 +407,17 @@ def local_stats(images: DataFrame, block: int = 15, step: int = 3) -> DataFrame:
             above, end = min(y, block), min(y + BAND, height)
             gray = luma(rgb[:, :, y - above : min(end + block, height)])
             own = slice(above, above + end - y)
-            stats = [s[:, own].reshape(-1) for s in (gray, *sampled(gray, block, step))]
-            pixels = as_pixels(ids, rgb[:, :, y:end])
-            places = pa.array(pixels.column("y").to_numpy() + np.int32(y))
-            columns = [pixels.column("image_id"), places, *(pixels.column(c) for c in ("x", *RGB))]
-            yield pa.record_batch([*columns, *(pa.array(s.astype(t)) for s, t in zip(stats, (np.int32, np.int64, np.int32, np.int32), strict=True))], names=["image_id", "y", "x", *RGB, "l", "total", "low", "high"])
+            yield rows(ids, rgb[:, :, y:end], y, [s[:, own] for s in (gray, *sampled(gray, block, step))])
+
+    def rows(ids, rgb, y, stats):
+        pixels = as_pixels(ids, rgb)
+        places = pa.array(pixels.column("y").to_numpy() + np.int32(y))
+        columns = [pixels.column("image_id"), places, *(pixels.column(c) for c in ("x", *RGB))]
+        return pa.record_batch([*columns, *(pa.array(s.reshape(-1).astype(t)) for s, t in zip(stats, (np.int32, np.int64, np.int32, np.int32), strict=True))], names=["image_id", "y", "x", *RGB, "l", "total", "low", "high"])
+
+    def with_gaps(image_id, _, rgb, there):
+        gray = luma(rgb)
+        total, low, high = sampled(gray, block, step, there)
+        return _there(rows([image_id], rgb, 0, [gray, total, low, high]), there & (low <= high))
 
-    return _by_image(images.repartition("image_id"), f"{PIXELS}, l int, total long, low int, high int", work)
+    return _by_image(images.repartition("image_id"), f"{PIXELS}, l int, total long, low int, high int", work, with_gaps)
