@@ -558,10 +558,10 @@ EVERY_FILTER = {"auto": sql_auto, "magicColor": sql_magic, "blackWhite": sql_bla
 
 @query(_with(" UNION ALL ".join(f"SELECT * FROM ({q('wide_grid')})" for q in EVERY_FILTER.values()), "wide_grid"))
 def every_filter(spark, d):
-    """Packed lines by all filters at once, each image from its original bytes."""
-    lines = R.pack(X.wide_grid(spark, d))
-    wanted = X.wide_grid(spark, d).filter("y = 0 AND x = 0").select("image_id", F.explode(F.array(*[F.lit(x) for x in EVERY_FILTER])).alias("filter"))
-    return R.unpack(R.apply_filters(lines, wanted))
+    """All filters at once, each image from its original pixels; the last image may have gaps."""
+    ids = X.wide_grid(spark, d).select("image_id").distinct()
+    wanted = ids.select("image_id", F.explode(F.array(*[F.lit(x) for x in EVERY_FILTER])).alias("filter"))
+    return R.apply_filters(X.wide_grid(spark, d), wanted)
 
 
 @query(
