@@ -46,15 +46,14 @@ def query(sql: str | None = None):
 # sources and sinks
 
 
-@query("SELECT source, sum(octet_length(encode(doc_id::VARCHAR || ' ' || n_chars::VARCHAR)) + 1)::BIGINT AS n_bytes, false AS loading FROM documents GROUP BY source")
+@query("SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, false AS loading FROM documents GROUP BY source")
 def catalog_scan(spark, d):
-    """The catalogue of a folder of files, into which Spark has written a line for each document of a source: bytes by source.
+    """The catalogue of a folder of files, into which Spark has written each source's texts: bytes by source.
 
     The files lie in the session's folder, which ``clear_shared`` deletes.
     """
-    folder = shared_folder(spark, "lists")
-    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
-    X.table(spark, d, "documents").select("source", line.alias("line")).write.partitionBy("source").text(folder)
+    folder = shared_folder(spark, "texts")
+    X.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(folder)
     found = scan_catalog(spark, folder, "*.txt")
     return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("file_size").alias("n_bytes"), F.bool_or("is_loading").alias("loading"))
 
