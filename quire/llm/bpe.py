@@ -19,6 +19,7 @@ of the input other than id and text are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -254,11 +255,13 @@ class ChunkEncoder:
         """Ids of chunks (with their leading blanks)."""
         cut = list(map(self._pieces, chunks))
         of: dict[str, bytes] = {}
+        pieces = []
         for p in set().union(*cut):  # a piece may be known as a chunk of its own
             found = self.known.get(p[1:]) if p[0] == " " else self.bare.get(p)
             if found is not None:
                 of[p] = found
-        pieces = list(set().union(*cut).difference(of))
+            else:
+                pieces.append(p)
         new = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
         of |= new
         if len(self.bare) < CACHE_CHUNKS // 10:
@@ -301,6 +304,16 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # nothing here makes cycles, and the collector would walk through millions of short lists
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         marks = self.vocabulary.special_pattern
         if not marks or not any(marks.search(t) for t in texts):
             return self._plain(texts)

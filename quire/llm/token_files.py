@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -56,12 +55,20 @@ def library_pieces(path: str):
     """
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    found = Tokenizer.from_file(path)
+    model, raw = found.model, [i.to_bytes(4, "little") for i in range(found.get_vocab_size())]
     chars = dict(enumerate(byte_chars()))
+    space = chars[ord(" ")]
+
+    def shown(p: str) -> str:
+        """The characters of a piece's bytes; plain letters and digits stand for themselves."""
+        if p.isascii() and p[1:].isalnum():
+            return (space if p[0] == " " else chars[ord(p[0])]) + p[1:]
+        return p.encode().decode("latin-1").translate(chars)
 
     def encode(pieces: list[str]) -> list[bytes]:
-        found = [model.tokenize(p.encode().decode("latin-1").translate(chars)) for p in pieces]
-        return [array("I", [t.id for t in ts]).tobytes() for ts in found]
+        # ids as bytes that all pieces share
+        return [raw[ts[0].id] if len(ts) == 1 else b"".join([raw[t.id] for t in ts]) for ts in map(model.tokenize, map(shown, pieces))]
 
     return encode
 
