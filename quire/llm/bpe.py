@@ -39,6 +39,8 @@ CACHE_CHUNKS = 1_000_000
 CACHE_CHARS = 64
 #: Text bytes that a task holds at once.
 BATCH_BYTES = 4_000_000
+#: The same where the ids themselves go back, which take about as much again.
+IDS_BATCH_BYTES = 1_000_000
 #: Pieces of more bytes are merged apart.
 LONG_PIECE = 2048
 #: Stands before the first part of a text, which has no space before it; no Arrow string holds it.
@@ -350,7 +352,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     def encode(batches):
         encoder = encoder_for(path)
         table = encoder.vocabulary
-        for b in text_batches(batches):
+        for b in text_batches(batches, IDS_BATCH_BYTES):
             texts = [t or "" for t in b.column("text").to_pylist()]
             found = encoder.encode(texts)
             flat = np.frombuffer(b"".join(found), "<i4")
