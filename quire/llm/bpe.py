@@ -43,8 +43,6 @@ BATCH_BYTES = 4_000_000
 IDS_BATCH_BYTES = 1_000_000
 #: Pieces of more bytes are merged apart.
 LONG_PIECE = 2048
-#: Stands before the first part of a text, which has no space before it; no Arrow string holds it.
-MARK = "\ud800"
 #: The byte-level split pattern (fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -240,8 +238,8 @@ class ChunkEncoder:
 
     def __init__(self, vocabulary: Vocabulary, encode_pieces):
         self.vocabulary, self.encode_pieces = vocabulary, encode_pieces
-        self.known: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}  # the half before; what is met again moves on
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the half before; what is met again moves on
         self.bare: dict[str, bytes] = {}  # pieces without a leading space
         self.careful = regex.compile(r"\s*\S+|\s+")
 
@@ -257,8 +255,8 @@ class ChunkEncoder:
         """Ids of chunks (with their leading blanks)."""
         cut = list(map(self._pieces, chunks))
         of: dict[str, bytes] = {}
-        pieces = []
-        for p in set().union(*cut):  # a piece may be known as a chunk of its own
+        pieces = [ps[0] for ps in cut if len(ps) == 1]
+        for p in set().union(*[ps for ps in cut if len(ps) > 1]).difference(pieces):  # a piece may be known as a chunk of its own
             found = self.known.get(p[1:]) if p[0] == " " else self.bare.get(p)
             if found is not None:
                 of[p] = found
@@ -273,38 +271,61 @@ class ChunkEncoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Texts without special tokens.
 
-        A space that follows a non-blank is a piece boundary. If no part between
-        single spaces is empty or has a blank at an end, all the cuts are such.
+        A space that follows a non-blank is a piece boundary, and so is a line
+        feed. If no part between them is empty or has a blank at an end, the feed
+        before a part aside, all the cuts are such; the first part may be empty.
+        Arrow cuts and counts off the distinct parts and puts their ids together;
+        only they are looked up.
         """
-        parts = [(MARK + t).split(" ") for t in texts]
-        if len(self.known) > CACHE_CHUNKS // 2:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = set().union(*parts).difference(known)
-        again = new.intersection(old)
-        known.update((p, old[p]) for p in again)
-        new -= again
-        unsafe = {p for p in new if not p or p[-1].isspace() or p[0].isspace() or p[0] == MARK and (len(p) == 1 or p[1].isspace())}
-        fresh = list(new - unsafe)
-        known.update(zip(fresh, self._learn([p[1:] if p[0] == MARK else " " + p for p in fresh]), strict=True))
-        known.update(dict.fromkeys(unsafe))
-        out: list[bytes | None] = []
-        for ps in parts:
-            try:
-                out.append(b"".join(map(known.__getitem__, ps)))
-            except TypeError:  # a part that is not safe
-                out.append(None)
-        for p in new:
-            if len(p) > CACHE_CHARS or p[:1] == MARK:
-                del known[p]
-        left = [i for i, x in enumerate(out) if x is None]
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        offsets, values = parts.offsets.to_numpy(), parts.values
+        inner = np.ones(len(values), bool)
+        inner[offsets[:-1]] = False
+        coded = values.filter(pa.array(inner)).dictionary_encode()
+        heads, names = values.take(pa.array(offsets[:-1])).to_pylist(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.empty(len(values), np.int64)
+        at[inner] = coded.indices.to_numpy()
+        at[~inner] = np.arange(len(names), len(names) + len(heads))
+        ids = pa.array(self._looked_up(names) + self._heads(heads), pa.large_binary()).take(pa.array(at))
+        out: list[bytes | None] = pc.binary_join(pa.ListArray.from_arrays(parts.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
+        left = [i for i, x in enumerate(out) if x is None]  # texts with a part that is not safe
         cut = [self.careful.findall(texts[i]) for i in left]
         chunks = list(set().union(*cut))
-        ids = dict(zip(chunks, self._learn(chunks), strict=True))
+        learnt = dict(zip(chunks, self._learn(chunks), strict=True))
         for i, cs in zip(left, cut, strict=True):
-            out[i] = b"".join([ids[c] for c in cs])
+            out[i] = b"".join([learnt[c] for c in cs])
         return out
 
+    def _looked_up(self, names: list[str]) -> list[bytes | None]:
+        """Ids of distinct parts that follow a space or begin with a line feed; null if a cut beside one is not safe."""
+        if len(self.known) > CACHE_CHUNKS // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        ids = list(map(known.get, names))
+        missed = [i for i, x in enumerate(ids) if x is None]
+        fresh = []
+        for i in missed:
+            p = names[i]
+            found = old.get(p)
+            if found is not None:
+                ids[i] = known[p] = found
+            elif p and not p[-1].isspace() and (not p[0].isspace() or p[0] == "\n" and not p[1].isspace()):
+                fresh.append(i)
+        for i, x in zip(fresh, self._learn([p if p[0] == "\n" else " " + p for p in map(names.__getitem__, fresh)]), strict=True):
+            ids[i] = x
+            if len(names[i]) <= CACHE_CHARS:
+                known[names[i]] = x
+        return ids
+
+    def _heads(self, heads: list[str]) -> list[bytes | None]:
+        """Ids of the first parts of texts, which have nothing before them; null if the cut after one is not safe."""
+        chunks = list({p for p in heads if p and not p[0].isspace() and not p[-1].isspace()})
+        learnt = dict(zip(chunks, self._learn(chunks), strict=True))
+        learnt[""] = b""
+        return list(map(learnt.get, heads))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # nothing here makes cycles, and the collector would walk through millions of short lists
         collects = gc.isenabled()

@@ -24,6 +24,7 @@ text are ignored.
 
 from __future__ import annotations
 
+import codecs
 import uuid
 import zlib
 from functools import lru_cache
@@ -45,30 +46,37 @@ END_ID = 0
 BATCH_SEQS = 256
 #: Text bytes for a file.
 FILE_BYTES = 64_000_000
+#: Pieces that a call of the library's model takes.
+PIECES_AT_ONCE = 32
 
 
 def library_pieces(path: str):
-    """Piece encoder by the tokenizers library: its model on a piece's byte characters.
+    """Piece encoder by the tokenizers library: its model on the byte characters of pieces.
 
     The library's pre-tokenizer would cut a piece no further, so its model is
-    called on it directly.
+    called on pieces directly, on several at once: the byte 255, which no text in
+    UTF-8 holds, stands between them, and no token but its own holds it, so that no merge
+    crosses it. Where a vocabulary has another such token, a call takes one piece.
     """
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    model, raw = found.model, [i.to_bytes(4, "little") for i in range(found.get_vocab_size())]
-    chars = dict(enumerate(byte_chars()))
-    space = chars[ord(" ")]
-
-    def shown(p: str) -> str:
-        """The characters of a piece's bytes; plain letters and digits stand for themselves."""
-        if p.isascii() and p[1:].isalnum():
-            return (space if p[0] == " " else chars[ord(p[0])]) + p[1:]
-        return p.encode().decode("latin-1").translate(chars)
+    model, chars = found.model, "".join(byte_chars())
+    gap = chars[255]
+    gap_id = found.token_to_id(gap)
+    at_once = 1 if any(gap in t for t in found.get_vocab() if t != gap) else PIECES_AT_ONCE
 
     def encode(pieces: list[str]) -> list[bytes]:
-        # ids as bytes that all pieces share
-        return [raw[ts[0].id] if len(ts) == 1 else b"".join([raw[t.id] for t in ts]) for ts in map(model.tokenize, map(shown, pieces))]
+        if not pieces:
+            return []
+        shown = codecs.charmap_decode(b"\xff".join(map(str.encode, pieces)), "strict", chars)[0].split(gap)
+        ids: list[int] = []
+        for i in range(0, len(shown), at_once):
+            ids += [t.id for t in model.tokenize(gap.join(shown[i : i + at_once]))]
+            ids.append(gap_id)
+        flat = np.array(ids, "<u4")
+        raw, ends = flat.tobytes(), (4 * np.flatnonzero(flat == gap_id)).tolist()
+        return [raw[i:j] for i, j in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     return encode
 
